@@ -58,7 +58,7 @@ def sainte_lague(parties: DataFrame, group: list[str], order: list[str]) -> Data
     return q.groupBy(*keys).agg(won.cast("long").alias("won"))
 
 
-def mix_plan(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 22, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> DataFrame:
+def mix_plan(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 19, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """What the mix takes of each row of docs (doc_id, text, source).
 
     Returns doc_id, rk, source, size, source_size, target, taken, epochs and pieces: the mix
@@ -96,7 +96,8 @@ def mix_plan(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 22,
 
     chosen = quotas.filter("rest > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     chosen = chosen.withColumn("_r", F.row_number().over(Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "src", "shard", "block"), "block")))
-    chosen = chosen.filter(F.col("_r") <= F.col("rest")).select("src", "shard", "block")
+    # written, so that the join below knows its true size
+    chosen = keep(chosen.filter(F.col("_r") <= F.col("rest")).select("src", "shard", "block"), "mix-blocks")
 
     rows = small_join(rows, quotas.select("src", "shard", "epochs", "rest"), ["src", "shard"], "left")
     rows = rows.withColumn("_n", F.monotonically_increasing_id())
