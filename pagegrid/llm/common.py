@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from functools import reduce
 
@@ -67,8 +68,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished, unreferenced plans."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of what Python held in the JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:

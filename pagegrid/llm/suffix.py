@@ -169,7 +169,7 @@ def radix_windows(table: pa.Table, length: int, most: int = 1 << 20) -> pa.Table
     table = table.take(pa.array(order))
     h = h[order]
     ids, keys, lo, n = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("id", "rk", "lo", "n"))
-    out = [[], [], []]
+    out = [[], [], [], []]
     bounds = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
     total = np.cumsum(n)
     a = 0
@@ -210,13 +210,17 @@ def radix_windows(table: pa.Table, length: int, most: int = 1 << 20) -> pa.Table
             live, doc = live[o], doc[o]
             g = group[live]
             new = np.append(True, g[1:] != g[:-1])
-            hit = live[doc > doc[new][np.cumsum(new) - 1]]
-            out[0].append(ids[i:j][run[hit]])
-            out[1].append(keys[i:j][run[hit]])
-            out[2].append((lo[i:j][run[hit]] + k[hit]).astype(np.int32))
+            hit = np.sort(live[doc > doc[new][np.cumsum(new) - 1]])
+            # neighbouring windows of one run go as one
+            first = np.append(True, (hit[1:] != hit[:-1] + 1) | (run[hit[1:]] != run[hit[:-1]])) if len(hit) else np.zeros(0, bool)
+            head = hit[first]
+            out[0].append(ids[i:j][run[head]])
+            out[1].append(keys[i:j][run[head]])
+            out[2].append((lo[i:j][run[head]] + k[head]).astype(np.int32))
+            out[3].append(np.diff(np.append(np.flatnonzero(first), len(hit))).astype(np.int32))
         a = b
-    cat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int32), strict=True)]
-    return pa.table({"id": pa.array(cat[0]), "rk": pa.array(cat[1]), "lo": pa.array(cat[2]), "n": pa.array(np.ones(len(cat[0]), np.int32))})
+    cat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int32, np.int32), strict=True)]
+    return pa.table({"id": pa.array(cat[0]), "rk": pa.array(cat[1]), "lo": pa.array(cat[2]), "n": pa.array(cat[3])})
 
 
 def erase(batches, length: int):
