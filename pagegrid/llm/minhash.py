@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import drop, keep, partitions, skewed_lookup
 from .components import connected_components
@@ -131,7 +132,7 @@ def _verified(edges: DataFrame, texts: DataFrame, words: int, percent: int, part
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: int = 128, rows: int = 4, seed: int = 3, pairs_at_once: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: int = 128, rows: int = 4, seed: int = 3, pairs_at_once: int = 65_536) -> DataFrame:
     """(doc_id, rk, n_shingles, component_id, kept): components of texts with Jaccard >= percent / 100.
 
     docs needs doc_id and text. A text's set holds the distinct `words`-word shingles of its
@@ -167,25 +168,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
 
     compared = _verified(buckets.filter("cid <> least").select(F.col("cid").alias("id"), F.col("least").alias("center")).distinct(), texts, words, percent)
     used = buckets.select("band", F.col("least").alias("center")).distinct()
+    links = compared.filter("linked").select(F.col("id").alias("u"), F.col("center").alias("v"))
+    parts, new = None, links
     while True:
-        links = compared.filter("linked").select(F.col("id").alias("u"), F.col("center").alias("v"))
-        parts = keep(connected_components(links), "minhash-parts")
-        labelled = buckets.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("label"))
-        tally = labelled.groupBy("band", "label").agg(F.count("*").alias("c"))
-        main = tally.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("m")).filter("labels > 1")
-        opened = keep(skewed_lookup(labelled, main.select("band", "m", F.col("x.label").alias("main"), F.col("x.c").alias("c"), F.col("m").alias("w")), ["band"], "w"), "minhash-open")
-        fresh = opened.filter("label <> main").select("band", F.col("cid").alias("center"), F.col("label").alias("center_label"), "m", "c").join(used, ["band", "center"], "left_anti")
-        # all of them at once where that makes few pairs, else the smallest
-        few = (F.col("m") - F.col("c")) * F.col("m") <= pairs_at_once
-        one = fresh.filter(~few).groupBy("band").agg(F.min(F.struct("center", "center_label")).alias("x")).select("band", "x.center", "x.center_label")
-        centers = keep(fresh.filter(few).select("band", "center", "center_label").unionByName(one), "minhash-centers")
+        if parts is None or new.take(1):
+            parts = keep(connected_components(links), "minhash-parts")
+            labelled = buckets.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("label"))
+            tally = labelled.groupBy("band", "label").agg(F.count("*").alias("c"))
+            main = tally.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("m")).filter("labels > 1")
+            main = keep(main.select("band", "m", F.col("x.label").alias("main"), F.col("m").alias("w")), "minhash-mixed")
+            opened = keep(skewed_lookup(labelled, main, ["band"], "w"), "minhash-open")
+        fresh = opened.filter("label <> main").select("band", F.col("cid").alias("center"), F.col("label").alias("center_label"), "m").join(used, ["band", "center"], "left_anti")
+        # as many at once as keep a bucket's pairs near pairs_at_once, one at least
+        turn = F.row_number().over(Window.partitionBy("band").orderBy("center"))
+        centers = keep(fresh.withColumn("turn", turn).filter(F.col("turn") <= F.greatest(F.lit(1), F.floor(pairs_at_once / F.col("m")))).drop("turn", "m"), "minhash-centers")
         if not centers.take(1):
             break
         pairs = opened.join(centers, "band").filter("label <> center_label").select(F.greatest("cid", "center").alias("id"), F.least("cid", "center").alias("center")).distinct()
         before = compared.select(F.greatest("id", "center").alias("id"), F.least("id", "center").alias("center"))
-        compared = compared.unionByName(_verified(keep(pairs.join(before, ["id", "center"], "left_anti"), "minhash-edges"), texts, words, percent))
+        checked = _verified(keep(pairs.join(before, ["id", "center"], "left_anti"), "minhash-edges"), texts, words, percent)
+        compared = compared.unionByName(checked)
+        new = checked.filter("linked").select(F.col("id").alias("u"), F.col("center").alias("v"))
+        links = links.unionByName(new)
         used = used.unionByName(centers.select("band", "center"))
-        drop(opened, parts)
 
     by_class = skewed_lookup(sets.select("id", *digest), classes.select(*digest, "cid", "rows"), digest, "rows")
     shared = by_class.groupBy("id").agg(F.min("cid").alias("v"), F.max("cid").alias("last")).filter("v < last")
