@@ -63,13 +63,13 @@ def signature(values: np.ndarray, bins: int, order: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches, words: int, bins: int, rows: int, seed: int):
-    """Per document: its set's size and digest, and a 64-bit key for each band."""
+    """Per document: its set's size and digest, a 64-bit key for each band, and a byte of each bin."""
     order, cache = densify_order(bins, seed), {}
     salt = mix(np.arange(1, bins + 1, dtype=U) + U(seed << 32))
     with np.errstate(over="ignore"):
         for batch in batches:
             buf_all, offs_all = bytes_of(batch.column("text"))
-            sizes, d1, d2, keys = [], [], [], []
+            sizes, d1, d2, keys, low = [], [], [], [], []
             for a, b in chunks(offs_all, CHUNK):
                 values, offs = shingle_sets(buf_all[offs_all[a] : offs_all[b]], offs_all[a : b + 1] - offs_all[a], words, cache)
                 for i in range(b - a):
@@ -80,14 +80,60 @@ def signatures(batches, words: int, bins: int, rows: int, seed: int):
                     if len(v):
                         sig = signature(v, bins, order)
                         keys.append(mix(mix(sig ^ salt).reshape(-1, rows).sum(axis=1, dtype=U)).view(np.int64))
+                        low.append((mix(sig) & U(255)).astype(np.uint8).tobytes())
                     else:
                         keys.append(None)
+                        low.append(None)
             yield pa.record_batch(
-                [batch.column("id"), batch.column("rk"), pa.array(sizes, pa.int64()), pa.array(np.array(d1, U).view(np.int64)), pa.array(np.array(d2, U).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "rk", "n", "d1", "d2", "bands"],
+                [batch.column("id"), batch.column("rk"), pa.array(sizes, pa.int64()), pa.array(np.array(d1, U).view(np.int64)), pa.array(np.array(d2, U).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                names=["id", "rk", "n", "d1", "d2", "bands", "sig"],
             )
 
 
+def stray_links(batches, words: int, percent: int, agree: int):
+    """Links of strays: rows come by (band, block, part), each group's strays (role 0) first.
+
+    A group holds a bounded number of strays, and the other members stream past them. A pair is
+    compared on full sets unless it has one label, was compared as center and member, shares an
+    earlier band, or its signatures agree in fewer than `agree` bins.
+    """
+    cache: dict = {}
+    group, held = None, []
+    ids = labels = sigs = keys = None
+    for batch in batches:
+        buf_all, offs_all = bytes_of(batch.column("text"))
+        col = {c: ids_of(batch.column(c), 0) for c in ("band", "block", "part", "role", "cid", "label", "center", "minor")}
+        sig = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("sig")]
+        key = [np.asarray(x.values) for x in batch.column("bands")]
+        u, v = [], []
+        for a, b in chunks(offs_all, CHUNK):
+            values, offs = shingle_sets(buf_all[offs_all[a] : offs_all[b]], offs_all[a : b + 1] - offs_all[a], words, cache)
+            for i in range(a, b):
+                own = values[offs[i - a] : offs[i - a + 1]]
+                if (now := (col["band"][i], col["block"][i], col["part"][i])) != group:
+                    group, held = now, []
+                if col["role"][i] == 0:
+                    held.append((col["cid"][i], col["label"][i], sig[i], key[i], own))
+                    ids = None
+                    continue
+                if ids is None:
+                    ids, labels = (np.array([h[k] for h in held]) for k in (0, 1))
+                    sigs, keys = (np.stack([h[k] for h in held]) for k in (2, 3))
+                ok = (labels != col["label"][i]) & (ids != col["center"][i]) & (col["cid"][i] != col["center"][i])
+                if col["minor"][i]:
+                    ok &= ids < col["cid"][i]
+                ok &= (sigs == sig[i]).sum(1) >= agree
+                for k in np.flatnonzero(ok):
+                    if key[i][(keys[k] == key[i]).argmax()] != group[0]:
+                        continue
+                    other = held[k][4]
+                    same = int((other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).sum())
+                    if 100 * same >= percent * (len(other) + len(own) - same):
+                        u.append(col["cid"][i])
+                        v.append(ids[k])
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def compare_to_center(batches, words: int):
     """Rows of (center, part, member flag, id, text), each center's text before its members'."""
     cache: dict = {}
@@ -132,20 +178,22 @@ def _verified(edges: DataFrame, texts: DataFrame, words: int, percent: int, part
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: int = 128, rows: int = 4, seed: int = 3, pairs_at_once: int = 65_536) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: int = 128, rows: int = 4, seed: int = 3, sigmas: float = 4.0, block_rows: int = 256, part_rows: int = 4096) -> DataFrame:
     """(doc_id, rk, n_shingles, component_id, kept): components of texts with Jaccard >= percent / 100.
 
     docs needs doc_id and text. A text's set holds the distinct `words`-word shingles of its
     lower-cased (A-Z) words. Texts with equal sets form a class. Signatures have `bins` bins of
     one permutation; `rows` bins make a band, and classes that agree in a band share a bucket.
 
-    In each bucket one class is the center of a star and is compared with every other member, on
-    full sets. Where a bucket then still holds several components, members outside its largest
-    component become centers as well, round after round, until no two members of different
-    components in one bucket are left uncompared. So a bucket costs its size times the number
-    of its members outside the main component, not its size squared, and no link inside a
-    bucket is missed. With 32 bands of 4, a pair at 0.75 shares no bucket with a chance of about
-    5 in a million.
+    In each bucket the class that shares most buckets with others is the center of a star; every
+    other member is compared with it, on full sets. Members that this leaves outside the bucket's
+    largest component are then compared with the members of other components, unless their
+    signatures agree in fewer bins than a pair at the threshold would, less `sigmas` standard
+    deviations. Strays wait in blocks of block_rows while parts of the bucket stream past them;
+    only links leave the task.
+
+    With 32 bands of 4, a pair at 0.75 shares no bucket with a chance of about 5 in a million;
+    4 sigmas miss 3 in 100,000 of the strays' pairs at 0.75, and fewer above.
 
     rk is xxhash64(doc_id, text). Defined cases: texts that are null or have no words link with
     nothing; rows with a null id have a null component_id and are kept; rows that share an id
@@ -153,44 +201,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
     """
     if bins & (bins - 1) or bins % rows:
         raise ValueError("bins must be a power of two and a multiple of rows")
+    p = percent / 100
+    agree = int(np.floor(bins * p - sigmas * np.sqrt(bins * p * (1 - p))))
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("rk"), "text")
-    sigs = keep(keyed.mapInArrow(lambda it: signatures(it, words, bins, rows, seed), "id long, rk long, n long, d1 long, d2 long, bands array<long>"), "minhash-signatures")
+    sigs = keep(keyed.mapInArrow(lambda it: signatures(it, words, bins, rows, seed), "id long, rk long, n long, d1 long, d2 long, bands array<long>, sig binary"), "minhash-signatures")
     digest = ["n", "d1", "d2"]
     sets = sigs.filter("n > 0 and id is not null")
-    grouped = sets.groupBy(*digest).agg(F.min(F.struct("id", "rk")).alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
+    grouped = sets.groupBy(*digest).agg(F.min(F.struct("id", "rk")).alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = keep(grouped.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
     banded = classes.select("cid", F.explode(F.array_distinct("bands")).alias("band"))
-    sizes = keep(banded.groupBy("band").agg(F.count("*").alias("m"), F.min("cid").alias("least")).filter("m > 1"), "minhash-sizes")
-    buckets = keep(skewed_lookup(banded, sizes, ["band"], "m"), "minhash-buckets")
+    sizes = keep(banded.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").withColumn("w", F.col("m")), "minhash-sizes")
+    shared = keep(skewed_lookup(banded, sizes, ["band"], "w"), "minhash-shared")
+    known = shared.join(shared.groupBy("cid").agg(F.sum("m").alias("fame")), "cid")
+    centers = keep(known.groupBy("band").agg(F.max(F.struct("fame", (-F.col("cid")).alias("c"))).alias("x"), F.count("*").alias("w")).select("band", (-F.col("x.c")).alias("center"), "w"), "minhash-bands")
+    buckets = keep(skewed_lookup(shared.select("band", "cid"), centers, ["band"], "w"), "minhash-buckets")
     wanted = classes.join(buckets.select("cid").distinct(), "cid").select("rep.id", "rep.rk", "cid")
     texts = keep(keyed.join(wanted, ["id", "rk"]).select(F.col("cid").alias("id"), "text"), "minhash-texts")
-    drop(sizes)
-
-    compared = _verified(buckets.filter("cid <> least").select(F.col("cid").alias("id"), F.col("least").alias("center")).distinct(), texts, words, percent)
-    used = buckets.select("band", F.col("least").alias("center")).distinct()
-    links = compared.filter("linked").select(F.col("id").alias("u"), F.col("center").alias("v"))
-    parts, new = None, links
-    while True:
-        if parts is None or new.take(1):
-            parts = keep(connected_components(links), "minhash-parts")
-            labelled = buckets.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("label"))
-            tally = labelled.groupBy("band", "label").agg(F.count("*").alias("c"))
-            main = tally.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("m")).filter("labels > 1")
-            main = keep(main.select("band", "m", F.col("x.label").alias("main"), F.col("m").alias("w")), "minhash-mixed")
-            opened = keep(skewed_lookup(labelled, main, ["band"], "w"), "minhash-open")
-        fresh = opened.filter("label <> main").select("band", F.col("cid").alias("center"), F.col("label").alias("center_label"), "m").join(used, ["band", "center"], "left_anti")
-        # as many at once as keep a bucket's pairs near pairs_at_once, one at least
-        turn = F.row_number().over(Window.partitionBy("band").orderBy("center"))
-        centers = keep(fresh.withColumn("turn", turn).filter(F.col("turn") <= F.greatest(F.lit(1), F.floor(pairs_at_once / F.col("m")))).drop("turn", "m"), "minhash-centers")
-        if not centers.take(1):
-            break
-        pairs = opened.join(centers, "band").filter("label <> center_label").select(F.greatest("cid", "center").alias("id"), F.least("cid", "center").alias("center")).distinct()
-        before = compared.select(F.greatest("id", "center").alias("id"), F.least("id", "center").alias("center"))
-        checked = _verified(keep(pairs.join(before, ["id", "center"], "left_anti"), "minhash-edges"), texts, words, percent)
-        compared = compared.unionByName(checked)
-        new = checked.filter("linked").select(F.col("id").alias("u"), F.col("center").alias("v"))
-        links = links.unionByName(new)
-        used = used.unionByName(centers.select("band", "center"))
+    drop(sizes, shared)
+
+    starred = _verified(buckets.filter("cid <> center").select(F.col("cid").alias("id"), "center").distinct(), texts, words, percent)
+    links = starred.filter("linked").select(F.col("id").alias("u"), F.col("center").alias("v"))
+    parts = keep(connected_components(links), "minhash-parts")
+    labelled = keep(buckets.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("band", "center", "cid", F.coalesce("component", "cid").alias("label")), "minhash-labelled")
+    tally = labelled.groupBy("band", "label").agg(F.count("*").alias("c"))
+    mixed = tally.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("w")).filter("labels > 1 and w > 2")
+    blocks = F.ceil((F.col("w") - F.col("x.c")) / block_rows).cast("int")
+    parts_of = F.ceil(F.col("w") / part_rows).cast("int")
+    mixed = keep(mixed.select("band", F.col("x.label").alias("main"), blocks.alias("blocks"), parts_of.alias("parts"), "w"), "minhash-mixed")
+    rows_of = skewed_lookup(labelled, mixed, ["band"], "w").withColumn("minor", (F.col("label") != F.col("main")).cast("long"))
+    turn = F.row_number().over(Window.partitionBy("band").orderBy("cid")) - 1
+    strays = rows_of.filter("minor = 1").withColumn("block", F.floor(turn / block_rows).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(0))
+    passing = rows_of.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    columns = ["band", "block", "part", "role", "cid", "label", "center", "minor"]
+    dealt = keep(strays.select(*columns).unionByName(passing.select(*columns)), "minhash-strays")
+    dealt = dealt.join(classes.select("cid", "bands", "sig"), "cid").join(texts.withColumnRenamed("id", "cid"), "cid")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "band", "block", "part").sortWithinPartitions("band", "block", "part", "role", "cid")
+    new = keep(dealt.mapInArrow(lambda it: stray_links(it, words, percent, agree), "u long, v long"), "minhash-links")
+    links = links.unionByName(new)
+    if new.take(1):
+        parts = keep(connected_components(links), "minhash-parts")
 
     by_class = skewed_lookup(sets.select("id", *digest), classes.select(*digest, "cid", "rows"), digest, "rows")
     shared = by_class.groupBy("id").agg(F.min("cid").alias("v"), F.max("cid").alias("last")).filter("v < last")
