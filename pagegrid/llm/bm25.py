@@ -101,70 +101,55 @@ def query_terms(batches, text_col: str):
 
 
 class Segment:
-    """One segment with impacts, and the largest impact of each term in each block of documents."""
+    """One segment with impacts; frequent terms as rows over all documents, with block maxima.
 
-    def __init__(self, row: dict, k1: float, b: float, mean_length: float):
+    A term is frequent if it is in one of `often` documents or more. Such lists are long and add
+    little, and they are what pruning is about: each block of documents keeps the largest impact
+    of each of them.
+    """
+
+    def __init__(self, row: dict, k1: float, b: float, mean_length: float, often: int = 12):
         get = lambda c, t: np.frombuffer(row[c].as_buffer(), t)
         self.terms, self.starts, self.ids, lengths = get("terms", np.int64), get("starts", np.int64), get("ids", np.int64), get("lengths", np.int64)
-        self.docs, tf = get("docs", np.int32).astype(np.int64), get("counts", np.int32).astype(np.float64)
+        self.docs, tf = get("docs", np.int32), get("counts", np.int32).astype(np.float64)
         norm = k1 * (1 - b + b * lengths / mean_length)
         self.impact = tf * (k1 + 1) / (tf + norm[self.docs])
         self.n = len(self.ids)
-        owner = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
-        self.key = owner * self.n + self.docs
-        block = self.docs // BLOCK
-        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))) if len(owner) else np.zeros(0, np.int64)
-        self.block = block[new]
-        self.block_max = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.block_at = np.append(new, len(owner))
-        self.block_starts = np.searchsorted(new, self.starts)
-        self.term_max = np.maximum.reduceat(self.block_max, self.block_starts[:-1]) if len(new) else np.zeros(0)
+        self.counts = np.diff(self.starts)
+        frequent = np.flatnonzero(self.counts * often >= max(self.n, often * BLOCK))
+        self.row = np.full(len(self.terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.n))
+        for r, t in enumerate(frequent):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.dense[r, self.docs[at]] = self.impact[at]
+        self.block_max = np.maximum.reduceat(self.dense, np.arange(0, self.n, BLOCK), axis=1) if self.dense.size else np.zeros((len(frequent), -(-self.n // BLOCK)))
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (rows here) and scores of at least `least`, the k best and their ties or more."""
+        """Documents (rows here) and scores: all that can be among the k best and reach `least`."""
         none = np.zeros(0, np.int64), np.zeros(0)
-        at = np.searchsorted(self.terms, terms)
-        hit = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
+        if not len(self.terms):
+            return none
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        hit = self.terms[at] == terms
         t, w = at[hit], idf[hit]
         if not len(t):
             return none
         slack = 10.0**-ROUND
-        # block-max: a block whose bound is below the threshold holds no answer
-        n_blocks = -(-self.n // BLOCK)
-        first, count = self.block_starts[t], self.block_starts[t + 1] - self.block_starts[t]
-        cell = ranges(first, count)
-        bound = np.bincount(self.block[cell], weights=self.block_max[cell] * np.repeat(w, count), minlength=n_blocks)
-        open_ = bound >= least - slack
-        if not open_.any():
-            return none
-        # WAND: terms that together cannot reach the threshold do not bring in documents
-        most = self.term_max[t] * w
-        order = np.argsort(most, kind="stable")
-        optional = np.zeros(len(t), bool)
-        optional[order] = np.cumsum(most[order]) < least - slack
-        cell_term = np.repeat(np.arange(len(t)), count)
-        use = open_[self.block[cell]] & ~optional[cell_term]
-        c = cell[use]
-        size = self.block_at[c + 1] - self.block_at[c]
-        post = ranges(self.block_at[c], size)
-        score = np.bincount(self.docs[post], weights=self.impact[post] * np.repeat(w[cell_term[use]], size), minlength=self.n)
-        seen = np.zeros(self.n, bool)
-        seen[self.docs[post]] = True
-        rest = most[optional].sum()
-        docs = np.flatnonzero(seen & (score + rest >= least - slack))
+        rare = self.row[t] < 0
+        count = self.counts[t[rare]]
+        post = ranges(self.starts[t[rare]], count)
+        score = np.bincount(self.docs[post], weights=self.impact[post] * np.repeat(w[rare], count), minlength=self.n)
+        rows, weight = self.row[t[~rare]], w[~rare]
+        # the k-th best sum so far can only grow: it is a threshold already
+        if self.n > k:
+            least = max(least, np.partition(score, self.n - k)[self.n - k])
+        # block-max: what the frequent terms can add at most in each block
+        bound = score + np.repeat(weight @ self.block_max[rows], BLOCK)[: self.n]
+        docs = np.flatnonzero((bound >= least - slack) & (bound > 0))
         score = score[docs]
-        if optional.any() and len(docs):
-            ot, ow = t[optional], w[optional]
-            if len(docs) > 4 * k:
-                # raise the threshold by what is certain: the k-th best partial score
-                certain = max(least, np.partition(score, len(score) - k)[len(score) - k])
-                stay = score + rest >= certain - slack
-                docs, score = docs[stay], score[stay]
-            want = (ot[:, None] * self.n + docs[None, :]).ravel()
-            p = np.searchsorted(self.key, want)
-            found = self.key[np.minimum(p, len(self.key) - 1)] == want
-            add = np.where(found, self.impact[np.minimum(p, len(self.key) - 1)], 0.0).reshape(len(ot), -1)
-            score = score + ow @ add
+        if len(rows) and len(docs):
+            score = score + weight @ self.dense[np.ix_(rows, docs)]
         return docs, np.round(score, ROUND)
 
 
@@ -220,7 +205,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     asked = keep(queries.withColumn("qrow", F.monotonically_increasing_id()), "bm25-queries")
     pairs = keep(asked.select("qrow", text_col).mapInArrow(lambda it: query_terms(it, text_col), "qrow long, term long"), "bm25-query-terms")
     df = segments.select("terms", "starts").mapInArrow(document_frequencies, "term long, df long")
-    df = df.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    df = df.groupBy("term").agg(F.sum("df").alias("df"))
     sizes = segments.select("lengths").mapInArrow(_sum_lengths, "total long")
     mean = ((sizes.agg(F.sum("total")).first()[0] or 0) / n) if n else 0.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
