@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from .common import keep, positions
 from .kernels import Rolling, bytes_of, ids_of, lower_table, spans
 
-SEGMENT = 24 << 20
+SEGMENT = 12 << 20
 #: Documents whose postings of a term share one upper bound.
 BLOCK = 64
 ROUND = 6
