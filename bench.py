@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from pagegrid.plans.registry import QUERIES
+from pagegrid.plans.catalog import QUERIES
 
 NAMES = ["panels_from_gutters", "w3_reading_order", "m1_merge_rects", "a4_score_layout", "j6_region_sums", "j1_overlap_pairs", "a6_union_coverage", "w1_bands"]
 

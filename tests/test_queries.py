@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from pagegrid.operators import rects as R
-from pagegrid.plans.registry import ORACLE_SQL, QUERIES
+from pagegrid.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
