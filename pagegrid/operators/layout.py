@@ -203,7 +203,7 @@ def page_features(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:
     """Counts, shares of small and margin boxes, coverage, spread of aspects."""
     small = (F.col("w") * F.col("h") < 0.01 * page_w * page_h).cast("double")
     edge = (((F.col("y") < 0.06 * page_h) | (F.col("y") + F.col("h") > 0.94 * page_h)) & (F.col("h") < 0.12 * page_h)).cast("double")
-    base = rects.groupBy("page_id").agg(F.count("*").alias("rect_count"), F.avg(small).alias("small_ratio"), F.avg(edge).alias("margin_ratio"), F.round(F.var_pop(F.col("w") / F.col("h")), 9).alias("aspect_variance"))
+    base = rects.groupBy("page_id").agg(F.count("*").alias("rect_count"), F.avg(small).alias("small_ratio"), F.avg(edge).alias("margin_ratio"), F.var_pop(F.col("w") / F.col("h")).alias("aspect_variance"))
     return base.join(union_coverage(rects, page_w, page_h), "page_id")
 
 
