@@ -31,7 +31,7 @@ FEATURES_SQL = """e as (select page_id, x e from r union select page_id, x+w fro
 st as (select page_id, e, lead(e) over (partition by page_id order by e) e2 from e),
 i as (select st.page_id, e, e2, y, h, max(y+h) over (partition by st.page_id, e order by y, rect_id rows between unbounded preceding and 1 preceding) reach from st join r on r.page_id = st.page_id and x <= e and x+w >= e2 where e2 is not null),
 cov as (select page_id, sum(greatest(0, y+h-greatest(y, coalesce(reach, y))) * (e2-e)) / 655200.0::double coverage from i group by page_id),
-ft as (select page_id, count(*) rect_count, avg(case when w*h < 6552 then 1.0::double else 0.0 end) small_ratio, avg(case when (y < 54.6 or y+h > 855.4) and h < 109.2 then 1.0::double else 0.0 end) margin_ratio, round(var_pop(w/h), 6) aspect_variance from r group by 1),
+ft as (select page_id, count(*) rect_count, avg(case when w*h < 6552 then 1.0::double else 0.0 end) small_ratio, avg(case when (y < 54.6 or y+h > 855.4) and h < 109.2 then 1.0::double else 0.0 end) margin_ratio, round(var_pop(w/h) + 1e-9::double, 6) aspect_variance from r group by 1),
 feat as (select *, page_id % 6 gutter_count, (page_id % 40)::double bg_tint_dist from ft join cov using (page_id)),
 sty as (select *, (case when gutter_count >= 3 then 2.0::double else 0 end) + (case when small_ratio < 0.3::double then 1 else 0 end) + (case when rect_count between 3 and 12 then 1 else 0 end) + (case when bg_tint_dist < 18 then 1.5::double else 0 end) + (case when coverage >= 0.5::double then 0.5::double else 0 end) classic,
   (case when gutter_count <= 2 then 1.5::double else 0 end) + (case when small_ratio < 0.3::double then 0 else 1.5::double end) + (case when rect_count > 12 then 0.5::double else 0 end) + (case when bg_tint_dist < 18 then 0 else 2.0::double end) + (case when aspect_variance > 0.5::double then 0.5::double else 0 end) modern from feat)"""
@@ -47,7 +47,8 @@ def segments(s, d):
 
 
 def features(s, d):
-    f = Y.page_features(V.rects(s, d), PAGE_W, PAGE_H).withColumn("aspect_variance", F.round("aspect_variance", 6))
+    # two aspects often have a variance that ends in a 5 at the seventh digit: the shift settles which way it rounds
+    f = Y.page_features(V.rects(s, d), PAGE_W, PAGE_H).withColumn("aspect_variance", F.round(F.col("aspect_variance") + 1e-9, 6))
     return f.withColumn("gutter_count", F.col("page_id") % 6).withColumn("bg_tint_dist", (F.col("page_id") % 40).cast("double"))
 
 
