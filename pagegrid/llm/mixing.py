@@ -14,14 +14,14 @@ def word_count(text):
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """(source, src, source_size, target) from (source, size).
+    """(source, src, source_size, source_rows, target) from (source, size).
 
     src numbers the sources by code point, null last; weights repeat in that order. The targets
     share all sizes by weight, but none is above max_epochs times its source's size; the excess
     goes to the others by weight. With sources in the order of that limit per weight, those at
     their limit come first, so running sums give the level that the others share.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     everything = Window.partitionBy()
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     sums = sums.withColumn("src", number).withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("src") % len(weights) + 1).cast("int")))
@@ -32,7 +32,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     full = F.col("limit") <= F.col("level") * F.col("w")
     level = F.min(F.when(~full, F.struct(F.col("limit") / F.col("w"), "src", "level"))).over(everything)["level"]
     target = F.when(full, F.col("limit").cast("double")).otherwise(level * F.col("w"))
-    return sums.select("source", "src", "source_size", target.alias("target"))
+    return sums.select("source", "src", "source_size", "source_rows", target.alias("target"))
 
 
 def sainte_lague(parties: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -64,47 +64,53 @@ def mix_plan(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 19,
     Returns doc_id, rk, source, size, source_size, target, taken, epochs and pieces: the mix
     takes the whole document `epochs` times and, beside that, the word ranges in pieces.
 
-    A source's documents are dealt to shards of about shard_words words by a seeded hash, and in
-    a shard they stand in seeded order; every block_words words of that sequence are a block.
-    Seats (blocks) go to sources by Sainte-Lague on the targets, and a source's seats to its
-    shards by Sainte-Lague on their words. A shard with q seats and n blocks takes all of it
-    q div n times and then q mod n blocks in seeded order, never more than max_epochs times.
-    So a source's taken words differ from its target by about a block, or by the last partial
-    block of its shards.
+    A source's documents are dealt to shards of about shard_words words, as many as its own size
+    asks for, by a seeded hash. They stand in seeded order in their shard, and its shards follow
+    one another, so a source is one sequence of words; every block_words of it are a block, and
+    only its last block can be shorter. The mix takes a source whole as often as its target holds
+    it; seats (blocks) for what is left of the targets go to sources by Sainte-Lague, and a
+    source's seats to runs of about shard_words words of its sequence by Sainte-Lague on their
+    blocks, which never gives a run more seats than blocks. A run's blocks are taken in seeded
+    order. So a source's taken words differ from its target by about a block, at any table size.
 
     Defined cases: a null text has size 0 and is never taken; a null source is a source of its
     own, the last one; repeated rows are taken each for itself; an empty table gives no rows.
     """
     sized = keep(docs.select("doc_id", row_key("doc_id", "text", "source").alias("rk"), "source", word_count("text").alias("size")), "mix-sizes")
-    total = sized.agg(F.sum("size")).first()[0] or 0
     targets = keep(source_targets(sized, weights, max_epochs), "mix-targets")
-    shards = max(1, -(-total // shard_words))
     rows = small_join(sized, targets, ["source"])
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "rk"), F.lit(shards)).cast("int"))
+    # empty texts have no words but are rows of a window all the same
+    shards = F.greatest(F.ceil((F.col("source_size") + F.col("source_rows")) / shard_words), F.lit(1)).cast("long")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "rk"), shards)).drop("source_rows")
     place = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "rk"), "doc_id", "rk")
     rows = keep(rows.withColumn("off", F.coalesce(F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "mix-rows")
-
-    seats = max(1, round(total / block_words)) if total else 0
-    national = sainte_lague(targets.select("src", F.col("target").alias("votes"), F.lit(seats).cast("long").alias("seats"), F.lit(0).alias("all")), ["all"], ["src"])
-    local = rows.groupBy("src", "shard").agg(F.sum("size").cast("double").alias("votes"))
-    local = local.join(national.select("src", F.col("won").alias("seats")), "src")
-    quotas = sainte_lague(local, ["src"], ["shard"])
-    blocks = F.ceil(F.col("votes") / block_words).cast("long")
-    won = F.least(F.col("won"), max_epochs * blocks)
-    quotas = quotas.withColumn("blocks", blocks).filter("blocks > 0").withColumn("epochs", F.floor(won / F.col("blocks")).cast("int")).withColumn("rest", (won - F.col("epochs") * F.col("blocks")).cast("long"))
-    quotas = keep(quotas.select("src", "shard", "blocks", "epochs", "rest"), "mix-quotas")
-
-    chosen = quotas.filter("rest > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    chosen = chosen.withColumn("_r", F.row_number().over(Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "src", "shard", "block"), "block")))
+    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("src", "shard").agg(F.sum("size").alias("_words"))
+    starts = keep(starts.select("src", "shard", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("start")), "mix-starts")
+
+    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("int")
+    left = targets.select("src", "source_size", epochs.alias("epochs"), F.greatest(F.col("target") - epochs * F.col("source_size"), F.lit(0.0)).alias("votes"))
+    left = left.withColumn("votes", F.when(F.col("epochs") < max_epochs, F.col("votes")).otherwise(0.0)).withColumn("all", F.lit(0))
+    left = left.withColumn("seats", F.round(F.sum("votes").over(Window.partitionBy("all")) / block_words).cast("long"))
+    quotas = sainte_lague(left, ["all"], ["src"]).withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    quotas = keep(quotas.select("src", "epochs", "blocks", F.least("won", "blocks").alias("rest")), "mix-quotas")
+
+    run = max(1, shard_words // block_words)
+    runs = quotas.filter("rest > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / run).cast("long"))))
+    runs = runs.select("src", "run", F.least(F.lit(run), F.col("blocks") - F.col("run") * run).cast("double").alias("votes"), F.col("rest").alias("seats"))
+    chosen = sainte_lague(runs, ["src"], ["run"]).filter("won > 0")
+    chosen = chosen.withColumn("block", F.explode(F.sequence(F.col("run") * run, F.col("run") * run + F.col("votes").cast("long") - 1)))
+    chosen = chosen.withColumn("_r", F.row_number().over(Window.partitionBy("src", "run").orderBy(F.xxhash64(F.lit(seed + 2), "src", "block"), "block")))
     # written, so that the join below knows its true size
-    chosen = keep(chosen.filter(F.col("_r") <= F.col("rest")).select("src", "shard", "block"), "mix-blocks")
+    chosen = keep(chosen.filter(F.col("_r") <= F.col("won")).select("src", "block"), "mix-blocks")
 
-    rows = small_join(rows, quotas.select("src", "shard", "epochs", "rest"), ["src", "shard"], "left")
+    rows = small_join(rows, starts, ["src", "shard"], "left").withColumn("off", F.col("off") + F.col("start")).drop("start")
+    rows = small_join(rows, quotas.select("src", "epochs", "rest"), ["src"], "left")
     rows = rows.withColumn("_n", F.monotonically_increasing_id())
     rows = keep(rows, "mix-placed")
     last = F.floor((F.col("off") + F.col("size") - 1) / block_words)
-    touch = rows.filter("size > 0 and rest > 0").select("_n", "src", "shard", "off", "size", F.explode(F.sequence(F.floor(F.col("off") / block_words), last)).alias("block"))
-    touch = touch.join(chosen, ["src", "shard", "block"])
+    touch = rows.filter("size > 0 and rest > 0").select("_n", "src", "off", "size", F.explode(F.sequence(F.floor(F.col("off") / block_words), last)).alias("block"))
+    touch = touch.join(chosen, ["src", "block"])
     start = F.greatest(F.col("block") * block_words - F.col("off"), F.lit(0))
     end = F.least((F.col("block") + 1) * block_words - F.col("off"), F.col("size"))
     parts = touch.groupBy("_n").agg(F.sum(end - start).alias("part"), F.array_sort(F.collect_list(F.struct(start.alias("start"), end.alias("end")))).alias("pieces"))

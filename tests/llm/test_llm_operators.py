@@ -101,6 +101,22 @@ def test_mix(docs):
     assert sum(len((r.text or "").split()) for r in texts) == sum(r.taken for r in rows)
 
 
+def test_mix_meets_targets_over_many_shards(spark):
+    # a small source of short documents beside a large one: 120 shards of 8 blocks by the whole table's size
+    small, tiny, large = ([(k, " ".join(["w"] * n), s) for k in range(i, i + m)] for i, m, n, s in ((0, 150, 30, "a"), (1000, 1, 5, "b"), (2000, 500, 110, "c")))
+    frame = spark.createDataFrame([*small, *tiny, *large, (None, None, None)], "doc_id long, text string, source string")
+    params = dict(block_words=64, shard_words=512)
+    rows = mixing.mix_plan(frame, **params).collect()
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size
+        by.setdefault((r.source, r.target), []).append(r.taken)
+    assert len(by) == 4 and all(abs(sum(v) - target) <= 128 for (_, target), v in by.items())
+    assert sum(sum(v) for (s, _), v in by.items() if s == "a") == 3 * 150 * 30
+    texts = mixing.mix_documents(frame, **params).collect()
+    assert sum(len((r.text or "").split()) for r in texts) == sum(r.taken for r in rows)
+
+
 def test_bucket_program_is_optimal():
     rng = np.random.default_rng(0)
     hist = np.array([(n, n * top, top) for top, n in zip(sorted(rng.choice(60, 9, replace=False)), rng.integers(1, 9, 9), strict=True)])
