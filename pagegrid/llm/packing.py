@@ -1,4 +1,4 @@
-"""Packing into length buckets that a dynamic program chooses from the global histogram."""
+"""Packing into length buckets that a dynamic program chooses from the exact global histogram."""
 
 from __future__ import annotations
 
@@ -9,46 +9,60 @@ from pyspark.sql import functions as F
 from .common import positions
 from .mixing import word_count
 
-#: The histogram that reaches the driver has at most this many rows.
-BINS = 4096
 
+def length_histogram(sized: DataFrame) -> np.ndarray:
+    """(rows, sum of lengths, length) for each distinct length, in order of length.
 
-def length_histogram(sized: DataFrame, bins: int = BINS) -> np.ndarray:
-    """(rows, sum of lengths, largest length) per bin of equal width, in order of length.
-
-    Bins are one length wide as long as no length is above `bins`, so the program is exact there.
+    Distinct lengths number at most the square root of twice the table's words, so the driver
+    can hold them: 100,000 of them need 5 billion words.
     """
-    longest = sized.agg(F.max("length")).first()[0] or 0
-    width = max(1, -(-(longest + 1) // bins))
-    got = sized.groupBy(F.floor(F.col("length") / width).alias("bin")).agg(F.count("*").alias("n"), F.sum("length").alias("s"), F.max("length").alias("top")).orderBy("bin").collect()
-    return np.array([(r["n"], r["s"], r["top"]) for r in got], dtype=np.int64).reshape(-1, 3)
+    got = sized.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").toArrow()
+    length, n = (got.column(c).to_numpy().astype(np.int64) for c in ("length", "n"))
+    return np.stack([n, n * length, length], 1)
 
 
 def choose_buckets(hist: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds, at most `buckets`, for which padding every row to its bound costs least."""
+    """Upper bounds, at most `buckets`, for which padding every row to its bound costs least.
+
+    A bucket that ends at bin j and begins after bin i costs top[j] * (rows[j] - rows[i]) less the
+    words between. For one j that is a choice among lines in top[j], one for each i, whose slopes
+    -rows[i] fall while top[j] grows: the lower hull of the lines gives each j its i in constant
+    time on average. All numbers are whole, so the program is exact.
+    """
     m = len(hist)
     if not m:
         return []
-    rows = np.concatenate([[0], np.cumsum(hist[:, 0])]).astype(np.float64)
-    words = np.concatenate([[0], np.cumsum(hist[:, 1])]).astype(np.float64)
-    top = hist[:, 2].astype(np.float64)
+    rows, words = ([0, *np.cumsum(hist[:, k]).tolist()] for k in (0, 1))
+    top = hist[:, 2].tolist()
     k = min(buckets, m)
-    best = np.full(m + 1, np.inf)
-    best[0] = 0.0
-    choice = np.zeros((k, m + 1), np.int64)
+    best: list = [0, *[None] * m]
+    choice = np.zeros((k, m + 1), np.int32)
     for b in range(k):
-        nxt = np.full(m + 1, np.inf)
-        nxt[0] = 0.0
+        nxt: list = [0, *[None] * m]
+        hull: list[int] = []
+        height: list[int] = []
+        at = 0
         for j in range(1, m + 1):
-            cost = best[:j] + top[j - 1] * (rows[j] - rows[:j]) - (words[j] - words[:j])
-            i = int(np.argmin(cost))
-            nxt[j], choice[b, j] = cost[i], i
+            if best[j - 1] is not None:
+                i, h = j - 1, best[j - 1] + words[j - 1]
+                # the last line is never alone the lowest if the new one passes it before it passes the one below
+                while len(hull) > 1 and (h - height[-2]) * (rows[hull[-1]] - rows[hull[-2]]) <= (height[-1] - height[-2]) * (rows[i] - rows[hull[-2]]):
+                    hull.pop()
+                    height.pop()
+                hull.append(i)
+                height.append(h)
+                at = min(at, len(hull) - 1)
+            x = top[j - 1]
+            while at + 1 < len(hull) and height[at + 1] - x * rows[hull[at + 1]] < height[at] - x * rows[hull[at]]:
+                at += 1
+            nxt[j] = height[at] - x * rows[hull[at]] + x * rows[j] - words[j]
+            choice[b, j] = hull[at]
         best = nxt
     bounds, j = [], m
     for b in range(k - 1, -1, -1):
         if j == 0:
             break
-        bounds.append(int(top[j - 1]))
+        bounds.append(top[j - 1])
         j = int(choice[b, j])
     return bounds[::-1]
 

@@ -140,6 +140,28 @@ def test_pack(docs):
         assert len(g) == 1 or len(g) * g[0].padded_length <= 64
 
 
+def test_pack_is_optimal_beside_one_long_text(spark):
+    lengths = [1, 2, 2, 3, 5, 5, 8, 9, 9, 9, 14, 20, 9000]
+    frame = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    from itertools import combinations
+
+    best = min(sum(min(b for b in [*c, 9000] if b >= n) - n for n in lengths) for c in combinations(sorted(set(lengths))[:-1], 3))
+    assert sum(r.padding for r in packing.pack(frame, buckets=4).collect()) == best
+
+
+def test_bucket_program_on_many_lengths():
+    rng = np.random.default_rng(5)
+    for m, k in ((1, 3), (2, 2), (7, 4), (60, 1), (120, 6), (300, 12)):
+        top = np.sort(rng.choice(2000, m, replace=False))
+        n = rng.integers(1, 50, m)
+        rows, words = (np.concatenate([[0], np.cumsum(x)]) for x in (n, n * top))
+        best = np.array([0, *[10**15] * m])
+        for _ in range(k):
+            best = np.array([0, *[min(best[i] + top[j - 1] * (rows[j] - rows[i]) - (words[j] - words[i]) for i in range(j)) for j in range(1, m + 1)]])
+        bounds = np.array(packing.choose_buckets(np.stack([n, n * top, top], 1), k))
+        assert len(bounds) <= k and ((bounds[np.searchsorted(bounds, top)] - top) * n).sum() == best[m]
+
+
 def test_fisher_yates_is_a_permutation():
     for n in (0, 1, 2, 50):
         assert sorted(sharding.fisher_yates(n, np.random.default_rng(1)).tolist()) == list(range(n))
