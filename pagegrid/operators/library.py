@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 
 def correction_key(path, page):
-    """Store key of a page's corrections."""
-    return F.concat(F.substring(F.md5(path), 1, 12), F.lit("_page"), F.lpad(page.cast("string"), 4, "0"))
+    """Store key of a page's corrections: page numbers have four digits or more, never cut."""
+    return F.concat(F.substring(F.md5(path), 1, 12), F.lit("_page"), F.when(page.isNotNull(), F.format_string("%04d", page.cast("long"))))
 
 
 def latest_by_page(actions: DataFrame) -> DataFrame:

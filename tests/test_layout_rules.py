@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagegrid.operators import layout as Y
+from pagegrid.operators import library as L
 from pagegrid.operators import masks as M
 from pagegrid.plans.catalog import QUERIES
 from pagegrid.sources import files, views
@@ -139,3 +140,10 @@ def test_pages_are_detected_once(spark, tmp_path):
     jobs.detect_stream(pages, lambda df: df, str(tmp_path / "out"), str(tmp_path / "cp"), "h1").awaitTermination()
     got = [r.page_id for r in spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == list(range(13))
+
+
+def test_correction_keys_of_long_page_numbers(spark):
+    pages = [7, 1234, 12340, 12349, 1234567, None]
+    frame = spark.createDataFrame([(p,) for p in pages], "page long")
+    got = {r.page: r.key for r in frame.select("page", L.correction_key(F.lit("/lib/a.pdf"), F.col("page")).alias("key")).collect()}
+    assert {p: k and k.split("_page")[1] for p, k in got.items()} == {p: None if p is None else f"{p:04d}" for p in pages}
