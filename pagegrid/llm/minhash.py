@@ -63,13 +63,13 @@ def signature(values: np.ndarray, bins: int, order: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches, words: int, bins: int, rows: int, seed: int):
-    """Per document: its set's size and digest, a 64-bit key for each band, and a byte of each bin."""
+    """Per document: its set's size, its digest and a 64-bit key for each band."""
     order, cache = densify_order(bins, seed), {}
     salt = mix(np.arange(1, bins + 1, dtype=U) + U(seed << 32))
     with np.errstate(over="ignore"):
         for batch in batches:
             buf_all, offs_all = bytes_of(batch.column("text"))
-            sizes, d1, d2, keys, low = [], [], [], [], []
+            sizes, d1, d2, keys = [], [], [], []
             for a, b in chunks(offs_all, CHUNK):
                 values, offs = shingle_sets(buf_all[offs_all[a] : offs_all[b]], offs_all[a : b + 1] - offs_all[a], words, cache)
                 for i in range(b - a):
@@ -80,30 +80,37 @@ def signatures(batches, words: int, bins: int, rows: int, seed: int):
                     if len(v):
                         sig = signature(v, bins, order)
                         keys.append(mix(mix(sig ^ salt).reshape(-1, rows).sum(axis=1, dtype=U)).view(np.int64))
-                        low.append((mix(sig) & U(255)).astype(np.uint8).tobytes())
                     else:
                         keys.append(None)
-                        low.append(None)
             yield pa.record_batch(
-                [batch.column("id"), batch.column("rk"), pa.array(sizes, pa.int64()), pa.array(np.array(d1, U).view(np.int64)), pa.array(np.array(d2, U).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                names=["id", "rk", "n", "d1", "d2", "bands", "sig"],
+                [batch.column("id"), batch.column("rk"), pa.array(sizes, pa.int64()), pa.array(np.array(d1, U).view(np.int64)), pa.array(np.array(d2, U).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "rk", "n", "d1", "d2", "bands"],
             )
 
 
-def stray_links(batches, words: int, percent: int, agree: int):
+def shared_with(index: tuple, own: np.ndarray, n: int) -> np.ndarray:
+    """How many values of the set `own` each of n held sets has; index: (values in order, holders)."""
+    values, holders = index
+    first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+    count = last - first
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return np.bincount(holders[at], minlength=n)
+
+
+def stray_links(batches, words: int, percent: int):
     """Links of strays: rows come by (band, block, part), each group's strays (role 0) first.
 
     A group holds a bounded number of strays, and the other members stream past them. A pair is
     compared on full sets unless it has one label, was compared as center and member, shares an
-    earlier band, or its signatures agree in fewer than `agree` bins.
+    earlier band, or one set is too small to be `percent` of their union. The strays' sets are
+    one inverted index, so a member is compared with all of them at once.
     """
     cache: dict = {}
     group, held = None, []
-    ids = labels = sigs = keys = None
+    index = ids = labels = keys = sizes = None
     for batch in batches:
         buf_all, offs_all = bytes_of(batch.column("text"))
         col = {c: ids_of(batch.column(c), 0) for c in ("band", "block", "part", "role", "cid", "label", "center", "minor")}
-        sig = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("sig")]
         key = [np.asarray(x.values) for x in batch.column("bands")]
         u, v = [], []
         for a, b in chunks(offs_all, CHUNK):
@@ -112,25 +119,32 @@ def stray_links(batches, words: int, percent: int, agree: int):
                 own = values[offs[i - a] : offs[i - a + 1]]
                 if (now := (col["band"][i], col["block"][i], col["part"][i])) != group:
                     group, held = now, []
+                    ids = index = None
                 if col["role"][i] == 0:
-                    held.append((col["cid"][i], col["label"][i], sig[i], key[i], own))
-                    ids = None
+                    held.append((col["cid"][i], col["label"][i], key[i], own))
                     continue
                 if ids is None:
                     ids, labels = (np.array([h[k] for h in held]) for k in (0, 1))
-                    sigs, keys = (np.stack([h[k] for h in held]) for k in (2, 3))
+                    keys, sizes = np.stack([h[2] for h in held]), np.array([len(h[3]) for h in held])
                 ok = (labels != col["label"][i]) & (ids != col["center"][i]) & (col["cid"][i] != col["center"][i])
                 if col["minor"][i]:
                     ok &= ids < col["cid"][i]
-                ok &= (sigs == sig[i]).sum(1) >= agree
-                for k in np.flatnonzero(ok):
-                    if key[i][(keys[k] == key[i]).argmax()] != group[0]:
-                        continue
-                    other = held[k][4]
-                    same = int((other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).sum())
-                    if 100 * same >= percent * (len(other) + len(own) - same):
-                        u.append(col["cid"][i])
-                        v.append(ids[k])
+                ok &= 100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))
+                some = np.flatnonzero(ok)
+                if not len(some):
+                    continue
+                equal = keys[some] == key[i]
+                some = some[key[i][equal.argmax(1)] == group[0]]
+                if not len(some):
+                    continue
+                if index is None:
+                    each = np.concatenate([h[3] for h in held])
+                    order = np.argsort(each, kind="stable")
+                    index = each[order], np.repeat(np.arange(len(held), dtype=np.int32), sizes)[order]
+                same = shared_with(index, own, len(held))[some]
+                linked = some[100 * same >= percent * (sizes[some] + len(own) - same)]
+                u.extend([col["cid"][i]] * len(linked))
+                v.extend(ids[linked])
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
@@ -178,7 +192,7 @@ def _verified(edges: DataFrame, texts: DataFrame, words: int, percent: int, part
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: int = 128, rows: int = 4, seed: int = 3, sigmas: float = 4.0, block_rows: int = 256, part_rows: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: int = 128, rows: int = 4, seed: int = 3, block_rows: int = 256, part_rows: int = 4096) -> DataFrame:
     """(doc_id, rk, n_shingles, component_id, kept): components of texts with Jaccard >= percent / 100.
 
     docs needs doc_id and text. A text's set holds the distinct `words`-word shingles of its
@@ -187,13 +201,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
 
     In each bucket the class that shares most buckets with others is the center of a star; every
     other member is compared with it, on full sets. Members that this leaves outside the bucket's
-    largest component are then compared with the members of other components, unless their
-    signatures agree in fewer bins than a pair at the threshold would, less `sigmas` standard
-    deviations. Strays wait in blocks of block_rows while parts of the bucket stream past them;
-    only links leave the task.
+    largest component are then compared with the members of other components, on full sets unless
+    the sets' sizes alone rule out a link. Strays wait in blocks of block_rows while parts of the
+    bucket stream past them; only links leave the task.
 
-    With 32 bands of 4, a pair at 0.75 shares no bucket with a chance of about 5 in a million;
-    4 sigmas miss 3 in 100,000 of the strays' pairs at 0.75, and fewer above.
+    Every linked pair that shares a bucket is found. How often a pair shares none, see README.
 
     rk is xxhash64(doc_id, text). Defined cases: texts that are null or have no words link with
     nothing; rows with a null id have a null component_id and are kept; rows that share an id
@@ -201,13 +213,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
     """
     if bins & (bins - 1) or bins % rows:
         raise ValueError("bins must be a power of two and a multiple of rows")
-    p = percent / 100
-    agree = int(np.floor(bins * p - sigmas * np.sqrt(bins * p * (1 - p))))
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("rk"), "text")
-    sigs = keep(keyed.mapInArrow(lambda it: signatures(it, words, bins, rows, seed), "id long, rk long, n long, d1 long, d2 long, bands array<long>, sig binary"), "minhash-signatures")
+    sigs = keep(keyed.mapInArrow(lambda it: signatures(it, words, bins, rows, seed), "id long, rk long, n long, d1 long, d2 long, bands array<long>"), "minhash-signatures")
     digest = ["n", "d1", "d2"]
     sets = sigs.filter("n > 0 and id is not null")
-    grouped = sets.groupBy(*digest).agg(F.min(F.struct("id", "rk")).alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    grouped = sets.groupBy(*digest).agg(F.min(F.struct("id", "rk")).alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
     classes = keep(grouped.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
     banded = classes.select("cid", F.explode(F.array_distinct("bands")).alias("band"))
     sizes = keep(banded.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").withColumn("w", F.col("m")), "minhash-sizes")
@@ -234,9 +244,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
     passing = rows_of.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
     columns = ["band", "block", "part", "role", "cid", "label", "center", "minor"]
     dealt = keep(strays.select(*columns).unionByName(passing.select(*columns)), "minhash-strays")
-    dealt = dealt.join(classes.select("cid", "bands", "sig"), "cid").join(texts.withColumnRenamed("id", "cid"), "cid")
+    dealt = dealt.join(classes.select("cid", "bands"), "cid").join(texts.withColumnRenamed("id", "cid"), "cid")
     dealt = dealt.repartition(partitions(docs.sparkSession), "band", "block", "part").sortWithinPartitions("band", "block", "part", "role", "cid")
-    new = keep(dealt.mapInArrow(lambda it: stray_links(it, words, percent, agree), "u long, v long"), "minhash-links")
+    new = keep(dealt.mapInArrow(lambda it: stray_links(it, words, percent), "u long, v long"), "minhash-links")
     links = links.unionByName(new)
     if new.take(1):
         parts = keep(connected_components(links), "minhash-parts")

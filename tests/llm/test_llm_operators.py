@@ -187,6 +187,22 @@ def test_minhash(docs):
     assert by[None].component_id is None and by[None].kept
 
 
+def test_strays_link_whatever_their_signatures():
+    import pyarrow as pa
+
+    # strays 1-3 and members 11-14 of one bucket; center 99 is elsewhere. Signatures that agree nowhere lose no link.
+    text = {1: "a b c d e f g h", 2: "a b c d e f g", 3: "q r s t u v", 11: "a b c d e f g h i", 12: "a b c", 13: "q r s t u v w x y z", 14: "a b c d e f g z"}
+    rows = [(7, 0, 0, int(i > 9), i, i, 99, int(i < 9), t) for i, t in text.items() if i < 9] + [(7, 0, 0, 1, i, i, 99, int(i < 9), t) for i, t in text.items()]
+    names = ["band", "block", "part", "role", "cid", "label", "center", "minor"]
+    cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(8)]
+    sig = pa.array([bytes([r[4]] * 128) for r in rows], pa.binary())
+    batch = pa.record_batch([*cols, pa.array([r[8] for r in rows]), pa.array([[7, r[4]] for r in rows], pa.list_(pa.int64())), sig], names=[*names, "text", "bands", "sig"])
+    sets = {i: set(t.split()) for i, t in text.items()}
+    want = {(max(a, b), min(a, b)) for a in (1, 2, 3) for b in sets if a != b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    got = [x for out in minhash.stray_links(iter([batch]), 1, 75) for x in zip(out["u"].to_pylist(), out["v"].to_pylist(), strict=True)]
+    assert len(got) == len(want) == len(set(got)) and set(got) == want and (11, 1) in want
+
+
 def test_components_both_ways(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
