@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from functools import reduce
 
@@ -18,6 +16,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a missing id where ids are compared: below every real id.
 NO_ID = -(2**63)
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,13 +41,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def keep(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Nothing reads the shuffles of a finished write again, so Spark may delete their files at its end.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagegrid_path = path  # type: ignore[attr-defined]
     return out
@@ -66,14 +73,6 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished, unreferenced plans."""
-    for _ in range(2):  # the first round lets go of what Python held in the JVM
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -88,6 +87,26 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def content_key(df: DataFrame) -> Column:
+    """A digest of a whole row but for its maps, which Spark can't hash."""
+    return F.xxhash64(*[F.col(quoted(f.name)) for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(df: DataFrame, **named: Column) -> DataFrame:
+    """df's columns as one struct `_row` beside the named ones, so that no name can clash."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in named.items()])
+
+
+def unboxed(df: DataFrame, columns: list[str], **named: Column) -> DataFrame:
+    """The columns kept by boxed(), those of `named` replaced (in place) or added after them."""
+    kept = [named[c].alias(c) if c in named else F.col(f"_row.{quoted(c)}").alias(c) for c in columns]
+    return df.select(*kept, *[c.alias(n) for n, c in named.items() if n not in columns])
+
+
 def key_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
@@ -96,21 +115,18 @@ def skewed_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: st
     """Join rows to a keyed table when a few keys may hold a large share of the rows.
 
     table has one row per key and in column `weight` how many rows hold that key. Keys with at
-    least 1/hot of all rows number at most `hot`: they are broadcast. The others take the
-    shuffled join. keys must not be null in rows that should match. how: inner or left.
+    least 1/hot of all rows number at most `hot`: their rows take a broadcast join and all others
+    the shuffled one, so no row passes both. keys must not be null in rows that should match.
+    how: inner or left.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
     least = max(int(total) // hot, 1)
     hot_keys = table.filter(F.col(weight) > least).drop(weight)
     if not hot_keys.take(1):
         return rows.join(table.drop(weight), keys, how)
-    few = F.broadcast(hot_keys.withColumn("_hot", F.lit(True)))
-    tagged = rows.join(few, keys, "left")
-    payload = [c for c in table.columns if c not in keys and c != weight]
-    near = tagged.filter(F.col("_hot").isNotNull()).drop("_hot")
-    far = tagged.filter(F.col("_hot").isNull()).drop("_hot", *payload)
-    cold = table.filter(F.col(weight) <= least).drop(weight)
-    return near.unionByName(far.join(cold, keys, how))
+    near = rows.join(F.broadcast(hot_keys), keys)
+    far = rows.join(F.broadcast(hot_keys.select(*keys)), keys, "left_anti")
+    return near.unionByName(far.join(table.filter(F.col(weight) <= least).drop(weight), keys, how))
 
 
 def small_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", most: int = 20_000) -> DataFrame:

@@ -192,7 +192,7 @@ def _verified(edges: DataFrame, texts: DataFrame, words: int, percent: int, part
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: int = 128, rows: int = 4, seed: int = 3, block_rows: int = 256, part_rows: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: int = 128, rows: int = 4, seed: int = 3, block_shingles: int = 1 << 20, part_rows: int = 4096) -> DataFrame:
     """(doc_id, rk, n_shingles, component_id, kept): components of texts with Jaccard >= percent / 100.
 
     docs needs doc_id and text. A text's set holds the distinct `words`-word shingles of its
@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
     In each bucket the class that shares most buckets with others is the center of a star; every
     other member is compared with it, on full sets. Members that this leaves outside the bucket's
     largest component are then compared with the members of other components, on full sets unless
-    the sets' sizes alone rule out a link. Strays wait in blocks of block_rows while parts of the
-    bucket stream past them; only links leave the task.
+    the sets' sizes alone rule out a link. Strays wait in blocks of about block_shingles shingles while
+    parts of the bucket stream past them; only links leave the task.
 
     Every linked pair that shares a bucket is found. How often a pair shares none, see README.
 
@@ -219,12 +219,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
     sets = sigs.filter("n > 0 and id is not null")
     grouped = sets.groupBy(*digest).agg(F.min(F.struct("id", "rk")).alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
     classes = keep(grouped.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
-    banded = classes.select("cid", F.explode(F.array_distinct("bands")).alias("band"))
+    banded = classes.select("cid", "n", F.explode(F.array_distinct("bands")).alias("band"))
     sizes = keep(banded.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").withColumn("w", F.col("m")), "minhash-sizes")
     shared = keep(skewed_lookup(banded, sizes, ["band"], "w"), "minhash-shared")
     known = shared.join(shared.groupBy("cid").agg(F.sum("m").alias("fame")), "cid")
     centers = keep(known.groupBy("band").agg(F.max(F.struct("fame", (-F.col("cid")).alias("c"))).alias("x"), F.count("*").alias("w")).select("band", (-F.col("x.c")).alias("center"), "w"), "minhash-bands")
-    buckets = keep(skewed_lookup(shared.select("band", "cid"), centers, ["band"], "w"), "minhash-buckets")
+    buckets = keep(skewed_lookup(shared.select("band", "cid", "n"), centers, ["band"], "w"), "minhash-buckets")
     wanted = classes.join(buckets.select("cid").distinct(), "cid").select("rep.id", "rep.rk", "cid")
     texts = keep(keyed.join(wanted, ["id", "rk"]).select(F.col("cid").alias("id"), "text"), "minhash-texts")
     drop(sizes, shared)
@@ -232,16 +232,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
     starred = _verified(buckets.filter("cid <> center").select(F.col("cid").alias("id"), "center").distinct(), texts, words, percent)
     links = starred.filter("linked").select(F.col("id").alias("u"), F.col("center").alias("v"))
     parts = keep(connected_components(links), "minhash-parts")
-    labelled = keep(buckets.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("band", "center", "cid", F.coalesce("component", "cid").alias("label")), "minhash-labelled")
-    tally = labelled.groupBy("band", "label").agg(F.count("*").alias("c"))
-    mixed = tally.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("w")).filter("labels > 1 and w > 2")
-    blocks = F.ceil((F.col("w") - F.col("x.c")) / block_rows).cast("int")
+    labelled = keep(buckets.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("band", "center", "cid", "n", F.coalesce("component", "cid").alias("label")), "minhash-labelled")
+    tally = labelled.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
+    mixed = tally.groupBy("band").agg(
+        F.count("*").alias("labels"), F.max(F.struct("c", "label", "shingles")).alias("x"), F.sum("c").alias("w"), F.sum("shingles").alias("all")
+    ).filter("labels > 1 and w > 2")
+    blocks = F.greatest(F.ceil((F.col("all") - F.col("x.shingles")) / block_shingles), F.lit(1)).cast("int")
     parts_of = F.ceil(F.col("w") / part_rows).cast("int")
     mixed = keep(mixed.select("band", F.col("x.label").alias("main"), blocks.alias("blocks"), parts_of.alias("parts"), "w"), "minhash-mixed")
     rows_of = skewed_lookup(labelled, mixed, ["band"], "w").withColumn("minor", (F.col("label") != F.col("main")).cast("long"))
-    turn = F.row_number().over(Window.partitionBy("band").orderBy("cid")) - 1
-    strays = rows_of.filter("minor = 1").withColumn("block", F.floor(turn / block_rows).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(0))
-    passing = rows_of.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    before = Window.partitionBy("band").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block_shingles).cast("int")
+    strays = rows_of.filter("minor = 1").withColumn("block", block).withColumn("role", F.lit(0))
+    strays = strays.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    passing = rows_of.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("role", F.lit(1))
+    passing = passing.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["band", "block", "part", "role", "cid", "label", "center", "minor"]
     dealt = keep(strays.select(*columns).unionByName(passing.select(*columns)), "minhash-strays")
     dealt = dealt.join(classes.select("cid", "bands"), "cid").join(texts.withColumnRenamed("id", "cid"), "cid")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, keep, row_key, small_join
+from .common import WORD, boxed, content_key, keep, small_join, unboxed
 
 
 def word_count(text):
@@ -76,7 +76,7 @@ def mix_plan(docs: DataFrame, block_words: int = 64, shard_words: int = 1 << 19,
     Defined cases: a null text has size 0 and is never taken; a null source is a source of its
     own, the last one; repeated rows are taken each for itself; an empty table gives no rows.
     """
-    sized = keep(docs.select("doc_id", row_key("doc_id", "text", "source").alias("rk"), "source", word_count("text").alias("size")), "mix-sizes")
+    sized = keep(docs.select("doc_id", content_key(docs).alias("rk"), "source", word_count("text").alias("size")), "mix-sizes")
     targets = keep(source_targets(sized, weights, max_epochs), "mix-targets")
     rows = small_join(sized, targets, ["source"])
     # empty texts have no words but are rows of a window all the same
@@ -125,20 +125,22 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
 
     Whole copies keep their text; a partial copy holds the words of its chosen blocks, joined by
     single spaces. n_chars, if docs has it, is set anew. Documents that the mix takes nothing of
-    have no row. Rows that agree in doc_id, text and source count once for each row.
+    have no row. Equal rows (maps aside) count once for each row, and other columns may have any name.
     """
     plan = mix_plan(docs, **params).filter("taken > 0")
     whole = F.array_repeat(F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))), F.col("epochs"))
     cast = F.transform("pieces", lambda p: F.struct(p["start"].cast("long").alias("start"), p["end"].cast("long").alias("end")))
     copies = F.when(F.col("pieces").isNotNull(), F.concat(whole, F.array(cast))).otherwise(whole)
-    takes = plan.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), copies.alias("copies")).groupBy("_id", "_rk").agg(F.flatten(F.collect_list("copies")).alias("copies"))
-    keyed = docs.withColumn("_rk", row_key("doc_id", "text", "source")).dropDuplicates(["doc_id", "_rk"])
-    out = keyed.join(takes.withColumnRenamed("_rk", "_rk2"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_rk") == F.col("_rk2")))
-    out = out.withColumn("copy", F.explode("copies"))
+    takes = plan.select("doc_id", "rk", copies.alias("copies")).groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("copies")).alias("copies"))
+    keyed = boxed(docs, id2=F.col("doc_id"), rk2=content_key(docs), text=F.col("text")).dropDuplicates(["id2", "rk2"])
+    out = keyed.join(takes, F.col("id2").eqNullSafe(F.col("doc_id")) & (F.col("rk2") == F.col("rk")))
+    # a Generate of one row: the text is split here, once, and not again for each of its pieces
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.flatten(F.transform("copy", lambda p: F.slice(F.col("_words"), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), " ")
-    partial = F.element_at("copy", 1)["start"] >= 0
-    out = out.withColumn("_words", F.when(partial, words)).withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
+    some = F.exists("copies", lambda c: F.element_at(c, 1)["start"] >= 0)
+    out = out.withColumn("words", F.explode(F.array(F.when(some, words)))).withColumn("copy", F.explode("copies"))
+    cut = F.flatten(F.transform("copy", lambda p: F.slice(F.col("words"), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int"))))
+    out = out.withColumn("text", F.when(F.element_at("copy", 1)["start"] >= 0, F.array_join(cut, " ")).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.char_length("text").cast("long")
+    return unboxed(out, docs.columns, **new)

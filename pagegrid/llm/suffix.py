@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep, partitions, release, row_key
+from .common import drop, keep, partitions, row_key
 from .kernels import Rolling, U, bytes_of, chunks, ids_of
 
 CHUNK = 2 << 20
@@ -277,8 +277,6 @@ def erase_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     blocks = keyed.mapInArrow(lambda it: shipped_runs(it, length, gram, buckets), "bucket int, docs binary, runs binary")
     settled = blocks.groupBy("bucket").applyInArrow(settle_runs, "id long, rk long, lo int, n int, h long, look boolean")
     runs = keep(settled, "suffix-runs")
-    del blocks, settled
-    release(spark)
 
     asked = runs.filter("look").groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "n", "h")).alias("asked"))
     by_id = keyed.withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
@@ -286,8 +284,6 @@ def erase_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     windows = contexts.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).applyInArrow(lambda t: radix_windows(t, length), "id long, rk long, lo int, n int")
     marked = keep(windows.unionByName(runs.filter("not look").select("id", "rk", "lo", "n")), "suffix-marks")
     drop(runs)
-    del asked, contexts, windows
-    release(spark)
 
     marks = marked.groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
     joined = by_id.join(marks, ["id", "rk"], "left").select("doc_id", "text", "marks")
