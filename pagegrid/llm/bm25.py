@@ -6,17 +6,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, positions
+from .common import boxed, drop, keep, quoted
 from .kernels import Rolling, bytes_of, ids_of, lower_table, spans
 
-SEGMENT = 12 << 20
+#: A segment is closed at this many bytes of text or this many documents.
+SEGMENT, SEGMENT_DOCS = 12 << 20, 1 << 16
 #: Documents whose postings of a term share one upper bound.
 BLOCK = 64
 ROUND = 6
+INDEX = "part int, seq int, terms binary, starts binary, docs binary, counts binary, ids binary, lengths binary"
 
 
 def term_gap() -> np.ndarray:
@@ -41,7 +44,8 @@ def index_segments(batches, text_col: str):
     """Inverted segments: per term its documents and counts; lengths and ids of the documents."""
     cache: dict = {}
     term, doc, tf, ids, lengths = [], [], [], [], []
-    size = base = 0
+    size = base = seq = 0
+    part = TaskContext.get().partitionId()
 
     def segment():
         t, d, c = np.concatenate(term), np.concatenate(doc), np.concatenate(tf)
@@ -49,7 +53,8 @@ def index_segments(batches, text_col: str):
         t, d, c = t[order], d[order], c[order]
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
         cols = [t[first], np.append(first, len(t)).astype(np.int64), d.astype(np.int32), c.astype(np.int32), np.concatenate(ids), np.concatenate(lengths)]
-        return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in cols], names=["terms", "starts", "docs", "counts", "ids", "lengths"])
+        where = [pa.array([part], pa.int32()), pa.array([seq], pa.int32())]
+        return pa.record_batch([*where, *[pa.array([x.tobytes()], pa.binary()) for x in cols]], names=["part", "seq", "terms", "starts", "docs", "counts", "ids", "lengths"])
 
     for batch in batches:
         buf_all, offs_all = bytes_of(batch.column(text_col))
@@ -57,7 +62,7 @@ def index_segments(batches, text_col: str):
         a = 0
         while a < batch.num_rows:
             b = max(a + 1, int(np.searchsorted(offs_all, offs_all[a] + (2 << 20), "right")) - 1)
-            b = min(b, batch.num_rows)
+            b = min(b, batch.num_rows, a + SEGMENT_DOCS)
             buf, offs = buf_all[offs_all[a] : offs_all[b]], offs_all[a : b + 1] - offs_all[a]
             t, row = terms_of(buf, offs, cache)
             lengths.append(np.bincount(row, minlength=b - a).astype(np.int64) if len(row) else np.zeros(b - a, np.int64))
@@ -71,8 +76,9 @@ def index_segments(batches, text_col: str):
             base += b - a
             size += len(buf)
             a = b
-            if size >= SEGMENT:
+            if size >= SEGMENT or base >= SEGMENT_DOCS:
                 yield segment()
+                seq += 1
                 term, doc, tf, ids, lengths = [], [], [], [], []
                 size = base = 0
     if base:
@@ -101,90 +107,92 @@ def query_terms(batches, text_col: str):
 
 
 class Segment:
-    """One segment with impacts; frequent terms as rows over all documents, with block maxima.
+    """One segment: each term's postings in blocks of documents, each block with its largest impact."""
 
-    A term is frequent if it is in one of `often` documents or more. Such lists are long and add
-    little, and they are what pruning is about: each block of documents keeps the largest impact
-    of each of them.
-    """
-
-    def __init__(self, row: dict, k1: float, b: float, mean_length: float, often: int = 12):
+    def __init__(self, row: dict, k1: float, b: float, mean_length: float):
         get = lambda c, t: np.frombuffer(row[c].as_buffer(), t)
-        self.terms, self.starts, self.ids, lengths = get("terms", np.int64), get("starts", np.int64), get("ids", np.int64), get("lengths", np.int64)
-        self.docs, tf = get("docs", np.int32), get("counts", np.int32).astype(np.float64)
-        norm = k1 * (1 - b + b * lengths / mean_length)
-        self.impact = tf * (k1 + 1) / (tf + norm[self.docs])
-        self.n = len(self.ids)
-        self.counts = np.diff(self.starts)
-        frequent = np.flatnonzero(self.counts * often >= max(self.n, often * BLOCK))
-        self.row = np.full(len(self.terms), -1)
-        self.row[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), self.n))
-        for r, t in enumerate(frequent):
-            at = slice(self.starts[t], self.starts[t + 1])
-            self.dense[r, self.docs[at]] = self.impact[at]
-        self.block_max = np.maximum.reduceat(self.dense, np.arange(0, self.n, BLOCK), axis=1) if self.dense.size else np.zeros((len(frequent), -(-self.n // BLOCK)))
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (rows here) and scores: all that can be among the k best and reach `least`."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(self.terms):
-            return none
+        self.terms, starts, self.ids, lengths = get("terms", np.int64), get("starts", np.int64), get("ids", np.int64), get("lengths", np.int64)
+        self.docs, self.tf, self.k1 = get("docs", np.int32), get("counts", np.int32), k1
+        self.norm = k1 * (1 - b + b * lengths / max(mean_length, 1e-9))
+        self.blocks = -(-len(self.ids) // BLOCK)
+        owner = np.repeat(np.arange(len(self.terms)), np.diff(starts))
+        code = owner * self.blocks + self.docs // BLOCK
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+        self.posting = np.append(first, len(code)).astype(np.int32)
+        self.block = (self.docs[first] // BLOCK).astype(np.int32)
+        top = np.maximum.reduceat(self.impact(slice(None)), first) if len(first) else np.zeros(0)
+        self.top = np.nextafter(top.astype(np.float32), np.float32(np.inf))
+        self.entry = np.searchsorted(first, starts).astype(np.int32)
+
+    def impact(self, at) -> np.ndarray:
+        tf = self.tf[at].astype(np.float64)
+        return tf * (self.k1 + 1) / (tf + self.norm[self.docs[at]])
+
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of (ids, scores) and this segment's documents, best first.
+
+        The bound of a block is the sum of its terms' block maxima. Pivots, the blocks whose bound
+        reaches the k-th best score so far, are scored in order of their bounds, more at a time as
+        the threshold settles; the first bound below it ends the search, and the postings of all
+        blocks beyond are skipped unread.
+        """
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         hit = self.terms[at] == terms
         t, w = at[hit], idf[hit]
-        if not len(t):
-            return none
+        count = self.entry[t + 1] - self.entry[t]
+        entry = ranges(self.entry[t], count)
+        weight, block = np.repeat(w, count), self.block[entry]
+        bound = np.bincount(block, weights=self.top[entry] * weight, minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
         slack = 10.0**-ROUND
-        rare = self.row[t] < 0
-        count = self.counts[t[rare]]
-        post = ranges(self.starts[t[rare]], count)
-        score = np.bincount(self.docs[post], weights=self.impact[post] * np.repeat(w[rare], count), minlength=self.n)
-        rows, weight = self.row[t[~rare]], w[~rare]
-        # the k-th best sum so far can only grow: it is a threshold already
-        if self.n > k:
-            least = max(least, np.partition(score, self.n - k)[self.n - k])
-        # block-max: what the frequent terms can add at most in each block
-        bound = score + np.repeat(weight @ self.block_max[rows], BLOCK)[: self.n]
-        docs = np.flatnonzero((bound >= least - slack) & (bound > 0))
-        score = score[docs]
-        if len(rows) and len(docs):
-            score = score + weight @ self.dense[np.ix_(rows, docs)]
-        return docs, np.round(score, ROUND)
-
-
-def search_pairs(batches, k: int, k1: float, b: float):
-    """One shard and one block of queries: first its query rows, then the shard's segments."""
-    queries: list[tuple] = []
-    best: list[tuple] = []
+        done, step = 0, 4
+        while done < len(order):
+            least = scores[-1] if len(scores) >= k else 0.0
+            pivots = order[done : done + step]
+            pivots = pivots[(bound[pivots] >= least - slack) & (bound[pivots] > 0)]
+            if not len(pivots):
+                break
+            slot = np.full(self.blocks, -1)
+            slot[pivots] = np.arange(len(pivots))
+            mine = np.flatnonzero(slot[block] >= 0)
+            start = self.posting[entry[mine]]
+            size = self.posting[entry[mine] + 1] - start
+            post = ranges(start, size)
+            d = self.docs[post]
+            got = np.bincount(slot[d // BLOCK] * BLOCK + d % BLOCK, weights=self.impact(post) * np.repeat(weight[mine], size), minlength=len(pivots) * BLOCK)
+            got = np.round(got, ROUND)
+            new = np.flatnonzero(got >= max(least, slack))
+            if len(new):
+                ids, scores = np.append(ids, self.ids[pivots[new // BLOCK] * BLOCK + new % BLOCK]), np.append(scores, got[new])
+                o = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[o], scores[o]
+            done, step = done + step, step * 2
+        return ids, scores
+
+
+def search_shard(batches, k: int, k1: float, b: float, mean: float):
+    """One shard: first its segments, which stay, then all queries, which pass by."""
+    segments: list[Segment] = []
     for batch in batches:
+        out: list[tuple] = []
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
             if row["kind"].as_py() == 0:
-                terms = np.frombuffer(row["terms"].as_buffer(), np.int64)
-                order = np.argsort(terms)
-                queries.append((row["qrow"].as_py(), terms[order], np.frombuffer(row["idf"].as_buffer(), np.float64)[order], row["mean"].as_py()))
-                best.append((np.zeros(0, np.int64), np.zeros(0)))
-                continue
-            if not queries:
+                segment = Segment(row, k1, b, mean)
+                if len(segment.terms):
+                    segments.append(segment)
                 continue
-            segment = Segment(row, k1, b, queries[0][3])
-            for q, (_, terms, idf, _) in enumerate(queries):
-                ids, scores = best[q]
-                docs, got = segment.search(terms, idf, k, scores[-1] if len(scores) >= k else 0.0)
-                if len(docs):
-                    ids, scores = np.concatenate([ids, segment.ids[docs]]), np.concatenate([scores, got])
-                    o = np.lexsort((ids, -scores))[:k]
-                    best[q] = ids[o], scores[o]
-    rows = [len(x[0]) for x in best]
-    if sum(rows):
-        yield pa.record_batch(
-            [pa.array(np.repeat([q[0] for q in queries], rows).astype(np.int64)), pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]))],
-            names=["qrow", "doc_id", "score"],
-        )
-
-
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shards: int = 12, shard_bytes: int = 256 << 20, block_queries: int = 4096, text_col: str = "text") -> DataFrame:
+            terms, idf = np.frombuffer(row["terms"].as_buffer(), np.int64), np.frombuffer(row["idf"].as_buffer(), np.float64)
+            ids, scores = np.zeros(0, np.int64), np.zeros(0)
+            for segment in segments:
+                ids, scores = segment.search(terms, idf, k, ids, scores)
+            if len(ids):
+                out.append((np.full(len(ids), row["qrow"].as_py()), ids, scores))
+        if out:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["qrow", "doc_id", "score"])
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shards: int = 12, shard_bytes: int = 96 << 20, text_col: str = "text") -> DataFrame:
     """The k best documents for each query: the columns of queries but its text, rank, doc_id, score.
 
     docs has doc_id and text, queries any columns and a text; whole texts are indexed and asked.
@@ -193,42 +201,42 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     all rows of docs, rounded to 6 digits; ties go to the smaller doc_id. The result is exact:
     bounds only leave out what cannot reach the k-th best score.
 
-    The index is written to the shared folder as segments. Queries form blocks, and each task
-    takes one shard of segments and one block. A shard answers with its k best for each query.
+    The index is written to the shared folder as segments. A task holds one shard of about
+    shard_bytes of text and all queries stream past it, so the index is read once whatever the
+    number of queries, and each shard reads the queries' terms once. A shard answers with its k
+    best for each query.
 
     Defined cases: null and empty texts have no terms, count as rows and answer nothing; documents
     with a null id or score 0 are never answers; rows that share an id answer each for itself; a
-    query without answers has no rows; empty tables give no rows.
+    query without answers has no rows; a long text is a segment of its own; empty tables give no
+    rows. A doc_id of queries is returned as query_id; columns of queries named query_id, rank or
+    score are replaced, other columns of both tables may have any name.
     """
-    segments = keep(docs.select("doc_id", text_col).filter("doc_id is not null").mapInArrow(lambda it: index_segments(it, text_col), "terms binary, starts binary, docs binary, counts binary, ids binary, lengths binary"), "bm25-index", codec="zstd")
-    n = docs.count()
-    asked = keep(queries.withColumn("qrow", F.monotonically_increasing_id()), "bm25-queries")
-    pairs = keep(asked.select("qrow", text_col).mapInArrow(lambda it: query_terms(it, text_col), "qrow long, term long"), "bm25-query-terms")
-    df = segments.select("terms", "starts").mapInArrow(document_frequencies, "term long, df long")
-    df = df.groupBy("term").agg(F.sum("df").alias("df"))
-    sizes = segments.select("lengths").mapInArrow(_sum_lengths, "total long")
-    mean = ((sizes.agg(F.sum("total")).first()[0] or 0) / n) if n else 0.0
+    named = [c for c in queries.columns if c not in (text_col, "rank", "score", "query_id")]
+    docs = docs.select("doc_id", F.col(quoted(text_col)).alias("text"))
+    segments = keep(docs.filter("doc_id is not null").mapInArrow(lambda it: index_segments(it, "text"), INDEX), "bm25-index", codec="zstd")
+    sizes = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    n, shards = sizes["n"], max(shards, -(-(sizes["bytes"] or 0) // shard_bytes))
+    asked = keep(boxed(queries, text=F.col(quoted(text_col)), qrow=F.monotonically_increasing_id()), "bm25-queries")
+    pairs = asked.select("qrow", "text").mapInArrow(lambda it: query_terms(it, "text"), "qrow long, term long")
+    df = segments.select("terms", "starts").mapInArrow(document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    mean = ((segments.select("lengths").mapInArrow(_sum_lengths, "total long").agg(F.sum("total")).first()[0] or 0) / n) if n else 0.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = pairs.join(df, "term").select("qrow", F.struct("term", idf.alias("idf")).alias("x"))
-    packed = weighted.groupBy("qrow").agg(F.collect_list("x").alias("x")).mapInArrow(partial(_pack_queries, mean=mean), "qrow long, terms binary, idf binary, mean double")
-    placed = positions(packed, [F.col("qrow")], "bm25-blocks").withColumn("block", F.floor(F.col("_pos") / block_queries).cast("int"))
-    blocks = -(-placed.count() // block_queries)
-    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    shards = max(shards, -(-total // shard_bytes))
-    if not blocks:
-        blocks = 1
-    numbered = segments.withColumn("_s", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    left = numbered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", F.lit(1).alias("kind"), F.col("_s").alias("qrow"), "terms", F.lit(None).cast("binary").alias("idf"), F.lit(None).cast("double").alias("mean"), "starts", "docs", "counts", "ids", "lengths")
-    blank = [F.lit(None).cast("binary").alias(c) for c in ("starts", "docs", "counts", "ids", "lengths")]
-    right = placed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "block", F.lit(0).alias("kind"), "qrow", "terms", "idf", "mean", *blank)
-    both = left.unionByName(right).repartitionById(shards * blocks, F.col("shard") * blocks + F.col("block")).sortWithinPartitions("kind", "qrow")
-    top = both.mapInArrow(partial(search_pairs, k=k, k1=k1, b=b), "qrow long, doc_id long, score double").filter("score > 0")
+    packed = keep(weighted.groupBy("qrow").agg(F.collect_list("x").alias("x")).mapInArrow(_pack_queries, "qrow long, terms binary, idf binary"), "bm25-query-terms")
+
+    blank = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    stride = F.lit((segments.agg(F.max("seq")).first()[0] or 0) + 1)
+    held = segments.select(F.pmod(F.col("part") * stride + F.col("seq"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("qrow"), "terms", *blank("idf"), "starts", "docs", "counts", "ids", "lengths")
+    asking = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asking = asking.select("shard", F.lit(1).alias("kind"), "qrow", "terms", "idf", *blank("starts", "docs", "counts", "ids", "lengths"))
+    both = held.unionByName(asking).repartitionById(shards, F.col("shard")).sortWithinPartitions("kind")
+    top = both.mapInArrow(partial(search_shard, k=k, k1=k1, b=b, mean=mean), "qrow long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc("score"), "doc_id"))
-    best = top.withColumn("rank", rank).filter(F.col("rank") <= k)
-    named = asked.drop(text_col)
-    if "doc_id" in named.columns:
-        named = named.withColumnRenamed("doc_id", "query_id")
-    return named.join(best, "qrow").drop("qrow")
+    best = keep(top.withColumn("rank", rank).filter(F.col("rank") <= k), "bm25-best")
+    drop(segments, packed)
+    columns = [F.col(f"_row.{quoted(c)}").alias("query_id" if c == "doc_id" else c) for c in named]
+    return asked.join(best, "qrow").select(*columns, "rank", "doc_id", "score")
 
 
 def _sum_lengths(batches):
@@ -236,11 +244,11 @@ def _sum_lengths(batches):
         yield pa.record_batch([pa.array([int(np.frombuffer(x.as_buffer(), np.int64).sum()) for x in batch.column("lengths")], pa.int64())], names=["total"])
 
 
-def _pack_queries(batches, mean: float):
+def _pack_queries(batches):
     for batch in batches:
         terms, idf = [], []
         for x in batch.column("x"):
             v = x.values
             terms.append(np.asarray(v.field("term"), np.int64).tobytes())
             idf.append(np.asarray(v.field("idf"), np.float64).tobytes())
-        yield pa.record_batch([batch.column("qrow"), pa.array(terms, pa.binary()), pa.array(idf, pa.binary()), pa.array([mean] * batch.num_rows, pa.float64())], names=["qrow", "terms", "idf", "mean"])
+        yield pa.record_batch([batch.column("qrow"), pa.array(terms, pa.binary()), pa.array(idf, pa.binary())], names=["qrow", "terms", "idf"])

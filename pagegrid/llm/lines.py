@@ -1,46 +1,46 @@
 """Line dedup with levelled sorted runs of line hashes. DataFrame functions only.
 
-Documents arrive in batches. The hashes of a batch's lines are merge-joined with all earlier
-runs (a line is fresh where no run holds it), and the batch adds a run of its own, sorted by
-hash. When a level holds `fanout` runs they are merged into one run of the next level, so a hash
-is rewritten once per level. Run rows hold a 128-bit line hash, in how many documents the line
-was found, and the largest id among them; rows of one hash in several runs add up.
+Documents arrive in batches, those with the largest ids first. The hashes of a batch's lines are
+merge-anti-joined with the runs so far: a hash that no run holds is fresh, and as all later ids
+are smaller, the largest id of the batch that has it is its keeper for good. A hash that was met
+before only brings its count. Each batch adds a run of its own, sorted by hash; when a level holds
+`fanout` runs they are merged into one run of the next level, so a hash is rewritten once a level.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, NO_ID, ascii_lower, drop, keep, row_key, skewed_lookup
+from .common import BLANKS, NO_ID, ascii_lower, boxed, content_key, drop, keep, skewed_lookup, unboxed
 
 HASH = ["h1", "h2"]
 
 
 class LineRuns:
-    """The runs of one corpus, in the shared folder."""
+    """The runs of one corpus in the shared folder: (h1, h2, docs, keeper), keeper null unless fresh."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
 
+    def _all(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        if len(runs) == 1:
-            return out
-        return out.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh"))
+        """Rows of one hash in several runs add up; one of them at most names the keeper."""
+        every = reduce(DataFrame.unionByName, runs)
+        return every if len(runs) == 1 else every.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """batch: (h1, h2, id), one row for each line of a document or more. Returns its run."""
+        """batch: (h1, h2, id), ids below those of all batches before. Returns its run."""
         found = batch.distinct().groupBy(*HASH).agg(F.count("*").alias("docs"), F.max("id").alias("keeper"))
-        older = [r for level in self.levels for r in level]
-        if older:
-            seen = self._merged(older).select(*HASH, F.lit(True).alias("seen"))
-            found = found.join(seen, HASH, "left").withColumn("fresh", F.col("seen").isNull()).drop("seen")
-        else:
-            found = found.withColumn("fresh", F.lit(True))
+        if older := self._all():
+            # the anti-join and its complement in one pass: who finds a partner is not fresh
+            known = self._merged(older).select(*HASH, F.lit(True).alias("known"))
+            found = found.join(known, HASH, "left").select(*HASH, "docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
         run = keep(found.sortWithinPartitions(*HASH), "line-run")
         self._push(0, run)
         return run
@@ -56,7 +56,10 @@ class LineRuns:
 
     def totals(self) -> DataFrame:
         """One row per line hash: docs and keeper over all batches."""
-        return self._merged([r for level in self.levels for r in level]).select(*HASH, "docs", "keeper")
+        return self._merged(self._all())
+
+    def remove(self) -> None:
+        drop(*self._all())
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -64,7 +67,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
     lowered = F.transform(trimmed, lambda x: F.when(F.char_length(x) >= min_chars, ascii_lower(x)))
     pairs = F.transform(lowered, lambda x: F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"))))
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), row_key("doc_id", "text").alias("rk"), pairs.alias("hashes"))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), content_key(docs).alias("rk"), pairs.alias("hashes"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -74,31 +77,37 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     lower-cased. Keys of at least min_chars code points that are in at least min_docs documents
     lose all their lines but those of the largest doc_id. Returns the columns of docs, with text
     replaced by the lines that stay (joined by newline), and n_lines, n_dropped, kept_text (the
-    same as text, but never null).
+    same as text, but never null). The result does not depend on batches, which are cut at about
+    equal shares of the rows.
 
     Defined cases: a null or empty text is one empty line, and a null text stays null. Rows
     with one doc_id count as one document, and rows with a null doc_id together as one document
-    below all others. Input columns named n_lines, n_dropped or kept_text are replaced. An empty
-    table gives an empty result.
+    below all others. Repeated rows each get their row. Long texts and lines are hashed whole.
+    Input columns named n_lines, n_dropped or kept_text are replaced; others may have any name. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
-    hashed = keep(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "line-hashes", ["batch"])
+    shares = [k / batches for k in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else []
+    above = sum((F.when(F.col("id") < c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
+    hashed = keep(line_hashes(docs, min_chars).withColumn("batch", above.cast("int")), "line-hashes", ["batch"])
     runs = LineRuns(spark, fanout)
-    for b in range(batches):
+    for b in range(len(set(cuts or [])) + 1):
         part = hashed.filter(F.col("batch") == b).select("id", F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
         runs.add(part.select("h.h1", "h.h2", "id"))
     frequent = keep(runs.totals().filter(F.col("docs") >= min_docs), "line-frequent")
+    runs.remove()
     lines = hashed.select("id", "rk", F.posexplode("hashes").alias("at", "h")).filter("h is not null").select("id", "rk", "at", "h.h1", "h.h2")
     gone = skewed_lookup(lines, frequent, HASH, "docs").filter("id < keeper")
-    per_doc = keep(gone.groupBy("id", "rk").agg(F.collect_set("at").alias("_gone")), "line-gone")
-    drop(*[r for level in runs.levels for r in level], frequent)
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_rk", row_key("doc_id", "text"))
-    joined = keyed.join(per_doc.withColumnsRenamed({"id": "_id", "rk": "_rk"}), ["_id", "_rk"], "left").drop("_id", "_rk")
-    lines_of = F.split(F.coalesce("text", F.lit("")), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    out = joined.withColumn("_lines", lines_of).withColumn("n_lines", F.size("_lines").cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-    out = out.withColumn("kept_text", kept).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
-    return out.drop("_lines", "_gone")
+    per_doc = keep(gone.groupBy("id", "rk").agg(F.collect_set("at").alias("gone")), "line-gone")
+    drop(frequent, hashed)
+    keyed = boxed(docs, id=F.coalesce("doc_id", F.lit(NO_ID)), rk=content_key(docs), text=F.col("text"))
+    out = keyed.join(per_doc, ["id", "rk"], "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    out = out.withColumn("kept", kept)
+    return unboxed(
+        out, docs.columns, text=F.when(F.col("text").isNotNull(), F.col("kept")), n_lines=F.size("lines").cast("long"),
+        n_dropped=F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"), kept_text=F.col("kept"),
+    )

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import positions
+from .common import keep, positions
 from .mixing import word_count
 
 
@@ -75,9 +75,10 @@ def pack(docs: DataFrame, buckets: int = 12, batch_words: int = 16_384, seed: in
     bucket, rows stand in seeded order. A row longer than batch_words is a batch of its own.
 
     Defined cases: null and empty texts have length 0; repeated rows are packed each for itself;
-    null ids are packed as well; an empty table gives no rows.
+    null ids are packed as well; other columns are not looked at; an empty table gives no rows.
     """
-    sized = docs.select("doc_id", word_count("text").alias("length"))
+    # written: words are counted once, not in each of the passes below
+    sized = keep(docs.select("doc_id", word_count("text").alias("length")), "pack-lengths")
     bounds = choose_buckets(length_histogram(sized), buckets)
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
     sized = sized.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("length"))))

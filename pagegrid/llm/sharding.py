@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path
+from .common import boxed, content_key, drop, keep, new_path, quoted, unboxed
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -20,48 +20,68 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(order, dtype=np.int64)
 
 
+def _starts(counts: DataFrame, block: int = 4096) -> DataFrame:
+    """(_bucket, _start) from (_bucket, _rows): sums over blocks of buckets first, then inside each block."""
+    counts = counts.withColumn("_block", F.floor(F.col("_bucket") / block))
+    before = lambda *by: Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_block").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("_block").agg(F.sum("_rows").alias("_rows")).select("_block", F.coalesce(F.sum("_rows").over(before()), F.lit(0)).alias("_base"))
+    return counts.join(blocks, "_block").select("_bucket", (F.col("_base") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias("_start"))
+
+
 def shuffle_to_shards(docs: DataFrame, shards: int = 24, bucket_bytes: int = 32 << 20, seed: int = 5, path: str | None = None) -> DataFrame:
     """Write docs as `shards` Parquet folders whose rows are a uniform permutation of all rows.
 
-    Pass one scatters the rows by a seeded hash of doc_id into buckets of about bucket_bytes.
-    Pass two brings each bucket into an order that depends on its rows only, gives it a seeded
+    Pass one scatters the rows by a seeded hash of doc_id and content into buckets of about
+    bucket_bytes; each bucket is a task of its own, so tasks grow in number and not in size. Pass
+    two brings each bucket into an order that depends on its rows only, gives it a seeded
     Fisher-Yates shuffle and cuts the row sequence, bucket after bucket, into shards whose row
     counts differ by one at most (the law `rows`). Returns the written rows: the columns of docs,
     shard and slot (gapless from 0 in each shard).
 
-    Bucket sizes follow from the ids alone, so offsets cost a scan of one column and a table
-    with one row for each bucket. A lost executor repeats its tasks with the same result.
+    Bucket sizes follow from the rows' digests, so offsets cost a scan and a table with one row for
+    each bucket, which meets the buckets in a cogroup. A lost executor repeats its tasks with the
+    same result. Where copies of one row would overfill a bucket (the scan shows it), they are
+    dealt out by a salt, and the salted table is written first.
 
-    Defined cases: null ids form one id, null texts are kept, repeated rows stay (in one bucket),
-    input columns named shard or slot are replaced, and an empty table gives no rows.
+    Defined cases: null ids and null texts are kept, repeated rows stay, texts longer than a bucket
+    have a bucket nearly to themselves, input columns named shard or slot are replaced and others
+    may have any name, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
-    stats = docs.agg(F.sum(size.cast("long")).alias("b"), F.count("*").alias("n")).first()
-    rows, total = stats["n"], stats["b"] or 0
-    buckets = max(shards, -(-total // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)).cast("int")
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = docs.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows")).select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    scattered = docs.withColumn("_bucket", bucket).withColumn("_tie", F.xxhash64("text"))
     columns = docs.columns
-    schema = docs.select("*", F.lit(0).alias("_bucket"), F.lit(0).cast("long").alias("_at")).schema
-
-    def shuffled(key, table):
-        b = key[0].as_py()
-        order = table.append_column("_row", pa.array(np.arange(table.num_rows))).select(["doc_id", "_tie", "_row"]).sort_by([("doc_id", "ascending"), ("_tie", "ascending")])["_row"]
-        mixed = fisher_yates(table.num_rows, np.random.default_rng([seed, b]))
-        out = table.take(order.take(pa.array(mixed))).select(columns)
-        n = table.num_rows
-        return out.append_column("_bucket", pa.array(np.full(n, b, np.int32))).append_column("_at", pa.array(np.arange(n, dtype=np.int64)))
-
-    placed = scattered.groupBy("_bucket").applyInArrow(shuffled, schema).join(F.broadcast(starts), "_bucket")
-    pos = F.col("_start") + F.col("_at")
-    shard = F.expr(f"((_start + _at) * {shards}) div {max(rows, 1)}")
-    placed = placed.withColumn("shard", shard.cast("int"))
-    first = F.expr(f"(shard * {rows}L + {shards - 1}) div {shards}")
-    placed = placed.withColumn("slot", (pos - first).cast("long")).select(*columns, "shard", "slot")
+    rows = boxed(docs, _id=F.col("doc_id"), _tie=content_key(docs), _bytes=F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8)
+    stats = rows.agg(F.sum("_bytes").alias("b"), F.count("*").alias("n")).first()
+    n, total = stats["n"], stats["b"] or 0
+    buckets = max(shards, -(-total // bucket_bytes))
+
+    def sizes(frame: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(F.lit(seed), "_id", "_tie", *(["_salt"] if "_salt" in frame.columns else [])), F.lit(buckets)).cast("int")
+        return frame.withColumn("_bucket", bucket)
+
+    counted = keep(sizes(rows).groupBy("_bucket", "_id", "_tie").agg(F.count("*").alias("_copies"), F.sum("_bytes").alias("_size")), "shard-sizes")
+    if counted.filter((F.col("_copies") > 1) & (F.col("_size") > bucket_bytes)).take(1):
+        rows = keep(rows.withColumn("_salt", F.monotonically_increasing_id()), "shard-rows")
+        counts = sizes(rows).groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    else:
+        counts = counted.groupBy("_bucket").agg(F.sum("_copies").alias("_rows"))
+    scattered = sizes(rows).drop("_salt", "_bytes")
+    schema = scattered.select("_row", F.lit(0).cast("long").alias("_pos")).schema
+
+    def shuffled(key, table: pa.Table, start: pa.Table) -> pa.Table:
+        m = table.num_rows
+        by = table.select(["_id", "_tie"]).append_column("_at", pa.array(np.arange(m))).sort_by([("_id", "ascending"), ("_tie", "ascending")])["_at"]
+        mixed = by.take(pa.array(fisher_yates(m, np.random.default_rng([seed, key[0].as_py()]))))
+        return table.take(mixed).select(["_row"]).append_column("_pos", pa.array(start.column("_start")[0].as_py() + np.arange(m, dtype=np.int64)))
+
+    both = [d.repartition(buckets, "_bucket").groupBy("_bucket") for d in (scattered, _starts(counts))]
+    placed = both[0].cogroup(both[1]).applyInArrow(shuffled, schema)
+    shard = F.expr(f"(_pos * {shards}) div {max(n, 1)}").cast("int")
+    first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
+    placed = placed.withColumn("shard", shard).withColumn("slot", (F.col("_pos") - first).cast("long"))
+    placed = unboxed(placed, columns, shard=F.col("shard"), slot=F.col("slot"))
     path = path or new_path(spark, "shards")
     placed.write.partitionBy("shard").parquet(path)
-    return spark.read.schema(placed.schema).parquet(path).select(*columns, "shard", "slot")
+    drop(counted, rows)
+    return spark.read.schema(placed.schema).parquet(path).select(*[quoted(c) for c in columns], "shard", "slot")
