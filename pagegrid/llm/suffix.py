@@ -6,8 +6,9 @@ anchors at equal places), and one anchor serves a run of consecutive windows. Th
 most significant digit first:
 
 1. the anchor: all runs of one anchor meet, and anchors of one document only drop out;
-2. the run: the bytes that a run covers, as one digit. A run found in a smaller document is
-   repeated as a whole. Those left are the edges of repeats and chance anchors;
+2. the run: the bytes that a run covers, as one digit (its digest). A run found in a smaller
+   document is repeated as a whole. Those left are the edges of repeats and chance anchors; where
+   an anchor has very many of them, each of its windows goes on alone, under its own digest;
 3. their windows, eight bytes a pass to the depth of the threshold, on the bytes themselves.
    A window alone in its group drops out after each pass. What is left at full depth are
    exactly the repeated windows, and those with a smaller document in the group are marked.
@@ -28,24 +29,24 @@ from .kernels import Rolling, U, bytes_of, chunks, ids_of
 CHUNK = 2 << 20
 LAST = 2**63 - 1
 LOW48 = U(2**48 - 1)
+#: Runs of one anchor to look into, beyond which its windows part.
+HOT = 2000
 
 
 def pack_runs(h, t, doc, lo, n) -> bytes:
-    """One block of runs, column after column: 48 bits of each digest, document number, first window, windows."""
-    six = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6] for x in (h, t)]
-    parts = [*six, doc.astype("<u2"), (lo & 0xFFFF).astype("<u2"), (lo >> 16).astype("<u2"), n.astype(np.uint8)]
+    """One block of runs, column after column: 48 bits of the anchor's hash, the run's digest, document number, first window, windows."""
+    six = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    parts = [six, t.astype("<u8"), doc.astype("<u2"), (lo & 0xFFFF).astype("<u2"), (lo >> 16).astype("<u2"), n.astype(np.uint8)]
     return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
 
 
 def unpack_runs(block: np.ndarray) -> tuple[np.ndarray, ...]:
-    m = len(block) // 19
-    digests = []
-    for i in (0, 1):
-        full = np.zeros((m, 8), np.uint8)
-        full[:, :6] = block[6 * m * i : 6 * m * (i + 1)].reshape(m, 6)
-        digests.append(full.view("<u8").ravel())
-    doc, low, high = (np.frombuffer(block[12 * m + 2 * m * i : 14 * m + 2 * m * i].tobytes(), "<u2").astype(np.int64) for i in range(3))
-    return *digests, doc, low + (high << 16), block[18 * m :].astype(np.int64)
+    m = len(block) // 21
+    full = np.zeros((m, 8), np.uint8)
+    full[:, :6] = block[: 6 * m].reshape(m, 6)
+    t = np.frombuffer(block[6 * m : 14 * m].tobytes(), "<u8")
+    doc, low, high = (np.frombuffer(block[14 * m + 2 * m * i : 16 * m + 2 * m * i].tobytes(), "<u2").astype(np.int64) for i in range(3))
+    return full.view("<u8").ravel(), t, doc, low + (high << 16), block[20 * m :].astype(np.int64)
 
 
 def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int, cache: dict) -> tuple[np.ndarray, ...]:
@@ -78,7 +79,7 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int, cache
     step = (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * width
     first, count = first[run] + step, np.minimum(width, count[run] - step)
     lo, row = starts[first], row[first]
-    return least[first] & LOW48, rolling.of(lo, lo + count + length - 1) & LOW48, row, lo - offs[row], count
+    return least[first] & LOW48, rolling.of(lo, lo + count + length - 1), row, lo - offs[row], count
 
 
 def shipped_runs(batches, length: int, gram: int, buckets: int):
@@ -123,7 +124,7 @@ def settle_runs(table: pa.Table) -> pa.Table:
         who.append(np.frombuffer(d.as_buffer(), np.int64).reshape(-1, 2)[parts[-1][2]])
     h, t, _, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     ids, keys = np.concatenate(who).T
-    found, look = np.ones(len(h), bool), np.zeros(len(h), bool)
+    found, look = np.ones(len(h), bool), np.zeros(len(h), np.int32)
     if table.column("bucket")[0].as_py() >= 0:
         order = np.lexsort((ids, t, h))
         h, t, lo, n, ids, keys = (x[order] for x in (h, t, lo, n, ids, keys))
@@ -135,35 +136,60 @@ def settle_runs(table: pa.Table) -> pa.Table:
         found = ids > ids[new_t][np.cumsum(new_t) - 1]
         edges = np.flatnonzero(new_h)
         several = np.minimum.reduceat(ids, edges) < np.maximum.reduceat(ids, edges)
-        look = ~found & (several & (np.bincount(group, weights=new_t) > 1))[group]
-    stay = found | look
+        look = (~found & (several & (np.bincount(group, weights=new_t) > 1))[group]).astype(np.int32)
+        look += look * (np.bincount(group, weights=look) > HOT)[group]
+    stay = found | (look > 0)
     return pa.table({
         "id": pa.array(ids[stay]), "rk": pa.array(keys[stay]), "lo": pa.array(lo[stay].astype(np.int32)), "n": pa.array(n[stay].astype(np.int32)),
         "h": pa.array(h[stay].view(np.int64)), "look": pa.array(look[stay]),
     })
 
 
-def cut_contexts(batches, length: int):
-    """The bytes of each run to look into."""
+def cut_contexts(batches, length: int, buckets: int):
+    """The bytes of each run to look into, with the bucket b of its anchor.
+
+    Runs of a hot anchor come apart: each window is a run under its own digest, so they spread over
+    buckets, and windows that this batch holds in a smaller document are settled here and only
+    pass through (b < 0).
+    """
+    cache: dict = {}
+    types = {"id": pa.int64(), "rk": pa.int64(), "lo": pa.int32(), "n": pa.int32(), "h": pa.int64(), "b": pa.int32(), "part": pa.binary()}
     for batch in batches:
         buf, offs = bytes_of(batch.column("text"))
         data = buf.tobytes()
-        rows = {"id": [], "lo": [], "n": [], "h": [], "rk": [], "part": []}
-        ids, keys, asked = ids_of(batch.column("id"), LAST), ids_of(batch.column("rk"), 0), batch.column("asked")
-        for i in range(batch.num_rows):
-            for x in asked[i].as_py():
-                s = int(offs[i]) + x["lo"]
-                rows["part"].append(data[s : s + x["n"] + length - 1])
-                for f in ("lo", "n", "h"):
-                    rows[f].append(x[f])
-                rows["id"].append(ids[i])
-                rows["rk"].append(keys[i])
-        types = {"id": pa.int64(), "lo": pa.int32(), "n": pa.int32(), "h": pa.int64(), "rk": pa.int64(), "part": pa.binary()}
-        yield pa.record_batch([pa.array(v, types[k]) for k, v in rows.items()], names=list(rows))
+        ids, keys = ids_of(batch.column("id"), LAST), ids_of(batch.column("rk"), 0)
+        asked = batch.column("asked")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(asked.offsets)))
+        lo, n, h, look = (np.asarray(asked.flatten().field(c)).astype(np.int64) for c in ("lo", "n", "h", "look"))
+        at = offs[row] + lo
+        plain, hot = np.flatnonzero(look == 1), np.flatnonzero(look == 2)
+        part = [data[at[i] : at[i] + n[i] + length - 1] for i in plain]
+        out = [ids[row[plain]], keys[row[plain]], lo[plain], n[plain], h[plain], h[plain] % buckets]
+        if len(hot):
+            run = np.repeat(np.arange(len(hot)), n[hot])
+            k = np.arange(len(run)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+            size = n[hot] + length - 1
+            first = np.cumsum(size) - size
+            joined = np.frombuffer(b"".join(data[at[i] : at[i] + n[i] + length - 1] for i in hot), np.uint8)
+            w = first[run] + k
+            key = Rolling(joined, cache).of(w, w + length).view(np.int64)
+            doc = ids[row[hot[run]]]
+            order = np.lexsort((doc, key))
+            new = np.append(True, key[order][1:] != key[order][:-1])
+            settled = np.zeros(len(run), bool)
+            settled[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+            bucket = np.where(settled, -1 - key % buckets, key % buckets)
+            body = joined.tobytes()
+            part += [b"" if s else body[x : x + length] for x, s in zip(w.tolist(), settled.tolist(), strict=True)]
+            more = [doc, keys[row[hot[run]]], lo[hot[run]] + k, np.ones(len(run), np.int64), key, bucket]
+            out = [np.concatenate(x) for x in zip(out, more, strict=True)]
+        yield pa.record_batch([pa.array(v, types[c]) for c, v in zip(types, [*out, part], strict=True)], names=list(types))
 
 
 def radix_windows(table: pa.Table, length: int, most: int = 1 << 20) -> pa.Table:
     """The last passes: windows of the runs of some anchors, eight bytes at a time."""
+    if table.column("b")[0].as_py() < 0:
+        return table.select(["id", "rk", "lo", "n"])
     h = np.asarray(table.column("h").combine_chunks())
     order = np.argsort(h, kind="stable")
     table = table.take(pa.array(order))
@@ -264,9 +290,12 @@ def erase_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     are judged on the input, overlaps count. Returns doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept (bytes), kept_sha256 and spans (start, end in bytes).
 
-    Runs are compared by two 64-bit digests (whole runs) or byte by byte (their windows).
+    Whole runs are compared by 112 bits of digests, all other windows byte by byte. Buckets grow
+    in number with the text and each is a task, so tasks stay near 30 MB.
     Defined cases: a null text is empty; rows with one doc_id never erase one another; a null
-    doc_id is above all others; texts shorter than length stay; an empty table gives no rows.
+    doc_id is above all others; texts shorter than length stay; repeated rows each get their row;
+    a long text is cut like any other; columns other than doc_id and text are not looked at and
+    not returned; an empty table gives no rows.
     """
     spark = docs.sparkSession
     if not 8 <= gram <= length or length > 200:
@@ -275,14 +304,15 @@ def erase_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(spark), -(-total // (16 << 20)))
     blocks = keyed.mapInArrow(lambda it: shipped_runs(it, length, gram, buckets), "bucket int, docs binary, runs binary")
-    settled = blocks.groupBy("bucket").applyInArrow(settle_runs, "id long, rk long, lo int, n int, h long, look boolean")
+    settled = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle_runs, "id long, rk long, lo int, n int, h long, look int")
     runs = keep(settled, "suffix-runs")
 
-    asked = runs.filter("look").groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "n", "h")).alias("asked"))
+    asked = runs.filter("look > 0").groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "n", "h", "look")).alias("asked"))
     by_id = keyed.withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
-    contexts = by_id.join(asked, ["id", "rk"]).select("id", "rk", "text", "asked").mapInArrow(lambda it: cut_contexts(it, length), "id long, lo int, n int, h long, rk long, part binary")
-    windows = contexts.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).applyInArrow(lambda t: radix_windows(t, length), "id long, rk long, lo int, n int")
-    marked = keep(windows.unionByName(runs.filter("not look").select("id", "rk", "lo", "n")), "suffix-marks")
+    contexts = by_id.join(asked, ["id", "rk"]).select("id", "rk", "text", "asked")
+    contexts = contexts.mapInArrow(lambda it: cut_contexts(it, length, buckets), "id long, rk long, lo int, n int, h long, b int, part binary")
+    windows = contexts.repartition(buckets, "b").groupBy("b").applyInArrow(lambda t: radix_windows(t, length), "id long, rk long, lo int, n int")
+    marked = keep(windows.unionByName(runs.filter("look = 0").select("id", "rk", "lo", "n")), "suffix-marks")
     drop(runs)
 
     marks = marked.groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))

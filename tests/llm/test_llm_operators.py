@@ -345,3 +345,23 @@ def test_warc_round_trip(spark):
         assert zlib.decompress(f.read(one.length), 31).startswith(b"WARC/1.1\r\nWARC-Type: response")
     index, path = warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_warc(index, path).collect() == []
+
+
+def test_suffix_hot_anchors_come_apart(spark, monkeypatch):
+    # one phrase in all documents, other words around it: its runs are edges, and windows settle alone
+    monkeypatch.setattr(suffix, "HOT", 3)
+    rng = random.Random(3)
+    phrase = "a phrase that stands in every one of these documents, word for word, again and again"
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [(i, word(rng.randrange(60)) + rng.choice(["x", "yy", ""]) + phrase + rng.choice(["z", "uu", ""]) + word(rng.randrange(60))) for i in range(60)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.erase_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    first: dict = {}
+    for i, t in texts:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    for i, t in texts:
+        hit = np.zeros(len(t) + 1, bool)
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < i:
+                hit[k : k + 50] = True
+        assert got[i] == (int(hit.sum()), int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum()))
