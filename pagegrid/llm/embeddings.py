@@ -29,16 +29,66 @@ def build_shard(key, table: pa.Table, m: int) -> pa.Table:
     return pa.table({"dim": pa.array([d], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "cids": [cid.tobytes()], "rows": [rows.tobytes()], "vectors": [unit.tobytes()], "graph": [blob], "sizes": pa.array([sizes], pa.list_(pa.int32()))})
 
 
-def _pairs(query: Graph, other: Graph, least: float, beam: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    return other.within(query.v, least, beam, np.arange(len(query.v)) if own else None)
+def audit_beam(query: Graph, other: Graph, beam: int, pick: np.ndarray, own: bool, recall: float) -> tuple[int, float]:
+    """Widen the beam until the picked rows' searches find enough of their true nearest others.
+
+    Every row has a nearest other, so the audit always has evidence. Returns beam and recall.
+    """
+    n = len(other.v)
+    if not len(pick) or n < 2:
+        return beam, 1.0
+    sims = query.v[pick] @ other.v.T
+    if own:
+        sims[np.arange(len(pick)), pick] = -np.inf
+    best = sims.max(1)
+    while True:
+        start = pick[:, None] if own else other.entry(0, query.v[pick])[:, None]
+        ids, got = other.search(0, query.v[pick], start, min(beam, n))
+        if own:
+            got = np.where(ids == pick[:, None], -np.inf, got)
+        found = float((got.max(1) >= best - 1e-6).mean())
+        if found >= recall or beam >= n:
+            return beam, found
+        beam *= 2
+
+
+class Sets:
+    """Disjoint sets over 0..n-1; a whole array of members joins at a time."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        r = self.parent[x]
+        while not np.array_equal(up := self.parent[r], r):
+            r = up
+        self.parent[x] = r
+        return r
+
+    def join(self, x: np.ndarray) -> None:
+        r = self.roots(x)
+        self.parent[r] = r.min()
+
+    def join_pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.roots(a), self.roots(b)
+            left = x != y
+            if not left.any():
+                return
+            a, b, x, y = a[left], b[left], x[left], y[left]
+            np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
 
 
 def link_shards(table: pa.Table, m: int, least: float, beam: int, audit: int, recall: float) -> pa.Table:
     """Links between two shards (or inside one), from both sides.
 
-    A seeded sample of rows is compared with all rows of the other side; while the graph search
-    finds less than `recall` of the links among them, beams are doubled. Emits, per class with a
-    link, how many rows it links to, and the least class of its component in this task.
+    A seeded sample of each side's rows is audited (audit_beam) and the beam widened until both
+    pass. Rows whose beam is filled by links belong to large groups of near copies: they are
+    compared with all rows of the other side in blocks, and only counts and sets are kept, so
+    memory doesn't grow with a group's pairs. All other rows have fewer links than the beam is wide.
+
+    Emits, per class with a link, how many rows it links to and the least class of its component
+    in this task; and one row with a null cid and the least recall found.
     """
     d = table.column("dim")[0].as_py()
     sides = []
@@ -50,44 +100,57 @@ def link_shards(table: pa.Table, m: int, least: float, beam: int, audit: int, re
         sides.append((ids, weight, unit, Graph.load(unit, row["graph"].as_buffer(), row["sizes"].as_py(), m)))
     own = len(sides) == 1
     (ids_a, w_a, u_a, g_a), (ids_b, w_b, u_b, g_b) = sides[0], sides[-1]
+    n_a, n_b = len(u_a), len(u_b)
     near = least - SLACK
-    pick = np.random.default_rng([len(u_a), len(u_b)]).permutation(len(u_a))[:audit]
-    true = g_a.v[pick] @ g_b.v.T >= near
-    while True:
-        a, b = _pairs(g_a, g_b, near, beam, own)
-        if not own:
-            b2, a2 = _pairs(g_b, g_a, near, beam, False)
-            a, b = np.concatenate([a, a2]), np.concatenate([b, b2])
-        else:
-            a, b = np.concatenate([a, b]), np.concatenate([b, a])
-        code = np.unique(a * len(u_b) + b)
-        a, b = code // len(u_b), code % len(u_b)
-        got = np.zeros_like(true)
-        where = np.full(len(u_a), -1)
-        where[pick] = np.arange(len(pick))
-        mine = where[a] >= 0
-        got[where[a[mine]], b[mine]] = True
-        if (got & true).sum() >= recall * true.sum() or beam >= max(len(u_a), len(u_b)):
-            break
-        beam *= 2
+    found = 1.0
+    for query, other, rows in ((g_a, g_b, n_a), (g_b, g_a, n_b))[: 1 if own else 2]:
+        pick = np.random.default_rng([n_a, n_b, rows]).permutation(rows)[:audit]
+        beam, share = audit_beam(query, other, beam, pick, own, recall)
+        found = min(found, share)
+
+    a, b, full_a = g_b.within(g_a.v, near, beam, np.arange(n_a) if own else None)
+    if own:
+        a, b, full_b = np.concatenate([a, b]), np.concatenate([b, a]), full_a
+    else:
+        b2, a2, full_b = g_a.within(g_b.v, near, beam)
+        a, b = np.concatenate([a, a2]), np.concatenate([b, b2])
+    code = np.unique((a * n_b + b)[~(full_a[a] | full_b[b])])
+    a, b = code // n_b, code % n_b
     if own:
         a, b = a[a != b], b[a != b]
     exact = np.concatenate([np.einsum("kd,kd->k", u_a[a[i : i + 65536]], u_b[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
     a, b = a[exact >= least], b[exact >= least]
-    n_a = np.bincount(a, weights=w_b[b], minlength=len(u_a)).astype(np.int64)
+    shift = 0 if own else n_a
+    links = np.zeros(n_a + (0 if own else n_b), np.int64)
+    links[:n_a] += np.bincount(a, weights=w_b[b], minlength=n_a).astype(np.int64)
+    if not own:
+        links[shift:] += np.bincount(b, weights=w_a[a], minlength=n_b).astype(np.int64)
+    sets = Sets(len(links))
+    sets.join_pairs(a, b + shift)
+
+    # the full rows of one side against the whole other side; then those of the other against what is left
+    turns = ((full_a, u_a, w_a, 0, u_b, w_b, shift, np.ones(n_b, bool)), (full_b, u_b, w_b, shift, u_a, w_a, 0, ~full_a))
+    for full, mine, w_mine, at_mine, other, w_other, at_other, open_ in turns[: 1 if own else 2]:
+        rest = np.flatnonzero(open_)
+        for block in np.array_split(np.flatnonzero(full), max(1, int(full.sum()) * len(rest) // (4 << 20))):
+            link = mine[block] @ other[rest].T >= least
+            if own:
+                link[np.arange(len(block)), block] = False
+            links[at_mine + block] += link @ w_other[rest]
+            # inside one shard a pair of full rows is seen from both, any other pair only from its full row
+            back = w_mine[block] @ link
+            links[at_other + rest] += np.where(full[rest], 0, back) if own else back
+            for i, row in zip(block, link, strict=True):
+                sets.join(np.append(at_other + rest[row], at_mine + i))
     cid = np.concatenate([ids_a, [] if own else ids_b]).astype(np.int64)
-    links = n_a if own else np.concatenate([n_a, np.bincount(b, weights=w_a[a], minlength=len(u_b)).astype(np.int64)])
-    # least class of each local component, by passing minima along the links until nothing changes
-    x, y = a, b if own else b + len(u_a)
-    root = cid.copy()
-    while True:
-        before = root.copy()
-        np.minimum.at(root, x, root[y])
-        np.minimum.at(root, y, root[x])
-        if (before == root).all():
-            break
+    root = sets.roots(np.arange(len(links)))
+    low = np.full(len(links), np.iinfo(np.int64).max)
+    np.minimum.at(low, root, cid)
     some = links > 0
-    return pa.table({"cid": pa.array(cid[some]), "links": pa.array(links[some]), "root": pa.array(root[some])})
+    return pa.table({
+        "cid": pa.array([*cid[some].tolist(), None], pa.int64()), "links": pa.array([*links[some].tolist(), 0], pa.int64()),
+        "root": pa.array([*low[root][some].tolist(), None], pa.int64()), "recall": pa.array([None] * int(some.sum()) + [found], pa.float64()),
+    })
 
 
 def link_pairs(batches, **params):
@@ -104,21 +167,24 @@ def link_pairs(batches, **params):
         yield from link_shards(pa.Table.from_batches(side), **params).to_batches()
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 50_000, shards: int = 6, m: int = 12, beam: int = 48, audit: int = 256, recall: float = 0.995) -> DataFrame:
-    """(vec_id, rk, n_links, component_id, kept) of vectors (vec_id, embedding).
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 100_000, shards: int = 6, m: int = 12, beam: int = 48, audit: int = 256, recall: float = 0.98) -> DataFrame:
+    """(vec_id, rk, n_links, component_id, kept, audited_recall) of vectors (vec_id, embedding).
 
     Vectors link where their cosine in double precision is at least `cosine`. Equal vectors form
     a class. Classes are dealt to shards by a seeded hash, `shards` of them or as many as keep a
     shard near shard_rows; each shard gets a graph, written to the shared folder; and each pair of
-    shards is one task, in which both sides query the other. See link_shards for the audit.
+    shards is one task, in which both sides query the other. Beams widen until the recall of true
+    nearest neighbours among `audit` rows of each side reaches `recall`; the least recall found is
+    returned. See link_shards.
 
     Work: every vector queries every shard, so tasks grow with the square of the number of
-    shards and a query with the logarithm of shard_rows. A group of near copies costs its links.
+    shards and a query with the logarithm of shard_rows. A row in a large group of near copies
+    costs a product with each shard, but no memory.
 
     rk is xxhash64(vec_id, embedding). Defined cases: vectors that are null, empty, zero or hold
     null or non-finite components link with nothing; vectors of different lengths never link;
     rows with a null vec_id link with nothing and have a null component_id; rows that share an id
-    are one node of components; an empty table gives no rows.
+    are one node of components; other columns are not looked at; an empty table gives no rows.
     """
     rows = vectors.select("vec_id", F.xxhash64("vec_id", "embedding").alias("rk"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
@@ -136,8 +202,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 50_0
     paired = paired.withColumn("pair", (F.col("b") * (F.col("b") + 1) / 2 + F.col("a")).cast("int")).drop("other", "a", "b")
     dealt = paired.repartitionById(parts * (parts + 1) // 2, F.col("pair")).sortWithinPartitions("dim", "pair", "shard")
     link = partial(link_pairs, m=m, least=cosine, beam=beam, audit=audit, recall=recall)
-    found = keep(dealt.mapInArrow(link, "cid long, links long, root long"), "vec-links")
+    found = keep(dealt.mapInArrow(link, "cid long, links long, root long, recall double"), "vec-links")
     drop(graphs)
+    worst = found.agg(F.min("recall")).first()[0]
+    found = found.filter("cid is not null")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     by_class = classes.join(links, "cid", "left").select(*key, "cid", "rep", "rows", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     edges = found.filter("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v"))
@@ -150,4 +218,4 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 50_0
     answer = skewed_lookup(labelled, least, ["label"], "w").select(*key, "rows", "n_links", "component_id")
     good = skewed_lookup(narrow.filter("ok"), answer, key, "rows").select("vec_id", "rk", "n_links", "component_id")
     bad = narrow.filter("not ok").select("vec_id", "rk", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return good.unionByName(bad).withColumns({"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)), "audited_recall": F.lit(worst).cast("double")})

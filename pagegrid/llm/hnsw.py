@@ -122,7 +122,8 @@ class Graph:
         if not ids.shape[1]:
             return
         self._choose(layer, new, ids, sims, self.m)
-        # the way back, for each neighbour all at once
+        # the way back, for each neighbour all at once; of more than 64 newcomers it sees the first,
+        # which changes what the graph looks like and not what may be found
         links = self.links[layer]
         src = np.repeat(new, links.shape[1])
         dst = links[new].ravel()
@@ -181,38 +182,22 @@ class Graph:
             g.links.append(full)
         return g
 
-    def within(self, q: np.ndarray, least: float, beam: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of similarity >= least that the graph leads to.
+    def within(self, q: np.ndarray, least: float, beam: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) pairs of similarity >= least that the beam holds, and which queries have it full of them.
 
-        The beam finds the neighbourhood; from its hits on, every hit's neighbours are looked at,
-        so a group larger than the beam is found as well.
+        Queries with a full beam may have more such nodes, and none of theirs are returned.
         """
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.v) or not len(q):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out_q, out_n = [], []
+            return *none, np.zeros(len(q), bool)
+        out, full = [none], np.zeros(len(q), bool)
         size = max(16, min(512, (32 << 20) // (len(self.v) + 1)))
         for a in range(0, len(q), size):
             part = q[a : a + size]
             first = self.entry(0, part)[:, None] if start is None else start[a : a + size, None]
             ids, sims = self.search(0, part, first, min(beam, len(self.v)))
             hit = sims >= least
-            full = hit.all(1)
-            r, c = np.nonzero(hit & ~full[:, None])
-            out_q.append(r + a)
-            out_n.append(ids[r, c])
-            for i in np.flatnonzero(full):
-                found = np.zeros(len(self.v), bool)
-                looked = np.zeros(len(self.v) + 1, bool)
-                frontier = ids[i]
-                found[frontier] = looked[frontier] = True
-                while len(frontier):
-                    nb = np.unique(self.links[0][frontier])
-                    nb = nb[(nb >= 0)]
-                    nb = nb[~looked[nb]]
-                    looked[nb] = True
-                    frontier = nb[self.v[nb] @ part[i] >= least]
-                    found[frontier] = True
-                got = np.flatnonzero(found)
-                out_q.append(np.full(len(got), i + a))
-                out_n.append(got)
-        return np.concatenate(out_q), np.concatenate(out_n)
+            full[a : a + size] = hit.all(1)
+            r, c = np.nonzero(hit & ~hit.all(1)[:, None])
+            out.append((r + a, ids[r, c]))
+        return *(np.concatenate(x) for x in zip(*out, strict=True)), full

@@ -45,7 +45,7 @@ def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, path = warc.write_warc(table(spark, sf_dir, "pages"), min_bytes=0)
-    return warc.read_warc(index, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_warc(index, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +106,18 @@ from v join (select a, min(b) as component_id from reach group by a) c on c.a =
 
 OP7_SQL = """
 with p as (select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as hex from pages),
-f as (select hex, min(page_id) as first from p group by hex)
+f as (select hex, min(page_id) as first from p group by hex),
+u as (select page_id, regexp_extract(coalesce(url, ''), '^(?:([a-zA-Z][a-zA-Z0-9_+.-]*)://)?(?:[^/?#@]*@)?([^/:?#]*)(?::([0-9]+))?([^#]*)', ['scheme', 'host', 'port', 'rest']) as m from pages),
+h as (
+  select page_id, row_number() over (
+    partition by regexp_replace(lower(m.host), '^www[0-9]*\\.', ''), case when (m.scheme, m.port) in (('http', '80'), ('https', '443')) then '' else m.port end, lower(case m.rest when '' then '/' else m.rest end)
+    order by page_id) as capture from u)
 select page_id, octet_length(payload)::bigint as payload_bytes,
   list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_aggregate(list_transform(range(5), lambda j:
     (((strpos('0123456789abcdef', substr(hex, 1 + (5 * i + j) // 4, 1)) - 1) >> (3 - (5 * i + j) % 4)) & 1) << (4 - j)), 'sum')::int, 1)), 'string_agg', '') as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type,
-  case when page_id <> first then first end as refers_to
-from p join f using (hex)
+  case when page_id <> first then first end as refers_to, capture
+from p join f using (hex) join h using (page_id)
 """
 
 OP8_SQL = f"""

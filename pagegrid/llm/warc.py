@@ -15,8 +15,9 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import keep, new_path, partitions, skewed_lookup
+from .common import drop, keep, new_path, partitions, skewed_lookup
 from .kernels import bytes_of, ids_of
 
 LAST = 2**63 - 1
@@ -122,7 +123,10 @@ def loser_tree_merge(runs: list[list[tuple]]):
 
 
 def merge_runs(batches):
-    """Merge the runs' slices in one key range; rows come run by run, each in order."""
+    """Merge the runs' slices in one key range; rows come run by run, each in order.
+
+    place counts a URL's captures in merged order, so far as this range holds them.
+    """
     tables = [pa.Table.from_batches([b]) for b in batches]
     if not tables:
         return
@@ -133,17 +137,39 @@ def merge_runs(batches):
     order = [r[3] for r in loser_tree_merge([rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])]
     out = table.take(pa.array(order))
     n = out.num_rows
-    out = out.append_column("part", pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))).append_column("at", pa.array(np.arange(n, dtype=np.int64)))
+    keys = np.array([rows[i][0] for i in order], dtype=object)
+    new = np.append(True, keys[1:] != keys[:-1])
+    place = np.arange(n) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = out.append_column("place", pa.array(place)).append_column("part", pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))).append_column("at", pa.array(np.arange(n, dtype=np.int64)))
     yield from out.to_batches(max_chunksize=10_000)
 
 
+def histories(merged: DataFrame) -> DataFrame:
+    """`capture`: a capture's place (from 1) in its URL's history, which may go on over several ranges.
+
+    Only the first URL of a range can have begun in ranges before. Its captures there are counted
+    on a table of two rows for each range.
+    """
+    edges = merged.groupBy("part").agg(
+        F.min_by("urlkey", "at").alias("head"), F.max_by("urlkey", "at").alias("tail"), F.max_by("place", "at").alias("place")
+    )
+    ends = edges.select("part", F.col("tail").alias("urlkey"), (F.col("place") + 1).alias("n"))
+    before = Window.partitionBy("urlkey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a range's tail counts for the ranges after it; a head row asks and counts nothing
+    asks = edges.select((F.col("part") - 0.5).alias("part"), F.col("head").alias("urlkey"), F.lit(0).alias("n"))
+    carried = ends.withColumn("part", F.col("part").cast("double")).unionByName(asks).withColumn("carry", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    carried = carried.filter("part <> floor(part) and carry > 0").select(F.ceil("part").cast("int").alias("_part"), F.col("urlkey").alias("_key"), "carry")
+    out = merged.join(carried, (F.col("part") == F.col("_part")) & (F.col("urlkey") == F.col("_key")), "left")
+    return out.withColumn("capture", F.col("place") + 1 + F.coalesce("carry", F.lit(0))).drop("place", "carry", "_part", "_key")
+
+
 def read_records(table: pa.Table, path: str) -> pa.Table:
     """Read the records of one archive at their indexed places, and check them against the index."""
     fs, root = pafs.FileSystem.from_uri(path)
     table = table.sort_by("offset")
-    out = {"page_id": [], "url": [], "ts": [], "record_type": [], "refers_to": [], "payload_bytes": [], "payload_digest": []}
+    out = {"page_id": [], "url": [], "ts": [], "record_type": [], "refers_to": [], "payload_bytes": [], "payload_digest": [], "capture": []}
     with fs.open_input_file(f"{root}/{table.column('archive')[0].as_py()}") as source:
-        for offset, length, key_digest, ts in zip(*[table.column(c).to_pylist() for c in ("offset", "length", "payload_digest", "ts")], strict=True):
+        for offset, length, key_digest, ts, capture in zip(*[table.column(c).to_pylist() for c in ("offset", "length", "payload_digest", "ts", "capture")], strict=True):
             raw = zlib.decompress(source.read_at(length, offset), 31)
             head, _, block = raw.partition(b"\r\n\r\n")
             fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
@@ -158,25 +184,27 @@ def read_records(table: pa.Table, path: str) -> pa.Table:
             if digest != key_digest:
                 raise ValueError("a record differs from its index entry")
             number = lambda f: None if f not in fields or "none" in fields[f] else int(fields[f][len("<urn:page:") : -1])
-            for c, v in zip(out, (number("WARC-Record-ID"), fields.get("WARC-Target-URI"), ts, fields["WARC-Type"], number("WARC-Refers-To"), size, digest), strict=True):
+            for c, v in zip(out, (number("WARC-Record-ID"), fields.get("WARC-Target-URI"), ts, fields["WARC-Type"], number("WARC-Refers-To"), size, digest, capture), strict=True):
                 out[c].append(v)
     types = {"url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string()}
     return pa.table({c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
 
 
-def write_warc(pages: DataFrame, path: str | None = None, min_bytes: int = 0, ts: str | None = None, archive_bytes: int = 32 << 20) -> tuple[DataFrame, str]:
+def write_warc(pages: DataFrame, path: str | None = None, min_bytes: int = 0, ts: str | None = None, archive_bytes: int = 32 << 20, range_rows: int = 200_000) -> tuple[DataFrame, str]:
     """Write pages (page_id, url, html) as WARC archives; returns their merged index and the folder.
 
     Of equal payloads (html in UTF-8) of at least min_bytes, the one with the smallest page_id
     is a response and the others are revisits that refer to it. Each task writes archives under
     names of its own and hands back their capture runs, sorted by URL key, time and page. The
     runs' slices in each key range are merged by a loser tree: part and at order all captures.
-    A hot URL spreads over ranges, since ranges are cut by time and page as well.
+    A hot URL spreads over ranges, since ranges are cut by time and page as well, and capture
+    counts its history (from 1) across them. Ranges hold about range_rows captures each.
 
     ts names a column with seconds since 2024-01-01; without it a page's time is its id.
     Defined cases: a null html is an empty payload; a null url has no target header and an empty
     key; a null page_id is above all others; rows that share the smallest page_id of their payload
-    are all responses; other columns are not archived; an empty table gives an empty index.
+    are all responses, and records of repeated page_ids share a WARC-Record-ID; a long payload is
+    one record; other columns are not archived; an empty table gives an empty index.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
@@ -189,15 +217,22 @@ def write_warc(pages: DataFrame, path: str | None = None, min_bytes: int = 0, ts
     typed = rows.join(again, ["_id", "_sha"], "left").select("_id", "url", "html", "ts", "refers_to")
     runs = keep(typed.mapInArrow(lambda it: write_archives(it, path, archive_bytes), INDEX), "warc-runs")
     key = ["urlkey", "ts", "page_id"]
-    ranged = runs.repartitionByRange(partitions(spark), *key).sortWithinPartitions("archive", *key)
-    return keep(ranged.mapInArrow(merge_runs, INDEX + ", part int, at long"), "warc-index"), path
+    ranges = max(partitions(spark), -(-runs.count() // range_rows))
+    ranged = runs.repartitionByRange(ranges, *key).sortWithinPartitions("archive", *key)
+    merged = keep(ranged.mapInArrow(merge_runs, INDEX + ", place long, part int, at long"), "warc-merged")
+    index = keep(histories(merged), "warc-index")
+    drop(narrow, runs, merged)
+    return index, path
 
 
 def read_warc(index: DataFrame, path: str) -> DataFrame:
-    """The indexed records: page_id, url, ts, record_type, refers_to, payload_bytes, payload_digest.
+    """The indexed records: page_id, url, ts, record_type, refers_to, payload_bytes, payload_digest, capture.
+
+    Each archive is read front to back by one task, and a record takes its capture number from the
+    merged index.
 
     A response's payload is read and its digest computed anew; a revisit's size and digest are
     those of the payload that it refers to, as its headers give them.
     """
-    schema = "page_id long, url string, ts long, record_type string, refers_to long, payload_bytes long, payload_digest string"
+    schema = "page_id long, url string, ts long, record_type string, refers_to long, payload_bytes long, payload_digest string, capture long"
     return index.groupBy("archive").applyInArrow(lambda t: read_records(t, path), schema)

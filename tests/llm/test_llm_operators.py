@@ -339,6 +339,11 @@ def test_warc_round_trip(spark):
     assert (got[1].record_type, got[2].refers_to, got[4].refers_to, got[None].record_type) == ("response", 1, 3, "revisit")
     order = [(r.urlkey, r.ts) for r in index.orderBy("part", "at").collect()]
     assert order == sorted(order)
+    many = spark.createDataFrame([(i, f"http://h{i % 3 // 2}.org/", str(i)) for i in range(50)], "page_id long, url string, html string")
+    merged, _ = warc.write_warc(many, range_rows=4)
+    seen = merged.orderBy("urlkey", "ts").collect()
+    assert merged.select("part").distinct().count() > 4
+    assert [r.capture for r in seen] == [*range(1, sum(i % 3 < 2 for i in range(50)) + 1), *range(1, sum(i % 3 == 2 for i in range(50)) + 1)]
     one = index.filter("record_type = 'response'").first()
     with open(re.sub("^file:(//)?", "", path) + "/" + one.archive, "rb") as f:
         f.seek(one.offset)
@@ -365,3 +370,29 @@ def test_suffix_hot_anchors_come_apart(spark, monkeypatch):
             if first[t[k : k + 50]] < i:
                 hit[k : k + 50] = True
         assert got[i] == (int(hit.sum()), int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum()))
+
+
+def test_large_groups_of_near_vectors_are_counted_exactly(spark):
+    # groups wider than the beam, in several shards, beside loose rows
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3, 12))
+    v = np.concatenate([base[0] + 0.05 * rng.normal(size=(150, 12)), base[1] + 0.2 * rng.normal(size=(80, 12)), rng.normal(size=(120, 12))])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_vectors(frame, shards=3, beam=16).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert [got[i].n_links for i in range(len(v))] == link.sum(1).tolist()
+    label = np.arange(len(v))
+    for _ in range(50):
+        label = np.minimum(label, np.where(link, label[None, :], 10**9).min(1))
+    assert [got[i].component_id for i in range(len(v))] == label.tolist()
+    assert 0.98 <= got[0].audited_recall <= 1
+
+
+def test_audit_widens_the_beam():
+    v = np.random.default_rng(2).normal(size=(800, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    g = hnsw.Graph(v).build()
+    beam, share = embeddings.audit_beam(g, g, 1, np.arange(200), True, 0.95)
+    assert beam > 1 and share >= 0.95
