@@ -115,18 +115,20 @@ def skewed_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: st
     """Join rows to a keyed table when a few keys may hold a large share of the rows.
 
     table has one row per key and in column `weight` how many rows hold that key. Keys with at
-    least 1/hot of all rows number at most `hot`: their rows take a broadcast join and all others
-    the shuffled one, so no row passes both. keys must not be null in rows that should match.
-    how: inner or left.
+    least 1/hot of all rows number at most `hot`, so the driver may know them: rows with one of
+    their values in the last of `keys` (a selective one, such as a digest) take a broadcast join,
+    all others the shuffled one. A filter parts them, and no row meets both joins. keys must not
+    be null in rows that should match. how: inner or left.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
     least = max(int(total) // hot, 1)
-    hot_keys = table.filter(F.col(weight) > least).drop(weight)
-    if not hot_keys.take(1):
-        return rows.join(table.drop(weight), keys, how)
-    near = rows.join(F.broadcast(hot_keys), keys)
-    far = rows.join(F.broadcast(hot_keys.select(*keys)), keys, "left_anti")
-    return near.unionByName(far.join(table.filter(F.col(weight) <= least).drop(weight), keys, how))
+    values = sorted({r[0] for r in table.filter(F.col(weight) > least).select(keys[-1]).take(hot)})
+    table = table.drop(weight)
+    if not values:
+        return rows.join(table, keys, how)
+    is_hot = F.coalesce(F.col(keys[-1]).isin(values), F.lit(False))
+    near = rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), keys, how)
+    return near.unionByName(rows.filter(~is_hot).join(table.filter(~is_hot), keys, how))
 
 
 def small_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", most: int = 20_000) -> DataFrame:
