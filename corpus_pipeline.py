@@ -1,7 +1,9 @@
 """A corpus pipeline: language ID, line dedup, near-dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but
-the last return the columns of documents.
+the last return the columns of docs, in their order and under any names, beside the columns that
+the stage needs. No stage looks at a part of a text only, and an empty table gives no rows. Stages
+but the last keep repeated rows as rows of their own where not said otherwise.
 """
 
 from __future__ import annotations
@@ -19,31 +21,49 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised; those without letters (`und`) go.
 
     Profiles are learned from the labelled rows of docs. lang of an unlabelled row is set to the
-    prediction; a given label stays.
+    prediction; a given label stays. Null and empty texts are `und` and go, as does every row
+    where no row is labelled; ties go to the smaller language code. A null doc_id, source or n_chars
+    stays as it is.
     """
     found = langid.identify(docs, docs.select("text", "lang"))
     return found.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines go everywhere but in the largest doc_id; documents stay, n_chars is set anew."""
+    """Frequent lines go everywhere but in the largest doc_id; documents stay, n_chars is set anew.
+
+    A null text stays null, with a null n_chars; a text that loses all its lines is empty. Rows
+    with one doc_id count as one document, and rows with a null doc_id as one below all others.
+    """
     out = lines.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Texts without words have no copies and stay, and so do rows with a null doc_id. Rows that share
+    a doc_id are one document: all of them stay or go.
+    """
     gone = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources near their target words: a row for each copy taken, cut to its blocks where partial."""
+    """Sources near their target words: a row for each copy taken, cut to its blocks where partial.
+
+    Texts without words are never taken. A null source is a source of its own, the last one.
+    Repeated rows are taken each for itself; a copy keeps all other columns of its row.
+    """
     return mixing.mix_documents(docs)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches of rows of similar length."""
+    """Batches of rows of similar length: doc_id, length, bucket, padded_length, padding, batch, slot.
+
+    A null text has length 0; a text longer than a batch is a batch of its own; rows with one or no
+    doc_id are packed each for itself.
+    """
     return packing.pack(docs)
 
 
@@ -60,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.keep(stage(spark, docs, sf_dir), name)
+        common.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
