@@ -11,7 +11,7 @@ from pagegrid.operators import library as L
 from pagegrid.operators import masks as M
 from pagegrid.operators import raster as P
 from pagegrid.operators import rects as R
-from pagegrid.plans.registry import BANDS, PROFILE, SCORES, WITH, query
+from pagegrid.plans.registry import BANDS, PROFILE, SCORES, WITH, inter, iou_sql, merge_sql, query, union_sql
 from pagegrid.sources import views as V
 from pagegrid.sources.views import PAGE_H, PAGE_W, RASTER_H, RASTER_W
 
@@ -153,7 +153,17 @@ def k5_top_peaks(s, d):
     return M.top_peaks(M.local_peaks(prof(s, d)))
 
 
-@query()
+@query("""n as (select page_id, idx, v, lag(v) over w a, lead(v) over w b from prof window w as (partition by page_id order by idx)),
+c as (select n.* from n join (select page_id, quantile_cont(v, 0.85) p from prof group by page_id) using (page_id) where v > a and v > b and v >= p),
+o as (select page_id, idx, v, row_number() over (partition by page_id order by v desc, idx) k from c),
+f(page_id, k, kept) as (select page_id, k, [idx] from o where k = 1
+  union all select o.page_id, o.k, case when len(list_filter(kept, lambda i: abs(i - o.idx) < 5)) > 0 then kept else list_append(kept, o.idx) end from f join o on o.page_id = f.page_id and o.k = f.k + 1),
+z as (select page_id, unnest(kept) idx from (select * from f qualify row_number() over (partition by page_id order by k desc) = 1)),
+pk as (select z.page_id, z.idx, v from z join prof using (page_id, idx)),
+wl as (select p.page_id, p.idx, p.v, max(q.idx) filter (where q.idx < p.idx and q.v > p.v) l, min(q.idx) filter (where q.idx > p.idx and q.v > p.v) r from pk p join prof q on p.page_id = q.page_id group by all),
+pr as (select w.page_id, w.idx, w.v, w.v - greatest(min(q.v) filter (where q.idx <= w.idx and (l is null or q.idx > l)), min(q.v) filter (where q.idx >= w.idx and (r is null or q.idx < r))) prominence
+  from wl w join prof q on w.page_id = q.page_id group by w.page_id, w.idx, w.v)
+select page_id, idx::int idx, v::double v, prominence::double prominence from pr where prominence >= 4""", "prof")
 def w12_find_peaks(s, d):
     p = prof(s, d)
     return M.prominent(M.space_peaks(M.local_peaks(p), 5), p, 4.0)
@@ -407,17 +417,54 @@ def w3c_reading_order_height(s, d):
     return Y.reading_order_height(V.rects(s, d))
 
 
-@query()
+ITEMS = "i as (select page_id, list({'rect_id': rect_id, 'x': x, 'y': y, 'w': w, 'h': h} order by rect_id) items from r group by page_id), o as (select r.*, items, row_number() over (partition by page_id order by rect_id) k from r join i using (page_id))"
+
+
+@query(f"""{ITEMS},
+f(page_id, k, items, gone, grown) as (
+  select page_id, 0, items, []::bigint[], []::struct(rect_id bigint, b struct(x double, y double, w double, h double))[] from i
+  union all select page_id, k, items, case when b is null then gone else list_append(gone, rect_id) end,
+    case when b is null then grown else list_append(grown, {{'rect_id': b.rect_id, 'b': {union_sql('o', 'b')}}}) end
+  from (select o.page_id, o.k, o.items, gone, grown, o.rect_id, {{'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}} o, list_filter(o.items, lambda b: not list_contains(gone, b.rect_id) and o.w*o.h < b.w*b.h
+      and o.w*o.h <= 0.25*(b.w*b.h) and {inter('o', 'b')} >= 0.90*(o.w*o.h))[1] b
+    from f join o on o.page_id = f.page_id and o.k = f.k + 1)),
+z as (select page_id, gone, grown, unnest(items) m from (select * from f qualify row_number() over (partition by page_id order by k desc) = 1)),
+y as (select page_id, m.rect_id::int rect_id, coalesce(list_filter(grown, lambda g: g.rect_id = m.rect_id)[-1].b, {{'x': m.x, 'y': m.y, 'w': m.w, 'h': m.h}}) b from z where not list_contains(gone, m.rect_id))
+select page_id, rect_id, b.x x, b.y y, b.w w, b.h h from y""", "r")
 def j2_suppress_nested(s, d):
     return Y.suppress_nested(V.rects(s, d))
 
 
-@query()
+@query(f"""i as (select page_id, list({{'rect_id': rect_id, 'scale_id': scale_id, 'x': x, 'y': y, 'w': w, 'h': h}} order by scale_id, rect_id) items from r group by page_id),
+o as (select r.*, items, row_number() over (partition by page_id order by scale_id, rect_id) k from r join i using (page_id)),
+f(page_id, k, used, made) as (
+  select page_id, 0, []::bigint[], []::struct(c double, x double, y double, w double, h double)[] from i
+  union all select page_id, k, case when ok then used || list_transform(g, lambda b: b.rect_id) else used end,
+    case when ok then list_append(made, {{'c': len(list_distinct(list_transform(g, lambda b: b.scale_id)))/3.0::double, 'x': list_sum(list_transform(g, lambda b: b.x))/len(g),
+      'y': list_sum(list_transform(g, lambda b: b.y))/len(g), 'w': list_sum(list_transform(g, lambda b: b.w))/len(g), 'h': list_sum(list_transform(g, lambda b: b.h))/len(g)}}) else made end
+  from (select *, not list_contains(used, rect_id) and len(list_distinct(list_transform(g, lambda b: b.scale_id))) >= 2 ok from (
+    select o.page_id, o.k, o.rect_id, used, made, list_filter(o.items, lambda b: b.rect_id = o.rect_id or ((b.scale_id > o.scale_id or (b.scale_id = o.scale_id and b.rect_id > o.rect_id))
+      and not list_contains(used, b.rect_id) and {iou_sql('o', 'b')} >= 0.30)) g
+    from f join o on o.page_id = f.page_id and o.k = f.k + 1))),
+t as (select page_id, unnest(range(len(made))) turn, unnest(made) b from (select * from f qualify row_number() over (partition by page_id order by k desc) = 1)),
+q as (select page_id, row_number() over (partition by page_id order by b.c desc, turn) rect_id, b.x x, b.y y, b.w w, b.h h from t),
+{merge_sql('q', 0.25)} select page_id, merged_id, m.x x, m.y y, m.w w, m.h h from m1""", "r")
 def j5_consensus(s, d):
     return Y.consensus(V.rects(s, d))
 
 
-@query()
+UNION_OF_LIST = "{'x': list_min(list_transform(g, lambda b: b.x)), 'y': list_min(list_transform(g, lambda b: b.y)), 'w': list_max(list_transform(g, lambda b: b.x+b.w)) - list_min(list_transform(g, lambda b: b.x)), 'h': list_max(list_transform(g, lambda b: b.y+b.h)) - list_min(list_transform(g, lambda b: b.y))}"
+
+
+@query(f"""{ITEMS},
+f(page_id, k, used, made) as (
+  select page_id, 0, []::bigint[], []::struct(rect_id bigint, b struct(x double, y double, w double, h double))[] from i
+  union all select page_id, k, case when list_contains(used, rect_id) then used else used || list_transform(g[2:], lambda b: b.rect_id) end,
+    case when list_contains(used, rect_id) then made else list_append(made, {{'rect_id': rect_id, 'b': {UNION_OF_LIST}}}) end
+  from (select o.page_id, o.k, o.rect_id, used, made, list_filter(o.items, lambda b: b.rect_id = o.rect_id or (b.rect_id > o.rect_id and not list_contains(used, b.rect_id) and {iou_sql('o', 'b')} > 0.20)) g
+    from f join o on o.page_id = f.page_id and o.k = f.k + 1)),
+t as (select page_id, unnest(made) m from (select * from f qualify row_number() over (partition by page_id order by k desc) = 1))
+select page_id, m.rect_id::int rect_id, m.b.x x, m.b.y y, m.b.w w, m.b.h h from t""", "r")
 def m2_merge_regions(s, d):
     return Y.merge_regions(V.rects(s, d))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrid.functions import geometry as G
+from pagegrid.operators import arrays as A
 from pagegrid.operators import library as L
 from pagegrid.operators import raster as P
 from pagegrid.operators import rects as R
@@ -14,7 +15,7 @@ from pagegrid.sources.views import PAGE_H, PAGE_W, RASTER_H, RASTER_W
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-WITH = {"r": V.RECTS_SQL, "prof": V.PROFILES_SQL, "px": V.PIXELS_SQL, "act": V.ACTIONS_SQL}
+WITH = {"r": V.RECTS_SQL, "prof": V.PROFILES_SQL, "px": V.PIXELS_SQL, "act": V.ACTIONS_SQL, "pan": V.PANELS_SQL, "cells": V.CELLS_SQL}
 
 
 def query(sql: str | None = None, *views: str):
@@ -29,6 +30,46 @@ def query(sql: str | None = None, *views: str):
     return add
 
 
+def inter(a: str, b: str) -> str:
+    return f"(greatest(0, least({a}.x+{a}.w, {b}.x+{b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y+{a}.h, {b}.y+{b}.h) - greatest({a}.y, {b}.y)))"
+
+
+def iou_sql(a: str, b: str) -> str:
+    return f"({inter(a, b)} / ({a}.w*{a}.h + {b}.w*{b}.h - {inter(a, b)}))"
+
+
+def union_sql(a: str, b: str) -> str:
+    """The smallest box around two, as a struct."""
+    return (
+        f"{{'x': least({a}.x, {b}.x), 'y': least({a}.y, {b}.y), 'w': greatest({a}.x+{a}.w, {b}.x+{b}.w) - least({a}.x, {b}.x), "
+        f"'h': greatest({a}.y+{a}.h, {b}.y+{b}.h) - least({a}.y, {b}.y)}}"
+    )
+
+
+BOX_SQL = "{'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}"
+ITEM_SQL = "{'rect_id': o.rect_id, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}"
+
+
+def keep_sql(order: str, clash: str) -> str:
+    """A greedy pass over o in `order`: an item stays unless one kept before clashes."""
+    return f"""o as (select *, row_number() over (partition by page_id order by {order}) k from r),
+f(page_id, k, kept) as (select page_id, k, [{ITEM_SQL}] from o where k = 1
+  union all select o.page_id, o.k, case when len(list_filter(kept, lambda m: {clash})) > 0 then kept else list_append(kept, {ITEM_SQL}) end
+  from f join o on o.page_id = f.page_id and o.k = f.k + 1),
+z as (select page_id, unnest(kept) m from (select * from f qualify row_number() over (partition by page_id order by k desc) = 1))
+select page_id, m.rect_id::bigint rect_id, m.x x, m.y y, m.w w, m.h h from z"""
+
+
+def merge_sql(source: str, least: float, name: str = "m1") -> str:
+    """CTEs {name}f and {name}: the greedy merge of `source` (page_id, rect_id, x, y, w, h), ids from 0."""
+    hit = f"list_position(list_transform(kept, lambda m: {iou_sql('m', 'o')} >= {least}), true)"
+    return f"""{name}o as (select *, row_number() over (partition by page_id order by rect_id) k from {source}),
+{name}f(page_id, k, kept) as (select page_id, k, [{BOX_SQL}] from {name}o o where k = 1
+  union all select o.page_id, o.k, case when {hit} > 0 then list_transform(kept, lambda m, i: case when i = {hit} then {union_sql('m', 'o')} else m end) else list_append(kept, {BOX_SQL}) end
+  from {name}f f join {name}o o on o.page_id = f.page_id and o.k = f.k + 1),
+{name} as (select page_id, (unnest(range(len(kept))))::int merged_id, unnest(kept) m from (select * from {name}f qualify row_number() over (partition by page_id order by k desc) = 1))"""
+
+
 INTER = "greatest(0, least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y))"
 PAIRS_ALL = f"pairs as (select a.page_id, a.rect_id i, b.rect_id j, {INTER} inter, a.w*a.h aa, b.w*b.h ba from r a join r b on a.page_id = b.page_id and a.rect_id < b.rect_id)"
 
@@ -97,17 +138,17 @@ def k1_select_route(s, d):
     return R.select_route(R.score_layout(V.rects(s, d), PAGE_W, PAGE_H))
 
 
-@query()
+@query(merge_sql("r", 0.25) + " select page_id, merged_id, m.x x, m.y y, m.w w, m.h h from m1", "r")
 def m1_merge_rects(s, d):
     return R.merge_rects(V.rects(s, d))
 
 
-@query()
+@query(keep_sql("w*h desc, rect_id", f"{inter('m', 'o')} > 0.85*(o.w*o.h)"), "r")
 def j3_remove_nested(s, d):
     return R.remove_nested(V.rects(s, d))
 
 
-@query()
+@query(keep_sql("w*h desc, rect_id", f"{inter('m', 'o')} / least(m.w*m.h, o.w*o.h) > 0.4"), "r")
 def j4_nms(s, d):
     return R.nms(V.rects(s, d))
 
@@ -190,12 +231,10 @@ def panel_counts(s, d):
     return panels_from_gutters(s, d).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select page_id, (row_number() over (partition by page_id order by y, x))::int panel_no, x, y, w, h from cells", "cells")
 def panels_from_gutters(s, d):
-    """The minimum slice: profile, bands, cells of each row, reading order."""
-    px = V.pixels(s, d)
-    cells = P.row_cells(px, P.profile_bands(px, "y"), RASTER_W, RASTER_H)
-    cells = cells.withColumn("rect_id", F.monotonically_increasing_id()).select("page_id", "rect_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")])
+    """The minimum slice: one row a page from pixels to cells, then reading order."""
+    cells = A.with_id(A.gutter_cells(V.rasters(s, d)))
     return R.reading_order(cells, row_gap=5.0).select("page_id", "panel_no", "x", "y", "w", "h")
 
 
@@ -288,7 +327,7 @@ def k6_top_candidates(s, d):
     return ranked.filter("r <= 3").select("page_id", "rect_id", "area")
 
 
-@query("select page_id, substr(md5('/lib/book_' || (page_id % 50) || '.pdf'), 1, 12) || '_page' || lpad(page_id::varchar, 4, '0') as store_key from (select distinct page_id from r where page_id < 10000)", "r")
+@query("select page_id, substr(md5('/lib/book_' || (page_id % 50) || '.pdf'), 1, 12) || '_page' || lpad(page_id::varchar, greatest(4, length(page_id::varchar))::int, '0') as store_key from (select distinct page_id from r)", "r")
 def s8_correction_key(s, d):
-    p = V.rects(s, d).filter("page_id < 10000").select("page_id").distinct()
+    p = V.rects(s, d).select("page_id").distinct()
     return p.select("page_id", L.correction_key(F.concat(F.lit("/lib/book_"), (F.col("page_id") % 50).cast("string"), F.lit(".pdf")), F.col("page_id")).alias("store_key"))

@@ -42,6 +42,20 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("v", F.when(white, 250).otherwise(((F.col("page_id") * 31 + x * 17 + y * 29 + x * y * 7) % 180).cast("int")))
 
 
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as pixels(), one row each: gray holds the rows of the page end to end."""
+    i = F.expr(f"sequence(0, {RASTER_W * RASTER_H - 1})")
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"))
+    white = (
+        "x < 2 or y < 2 or x > 45 or y > 61 or y between 31 and 33 or (page_id % 3 > 0 and y < 31 and x between 23 and 25) "
+        "or (page_id % 3 = 2 and y > 33 and x between 15 and 17)"
+    )
+    dark = "cast((page_id * 31 + x * 17 + y * 29 + x * y * 7) % 180 as int)"
+    at = lambda e: e.replace("x", f"(i % {RASTER_W})").replace("y", f"(i div {RASTER_W})")
+    gray = F.expr(f"transform(ids, i -> cast(if({at(white)}, 250, {at(dark)}) as smallint))")
+    return p.withColumn("ids", i).select("page_id", F.lit(RASTER_W).alias("width"), F.lit(RASTER_H).alias("height"), gray.alias("gray"))
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reader commands and corrections from events."""
     names = {"purchase": "upsert", "error": "revert", "signup": "cancel", "view": "detect", "click": "request"}
@@ -66,3 +80,13 @@ select s_suppkey page_id, y::int y, x::int x, case
 from supplier cross join (select unnest(range(64)) y) cross join (select unnest(range(48)) x)"""
 ACTIONS_SQL = """
 select event_id, ts, user_id page_id, case event_type when 'purchase' then 'upsert' when 'error' then 'revert' when 'signup' then 'cancel' when 'view' then 'detect' when 'click' then 'request' end action, value from events"""
+
+#: The panels that pixels() draws, and the cells between its gutters (which reach to the page's edges).
+PANELS_SQL = """
+select s_suppkey page_id, row_number() over (partition by s_suppkey order by y, x) panel, x::double x, y::double y, w::double w, h::double h from supplier join (values
+  (0, 2, 2, 44, 29), (0, 2, 34, 44, 28), (1, 2, 2, 21, 29), (1, 26, 2, 20, 29), (1, 2, 34, 44, 28),
+  (2, 2, 2, 21, 29), (2, 26, 2, 20, 29), (2, 2, 34, 13, 28), (2, 18, 34, 28, 28)) t(k, x, y, w, h) on s_suppkey % 3 = k"""
+CELLS_SQL = """
+select s_suppkey page_id, x::double x, y::double y, w::double w, h::double h from supplier join (values
+  (0, 0, 0, 48, 31), (0, 0, 34, 48, 30), (1, 0, 0, 23, 31), (1, 26, 0, 22, 31), (1, 0, 34, 48, 30),
+  (2, 0, 0, 23, 31), (2, 26, 0, 22, 31), (2, 0, 34, 15, 30), (2, 18, 34, 30, 30)) t(k, x, y, w, h) on s_suppkey % 3 = k"""
