@@ -156,20 +156,29 @@ def component_boxes(rasters: DataFrame, mask: Callable[[np.ndarray], np.ndarray]
     return with_id(boxes.withColumn("fill", F.col("pixels") / (F.col("w") * F.col("h"))))
 
 
-def downscaled(rasters: DataFrame, factor: float, most_width: int = 2400) -> DataFrame:
-    """Area-averaged pages at `factor`, and never wider than most_width."""
+def resized(rasters: DataFrame, factor: float, most_width: int = 2400) -> DataFrame:
+    """Pages at `factor`, never wider than most_width: smaller ones by area averages, larger ones by the nearest pixel."""
 
-    def shrink(gray: np.ndarray) -> list[tuple]:
+    def resize(gray: np.ndarray) -> list[tuple]:
         h, w = gray.shape
         f = min(factor, most_width / w)
         high, wide = max(1, int(h * f)), max(1, int(w * f))
-        ys, xs = np.minimum((np.arange(h) * high) // h, high - 1), np.minimum((np.arange(w) * wide) // w, wide - 1)
-        total, n = np.zeros((high, wide)), np.zeros((high, wide))
-        np.add.at(total, (ys[:, None], xs[None, :]), gray)
-        np.add.at(n, (ys[:, None], xs[None, :]), 1)
-        return [(wide, high, np.floor(total / np.maximum(n, 1) + 0.5).astype(np.int16).ravel().tolist())]
-
-    return per_page(rasters, shrink, MASK)
+        if f >= 1:
+            out = gray[(np.arange(high) * h) // high][:, (np.arange(wide) * w) // wide]
+        else:
+            ys, xs = (np.arange(h) * high) // h, (np.arange(w) * wide) // w
+            total, n = np.zeros((high, wide)), np.zeros((high, wide))
+            np.add.at(total, (ys[:, None], xs[None, :]), gray)
+            np.add.at(n, (ys[:, None], xs[None, :]), 1)
+            out = np.floor(total / np.maximum(n, 1) + 0.5)
+        return [(wide, high, out.astype(np.int16).ravel().tolist())]
+
+    return per_page(rasters, resize, MASK)
+
+
+def level_shares(rasters: DataFrame, levels: list[int]) -> DataFrame:
+    """(page_id, level, share): how much of a page each brightness threshold lets pass."""
+    return per_page(rasters, lambda g: [(t, float((g >= t).mean())) for t in levels], "page_id long, level int, share double")
 
 
 def tile_maps(rasters: DataFrame, grid: int = 20, dark: int = 200, edge: int = 100) -> DataFrame:

@@ -31,6 +31,13 @@ def box_filter(rects: DataFrame, page_h: float, min_area: float = 10_000, aspect
     return rects.filter((F.col("w") * F.col("h") >= min_area) & (F.col("w") / F.col("h")).between(aspect_min, aspect_max) & (F.col("y") + F.col("h") >= 0.35 * page_h))
 
 
+def editorial_boxes(boxes: DataFrame, pages: DataFrame, ink: float = 0.35, low: float = 0.25, wide: float = 0.40) -> DataFrame:
+    """boxes (with `ink`) without editorial strips: full of ink, low and wide on their page (width, height)."""
+    sized = boxes.join(pages.select("page_id", "width", "height"), "page_id")
+    strip = (F.col("ink") > ink) & (F.col("h") < low * F.col("height")) & (F.col("w") > wide * F.col("width"))
+    return sized.filter(~strip).select(*boxes.columns)
+
+
 def rect_metrics(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:
     edge = (F.col("x") <= 0) | (F.col("y") <= 0) | (F.col("x") + F.col("w") >= page_w) | (F.col("y") + F.col("h") >= page_h)
     return rects.select(

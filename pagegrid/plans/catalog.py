@@ -1,6 +1,6 @@
 """All registered queries of the page-layout operators, and their SQL."""
 
-from pagegrid.plans import layout
+from pagegrid.plans import layout, routes
 from pagegrid.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "layout"]
+__all__ = ["ORACLE_SQL", "QUERIES", "layout", "routes"]
