@@ -135,19 +135,28 @@ def union_coverage(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:
     return cells.groupBy("page_id").agg((F.sum("new") / (page_w * page_h)).alias("coverage"))
 
 
-def score_layout(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:
-    """Layout score per page and route: count, coverage, evenness and overlap."""
+def scored_layouts(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:
+    """(page_id, route, n, score, boxes): each route's layout of a page as one row with its score.
+
+    One pass: the boxes of a page and route meet once, and their pairs are looked at inside the row.
+    """
+    boxes = F.array_sort(F.collect_list(F.struct("rect_id", *BOX)))
     size = F.col("w") * F.col("h")
-    base = rects.groupBy("page_id", "route").agg(F.count("*").alias("n"), F.sum(size).alias("s"), F.min(size).alias("lo"), F.max(size).alias("hi"))
-    pairs = overlap_pairs(rects.withColumn("page_id", F.struct("page_id", "route"))).filter("iou > 0.15")
-    fine = pairs.groupBy("page_id").agg(F.sum("iou").alias("o")).select("page_id.page_id", "page_id.route", "o")
+    base = rects.groupBy("page_id", "route").agg(F.count("*").alias("n"), F.sum(size).alias("s"), F.min(size).alias("lo"), F.max(size).alias("hi"), boxes.alias("boxes"))
+    much = lambda a, b: F.when(iou(a, b) > 0.15, iou(a, b)).otherwise(0.0)
+    after = lambda i: F.slice("boxes", i + 2, F.size("boxes"))
+    overlap = F.aggregate(F.transform("boxes", lambda a, i: F.aggregate(after(i), F.lit(0.0), lambda t, b: t + much(a, b))), F.lit(0.0), lambda t, x: t + x)
     # fixed values: how good a number of panels is
     count = F.when(F.col("n").between(3, 8), 1.0).when(F.col("n").between(2, 12), 0.7).when(F.col("n") == 1, 0.3).otherwise(0.4)
     cover = F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("s") / (page_w * page_h)) / 0.75)
     even = F.when(F.col("n") == 1, 0.5).otherwise(F.greatest(F.lit(0.2), F.col("lo") / F.col("hi")))
-    clear = F.greatest(F.lit(0.0), 1 - 0.2 * F.coalesce("o", F.lit(0.0)))
-    scored = base.join(fine, ["page_id", "route"], "left")
-    return scored.select("page_id", "route", "n", F.round(0.35 * count + 0.30 * cover + 0.15 * even + 0.20 * clear, 9).alias("score"))
+    clear = F.greatest(F.lit(0.0), 1 - 0.2 * overlap)
+    return base.select("page_id", "route", "n", F.round(0.35 * count + 0.30 * cover + 0.15 * even + 0.20 * clear, 9).alias("score"), "boxes")
+
+
+def score_layout(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:
+    """Layout score per page and route: count, coverage, evenness and overlap."""
+    return scored_layouts(rects, page_w, page_h).drop("boxes")
 
 
 #: Route priority on ties (fixed order).
@@ -160,4 +169,4 @@ def select_route(scores: DataFrame) -> DataFrame:
     final = F.round(F.when(bonus, F.least(F.lit(1.0), F.col("score") + 0.06)).otherwise(F.col("score")), 9)
     order = F.array_position(F.array(*[F.lit(r) for r in ROUTES]), F.col("route"))
     ranked = scores.withColumn("final", final).withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("final"), order)))
-    return ranked.filter("r = 1").select("page_id", "route", "n", F.col("final").alias("score"))
+    return ranked.filter("r = 1").select("page_id", "route", "n", F.col("final").alias("score"), *[c for c in scores.columns if c == "boxes"])

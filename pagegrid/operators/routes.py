@@ -141,10 +141,10 @@ def union_routes(rasters: DataFrame, routes: dict) -> DataFrame:
 
 
 def core_detection(rasters: DataFrame, width: float, height: float, routes: dict | None = None, scorer: Callable | None = None) -> DataFrame:
-    """The boxes of each page's best route. scorer: (boxes, width, height) -> page_id, route, n, score."""
+    """The boxes of each page's best route. scorer: (boxes, width, height) -> page_id, route, n, score, boxes."""
     boxes = union_routes(rasters, routes or ROUTES)
-    best = R.select_route((scorer or R.score_layout)(boxes, width, height)).select("page_id", "route")
-    return boxes.join(best, ["page_id", "route"])
+    best = R.select_route((scorer or R.scored_layouts)(boxes, width, height))
+    return best.select("page_id", "route", F.explode("boxes").alias("b")).select("page_id", "route", "b.*")
 
 
 def multiscale_detection(rasters: DataFrame, width: float, height: float, scales: tuple[float, ...] = (0.6, 1.0, 1.5), **params) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pagegrid.operators.rects import score_layout
+from pagegrid.operators.rects import scored_layouts
 
 # The catalogue's layouts as shares of the page (x, y, w, h), in catalogue order.
 TEMPLATES = [
@@ -42,56 +43,64 @@ def template_to_page(templates: DataFrame, page_w: float, page_h: float) -> Data
     return templates.withColumns({c: F.col(c) * F.lit(float(size)) for c, size in sides.items()})
 
 
-def template_cells(spark: SparkSession, grid: int) -> DataFrame:
-    """(template, panel, ty, tx, inside, border) for the tiles that each panel covers or borders on."""
-    t = templates_table(spark)
-    low = lambda c: F.floor(F.col(c) * grid)
-    high = lambda c, s: F.floor((F.col(c) + F.col(s)) * grid)
-    t = t.withColumns({"x0": low("x"), "y0": low("y"), "x1": high("x", "w"), "y1": high("y", "h")})
-    cells = t.withColumn("ty", F.explode(F.sequence(F.col("y0"), F.least(F.col("y1"), F.lit(grid - 1))))).withColumn("tx", F.explode(F.sequence(F.col("x0"), F.least(F.col("x1"), F.lit(grid - 1)))))
-    inside = (F.col("ty") < F.greatest(F.col("y0") + 1, "y1")) & (F.col("tx") < F.greatest(F.col("x0") + 1, "x1"))
-    edge = lambda c, n: (F.col(f"t{c}") == F.col(f"{c}0")) | (F.col(f"t{c}") == F.least(F.col(f"{c}1"), F.lit(n - 1)))
-    return cells.select("template", "catalogue_no", "n", "panel", F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx"), inside.alias("inside"), (edge("x", grid) | edge("y", grid)).alias("border"))
+def template_masks(grid: int) -> list[dict]:
+    """Per template the tiles (numbered row by row) of each panel, of all panels, and of their borders."""
+    out = []
+    for k, (name, boxes) in enumerate(TEMPLATES):
+        panels, border = [], set()
+        for x, y, w, h in boxes:
+            x0, y0, x1, y1 = int(x * grid), int(y * grid), int((x + w) * grid), int((y + h) * grid)
+            panels.append([i * grid + j for i in range(y0, max(y0 + 1, min(y1, grid))) for j in range(x0, max(x0 + 1, min(x1, grid)))])
+            x1, y1 = min(x1, grid - 1), min(y1, grid - 1)
+            border |= {i * grid + j for i in range(y0, y1 + 1) for j in range(x0, x1 + 1) if i in (y0, y1) or j in (x0, x1)}
+        out.append({"template": name, "catalogue_no": k, "n": len(boxes), "panels": panels, "inside": sorted({i for p in panels for i in p}), "border": sorted(border)})
+    return out
+
+
+MASKS = "array<struct<template:string,catalogue_no:int,n:int,panels:array<array<int>>,inside:array<int>,border:array<int>>>"
 
 
 def score_templates(tiles: DataFrame, grid: int = 20) -> DataFrame:
     """(page_id, template, catalogue_no, n, score): ink inside panels, empty gutters, edges at borders, evenness.
 
-    The table of template cells has a fixed size (the catalogue), so it is broadcast; a page's
-    tiles come from one task, so sums are nearly complete before the shuffle.
+    A page's tiles meet once; the catalogue is a constant of the plan, and every template is scored
+    inside the page's row.
     """
-    cells = template_cells(tiles.sparkSession, grid)
-    met = tiles.join(F.broadcast(cells), ["ty", "tx"])
-    key = ["page_id", "template", "catalogue_no", "n"]
-    panels = met.filter("inside").groupBy(*key, "panel").agg(F.avg("content").alias("c")).groupBy(*key).agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"))
-    once = met.groupBy(*key, "ty", "tx").agg(F.first("content").alias("content"), F.first("edge").alias("edge"), F.max("inside").alias("inside"), F.max("border").alias("border"))
-    sums = once.groupBy(*key).agg(
-        F.sum(F.when(F.col("inside"), F.col("content"))).alias("covered"), F.sum(F.col("inside").cast("int")).alias("cells"), F.avg(F.when(F.col("border"), F.col("edge"))).alias("edges")
-    )
-    whole = tiles.groupBy("page_id").agg(F.sum("content").alias("ink"))
-    s = panels.join(sums, key).join(whole, "page_id")
-    free = F.lit(grid * grid) - F.col("cells")
-    gutter = F.when(free > 0, F.greatest(F.lit(0.0), 1 - (F.col("ink") - F.col("covered")) / free / 0.15)).otherwise(0.5)
+    pages = tiles.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ty", "tx", "content", "edge"))).alias("tiles"))
+    t = pages.select("page_id", "tiles.content", "tiles.edge", F.explode(F.from_json(F.lit(json.dumps(template_masks(grid))), MASKS)).alias("m")).select("page_id", "content", "edge", "m.*")
+    total = lambda index, of: F.aggregate(index, F.lit(0.0), lambda a, i: a + F.get(F.col(of), i))
+    mean_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    t = t.withColumn("shares", F.transform("panels", lambda p: total(p, "content") / F.size(p)))
+    t = t.withColumn("mean", mean_of(F.col("shares"))).withColumn("std", F.sqrt(mean_of(F.transform("shares", lambda s: (s - F.col("mean")) * (s - F.col("mean"))))))
+    ink = F.aggregate("content", F.lit(0.0), lambda a, x: a + x)
+    free = F.lit(grid * grid) - F.size("inside")
+    gutter = F.when(free > 0, F.greatest(F.lit(0.0), 1 - (ink - total(F.col("inside"), "content")) / free / 0.15)).otherwise(0.5)
+    edges = total(F.col("border"), "edge") / F.size("border")
     even = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), 1 - F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(1.0))).otherwise(0.5)
-    score = 0.30 * F.least(F.col("mean") / 0.3, F.lit(1.0)) + 0.30 * gutter + 0.25 * F.least(F.col("edges") / 0.15, F.lit(1.0)) + 0.15 * even
-    return s.select(*key, F.round(score, 9).alias("score"))
+    score = 0.30 * F.least(F.col("mean") / 0.3, F.lit(1.0)) + 0.30 * gutter + 0.25 * F.least(edges / 0.15, F.lit(1.0)) + 0.15 * even
+    return t.select("page_id", "template", "catalogue_no", "n", F.round(score, 9).alias("score"))
 
 
-def best_template(scores: DataFrame, detected: DataFrame, least: float = 0.45) -> DataFrame:
-    """The best template of each page; equals by nearness to the detected number of panels, then catalogue order."""
-    n = detected.groupBy("page_id").agg(F.count("*").alias("_n"))
-    ranked = scores.join(n, "page_id", "left").withColumn("_off", F.when(F.col("_n") > 0, F.abs(F.col("n") - F.col("_n"))).otherwise(0))
-    order = Window.partitionBy("page_id").orderBy(F.desc("score"), "_off", "catalogue_no")
-    return ranked.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") == 1) & (F.col("score") >= least)).select("page_id", "template", "score")
+def with_best_template(pages: DataFrame, scores: DataFrame, least: float = 0.45) -> DataFrame:
+    """pages (page_id, n: panels found) with `template` and `template_score`, null where none reaches `least`.
+
+    Equal scores go by nearness to the number found, then by catalogue order.
+    """
+    tried = scores.groupBy("page_id").agg(F.collect_list(F.struct("score", "n", "catalogue_no", "template")).alias("_tried"))
+    order = lambda t: F.struct((-t["score"]).alias("s"), F.abs(t["n"] - F.coalesce(F.col("n"), t["n"])).alias("off"), t["catalogue_no"].alias("k"), t["template"].alias("template"))
+    best = pages.join(tried, "page_id", "left").withColumn("_best", F.array_min(F.transform("_tried", order)))
+    found = -F.col("_best.s") >= least
+    return best.withColumn("template", F.when(found, F.col("_best.template"))).withColumn("template_score", F.when(found, -F.col("_best.s"))).drop("_best", "_tried")
 
 
 def refine(boxes: DataFrame, scores: DataFrame, page_w: float, page_h: float, weak: float = 0.60, good: float = 0.50) -> DataFrame:
     """boxes, but those of weak pages replaced by their best template where its own layout is better."""
-    rated = score_layout(boxes.withColumn("route", F.lit("found")), page_w, page_h).select("page_id", F.col("score").alias("_own"))
-    catalogue = template_to_page(templates_table(boxes.sparkSession), page_w, page_h).withColumn("rect_id", F.col("panel") + 1)
-    worth = score_layout(catalogue.select(F.lit(0).alias("page_id"), F.col("template").alias("route"), "rect_id", "x", "y", "w", "h"), page_w, page_h)
-    worth = worth.select(F.col("route").alias("template"), F.col("score").alias("_worth"))
-    best = best_template(scores, boxes).filter(F.col("score") >= good).join(F.broadcast(worth), "template")
-    swap = rated.filter(F.col("_own") < weak).join(best, "page_id").filter("_worth > _own").select("page_id", "template")
-    new = swap.join(F.broadcast(catalogue), "template").select("page_id", *[F.col(c).cast(boxes.schema[c].dataType).alias(c) for c in ("rect_id", "x", "y", "w", "h")])
-    return boxes.join(swap, "page_id", "left_anti").select("page_id", "rect_id", "x", "y", "w", "h").unionByName(new)
+    pages = with_best_template(scored_layouts(boxes.withColumn("route", F.lit("found")), page_w, page_h), scores)
+    catalogue = template_to_page(templates_table(boxes.sparkSession), page_w, page_h)
+    types = {c: boxes.schema[c].dataType for c in ("rect_id", "x", "y", "w", "h")}
+    catalogue = catalogue.withColumn("rect_id", F.col("panel") + 1).select(F.lit(0).alias("page_id"), F.col("template").alias("route"), *[F.col(c).cast(t).alias(c) for c, t in types.items()])
+    worth = scored_layouts(catalogue, page_w, page_h).select(F.col("route").alias("template"), F.col("score").alias("_worth"), F.col("boxes").alias("_new"))
+    both = pages.join(F.broadcast(worth), "template", "left")
+    swap = F.coalesce((F.col("score") < weak) & (F.col("template_score") >= good) & (F.col("_worth") > F.col("score")), F.lit(False))
+    out = both.select("page_id", F.explode(F.when(swap, F.col("_new")).otherwise(F.col("boxes"))).alias("b"))
+    return out.select("page_id", "b.rect_id", "b.x", "b.y", "b.w", "b.h")

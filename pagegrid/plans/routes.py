@@ -67,8 +67,10 @@ def q6_core_detection(s, d):
     return Q.core_detection(V.rasters(s, d), *SIZE, routes={"gutter": Q.gutter_route, "freeform": Q.freeform_route})
 
 
-@query(f"select page_id, ({NUMBERED} - 1)::int rect_id, x, y, w, h from cells", "cells")
+@query(f"""a as (select *, {NUMBERED} k from cells), b as (select *, {NUMBERED} k from pan)
+select page_id, (k - 1)::int rect_id, (a.x+b.x)/2 as x, (a.y+b.y)/2 as y, (a.w+b.w)/2 as w, (a.h+b.h)/2 as h from a join b using (page_id, k)""", "cells", "pan")
 def q7_multiscale_detection(s, d):
+    """At twice the size the page's white edges are wide enough to be bands, so the scales differ there."""
     return Q.multiscale_detection(V.rasters(s, d), *SIZE, scales=(1.0, 2.0), routes={"gutter": Q.gutter_route})
 
 
@@ -166,7 +168,8 @@ k as (select page_id, template from ts join d using (page_id) where score >= 0.4
 select page_id, template, panel, x*720 as x, y*910 as y, w*720 as w, h*910 as h from k join t using (template)""", "px", "cells")
 def k3_best_template(s, d):
     """The best template of each page, its panels in page points (P10)."""
-    best = T.best_template(T.score_templates(A.tile_maps(V.rasters(s, d))), Q.gutter_route(V.rasters(s, d)))
+    counts = Q.gutter_route(V.rasters(s, d)).groupBy("page_id").agg(F.count("*").alias("n"))
+    best = T.with_best_template(counts, T.score_templates(A.tile_maps(V.rasters(s, d))))
     panels = T.template_to_page(T.templates_table(s), PAGE_W, PAGE_H).select("template", "panel", "x", "y", "w", "h")
     return best.select("page_id", "template").join(F.broadcast(panels), "template")
 
