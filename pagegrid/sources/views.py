@@ -45,7 +45,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pages as pixels(), one row each: gray holds the rows of the page end to end."""
     i = F.expr(f"sequence(0, {RASTER_W * RASTER_H - 1})")
-    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"))
+    # ids are dealt out before they grow to pages
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id")).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id")
     white = (
         "x < 2 or y < 2 or x > 45 or y > 61 or y between 31 and 33 or (page_id % 3 > 0 and y < 31 and x between 23 and 25) "
         "or (page_id % 3 = 2 and y > 33 and x between 15 and 17)"
