@@ -107,67 +107,62 @@ def query_terms(batches, text_col: str):
 
 
 class Segment:
-    """One segment: each term's postings in blocks of documents, each block with its largest impact."""
+    """One segment with impacts; frequent terms as rows over all documents, with block maxima.
 
-    def __init__(self, row: dict, k1: float, b: float, mean_length: float):
+    A term is frequent if it is in one of `often` documents or more. Such lists are long and add
+    little, and they are what pruning is about: each block of documents keeps the largest impact
+    of each of them, and their postings are read for pivots only.
+    """
+
+    def __init__(self, row: dict, k1: float, b: float, mean_length: float, often: int = 12):
         get = lambda c, t: np.frombuffer(row[c].as_buffer(), t)
-        self.terms, starts, self.ids, lengths = get("terms", np.int64), get("starts", np.int64), get("ids", np.int64), get("lengths", np.int64)
-        self.docs, self.tf, self.k1 = get("docs", np.int32), get("counts", np.int32), k1
-        self.norm = k1 * (1 - b + b * lengths / max(mean_length, 1e-9))
-        self.blocks = -(-len(self.ids) // BLOCK)
-        owner = np.repeat(np.arange(len(self.terms)), np.diff(starts))
-        code = owner * self.blocks + self.docs // BLOCK
-        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-        self.posting = np.append(first, len(code)).astype(np.int32)
-        self.block = (self.docs[first] // BLOCK).astype(np.int32)
-        top = np.maximum.reduceat(self.impact(slice(None)), first) if len(first) else np.zeros(0)
-        self.top = np.nextafter(top.astype(np.float32), np.float32(np.inf))
-        self.entry = np.searchsorted(first, starts).astype(np.int32)
-
-    def impact(self, at) -> np.ndarray:
-        tf = self.tf[at].astype(np.float64)
-        return tf * (self.k1 + 1) / (tf + self.norm[self.docs[at]])
+        self.terms, self.starts, self.ids, lengths = get("terms", np.int64), get("starts", np.int64), get("ids", np.int64), get("lengths", np.int64)
+        self.docs, tf = get("docs", np.int32), get("counts", np.int32).astype(np.float64)
+        norm = k1 * (1 - b + b * lengths / max(mean_length, 1e-9))
+        self.impact = tf * (k1 + 1) / (tf + norm[self.docs])
+        self.n = len(self.ids)
+        self.counts = np.diff(self.starts)
+        frequent = np.flatnonzero(self.counts * often >= max(self.n, often * BLOCK))
+        self.row = np.full(len(self.terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.n))
+        for r, t in enumerate(frequent):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.dense[r, self.docs[at]] = self.impact[at]
+        edges = np.arange(0, self.n, BLOCK)
+        self.block_max = np.maximum.reduceat(self.dense, edges, axis=1) if self.dense.size else np.zeros((len(frequent), len(edges)))
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k best of (ids, scores) and this segment's documents, best first.
 
-        The bound of a block is the sum of its terms' block maxima. Pivots, the blocks whose bound
-        reaches the k-th best score so far, are scored in order of their bounds, more at a time as
-        the threshold settles; the first bound below it ends the search, and the postings of all
-        blocks beyond are skipped unread.
+        The rarer terms name candidates with sums of their own. A document's bound is that sum and
+        the block maxima of the frequent terms; only pivots, whose bound reaches the k-th best score
+        so far, have their frequent postings read.
         """
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         hit = self.terms[at] == terms
         t, w = at[hit], idf[hit]
-        count = self.entry[t + 1] - self.entry[t]
-        entry = ranges(self.entry[t], count)
-        weight, block = np.repeat(w, count), self.block[entry]
-        bound = np.bincount(block, weights=self.top[entry] * weight, minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        slack = 10.0**-ROUND
-        done, step = 0, 4
-        while done < len(order):
-            least = scores[-1] if len(scores) >= k else 0.0
-            pivots = order[done : done + step]
-            pivots = pivots[(bound[pivots] >= least - slack) & (bound[pivots] > 0)]
-            if not len(pivots):
-                break
-            slot = np.full(self.blocks, -1)
-            slot[pivots] = np.arange(len(pivots))
-            mine = np.flatnonzero(slot[block] >= 0)
-            start = self.posting[entry[mine]]
-            size = self.posting[entry[mine] + 1] - start
-            post = ranges(start, size)
-            d = self.docs[post]
-            got = np.bincount(slot[d // BLOCK] * BLOCK + d % BLOCK, weights=self.impact(post) * np.repeat(weight[mine], size), minlength=len(pivots) * BLOCK)
-            got = np.round(got, ROUND)
-            new = np.flatnonzero(got >= max(least, slack))
-            if len(new):
-                ids, scores = np.append(ids, self.ids[pivots[new // BLOCK] * BLOCK + new % BLOCK]), np.append(scores, got[new])
-                o = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[o], scores[o]
-            done, step = done + step, step * 2
-        return ids, scores
+        if not len(t):
+            return ids, scores
+        least, slack = scores[-1] if len(scores) >= k else 0.0, 10.0**-ROUND
+        rare = self.row[t] < 0
+        count = self.counts[t[rare]]
+        post = ranges(self.starts[t[rare]], count)
+        sums = np.bincount(self.docs[post], weights=self.impact[post] * np.repeat(w[rare], count), minlength=self.n)
+        rows, weight = self.row[t[~rare]], w[~rare]
+        # the k-th best sum so far can only grow: it is a threshold already
+        if self.n > k:
+            least = max(least, np.partition(sums, self.n - k)[self.n - k])
+        bound = sums + np.repeat(weight @ self.block_max[rows], BLOCK)[: self.n]
+        pivots = np.flatnonzero((bound >= least - slack) & (bound > 0))
+        got = sums[pivots]
+        if len(rows) and len(pivots):
+            got = got + weight @ self.dense[np.ix_(rows, pivots)]
+        got = np.round(got, ROUND)
+        new = got > 0
+        ids, scores = np.append(ids, self.ids[pivots[new]]), np.append(scores, got[new])
+        o = np.lexsort((ids, -scores))[:k]
+        return ids[o], scores[o]
 
 
 def search_shard(batches, k: int, k1: float, b: float, mean: float):
