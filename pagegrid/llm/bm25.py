@@ -166,10 +166,13 @@ class Segment:
 
 
 def search_shard(batches, k: int, k1: float, b: float, mean: float):
-    """One shard: first its segments, which stay, then all queries, which pass by."""
+    """One shard: first its segments, which stay, then all queries, which pass by a batch at a time.
+
+    A segment answers a whole batch before the next one does, so its tables stay in the cache.
+    """
     segments: list[Segment] = []
     for batch in batches:
-        out: list[tuple] = []
+        asked: list[list] = []
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
             if row["kind"].as_py() == 0:
@@ -178,11 +181,12 @@ def search_shard(batches, k: int, k1: float, b: float, mean: float):
                     segments.append(segment)
                 continue
             terms, idf = np.frombuffer(row["terms"].as_buffer(), np.int64), np.frombuffer(row["idf"].as_buffer(), np.float64)
-            ids, scores = np.zeros(0, np.int64), np.zeros(0)
-            for segment in segments:
-                ids, scores = segment.search(terms, idf, k, ids, scores)
-            if len(ids):
-                out.append((np.full(len(ids), row["qrow"].as_py()), ids, scores))
+            order = np.argsort(terms)
+            asked.append([row["qrow"].as_py(), terms[order], idf[order], np.zeros(0, np.int64), np.zeros(0)])
+        for segment in segments:
+            for q in asked:
+                q[3], q[4] = segment.search(q[1], q[2], k, q[3], q[4])
+        out = [(np.full(len(q[3]), q[0]), q[3], q[4]) for q in asked if len(q[3])]
         if out:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["qrow", "doc_id", "score"])
 
