@@ -5,6 +5,10 @@ Rules that depend on the visiting order fold one small array for each page.
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -229,6 +233,36 @@ def feature_vector(f: DataFrame) -> DataFrame:
     return f.withColumn("features", F.array(F.col("rect_count") / 12.0, "small_ratio", "margin_ratio", F.col("gutter_count") / 10.0, F.least(F.col("bg_tint_dist") / 50.0, F.lit(1.0)), "coverage", F.least("aspect_variance", F.lit(1.0))))
 
 
+STYLE_FEATURES = ["rect_count", "small_ratio", "margin_ratio", "gutter_count", "bg_tint_dist", "coverage", "aspect_variance"]
+
+
+def fit_style_model(labelled: DataFrame, features: list[str] | None = None) -> PipelineModel:
+    """A random forest on pages with features and a known `style`; nulls count as 0. Styles follow from
+    limits on features, which trees find and a linear model doesn't.
+
+    Save it with model.write().save(path) and read it with PipelineModel.load(path).
+    """
+    names = features or STYLE_FEATURES
+    indexer = StringIndexer(inputCol="style", outputCol="_label", stringOrderType="alphabetAsc").fit(labelled)
+    stages = [
+        SQLTransformer(statement="select *, " + ", ".join(f"coalesce(cast({c} as double), 0.0D) as _x_{c}" for c in names) + " from __THIS__"),
+        VectorAssembler(inputCols=[f"_x_{c}" for c in names], outputCol="_features"),
+        RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_class", probabilityCol="_share", rawPredictionCol="_raw", numTrees=40, maxDepth=8, seed=1),
+        IndexToString(inputCol="_class", outputCol="_style", labels=indexer.labels),
+    ]
+    return Pipeline(stages=stages).fit(indexer.transform(labelled))
+
+
+def classify_style(f: DataFrame, model: PipelineModel | None = None) -> DataFrame:
+    """f with `style` and `confidence`: by the trained model if there is one, else by the rules."""
+    if model is None:
+        scored, total = style_scores(f), F.col("classic") + F.col("modern")
+        sure = F.when(total > 0, F.greatest("classic", "modern") / total).otherwise(0.5)
+        return scored.withColumn("confidence", sure).drop("classic", "modern")
+    known = model.transform(f.drop("style", "confidence"))
+    return known.select(*f.drop("style", "confidence").columns, F.col("_style").alias("style"), F.array_max(vector_to_array("_share")).alias("confidence"))
+
+
 def splash_fallback(rects: DataFrame, before: DataFrame, pages: DataFrame, page_w: float, page_h: float) -> DataFrame:
     """Pages that are one picture get one whole-page box; emptied modern pages get `before` back.
 

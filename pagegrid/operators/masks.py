@@ -33,25 +33,36 @@ def background_mask(pixels: DataFrame, background: DataFrame, delta: float = 12.
     return joined.select("page_id", "y", "x", near.alias("is_bg"))
 
 
+def surely_background(light: Column, border: Column, frac: Column) -> Column:
+    """Bright and at the border, or holding much of the border."""
+    return (frac >= 0.05) & (((light > 140) & (border >= 0.15)) | (border >= 0.40))
+
+
+def maybe_background(light: Column, frac: Column) -> Column:
+    """Large and bright enough to stand in where no cluster is surely background."""
+    return (light > 120) & (frac > 0.08)
+
+
 def background_clusters(clusters: DataFrame) -> DataFrame:
     """Clusters (page_id, cluster_id, L, border, frac) that are background.
 
     Bright ones at the border, or ones that hold much of the border; where a page has none, its
     largest bright cluster.
     """
-    big = F.col("frac") >= 0.05
-    sure = ((F.col("L") > 140) & (F.col("border") >= 0.15) & big) | ((F.col("border") >= 0.40) & big)
     page = Window.partitionBy("page_id")
-    marked = clusters.withColumn("_sure", sure).withColumn("_any", F.max("_sure").over(page)).withColumn("_spare", (F.col("L") > 120) & (F.col("frac") > 0.08))
+    marked = clusters.withColumn("_sure", surely_background(F.col("L"), F.col("border"), F.col("frac"))).withColumn("_any", F.max("_sure").over(page))
+    marked = marked.withColumn("_spare", maybe_background(F.col("L"), F.col("frac")))
     first = F.row_number().over(page.orderBy(F.desc("_spare"), F.desc("frac"), "cluster_id")) == 1
     return marked.withColumn("_first", first).filter("_sure or (not _any and _spare and _first)").drop("_sure", "_any", "_spare", "_first")
 
 
 def dominant_background(clusters: DataFrame, pages: DataFrame) -> DataFrame:
-    """L of the background cluster with most border, else of the brightest one, else 255."""
-    bg = background_clusters(clusters).groupBy("page_id").agg(F.max(F.struct("border", "L")).alias("b"))
-    top = clusters.groupBy("page_id").agg(F.max("L").alias("t"))
-    return pages.select("page_id").join(bg, "page_id", "left").join(top, "page_id", "left").select("page_id", F.coalesce("b.L", "t", F.lit(255.0)).alias("L"))
+    """(page_id, L, A, B) of the background cluster with most border, else of the brightest one, else white."""
+    bg = background_clusters(clusters).groupBy("page_id").agg(F.max(F.struct("border", *CHANNELS)).alias("b"))
+    top = clusters.groupBy("page_id").agg(F.max(F.struct(*CHANNELS)).alias("t"))
+    both = pages.select("page_id").join(bg, "page_id", "left").join(top, "page_id", "left")
+    white = {"L": 255.0, "A": 128.0, "B": 128.0}
+    return both.select("page_id", *[F.coalesce(f"b.{c}", f"t.{c}", F.lit(white[c])).alias(c) for c in CHANNELS])
 
 
 def _box_mean(k: int) -> tuple[Window, Window]:

@@ -99,28 +99,6 @@ def p5_background_mask(s, d):
     return mask.groupBy("page_id").agg(F.count_if("is_bg").alias("n_background"), F.count("*").alias("n"))
 
 
-CLUSTERS_SQL = """cl as (select page_id, rect_id cluster_id, (x*3) % 256 l, (y % 60)/100.0::double border, (w % 30)/100.0::double frac from r),
-s1 as (select *, (l > 140 and border >= 0.15::double and frac >= 0.05::double) or (border >= 0.4::double and frac >= 0.05::double) sure, l > 120 and frac > 0.08::double spare from cl),
-s2 as (select *, bool_or(sure) over (partition by page_id) anyone, row_number() over (partition by page_id order by spare desc, frac desc, cluster_id) k from s1),
-bgc as (select page_id, cluster_id, l, border from s2 where sure or (not anyone and spare and k = 1))"""
-
-
-def clusters(s, d):
-    r = V.rects(s, d)
-    return r.select("page_id", F.col("rect_id").alias("cluster_id"), ((F.col("x") * 3) % 256).alias("L"), ((F.col("y") % 60) / 100.0).alias("border"), ((F.col("w") % 30) / 100.0).alias("frac"))
-
-
-@query(f"{CLUSTERS_SQL} select page_id, cluster_id, l from bgc", "r")
-def f13_background_clusters(s, d):
-    return M.background_clusters(clusters(s, d)).select("page_id", "cluster_id", F.col("L").alias("l"))
-
-
-@query(f"{CLUSTERS_SQL} select page_id, coalesce((select max_by(l, border*1000000+l) from bgc where bgc.page_id = p.page_id), m) l from (select page_id, max(l) m from cl group by 1) p", "r")
-def a12_dominant_background(s, d):
-    c = clusters(s, d)
-    return M.dominant_background(c, c.select("page_id").distinct()).select("page_id", F.col("L").alias("l"))
-
-
 @query("""a as (select *, sum(v) over w s, count(*) over w n from px window w as (partition by page_id, y order by x rows between 5 preceding and 5 following)),
 c as (select page_id, v, sum(s) over w s, sum(n) over w n from a window w as (partition by page_id, x order by y rows between 5 preceding and 5 following))
 select page_id, count(*) n_dark from c where v*n <= s - 5*n group by 1""", "px")

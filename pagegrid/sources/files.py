@@ -20,6 +20,11 @@ def read_pages(spark: SparkSession, path: str, dpi: int = 150) -> DataFrame:
     return page_dims(pages, dpi)
 
 
+def unreadable_pages(spark: SparkSession, path: str) -> DataFrame:
+    """`origin` of the images that read_pages drops."""
+    return spark.read.format("image").load(path).select("image.origin", "image.nChannels").filter("nChannels < 0").select("origin")
+
+
 def page_dims(pages: DataFrame, dpi: int = 150) -> DataFrame:
     """Size in points of pages with width and height in pixels."""
     return pages.withColumn("width_pt", F.col("width") * 72.0 / dpi).withColumn("height_pt", F.col("height") * 72.0 / dpi)
@@ -50,13 +55,15 @@ def read_panel_json(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("image_path", F.col("p.index").alias("rect_id"), "p.x", "p.y", F.col("p.width").alias("w"), F.col("p.height").alias("h"))
 
 
-def write_panel_json(rects: DataFrame, path: str, width: int, height: int) -> None:
-    """One record for each image_path, panels numbered from 1 in the order of rect_id."""
+def write_panel_json(rects: DataFrame, path: str, width: int, height: int, parameters: dict[str, str | float | list] | None = None) -> None:
+    """One record for each image_path, panels numbered from 1 in the order of rect_id; parameters: the detection's settings."""
     panel = F.struct(F.col("rect_id").cast("int").alias("index"), *[F.round(a).cast("int").alias(b) for a, b in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))])
     files = rects.groupBy("image_path").agg(F.array_sort(F.collect_list(panel)).alias("p"))
     numbered = F.transform("p", lambda p, i: p.withField("index", (i + 1).cast("int")))
     size = F.struct(F.lit(width).alias("width"), F.lit(height).alias("height"))
-    files.select("image_path", size.alias("image_size"), F.size("p").alias("num_panels"), numbered.alias("panels")).write.mode("overwrite").json(path)
+    values = {k: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v) for k, v in (parameters or {}).items()}
+    settings = [F.struct(*[v.alias(k) for k, v in values.items()]).alias("parameters")] if values else []
+    files.select("image_path", size.alias("image_size"), F.size("p").alias("num_panels"), *settings, numbered.alias("panels")).write.mode("overwrite").json(path)
 
 
 def report_lines(rects: DataFrame, scale: float) -> DataFrame:

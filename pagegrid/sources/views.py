@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,6 +59,32 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("ids", i).select("page_id", F.lit(RASTER_W).alias("width"), F.lit(RASTER_H).alias("height"), gray.alias("gray"))
 
 
+# colours of the papers and of three panels; the first paper is plain white
+PAPERS = [(250, 250, 250), (240, 225, 190), (170, 170, 170), (25, 25, 30)]
+INKS = [(150, 40, 40), (120, 120, 120), (40, 60, 140)]
+#: 0 is paper, 1 to 3 are panels; on every fifth page the panels are bands that reach the edges.
+TONE = (
+    "case when page_id % 5 = 4 then case when y < 20 then 1 when y < 22 then 0 when y < 42 then 2 when y < 44 then 0 else 3 end "
+    "when x < 2 or y < 2 or x > 45 or y > 61 or y between 31 and 33 or (y < 31 and x between 23 and 25) then 0 "
+    "when y > 33 then 3 when x < 24 then 1 else 2 end"
+)
+
+
+def _colour(channel: int, paper: str, tone: str) -> str:
+    papers = " ".join(f"when {i} then {c[channel]}" for i, c in enumerate(PAPERS))
+    inks = " ".join(f"when {i} then {c[channel]}" for i, c in enumerate(INKS, 1))
+    return f"case {tone} {inks} else case {paper} {papers} end end"
+
+
+def colour_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of four flat colours per supplier, one row each: channels r, g, b hold its rows end to end."""
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id")).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id")
+    tones = "transform(sequence(0, {}), i -> {})".format(RASTER_W * RASTER_H - 1, re.sub(r"\bx\b", f"(i % {RASTER_W})", re.sub(r"\by\b", f"(i div {RASTER_W})", TONE)))
+    p = p.withColumn("tones", F.expr(tones)).withColumn("paper", F.expr(f"int(page_id div 5 % {len(PAPERS)})"))
+    channels = [F.expr(f"transform(tones, t -> cast({_colour(k, 'paper', 't')} as smallint))").alias(c) for k, c in enumerate("rgb")]
+    return p.select("page_id", F.lit(RASTER_W).alias("width"), F.lit(RASTER_H).alias("height"), *channels)
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reader commands and corrections from events."""
     names = {"purchase": "upsert", "error": "revert", "signup": "cancel", "view": "detect", "click": "request"}
@@ -79,6 +107,10 @@ select s_suppkey page_id, y::int y, x::int x, case
     or (s_suppkey%3=2 and y>33 and x between 15 and 17) then 250
   else cast((s_suppkey*31+x*17+y*29+x*y*7)%180 as int) end v
 from supplier cross join (select unnest(range(64)) y) cross join (select unnest(range(48)) x)"""
+COLOURS_SQL = f"""
+select page_id, y, x, {", ".join(f"{_colour(k, 'paper', 'tone')} {c}" for k, c in enumerate("rgb"))}
+from (select *, {TONE} tone, page_id // 5 % {len(PAPERS)} paper from (select s_suppkey page_id, y::int y, x::int x
+  from supplier cross join (select unnest(range(64)) y) cross join (select unnest(range(48)) x)))"""
 ACTIONS_SQL = """
 select event_id, ts, user_id page_id, case event_type when 'purchase' then 'upsert' when 'error' then 'revert' when 'signup' then 'cancel' when 'view' then 'detect' when 'click' then 'request' end action, value from events"""
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagegrid.operators.library import latest_by_page, pending_pages
+from pagegrid.operators.library import latest_by_page
 
 
 def latest_tasks(actions: DataFrame) -> DataFrame:
@@ -32,21 +34,30 @@ def detection_metrics(actions: DataFrame, late: str = "10 minutes", window: str
     return by.agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select("w.start", "w.end", "action", "n", "mean_value")
 
 
+def _results(spark: SparkSession, out: str, config_hash: str) -> DataFrame | None:
+    """Pages (page_id, run) that have results under a hash; only its folder is listed."""
+    try:
+        return spark.read.schema("page_id long, run string").parquet(f"{out}/config_hash={config_hash}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # the hash's first batch
+
+
 def detect_stream(pages: DataFrame, detect: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, config_hash: str) -> StreamingQuery:
-    """Runs detect on new pages and writes results under the configuration's hash.
+    """Runs detect on new pages; results go to {out}/config_hash=.../run=..., a run being one batch of one checkpoint.
 
-    A batch's folder is overwritten when it is run again, and pages that have a result under the
-    hash are left out, so restarts and new configurations (a new hash) need no deletes.
+    Each hash keeps its own progress under `checkpoint`, so a new configuration sees all pages again. A
+    batch that is run again replaces its own results and no others, and pages that have results under
+    the hash, from whatever checkpoint, are left out.
     """
     spark = pages.sparkSession
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def batch(df: DataFrame, number: int) -> None:
-        wanted = df.withColumn("config_hash", F.lit(config_hash))
-        done = spark.createDataFrame([], "page_id long, config_hash string, batch long")
-        if number:
-            done = spark.read.schema("page_id long, config_hash string, batch long").option("recursiveFileLookup", "true").parquet(out).filter(F.col("batch") < number)
-        todo = pending_pages(wanted, done)
-        found = detect(todo.drop("config_hash")).withColumn("config_hash", F.lit(config_hash)).withColumn("batch", F.lit(number).cast("long"))
-        found.write.mode("overwrite").parquet(f"{out}/{config_hash}-{number}")
-
-    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run = f"{source}-{number}"
+        done = _results(spark, out, config_hash)
+        todo = df if done is None else df.join(done.filter(F.col("run") != run).select("page_id").distinct(), "page_id", "left_anti")
+        detect(todo).write.mode("overwrite").parquet(f"{out}/config_hash={config_hash}/run={run}")
+
+    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/{config_hash}").trigger(availableNow=True).start()
