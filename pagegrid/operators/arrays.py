@@ -126,18 +126,25 @@ def gradient(gray: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(mask: np.ndarray) -> list[tuple]:
-    """(x, y, w, h, pixels) of the eight-connected components, by their first pixel."""
+def component_labels(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """The first pixel of each pixel's component, height x width where there is none; 8-connected, or 4-connected."""
     h, w = mask.shape
     none = h * w
+    steps = [(dy, dx) for dy in range(3) for dx in range(3) if diagonal or 1 in (dy, dx)]
     label = np.where(mask, np.arange(none).reshape(h, w), none)
     while True:
         wide = np.pad(label, 1, constant_values=none)
-        least = np.minimum.reduce([wide[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)])
+        least = np.minimum.reduce([wide[dy : dy + h, dx : dx + w] for dy, dx in steps])
         least = np.where(mask, np.append(least.ravel(), none)[least], none)
         if (least == label).all():
-            break
+            return label
         label = least
+
+
+def components(mask: np.ndarray, diagonal: bool = True) -> list[tuple]:
+    """(x, y, w, h, pixels) of the components, by their first pixel."""
+    h, w = mask.shape
+    label = component_labels(mask, diagonal)
     ys, xs = np.nonzero(mask)
     _, part = np.unique(label[mask], return_inverse=True)
     n = int(part.max()) + 1 if len(part) else 0
@@ -150,9 +157,22 @@ def components(mask: np.ndarray) -> list[tuple]:
     return [(float(a), float(b), float(c - a + 1), float(d - b + 1), int(s)) for a, b, c, d, s in zip(x0, y0, x1, y1, size, strict=True)]
 
 
-def component_boxes(rasters: DataFrame, mask: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Boxes of a mask's components with their pixels, fill (share of the box) and rect_id."""
-    boxes = per_page(rasters, lambda gray: components(mask(gray)), BOX + ", pixels long")
+def holes(mask: np.ndarray) -> np.ndarray:
+    """Pixels outside the mask that it encloses: no path over sides leads them to the page's edge."""
+    label = component_labels(~mask, diagonal=False)
+    outside = np.unique(np.concatenate([label[0], label[-1], label[:, 0], label[:, -1]]))
+    return ~mask & ~np.isin(label, outside)
+
+
+def outlines(mask: np.ndarray) -> list[tuple]:
+    """Boxes of what a mask's lines enclose, one for each hole, and of its components with their holes filled."""
+    inside = holes(mask)
+    return components(mask | inside) + components(inside, diagonal=False)
+
+
+def component_boxes(rasters: DataFrame, mask: Callable[[np.ndarray], np.ndarray], find: Callable[[np.ndarray], list[tuple]] = components) -> DataFrame:
+    """Boxes of a mask's components (or outlines) with their pixels, fill (share of the box) and rect_id."""
+    boxes = per_page(rasters, lambda gray: find(mask(gray)), BOX + ", pixels long")
     return with_id(boxes.withColumn("fill", F.col("pixels") / (F.col("w") * F.col("h"))))
 
 

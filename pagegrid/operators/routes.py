@@ -44,8 +44,8 @@ def hierarchy_filter(found: DataFrame, min_share: float = 0.008, max_share: floa
 
 
 def hierarchy_route(rasters: DataFrame, steep: int = 100, most: int = 16, merge: float = 0.30) -> DataFrame:
-    """Outlines: the components of closed edges, the largest of them, merged and without nested ones."""
-    found = A.component_boxes(rasters, lambda g: A.closed(A.closed(A.gradient(g) > steep, 1), 1))
+    """Outlines: what closed edges enclose, the largest of them, merged and without nested ones."""
+    found = A.component_boxes(rasters, lambda g: A.closed(A.closed(A.gradient(g) > steep, 1), 1), A.outlines)
     fine = hierarchy_filter(_page_share(found, rasters))
     rank = F.row_number().over(Y._page().orderBy(F.desc("pixels"), "rect_id"))
     best = fine.withColumn("_r", rank).filter(F.col("_r") <= most)

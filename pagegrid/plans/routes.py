@@ -23,6 +23,11 @@ NUMBERED = "row_number() over (partition by page_id order by y, x)"
 COMPONENTS = f"c as (select page_id, {NUMBERED}::int rect_id, x, y, w, h, w*h/3072.0::double share from pan)"
 
 
+def flat(s, d):
+    """The pages with all ink in one tone, so that the only edges are the panels' rims."""
+    return V.rasters(s, d).withColumn("gray", F.transform("gray", lambda v: F.when(v < 225, 40).otherwise(v).cast("smallint")))
+
+
 def parts(s, d):
     return Q._page_share(A.component_boxes(V.rasters(s, d), lambda g: g < 225), V.rasters(s, d))
 
@@ -40,13 +45,13 @@ def q2_line_route(s, d):
 @query(f"select page_id, ({NUMBERED} - 1)::int rect_id, x, y, w, h from pan", "pan")
 def q3_adaptive_route(s, d):
     """On pages whose ink is one tone: the local threshold sees panels against their gutters."""
-    flat = V.rasters(s, d).withColumn("gray", F.transform("gray", lambda v: F.when(v < 225, 40).otherwise(v).cast("smallint")))
-    return Q.adaptive_route(flat, block=101)
+    return Q.adaptive_route(flat(s, d), block=101)
 
 
-@query()
+@query(f"select page_id, ({NUMBERED} - 1)::int rect_id, x+1 as x, y+1 as y, w-2 as w, h-2 as h from pan", "pan")
 def q4_hierarchy_route(s, d):
-    return Q.hierarchy_route(V.rasters(s, d))
+    """On pages whose ink is one tone: edges lie on both sides of a panel's rim and enclose what is inside it."""
+    return Q.hierarchy_route(flat(s, d))
 
 
 @query(f"select page_id, {NUMBERED}::int rect_id, x, y, w, h from pan", "pan")

@@ -136,3 +136,22 @@ def test_scales_agree_on_drawn_panels(spark, share):
     page = rasters(spark, outlined(400, 300, ((20, 20, 260, 160), (20, 210, 120, 170), (160, 210, 120, 170))))
     got = Q.multiscale_detection(page, 300.0, 400.0, scales=(share, 1.0), routes={"freeform": Q.freeform_route})
     assert got.count() == 3
+
+
+def test_outlines_are_told_by_what_they_enclose(spark):
+    """Thin frames, one inside another and one with a gap, and a diagonal outline that sides cannot leave."""
+    gray = np.full((60, 80), 255)
+    for x0, y0, x1, y1 in ((5, 5, 35, 55), (45, 5, 75, 30), (50, 10, 70, 25)):
+        gray[[y0, y1], x0 : x1 + 1] = 0
+        gray[y0 : y1 + 1, [x0, x1]] = 0
+    gray[40:56, 45], gray[40:56, 75], gray[40, 45:76], gray[55, 45:60] = 0, 0, 0, 0  # open at the bottom
+    mask = gray == 0
+    want = {(6.0, 6.0, 29.0, 49.0), (46.0, 6.0, 29.0, 24.0), (51.0, 11.0, 19.0, 14.0)}
+    assert {b[:4] for b in A.components(A.holes(mask), diagonal=False)} == want
+    assert {b[:4] for b in A.outlines(mask)} - want == {(5.0, 5.0, 31.0, 51.0), (45.0, 5.0, 31.0, 26.0), (45.0, 40.0, 31.0, 16.0)}
+    diamond = np.abs(np.arange(11)[:, None] - 5) + np.abs(np.arange(11)[None] - 5) == 4
+    assert A.holes(diamond).sum() == 25 and not A.holes(np.zeros((4, 4), bool)).any()
+    page = spark.createDataFrame([(1, 80, 60, gray.ravel().tolist())], A.MASK)
+    boxes = Q.hierarchy_route(page).collect()
+    assert any(abs(b.x - 4) <= 1 and abs(b.w - 33) <= 2 and abs(b.h - 53) <= 2 for b in boxes)
+    assert all(b.x < 40 or b.y < 35 for b in boxes)  # the open one encloses nothing
