@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +41,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, bucket_bytes: int = 32
     shard and slot (gapless from 0 in each shard).
 
     Bucket sizes follow from the rows' digests, so offsets cost a scan and a table with one row for
-    each bucket, which meets the buckets in a cogroup. A lost executor repeats its tasks with the
+    each bucket, which travels to the bucket as a row of its own. A lost executor repeats its tasks with the
     same result. Where copies of one row would overfill a bucket (the scan shows it), they are
     dealt out by a salt, and the salted table is written first.
 
@@ -66,17 +67,26 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, bucket_bytes: int = 32
         counts = sizes(rows).groupBy("_bucket").agg(F.count("*").alias("_rows"))
     else:
         counts = counted.groupBy("_bucket").agg(F.sum("_copies").alias("_rows"))
-    scattered = sizes(rows).drop("_salt", "_bytes")
+    scattered = sizes(rows).select("_bucket", "_id", "_tie", "_row", F.lit(None).cast("long").alias("_start"))
     schema = scattered.select("_row", F.lit(0).cast("long").alias("_pos")).schema
-
-    def shuffled(key, table: pa.Table, start: pa.Table) -> pa.Table:
-        m = table.num_rows
-        by = table.select(["_id", "_tie"]).append_column("_at", pa.array(np.arange(m))).sort_by([("_id", "ascending"), ("_tie", "ascending")])["_at"]
-        mixed = by.take(pa.array(fisher_yates(m, np.random.default_rng([seed, key[0].as_py()]))))
-        return table.take(mixed).select(["_row"]).append_column("_pos", pa.array(start.column("_start")[0].as_py() + np.arange(m, dtype=np.int64)))
-
-    both = [d.repartition(buckets, "_bucket").groupBy("_bucket") for d in (scattered, _starts(counts))]
-    placed = both[0].cogroup(both[1]).applyInArrow(shuffled, schema)
+    starts = _starts(counts).select(F.col("_bucket").cast("int").alias("_bucket"), "_start")
+
+    def shuffled(batches):
+        batches = [x for x in batches if x.num_rows]
+        table = pa.Table.from_batches(batches) if batches else None
+        for bucket in pc.unique(table["_bucket"]).to_pylist() if batches else []:
+            part = table.filter(pc.equal(table["_bucket"], bucket))
+            is_start = part["_start"].is_valid()
+            start = part.filter(is_start)["_start"][0].as_py()
+            part = part.filter(pc.invert(is_start)).select(["_id", "_tie", "_row"])
+            m = part.num_rows
+            by = part.select(["_id", "_tie"]).append_column("_at", pa.array(np.arange(m))).sort_by([("_id", "ascending"), ("_tie", "ascending")])["_at"]
+            mixed = by.take(pa.array(fisher_yates(m, np.random.default_rng([seed, bucket]))))
+            yield from part.select(["_row"]).take(mixed).append_column("_pos", pa.array(start + np.arange(m, dtype=np.int64))).to_batches()
+
+    # a bucket's number is its partition's, so no two buckets meet in a task
+    both = scattered.unionByName(starts, allowMissingColumns=True).repartitionById(buckets, F.col("_bucket"))
+    placed = both.mapInArrow(shuffled, schema)
     shard = F.expr(f"(_pos * {shards}) div {max(n, 1)}").cast("int")
     first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
     placed = placed.withColumn("shard", shard).withColumn("slot", (F.col("_pos") - first).cast("long"))
