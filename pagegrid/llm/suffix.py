@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,6 +250,22 @@ def radix_windows(table: pa.Table, length: int, most: int = 1 << 20) -> pa.Table
     return pa.table({"id": pa.array(cat[0]), "rk": pa.array(cat[1]), "lo": pa.array(cat[2]), "n": pa.array(cat[3])})
 
 
+def each_bucket(batches, column: str, work):
+    """work(rows) for each bucket of a partition; rows that only pass through (below 0) don't wait for the rest."""
+    held = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        passing = pc.less(table[column], 0)
+        settled = table.filter(passing)
+        if settled.num_rows:
+            yield from work(settled).to_batches()
+        held.append(table.filter(pc.invert(passing)))
+    table = pa.concat_tables(held) if held else None
+    buckets = pc.unique(table[column]).to_pylist() if held else []
+    for bucket in buckets:
+        yield from work(table if len(buckets) == 1 else table.filter(pc.equal(table[column], bucket))).to_batches()
+
+
 def erase(batches, length: int):
     """Cut the marked windows out of each text."""
     for batch in batches:
@@ -304,14 +321,16 @@ def erase_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(spark), -(-total // (16 << 20)))
     blocks = keyed.mapInArrow(lambda it: shipped_runs(it, length, gram, buckets), "bucket int, docs binary, runs binary")
-    settled = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle_runs, "id long, rk long, lo int, n int, h long, look int")
+    settled = blocks.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)))
+    settled = settled.mapInArrow(lambda it: each_bucket(it, "bucket", settle_runs), "id long, rk long, lo int, n int, h long, look int")
     runs = keep(settled, "suffix-runs")
 
     asked = runs.filter("look > 0").groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "n", "h", "look")).alias("asked"))
     by_id = keyed.withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
     contexts = by_id.join(asked, ["id", "rk"]).select("id", "rk", "text", "asked")
     contexts = contexts.mapInArrow(lambda it: cut_contexts(it, length, buckets), "id long, rk long, lo int, n int, h long, b int, part binary")
-    windows = contexts.repartition(buckets, "b").groupBy("b").applyInArrow(lambda t: radix_windows(t, length), "id long, rk long, lo int, n int")
+    dealt = contexts.repartitionById(buckets, F.pmod("b", F.lit(buckets)))
+    windows = dealt.mapInArrow(lambda it: each_bucket(it, "b", lambda t: radix_windows(t, length)), "id long, rk long, lo int, n int")
     marked = keep(windows.unionByName(runs.filter("look = 0").select("id", "rk", "lo", "n")), "suffix-marks")
     drop(runs)
 
