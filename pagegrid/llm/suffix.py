@@ -32,6 +32,8 @@ LAST = 2**63 - 1
 LOW48 = U(2**48 - 1)
 #: Runs of one anchor to look into, beyond which its windows part.
 HOT = 2000
+#: Anchors known as frequent before the first pass, at most.
+MOST_FREQUENT = 20_000
 
 
 def pack_runs(h, t, doc, lo, n) -> bytes:
@@ -83,8 +85,21 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int, cache
     return least[first] & LOW48, rolling.of(lo, lo + count + length - 1), row, lo - offs[row], count
 
 
-def shipped_runs(batches, length: int, gram: int, buckets: int):
-    """Per chunk of documents and bucket, a block of runs; a run that the chunk holds in a smaller document goes as found."""
+def count_anchors(batches, length: int, gram: int):
+    """Anchors of each chunk of documents and how many runs they have."""
+    cache: dict = {}
+    for batch in batches:
+        buf, offs = bytes_of(batch.column("text"))
+        for a, b in chunks(offs, CHUNK):
+            h, n = np.unique(anchor_runs(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], length, gram, cache)[0], return_counts=True)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+
+def shipped_runs(batches, length: int, gram: int, buckets: int, frequent: np.ndarray):
+    """Per chunk of documents and bucket, a block of runs; a run that the chunk holds in a smaller document goes as found.
+
+    Runs of one anchor share a bucket; those of a frequent anchor only with the runs equal to them.
+    """
     cache: dict = {}
     for batch in batches:
         buf_all, offs_all = bytes_of(batch.column("text"))
@@ -102,23 +117,26 @@ def shipped_runs(batches, length: int, gram: int, buckets: int):
             new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
             # a run that this chunk holds in a smaller document is settled; it only passes through
             settled = doc > doc[new][np.cumsum(new) - 1]
-            where = np.where(settled, -1 - int(ids[a] % buckets), (h % U(buckets)).astype(np.int64))
+            route = np.where(np.isin(h, frequent), t, h) % U(buckets)
+            where = np.where(settled, -1 - int(ids[a] % buckets), route.astype(np.int64))
             by = np.argsort(where, kind="stable")
-            where = where[by]
             known = np.stack([ids[a:b], keys[a:b]], 1)
-            for k in np.split(by, np.flatnonzero(np.diff(where)) + 1):
+            for k in np.split(by, np.flatnonzero(np.diff(where[by])) + 1):
                 used, local = np.unique(row[k], return_inverse=True)
                 for x in range(0, len(used), 65_536):
                     m = (local >= x) & (local < x + 65_536)
-                    out_bucket.append(-1 - int(ids[a] % buckets) if settled[k[0]] else int(h[k[0]] % U(buckets)))
+                    out_bucket.append(int(where[k[0]]))
                     out_docs.append(known[used[x : x + 65_536]].tobytes())
                     out_runs.append(pack_runs(h[k][m], t[k][m], local[m] - x, lo[k][m], n[k][m]))
         if out_bucket:
             yield pa.record_batch([pa.array(out_bucket, pa.int32()), pa.array(out_docs, pa.binary()), pa.array(out_runs, pa.binary())], names=["bucket", "docs", "runs"])
 
 
-def settle_runs(table: pa.Table) -> pa.Table:
-    """First two passes in one bucket: whole runs that a smaller document holds, and runs to look into."""
+def settle_runs(table: pa.Table, frequent: np.ndarray) -> pa.Table:
+    """First two passes in one bucket: whole runs that a smaller document holds, and runs to look into.
+
+    Open runs of frequent anchors are all looked into, as their anchor's other runs are elsewhere.
+    """
     parts, who = [], []
     for d, r in zip(table.column("docs"), table.column("runs"), strict=True):
         parts.append(unpack_runs(np.frombuffer(r.as_buffer(), np.uint8)))
@@ -137,8 +155,9 @@ def settle_runs(table: pa.Table) -> pa.Table:
         found = ids > ids[new_t][np.cumsum(new_t) - 1]
         edges = np.flatnonzero(new_h)
         several = np.minimum.reduceat(ids, edges) < np.maximum.reduceat(ids, edges)
-        look = (~found & (several & (np.bincount(group, weights=new_t) > 1))[group]).astype(np.int32)
-        look += look * (np.bincount(group, weights=look) > HOT)[group]
+        apart = np.isin(h, frequent)
+        look = (~found & (apart | (several & (np.bincount(group, weights=new_t) > 1))[group])).astype(np.int32)
+        look += look * (apart | (np.bincount(group, weights=look) > HOT)[group])
     stay = found | (look > 0)
     return pa.table({
         "id": pa.array(ids[stay]), "rk": pa.array(keys[stay]), "lo": pa.array(lo[stay].astype(np.int32)), "n": pa.array(n[stay].astype(np.int32)),
@@ -300,7 +319,7 @@ def erase(batches, length: int):
         )
 
 
-def erase_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFrame:
+def erase_repeats(docs: DataFrame, length: int = 50, gram: int = 20, sample: int = 64, frequent_runs: int = 1 << 16) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts in a smaller document.
 
     docs needs doc_id and text; texts are UTF-8 bytes and matches never cross documents. Strings
@@ -308,7 +327,9 @@ def erase_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     removed runs), kept (bytes), kept_sha256 and spans (start, end in bytes).
 
     Whole runs are compared by 112 bits of digests, all other windows byte by byte. Buckets grow
-    in number with the text and each is a task, so tasks stay near 30 MB.
+    in number with the text and each is a task, so tasks stay near 30 MB. An anchor that has about
+    frequent_runs runs or more, by the documents whose digest falls in one of `sample` parts, has
+    its runs dealt out by their own digests; which anchors these are changes no result.
     Defined cases: a null text is empty; rows with one doc_id never erase one another; a null
     doc_id is above all others; texts shorter than length stay; repeated rows each get their row;
     a long text is cut like any other; columns other than doc_id and text are not looked at and
@@ -320,9 +341,12 @@ def erase_repeats(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFram
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("rk"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(spark), -(-total // (16 << 20)))
-    blocks = keyed.mapInArrow(lambda it: shipped_runs(it, length, gram, buckets), "bucket int, docs binary, runs binary")
+    tally = keyed.filter(F.pmod(F.xxhash64(F.lit(1), "rk"), F.lit(sample)) == 0).mapInArrow(lambda it: count_anchors(it, length, gram), "h long, n long")
+    tally = tally.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") * sample >= frequent_runs)
+    frequent = np.array([r.h for r in tally.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()], np.int64).view(U)
+    blocks = keyed.mapInArrow(lambda it: shipped_runs(it, length, gram, buckets, frequent), "bucket int, docs binary, runs binary")
     settled = blocks.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)))
-    settled = settled.mapInArrow(lambda it: each_bucket(it, "bucket", settle_runs), "id long, rk long, lo int, n int, h long, look int")
+    settled = settled.mapInArrow(lambda it: each_bucket(it, "bucket", lambda t: settle_runs(t, frequent)), "id long, rk long, lo int, n int, h long, look int")
     runs = keep(settled, "suffix-runs")
 
     asked = runs.filter("look > 0").groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "n", "h", "look")).alias("asked"))

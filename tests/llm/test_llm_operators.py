@@ -247,11 +247,12 @@ def test_language(docs):
     assert got[9].lang_pred == "fr" and all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_suffix_against_brute_force(spark):
+@pytest.mark.parametrize("frequent", [{}, {"sample": 1, "frequent_runs": 3}])
+def test_suffix_against_brute_force(spark, frequent):
     rng = random.Random(11)
     base = "".join(rng.choice("abé ") for _ in range(400))
     texts = [(i, "".join(base[(s := rng.randrange(300)) : s + rng.randrange(20, 120)] if rng.random() < 0.6 else rng.choice("xyzü") * rng.randrange(1, 130) for _ in range(rng.randrange(1, 6)))) for i in range(40)] + [(None, base), (5, base), (41, None), (42, "")]
-    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.erase_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.erase_repeats(spark.createDataFrame(texts, "doc_id long, text string"), **frequent).collect()}
     order = [(2**63 if d is None else d, (t or "").encode(), d) for d, t in texts]
     first = {}
     for k, b, _ in order:
@@ -352,14 +353,15 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(index, path).collect() == []
 
 
-def test_suffix_hot_anchors_come_apart(spark, monkeypatch):
+@pytest.mark.parametrize("frequent", [{}, {"sample": 1, "frequent_runs": 3}])
+def test_suffix_hot_anchors_come_apart(spark, monkeypatch, frequent):
     # one phrase in all documents, other words around it: its runs are edges, and windows settle alone
     monkeypatch.setattr(suffix, "HOT", 3)
     rng = random.Random(3)
     phrase = "a phrase that stands in every one of these documents, word for word, again and again"
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     texts = [(i, word(rng.randrange(60)) + rng.choice(["x", "yy", ""]) + phrase + rng.choice(["z", "uu", ""]) + word(rng.randrange(60))) for i in range(60)]
-    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.erase_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.erase_repeats(spark.createDataFrame(texts, "doc_id long, text string"), **frequent).collect()}
     first: dict = {}
     for i, t in texts:
         for k in range(len(t) - 49):
