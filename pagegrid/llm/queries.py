@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, embeddings, langid, lines, minhash, mixing, packing, sharding, suffix, warc
+from . import balltree, bestfit, bm25, embeddings, langid, lines, minhash, mixing, packing, sharding, suffix, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.grafted(table(spark, sf_dir, "conversations")))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bestfit.best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_bm25_topk, op3_source_mix, op4_embedding_dedup, op5_length_packing, op6_external_shuffle, op7_warc_index, op8_minhash_dedup, op9_language_id, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bm25_topk, op3_source_mix, op4_embedding_dedup, op5_length_packing, op6_external_shuffle, op7_warc_index, op8_minhash_dedup, op9_language_id, op10_suffix_dedup, op11_conversation_trie, op12_best_fit_packing, op13_ranked_search)}
 
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -133,6 +147,41 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = comp
 from documents left join n using (doc_id) join (select a, min(b) as component_id from reach group by a) c on c.a = doc_id
 """
 
+#: crc32 of a decimal, bit by bit: there is no such function in this SQL.
+OP11_SQL = """
+with recursive t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 as base,
+  xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)), 4294967295) % 6 as h
+  from (select distinct conv_id from t)),
+m as (select c.conv_id, 0 as part, i, role, text from c join t on t.conv_id = c.base where i <= h union all select c.conv_id, 1, i, role, text from c join t using (conv_id) where i > h),
+r as (select conv_id, row_number() over w as d, list({'role': role, 'text': text}) over (w rows unbounded preceding) as p, length(text) as words from m window w as (partition by conv_id order by part, i)),
+x as (select conv_id, d, p, words from r union all select conv_id, 0, [], 0 from c),
+n as (select d, p, max(words) as words, min(conv_id) as conv_id, count(*) as n_convs from x group by all),
+e as (select p, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from (select conv_id, arg_max(p, d) as p from x group by conv_id) group by p),
+k as (select p[:d - 1] as p, count(*) as n_children from n where d > 0 group by all),
+a as (select n.*, coalesce(n_children, 0) as n_children from n left join k using (p)),
+u as (select a.*, unnest(range(d + 1)) as level from a),
+s as (select p[:level] as p, count(*) filter (where n_children = 0) as n_leaves, sum((n_convs - 1) * words) as saved_tokens from u group by 1)
+select a.conv_id, a.d::bigint as depth, b.conv_id as parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens::bigint as saved_tokens,
+  coalesce(ends, sha256('')) as ends_sha256
+from a join s using (p) left join e using (p) left join n b on a.d > 0 and b.p = a.p[:a.d - 1]
+"""
+
+OP13_SQL = f"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, {AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from t group by all),
+dl as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+g as (select count(*) as docs, sum(n)::bigint as words from dl),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from tf cross join g group by term, docs),
+q as (select item_id, unnest(regexp_extract_all(translate(text, {AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark),
+s as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::bigint as score
+  from q join w using (term) join tf using (term) join dl using (doc_id) cross join g group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_bm25_topk": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op7_warc_index": OP7_SQL, "op8_minhash_dedup": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_bm25_topk": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op7_warc_index": OP7_SQL, "op8_minhash_dedup": OP8_SQL, "op11_conversation_trie": OP11_SQL, "op13_ranked_search": OP13_SQL}
