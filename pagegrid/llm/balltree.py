@@ -68,9 +68,10 @@ class BallTree:
     """Documents (rows of a sparse matrix of whole numbers) in a tree of balls.
 
     Coordinates are the impacts times the root of the term's weight, so that a query (its counts
-    times the same roots) has the score as inner product. A ball is split at the median of the
-    difference of the products with two far members. Nodes are numbered from 1, children 2i and
-    2i + 1; a node's documents are a range of `order`.
+    times the same roots) has the score as inner product. A ball's documents go to the nearer of two
+    far members, an eighth of them to either at least, so depth is bounded. Node 0 is the root, a
+    node's children are children[i] and the next one (0: a leaf), its documents first[i] to last[i].
+    A ball over all terms is wide where a query has few, so each coordinate has a radius of its own too.
     """
 
     def __init__(self, ids: np.ndarray, offs: np.ndarray, term: np.ndarray, impact: np.ndarray, root: np.ndarray):
@@ -78,16 +79,21 @@ class BallTree:
         self.term, self.impact, self.offs, self.root = term, impact, offs, root
         self.x = impact * root[term]
         self.norm2 = np.add.reduceat(self.x * self.x, offs[:-1])
-        self.levels = max(0, math.ceil(math.log2(max(len(ids), 1) / LEAF)))
-        self.first, self.last = np.zeros(2 << self.levels, np.int64), np.zeros(2 << self.levels, np.int64)
         order = np.arange(len(ids))
-        self.first[1], self.last[1] = 0, len(ids)
-        for node in range(1, 1 << self.levels):
-            a, b = self.first[node], self.last[node]
-            half = a + (b - a + 1) // 2
-            if b - a > 1:
-                order[a:b] = order[a:b][np.argpartition(self._sides(order[a:b]), (b - a - 1) // 2)]
-            self.first[2 * node], self.last[2 * node], self.first[2 * node + 1], self.last[2 * node + 1] = a, half, half, b
+        ranges, children, node = [(0, len(ids))], [], 0
+        while node < len(ranges):
+            a, b = ranges[node]
+            children.append(0)
+            if b - a > LEAF:
+                side = self._sides(order[a:b])
+                least = max(1, (b - a) // 8)
+                nearer = min(max(int((side < 0).sum()), least), b - a - least)
+                order[a:b] = order[a:b][np.argpartition(side, nearer - 1)]
+                children[node] = len(ranges)
+                ranges += [(a, a + nearer), (a + nearer, b)]
+            node += 1
+        self.first, self.last = np.array(ranges).T
+        self.children = np.array(children)
         self._arrange(ids, order)
         self._bounds()
 
@@ -122,13 +128,14 @@ class BallTree:
         self.offs, self.ids = np.append(begin, len(at)), ids[order]
 
     def _bounds(self) -> None:
-        """Centroids as rounded numbers, and radii that hold for those numbers: what rounding may take is added."""
-        nodes = np.arange(len(self.first))
-        self.center, self.radius = np.zeros((len(nodes), self.size), np.float32), np.zeros(len(nodes))
-        for node in nodes[1:]:
+        """Centroids as rounded numbers, and radii that hold for those numbers: what rounding may take is added.
+
+        Beside the radius of the whole ball, `reach` has the centroid and the radius of each coordinate alone.
+        """
+        nodes = len(self.first)
+        self.center, self.radius, self.reach = np.zeros((nodes, self.size), np.float32), np.zeros(nodes), np.zeros((nodes, self.size), np.float32)
+        for node in range(nodes - 1, -1, -1):
             a, b = self.first[node], self.last[node]
-            if a == b:
-                continue
             part = slice(self.offs[a], self.offs[b])
             self.center[node] = np.bincount(self.term[part], self.x[part], self.size) / (b - a)
             c = self.center[node].astype(float)
@@ -136,23 +143,29 @@ class BallTree:
             product = np.add.reduceat(self.x[part] * c[self.term[part]], self.offs[a:b] - self.offs[a])
             spread = self.norm2[a:b] + length2
             self.radius[node] = math.sqrt(float((spread - 2 * product + 1e-9 * spread).max())) * (1 + 1e-9)
+            if k := self.children[node]:
+                self.reach[node] = np.maximum(self.reach[k], self.reach[k + 1])
+            else:
+                most = np.zeros(self.size)
+                np.maximum.at(most, self.term[part], self.x[part])
+                self.reach[node] = most * (1 + 1e-6)
 
     def bounds(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         """For each node a number that no document below it exceeds, for a query's terms and their counts."""
         point = count * self.root[term]
-        return (self.center[:, term].astype(float) @ point + self.radius * math.sqrt(float(point @ point))) * (1 + 1e-9)
+        ball = self.center[:, term].astype(float) @ point + self.radius * math.sqrt(float(point @ point))
+        return np.minimum(ball, self.reach[:, term].astype(float) @ point) * (1 + 1e-9)
 
     def search(self, bound: np.ndarray, weights: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The k best of `best` (ids, scores) and this tree's documents; weights: per term, count times weight."""
         ids, scores = best
         least = scores[-1] if len(scores) >= k else 1
-        heap = [(-bound[1], 1)]
-        leaves = 1 << self.levels
+        heap = [(-bound[0], 0)]
         while heap and -heap[0][0] >= least:
             _, node = heapq.heappop(heap)
-            if node < leaves:
-                for child in (2 * node, 2 * node + 1):
-                    if self.last[child] > self.first[child] and bound[child] >= least:
+            if self.children[node]:
+                for child in (self.children[node], self.children[node] + 1):
+                    if bound[child] >= least:
                         heapq.heappush(heap, (-bound[child], child))
                 continue
             a, b = self.first[node], self.last[node]
