@@ -41,6 +41,20 @@ def test_language_id(spark, docs):
     assert got == sorted(((r[0], r[1], r[2] or guess[r[0]], *r[3:]) for r in ROWS if r[0] not in (5, 6, 7)), key=str)
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_other_columns_keep_their_names_and_values(spark, docs, name, stage):
+    from pyspark.sql import functions as F
+
+    names = ["_id", "score", "lang_pred", "kept_text", "n_lines", "n_dropped", "a.b", "id", "gone", "kept", "center", "component_id", "back`tick"]
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = plain.select("*", *[F.lit(f"my {c}").alias(c) for c in names])
+    got = stage(spark, wide, "")
+    assert got.columns == wide.columns and got.count() > 0
+    assert {tuple(r)[5:] for r in got.collect()} == {tuple(f"my {c}" for c in names)}
+    if name != "source_mix":  # a row's digest orders the mix
+        assert rows(got.select("doc_id", "text", "lang", "source", "n_chars")) == rows(stage(spark, plain, ""))
+
+
 def test_line_dedup(spark, docs):
     got = rows(corpus_pipeline.line_dedup(spark, docs, ""))
     gone = {8: "one side of the story", 9: "another side of it"}
