@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but
 the last return the columns of docs, in their order and under any names, beside the columns that
 the stage needs. No stage looks at a part of a text only, and an empty table gives no rows. Stages
-but the last keep repeated rows as rows of their own where not said otherwise.
+but the last keep repeated rows as rows of their own where not said otherwise. A stage boxes a row's
+columns first, so that their names meet none of an operator's.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     where no row is labelled; ties go to the smaller language code. A null doc_id, source or n_chars
     stays as it is.
     """
-    found = langid.identify(docs, docs.select("text", "lang"))
-    return found.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    rows = common.boxed(docs, text=F.col("text"), lang=F.col("lang"))
+    found = langid.identify(rows, rows.select("text", "lang")).filter("lang_pred <> 'und'")
+    return common.unboxed(found, docs.columns, lang=F.coalesce("lang", "lang_pred"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null, with a null n_chars; a text that loses all its lines is empty. Rows
     with one doc_id count as one document, and rows with a null doc_id as one below all others.
     """
-    out = lines.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = lines.dedup_lines(common.boxed(docs, doc_id=F.col("doc_id"), text=F.col("text")))
+    return common.unboxed(out, docs.columns, text=F.col("text"), n_chars=F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words have no copies and stay, and so do rows with a null doc_id. Rows that share
     a doc_id are one document: all of them stay or go.
     """
-    gone = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*docs.columns)
+    gone = minhash.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
+    return common.unboxed(common.boxed(docs, doc_id=F.col("doc_id")).join(gone, "doc_id", "left_anti"), docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
