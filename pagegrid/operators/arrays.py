@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagegrid.operators.shapes import component_labels, components, holes, outlines  # noqa: F401
+
 BOX = "page_id long, x double, y double, w double, h double"
 MASK = "page_id long, width int, height int, gray array<smallint>"
 
@@ -96,12 +98,18 @@ def local_dark(gray: np.ndarray, block: int, c: float) -> np.ndarray:
     return gray.astype(np.int64) * n <= box_sums(gray, block // 2) - c * n
 
 
+def _spread(mask: np.ndarray, k: int) -> np.ndarray:
+    """Whether any of the 2k + 1 pixels around holds, along the last axis."""
+    n = mask.shape[-1]
+    count = np.concatenate([np.zeros((*mask.shape[:-1], 1), np.int32), mask.cumsum(-1, dtype=np.int32)], -1)
+    at = np.arange(n)
+    return count[..., np.minimum(at + k + 1, n)] > count[..., np.maximum(at - k, 0)]
+
+
 def dilated(mask: np.ndarray, kx: int, ky: int) -> np.ndarray:
     """Running maximum over 2k+1 pixels on each axis."""
-    wide = np.pad(mask, ((0, 0), (kx, kx)))
-    out = np.lib.stride_tricks.sliding_window_view(wide, 2 * kx + 1, axis=1).any(-1)
-    high = np.pad(out, ((ky, ky), (0, 0)))
-    return np.lib.stride_tricks.sliding_window_view(high, 2 * ky + 1, axis=0).any(-1)
+    out = _spread(mask, kx) if kx else mask
+    return _spread(out.T, ky).T if ky else out
 
 
 def eroded(mask: np.ndarray, kx: int, ky: int) -> np.ndarray:
@@ -126,50 +134,6 @@ def gradient(gray: np.ndarray) -> np.ndarray:
     return out
 
 
-def component_labels(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
-    """The first pixel of each pixel's component, height x width where there is none; 8-connected, or 4-connected."""
-    h, w = mask.shape
-    none = h * w
-    steps = [(dy, dx) for dy in range(3) for dx in range(3) if diagonal or 1 in (dy, dx)]
-    label = np.where(mask, np.arange(none).reshape(h, w), none)
-    while True:
-        wide = np.pad(label, 1, constant_values=none)
-        least = np.minimum.reduce([wide[dy : dy + h, dx : dx + w] for dy, dx in steps])
-        least = np.where(mask, np.append(least.ravel(), none)[least], none)
-        if (least == label).all():
-            return label
-        label = least
-
-
-def components(mask: np.ndarray, diagonal: bool = True) -> list[tuple]:
-    """(x, y, w, h, pixels) of the components, by their first pixel."""
-    h, w = mask.shape
-    label = component_labels(mask, diagonal)
-    ys, xs = np.nonzero(mask)
-    _, part = np.unique(label[mask], return_inverse=True)
-    n = int(part.max()) + 1 if len(part) else 0
-    x0, y0, x1, y1 = np.full(n, w), np.full(n, h), np.zeros(n, int), np.zeros(n, int)
-    np.minimum.at(x0, part, xs)
-    np.minimum.at(y0, part, ys)
-    np.maximum.at(x1, part, xs)
-    np.maximum.at(y1, part, ys)
-    size = np.bincount(part, minlength=n)
-    return [(float(a), float(b), float(c - a + 1), float(d - b + 1), int(s)) for a, b, c, d, s in zip(x0, y0, x1, y1, size, strict=True)]
-
-
-def holes(mask: np.ndarray) -> np.ndarray:
-    """Pixels outside the mask that it encloses: no path over sides leads them to the page's edge."""
-    label = component_labels(~mask, diagonal=False)
-    outside = np.unique(np.concatenate([label[0], label[-1], label[:, 0], label[:, -1]]))
-    return ~mask & ~np.isin(label, outside)
-
-
-def outlines(mask: np.ndarray) -> list[tuple]:
-    """Boxes of what a mask's lines enclose, one for each hole, and of its components with their holes filled."""
-    inside = holes(mask)
-    return components(mask | inside) + components(inside, diagonal=False)
-
-
 def component_boxes(rasters: DataFrame, mask: Callable[[np.ndarray], np.ndarray], find: Callable[[np.ndarray], list[tuple]] = components) -> DataFrame:
     """Boxes of a mask's components (or outlines) with their pixels, fill (share of the box) and rect_id."""
     boxes = per_page(rasters, lambda gray: find(mask(gray)), BOX + ", pixels long")
