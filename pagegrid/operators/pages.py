@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from pagegrid.operators import clusters as C
+from pagegrid.operators import edges as E
 
 PIXELS = ["gray", "r", "g", "b"]
 
@@ -43,6 +44,16 @@ class Page:
     def light(self) -> np.ndarray:
         return self.lab[..., 0]
 
+    @cached_property
+    def edges(self) -> np.ndarray:
+        return E.voted_edges(self.gray)
+
+    @cached_property
+    def segments(self) -> list[tuple]:
+        from pagegrid.operators import finders
+
+        return finders.segments(self)
+
     def away(self, background: tuple[float, float, float]) -> np.ndarray:
         """Distance of each pixel's colour from a background's."""
         return np.sqrt(((self.lab - np.array(background)) ** 2).sum(-1))
