@@ -29,18 +29,25 @@ def build_shard(key, table: pa.Table, m: int) -> pa.Table:
     return pa.table({"dim": pa.array([d], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "cids": [cid.tobytes()], "rows": [rows.tobytes()], "vectors": [unit.tobytes()], "graph": [blob], "sizes": pa.array([sizes], pa.list_(pa.int32()))})
 
 
-def audit_beam(query: Graph, other: Graph, beam: int, pick: np.ndarray, own: bool, recall: float) -> tuple[int, float]:
-    """Widen the beam until the picked rows' searches find enough of their true nearest others.
+def audit_beam(query: Graph, other: Graph, beam: int, pick: np.ndarray, own: bool, recall: float, closest: int | None = None) -> tuple[int, float]:
+    """Widen the beam until searches find enough of the true nearest others, known by brute force.
 
-    Every row has a nearest other, so the audit always has evidence. Returns beam and recall.
+    All picked rows are audited, or the `closest` of them whose nearest other is most similar: links
+    come first among those, and where there are few, what is nearest to being one. So the audit
+    always has evidence, of the kind that the search is for. Returns beam and recall.
     """
     n = len(other.v)
     if not len(pick) or n < 2:
         return beam, 1.0
-    sims = query.v[pick] @ other.v.T
-    if own:
-        sims[np.arange(len(pick)), pick] = -np.inf
-    best = sims.max(1)
+    best = np.zeros(len(pick))
+    for a in range(0, len(pick), 512):
+        sims = query.v[pick[a : a + 512]] @ other.v.T
+        if own:
+            sims[np.arange(len(sims)), pick[a : a + 512]] = -np.inf
+        best[a : a + 512] = sims.max(1)
+    if closest is not None:
+        first = np.argsort(-best, kind="stable")[:closest]
+        pick, best = pick[first], best[first]
     while True:
         start = pick[:, None] if own else other.entry(0, query.v[pick])[:, None]
         ids, got = other.search(0, query.v[pick], start, min(beam, n))
@@ -82,8 +89,8 @@ class Sets:
 def link_shards(table: pa.Table, m: int, least: float, beam: int, audit: int, recall: float) -> pa.Table:
     """Links between two shards (or inside one), from both sides.
 
-    A seeded sample of each side's rows is audited (audit_beam) and the beam widened until both
-    pass. Rows whose beam is filled by links belong to large groups of near copies: they are
+    Of a seeded sample of 16 x audit rows of each side, the `audit` with the nearest others are
+    audited (audit_beam), and the beam is widened until both sides pass. Rows whose beam is filled by links belong to large groups of near copies: they are
     compared with all rows of the other side in blocks, and only counts and sets are kept, so
     memory doesn't grow with a group's pairs. All other rows have fewer links than the beam is wide.
 
@@ -104,8 +111,8 @@ def link_shards(table: pa.Table, m: int, least: float, beam: int, audit: int, re
     near = least - SLACK
     found = 1.0
     for query, other, rows in ((g_a, g_b, n_a), (g_b, g_a, n_b))[: 1 if own else 2]:
-        pick = np.random.default_rng([n_a, n_b, rows]).permutation(rows)[:audit]
-        beam, share = audit_beam(query, other, beam, pick, own, recall)
+        pick = np.random.default_rng([n_a, n_b, rows]).permutation(rows)[: 16 * audit]
+        beam, share = audit_beam(query, other, beam, pick, own, recall, audit)
         found = min(found, share)
 
     a, b, full_a = g_b.within(g_a.v, near, beam, np.arange(n_a) if own else None)
@@ -174,8 +181,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 100_
     a class. Classes are dealt to shards by a seeded hash, `shards` of them or as many as keep a
     shard near shard_rows; each shard gets a graph, written to the shared folder; and each pair of
     shards is one task, in which both sides query the other. Beams widen until the recall of true
-    nearest neighbours among `audit` rows of each side reaches `recall`; the least recall found is
-    returned. See link_shards.
+    nearest others, for those `audit` of a sample's rows that have the nearest ones on each side,
+    reaches `recall`; the least recall found is returned. See link_shards.
 
     Work: every vector queries every shard, so tasks grow with the square of the number of
     shards and a query with the logarithm of shard_rows. A row in a large group of near copies
