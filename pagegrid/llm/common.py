@@ -96,9 +96,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def boxed(df: DataFrame, **named: Column) -> DataFrame:
-    """df's columns as one struct `_row` beside the named ones, so that no name can clash."""
-    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in named.items()])
+def boxed(df: DataFrame, but: tuple[str, ...] = (), **named: Column) -> DataFrame:
+    """df's columns as one struct `_row` beside the named ones, so that no name can clash.
+
+    Columns in `but` stay out of the struct: those that a named one carries already, such as a text.
+    """
+    kept = [F.col(quoted(c)) for c in df.columns if c not in but]
+    return df.select((F.struct(*kept) if kept else F.lit(None)).alias("_row"), *[c.alias(n) for n, c in named.items()])
 
 
 def unboxed(df: DataFrame, columns: list[str], **named: Column) -> DataFrame:

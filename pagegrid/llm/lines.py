@@ -102,7 +102,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     gone = skewed_lookup(lines, frequent, HASH, "docs").filter("id < keeper")
     per_doc = keep(gone.groupBy("id", "rk").agg(F.collect_set("at").alias("gone")), "line-gone")
     drop(frequent, hashed)
-    keyed = boxed(docs, id=F.coalesce("doc_id", F.lit(NO_ID)), rk=content_key(docs), text=F.col("text"))
+    keyed = boxed(docs, ("text",), id=F.coalesce("doc_id", F.lit(NO_ID)), rk=content_key(docs), text=F.col("text"))
     out = keyed.join(per_doc, ["id", "rk"], "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
