@@ -26,9 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     where no row is labelled; ties go to the smaller language code. A null doc_id, source or n_chars
     stays as it is.
     """
-    rows = common.boxed(docs, text=F.col("text"), lang=F.col("lang"))
+    rows = common.boxed(docs, ("text", "lang"), text=F.col("text"), lang=F.col("lang"))
     found = langid.identify(rows, rows.select("text", "lang")).filter("lang_pred <> 'und'")
-    return common.unboxed(found, docs.columns, lang=F.coalesce("lang", "lang_pred"))
+    return common.unboxed(found, docs.columns, text=F.col("text"), lang=F.coalesce("lang", "lang_pred"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null, with a null n_chars; a text that loses all its lines is empty. Rows
     with one doc_id count as one document, and rows with a null doc_id as one below all others.
     """
-    out = lines.dedup_lines(common.boxed(docs, doc_id=F.col("doc_id"), text=F.col("text")))
-    return common.unboxed(out, docs.columns, text=F.col("text"), n_chars=F.char_length("text").cast("long"))
+    out = lines.dedup_lines(common.boxed(docs, ("text", "doc_id"), doc_id=F.col("doc_id"), text=F.col("text")))
+    return common.unboxed(out, docs.columns, doc_id=F.col("doc_id"), text=F.col("text"), n_chars=F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a doc_id are one document: all of them stay or go.
     """
     gone = minhash.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
-    return common.unboxed(common.boxed(docs, doc_id=F.col("doc_id")).join(gone, "doc_id", "left_anti"), docs.columns)
+    return common.unboxed(common.boxed(docs, ("doc_id",), doc_id=F.col("doc_id")).join(gone, "doc_id", "left_anti"), docs.columns, doc_id=F.col("doc_id"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
