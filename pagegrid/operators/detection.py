@@ -16,7 +16,7 @@ from pagegrid.operators import finders as N
 from pagegrid.operators import layout as Y
 from pagegrid.operators import templates as T
 from pagegrid.operators.clusters import CLUSTERS, background_of
-from pagegrid.operators.pages import Page, resized, with_columns, with_measures
+from pagegrid.operators.pages import Page, resized, settled, with_columns, with_measures
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
 BOXES = f"array<{BOX}>"
@@ -29,6 +29,11 @@ def _total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _box(b: Column) -> Column:
     return F.struct(*[b[c].alias(c) for c in "xywh"])
 
@@ -72,8 +77,8 @@ def regions_merged(boxes: Column, most: float = 0.20) -> Column:
 
     def step(acc, s):
         group = F.filter(numbered, lambda o: (o["i"] > s["i"]) & ~F.array_contains(acc["used"], o["i"]) & (iou(s["b"], o["b"]) > most))
-        whole = F.aggregate(group, s["b"], lambda t, o: union_box(t, o["b"]))
-        more = F.struct(F.concat(acc["used"], F.transform(group, lambda o: o["i"])).alias("used"), F.concat(acc["out"], F.array(whole)).alias("out"))
+        whole = lambda g: F.aggregate(g, s["b"], lambda t, o: union_box(t, o["b"]))
+        more = let(group, lambda g: F.struct(F.concat(acc["used"], F.transform(g, lambda o: o["i"])).alias("used"), F.concat(acc["out"], F.array(whole(g))).alias("out")))
         return F.when(F.array_contains(acc["used"], s["i"]), acc).otherwise(more)
 
     return F.aggregate(numbered, start, step, lambda acc: acc["out"])
@@ -86,10 +91,9 @@ def nested_absorbed(boxes: Column, contain: float = 0.90, ratio: float = 0.25) -
 
     def step(acc, s):
         holds = lambda o: ~F.array_contains(acc["gone"], o["i"]) & (area(s["b"]) < area(o["b"])) & (area(s["b"]) <= ratio * area(o["b"])) & (intersection_area(s["b"], o["b"]) >= contain * area(s["b"]))
-        fits = F.filter(numbered, holds)
-        into = F.get(fits, F.lit(0))
-        more = F.struct(into["i"].alias("i"), union_box(s["b"], into["b"]).alias("b"))
-        return F.when(F.size(fits) > 0, F.struct(F.concat(acc["gone"], F.array(s["i"])).alias("gone"), F.concat(acc["grown"], F.array(more)).alias("grown"))).otherwise(acc)
+        more = lambda into: F.struct(into["i"].alias("i"), union_box(s["b"], into["b"]).alias("b"))
+        both = lambda into: F.struct(F.concat(acc["gone"], F.array(s["i"])).alias("gone"), F.concat(acc["grown"], F.array(more(into))).alias("grown"))
+        return let(F.get(F.filter(numbered, holds), F.lit(0)), lambda into: F.when(into.isNotNull(), both(into)).otherwise(acc))
 
     def left(acc):
         last = lambda o: F.element_at(F.concat(F.array(o["b"]), F.transform(F.filter(acc["grown"], lambda g: g["i"] == o["i"]), lambda g: g["b"])), -1)
@@ -105,18 +109,23 @@ def agreed(found: Column, scales: int, min_agree: int = 2, least: float = 0.30,
 
     def step(acc, s):
         group = F.filter(numbered, lambda o: (o["i"] == s["i"]) | ((o["i"] > s["i"]) & ~F.array_contains(acc["used"], o["i"]) & (iou(s["b"], o["b"]) >= least)))
-        seen = F.size(F.array_distinct(F.transform(group, lambda o: o["scale"])))
-        mean = lambda c: _total(F.transform(group, lambda o: o["b"][c])) / F.size(group)
-        box = F.struct((-seen / scales).cast("double").alias("sure"), s["i"].alias("i"), F.struct(*[mean(c).alias(c) for c in "xywh"]).alias("b"))
-        more = F.struct(F.concat(acc["used"], F.transform(group, lambda o: o["i"])).alias("used"), F.concat(acc["out"], F.array(box)).alias("out"))
-        return F.when(~F.array_contains(acc["used"], s["i"]) & (seen >= min_agree), more).otherwise(acc)
+        seen = lambda g: F.size(F.array_distinct(F.transform(g, lambda o: o["scale"])))
+        mean = lambda g, c: _total(F.transform(g, lambda o: o["b"][c])) / F.size(g)
+        box = lambda g: F.struct((-seen(g) / scales).cast("double").alias("sure"), s["i"].alias("i"), F.struct(*[mean(g, c).alias(c) for c in "xywh"]).alias("b"))
+        more = lambda g: F.struct(F.concat(acc["used"], F.transform(g, lambda o: o["i"])).alias("used"), F.concat(acc["out"], F.array(box(g))).alias("out"))
+        grown = let(group, lambda g: F.when(seen(g) >= min_agree, more(g)).otherwise(acc))
+        return F.when(F.array_contains(acc["used"], s["i"]), acc).otherwise(grown)
 
     return merged(F.transform(F.array_sort(F.aggregate(numbered, start, step, lambda acc: acc["out"])), lambda k: k["b"]), merge)
 
 
 def layout_score(boxes: Column, page: Column) -> Column:
     """How good a layout is: number of panels, cover, evenness, overlap. page: the page's area."""
-    n, sizes = F.size(boxes), F.transform(boxes, area)
+    return let(boxes, lambda b: let(F.transform(b, area), lambda sizes: _layout_score(b, sizes, page)))
+
+
+def _layout_score(boxes: Column, sizes: Column, page: Column) -> Column:
+    n = F.size(boxes)
     much = lambda a, b: F.when(iou(a, b) > 0.15, iou(a, b)).otherwise(0.0)
     overlap = _total(F.transform(boxes, lambda a, i: _total(F.transform(F.slice(boxes, i + 2, F.size(boxes)), lambda b: much(a, b)))))
     # fixed values: how good a number of panels is
@@ -128,17 +137,18 @@ def layout_score(boxes: Column, page: Column) -> Column:
 
 def covered(boxes: Column, page: Column) -> Column:
     """Share of the page under some box: between neighbouring x edges, the boxes' y intervals merge by a running end."""
-    edges = F.array_sort(F.array_distinct(F.flatten(F.transform(boxes, lambda b: F.array(b["x"], b["x"] + b["w"])))))
+    ends = F.array_sort(F.array_distinct(F.flatten(F.transform(boxes, lambda b: F.array(b["x"], b["x"] + b["w"])))))
+    steps = let(ends, lambda e: F.zip_with(e, F.slice(e, 2, F.size(e)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
-    def strip(e, i):
-        end = F.get(edges, i + 1)
+    def strip(step):
+        e, end = step["a"], step["b"]
         spans = F.array_sort(F.transform(F.filter(boxes, lambda b: (b["x"] <= e) & (b["x"] + b["w"] >= end)), lambda b: F.struct(b["y"].alias("lo"), (b["y"] + b["h"]).alias("hi"))))
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("reach"))
         add = lambda acc, s: F.greatest(F.lit(0.0), s["hi"] - F.greatest(s["lo"], F.coalesce(acc["reach"], s["lo"])))
         step = lambda acc, s: F.struct((acc["sum"] + add(acc, s)).alias("sum"), F.greatest(F.coalesce(acc["reach"], s["hi"]), s["hi"]).alias("reach"))
         return F.coalesce(F.aggregate(spans, start, step, lambda acc: acc["sum"]) * (end - e), F.lit(0.0))
 
-    return _total(F.transform(edges, strip)) / page
+    return _total(F.transform(steps, strip)) / page
 
 
 def in_reading_order(boxes: Column, row_gap: Column, rtl: bool = False) -> Column:
@@ -222,7 +232,8 @@ def with_style(pages: DataFrame, boxes: str, mode: str = "auto", model=None) ->
     share = lambda f: F.coalesce(F.size(F.filter(b, f)) / F.when(F.size(b) > 0, F.size(b)), F.lit(0.0))
     aspects = F.transform(b, lambda r: r["w"] / r["h"])
     mean = lambda xs: _total(xs) / F.size(xs)
-    spread = F.when(F.size(b) > 1, mean(F.transform(aspects, lambda a: (a - mean(aspects)) * (a - mean(aspects))))).otherwise(0.0)
+    squares = let(aspects, lambda xs: let(mean(xs), lambda m: mean(F.transform(xs, lambda a: (a - m) * (a - m)))))
+    spread = F.when(F.size(b) > 1, squares).otherwise(0.0)
     margin = lambda r: ((r["y"] < 0.06 * high) | (r["y"] + r["h"] > 0.94 * high)) & (r["h"] < 0.12 * high)
     features = {
         "rect_count": F.size(b).cast("long"), "small_ratio": share(lambda r: area(r) < 0.01 * wide * high), "margin_ratio": share(margin), "gutter_count": F.col("gutter_runs").cast("long"),
@@ -236,8 +247,7 @@ def _best(routes: Column, page: Column, bonus: Column | bool = False) -> Column:
     """The best of structs (route, boxes): (route, boxes, score); ties go by the order of the routes."""
     score = lambda r: layout_score(r["boxes"], page) + F.when(F.lit(bonus) if isinstance(bonus, bool) else bonus, F.when((r["route"] == "gutter") & F.size(r["boxes"]).between(3, 12), 0.06).otherwise(0.0)).otherwise(0.0)
     keyed = F.transform(routes, lambda r, i: F.struct((-F.least(F.lit(1.0), F.round(score(r), 9))).alias("s"), i.alias("i"), r["route"].alias("route"), r["boxes"].alias("boxes")))
-    best = F.array_min(keyed)
-    return F.struct(F.coalesce(best["route"], F.lit("")).alias("route"), F.coalesce(best["boxes"], none()).alias("boxes"), F.coalesce(-best["s"], F.lit(0.0)).alias("score"))
+    return let(F.array_min(keyed), lambda best: F.struct(F.coalesce(best["route"], F.lit("")).alias("route"), F.coalesce(best["boxes"], none()).alias("boxes"), F.coalesce(-best["s"], F.lit(0.0)).alias("score")))
 
 
 def chosen(routes: Column, style: Column, page: Column, high: Column) -> Column:
@@ -245,7 +255,7 @@ def chosen(routes: Column, style: Column, page: Column, high: Column) -> Column:
     strip = lambda b: (b["h"] < 0.10 * high) & ((b["y"] < 0.06 * high) | (b["y"] + b["h"] > 0.94 * high))
     clean = F.filter(F.transform(routes, lambda r: F.struct(r["route"].alias("route"), F.filter(r["boxes"], lambda b: ~strip(b)).alias("boxes"))), lambda r: F.size(r["boxes"]) > 0)
     modern = style == "modern"
-    return _best(F.when(modern & (F.size(clean) > 0), clean).otherwise(routes), page, ~modern)
+    return _best(let(clean, lambda c: F.when(modern & (F.size(c) > 0), c).otherwise(routes)), page, ~modern)
 
 
 def template_fits(content: Column, edge: Column, grid: int = 20) -> Column:
@@ -257,7 +267,9 @@ def template_fits(content: Column, edge: Column, grid: int = 20) -> Column:
 
     def fit(m):
         shares = F.transform(m["panels"], lambda p: total(p, content) / F.size(p))
-        mean = _total(shares) / F.size(shares)
+        return let(shares, lambda xs: let(_total(xs) / F.size(xs), lambda mean: rated(m, xs, mean)))
+
+    def rated(m, shares, mean):
         std = F.sqrt(_total(F.transform(shares, lambda s: (s - mean) * (s - mean))) / F.size(shares))
         free = F.lit(grid * grid) - F.size(m["inside"])
         gutter = F.when(free > 0, F.greatest(F.lit(0.0), 1 - (ink - total(m["inside"], content)) / free / 0.15)).otherwise(0.5)
@@ -293,15 +305,15 @@ def kept_by_content(boxes: Column, measured: Column, page: Column, min_ink: floa
     sized = F.zip_with(boxes, measured, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
     fine = F.filter(sized, lambda s: (area(s["b"]) / page).between(0.008, 0.95) & (s["m"]["dark"] >= min_ink))
 
-    def median(c):
-        xs = F.array_sort(F.transform(fine, lambda s: s["b"][c]))
-        half = F.floor(F.size(xs) / 2).cast("int")
-        return F.when(F.size(xs) > 1, F.when(F.size(xs) % 2 == 1, F.get(xs, half)).otherwise((F.get(xs, half - 1) + F.get(xs, half)) / 2)).otherwise(0.0)
+    def median(found, c):
+        half = lambda xs: F.floor(F.size(xs) / 2).cast("int")
+        middle = lambda xs: F.when(F.size(xs) % 2 == 1, F.get(xs, half(xs))).otherwise((F.get(xs, half(xs) - 1) + F.get(xs, half(xs))) / 2)
+        return let(F.array_sort(F.transform(found, lambda s: s["b"][c])), lambda xs: F.when(F.size(xs) > 1, middle(xs)).otherwise(0.0))
 
-    mw, mh = median("w"), median("h")
     bare = lambda s: (s["m"]["non_bg"] < min_content) & (s["m"]["std"] < min_std)
-    narrow = lambda s: (mw > 0) & (mh > 0) & ((s["b"]["h"] < thin * mh) | (s["b"]["w"] < thin * mw)) & (s["m"]["non_bg"] < max(1.8 * min_content, 0.18))
-    return F.transform(F.filter(fine, lambda s: ~bare(s) & ~narrow(s)), lambda s: s["b"])
+    narrow = lambda s, m: (m["w"] > 0) & (m["h"] > 0) & ((s["b"]["h"] < thin * m["h"]) | (s["b"]["w"] < thin * m["w"])) & (s["m"]["non_bg"] < max(1.8 * min_content, 0.18))
+    kept = lambda found, m: F.transform(F.filter(found, lambda s: ~bare(s) & ~narrow(s, m)), lambda s: s["b"])
+    return let(fine, lambda found: let(F.struct(median(found, "w").alias("w"), median(found, "h").alias("h")), lambda m: kept(found, m)))
 
 
 def without_titles(boxes: Column, wide: Column, high: Column) -> Column:
@@ -351,8 +363,11 @@ def decide(pages: DataFrame, mode: str = "auto", model=None, min_agree: int = 2)
     """
     wide, high = F.col("width"), F.col("height")
     by_route = lambda s: route_boxes(s, wide * s["scale"], high * s["scale"])
-    # the names' order breaks ties
-    listed = lambda s: F.filter(F.array(*[F.struct(F.lit(k).alias("route"), by_route(s)[k].alias("boxes")) for k in ROUTES]), lambda r: F.size(r["boxes"]) > 0)
+
+    def listed(s):
+        boxes = by_route(s)  # the names' order breaks ties
+        return F.filter(F.array(*[F.struct(F.lit(k).alias("route"), boxes[k].alias("boxes")) for k in ROUTES]), lambda r: F.size(r["boxes"]) > 0)
+
     back = lambda boxes, f: F.transform(boxes, lambda b: F.struct(*[(b[c] / f).alias(c) for c in "xywh"]))
     found = F.transform("seen", lambda s: F.struct(s["scale"].alias("scale"), F.transform(listed(s), lambda r: F.struct(r["route"].alias("route"), back(r["boxes"], s["scale"]).alias("boxes"))).alias("routes")))
     pages = pages.withColumn("found", found).drop("seen")
@@ -420,7 +435,8 @@ def detect(
     p = p.withColumn("panels", in_reading_order(F.col("panels"), row_gap * high, rtl))
     counts = F.map_from_entries(F.transform("routes", lambda r: F.struct(r["route"], F.size(r["boxes"]))))
     others = [c for c in pages.columns if c not in ("gray", "r", "g", "b")]
-    return p.select(*others, "panels", "style", F.col("picked.route").alias("route"), F.col("picked.score").alias("score"), counts.alias("n_routes"), "freeform_tried", "template", "fate", F.col("whole.non_bg").alias("non_bg"))
+    out = p.select(*others, "panels", "style", F.col("picked.route").alias("route"), F.col("picked.score").alias("score"), counts.alias("n_routes"), "freeform_tried", "template", "fate", F.col("whole.non_bg").alias("non_bg"))
+    return settled(out)
 
 
 def panels(detected: DataFrame) -> DataFrame:

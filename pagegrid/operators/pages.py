@@ -86,6 +86,15 @@ def with_columns(pages: DataFrame, f: Callable[..., tuple], fields: str, uses: l
     return pages.mapInArrow(run, schema)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, as a step that the optimizer moves no filter across.
+
+    A condition on a column that a long expression makes would else be pushed below it with the
+    expression written out for every use, and plans grow out of all bounds. Rows should be small.
+    """
+    return rows.mapInArrow(lambda batches: batches, rows.schema)
+
+
 def area_mean(plane: np.ndarray, high: int, wide: int) -> np.ndarray:
     """A smaller plane by means over areas: every pixel counts in one of them."""
     h, w = plane.shape
@@ -104,6 +113,29 @@ def resized(page: Page, factor: float, most_width: int = 2400) -> Page:
     return Page(wide, high, {c: v[ys][:, xs] for c, v in page.channels.items()})
 
 
+def rescaled(pages: DataFrame, factor: float, most_width: int = 2400) -> DataFrame:
+    """pages with their pixels at `factor`, never wider than most_width; width and height follow."""
+    here = [c for c in PIXELS if c in pages.columns]
+    rest = [c for c in pages.columns if c not in (*here, "width", "height")]
+    schema = StructType([*[pages.schema[c] for c in rest], *_parse_datatype_string("width int, height int, " + ", ".join(f"{c} array<smallint>" for c in here)).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                wide, high = (batch.column(c)[i].as_py() for c in ("width", "height"))
+                page = resized(Page(wide, high, {c: np.asarray(batch.column(c)[i].values) for c in here}), factor, most_width)
+                head = [batch.column(c).slice(i, 1) for c in rest]
+                size = [pa.array([n], pa.int32()) for n in (page.wide, page.high)]
+                yield pa.RecordBatch.from_arrays([*head, *size, *[one_list(page.channels[c]) for c in here]], names=[x.name for x in schema.fields])
+
+    return pages.mapInArrow(run, schema)
+
+
+def one_list(plane: np.ndarray) -> pa.Array:
+    """A plane's pixels as one Arrow list over its own buffer."""
+    return pa.ListArray.from_arrays(pa.array([0, plane.size], pa.int32()), pa.array(plane.ravel().astype(np.int16)))
+
+
 def from_images(images: DataFrame, most_width: int = 2400) -> DataFrame:
     """Pages with pixels from rows of the image source (page_id, width, height, nChannels, data: BGR or BGRA bytes, or gray).
 
@@ -112,9 +144,6 @@ def from_images(images: DataFrame, most_width: int = 2400) -> DataFrame:
     """
     schema = "page_id long, width int, height int, factor double, " + ", ".join(f"{c} array<smallint>" for c in PIXELS)
 
-    def one_list(v: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, v.size], pa.int32()), pa.array(v.ravel().astype(np.int16)))
-
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for i in range(batch.num_rows):

@@ -123,3 +123,27 @@ CELLS_SQL = """
 select s_suppkey page_id, x::double x, y::double y, w::double w, h::double h from supplier join (values
   (0, 0, 0, 48, 31), (0, 0, 34, 48, 30), (1, 0, 0, 23, 31), (1, 26, 0, 22, 31), (1, 0, 34, 48, 30),
   (2, 0, 0, 23, 31), (2, 26, 0, 22, 31), (2, 0, 34, 15, 30), (2, 18, 34, 30, 30)) t(k, x, y, w, h) on s_suppkey % 3 = k"""
+
+
+#: The same panels as (page_id % 3, panel, (x, y, w, h)).
+PANELS = [
+    (0, 1, (2, 2, 44, 29)), (0, 2, (2, 34, 44, 28)), (1, 1, (2, 2, 21, 29)), (1, 2, (26, 2, 20, 29)), (1, 3, (2, 34, 44, 28)),
+    (2, 1, (2, 2, 21, 29)), (2, 2, (26, 2, 20, 29)), (2, 3, (2, 34, 13, 28)), (2, 4, (18, 34, 28, 28)),
+]
+
+#: Drawn pages are the rasters of rasters() in one tone of ink, magnified by this and 2 more on odd ids.
+MAGNIFIED = 6
+
+
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two sizes (288 x 384 and 384 x 512 pixels): panels of one tone, by page_id % 5 also a soft
+    picture without any border (3) and an empty sheet (4).
+    """
+    from pagegrid.operators import pages as P
+
+    kind = F.col("page_id") % 5
+    soft = lambda i: 70 + F.floor(F.floor(i / RASTER_W) * 0.75)
+    tone = lambda v, i: F.when(kind == 3, soft(i)).when(kind == 4, 250).when(v < 225, 40).otherwise(v).cast("smallint")
+    base = rasters(spark, sf_dir).withColumn("gray", F.transform("gray", tone))
+    small, large = (P.rescaled(base.filter(F.col("page_id") % 2 == odd), float(MAGNIFIED + 2 * odd)) for odd in (0, 1))
+    return small.unionByName(large)
