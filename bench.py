@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from pagegrid.plans.catalog import QUERIES
 
-NAMES = ["panels_from_gutters", "q8_detect_pages", "j10_score_templates", "w3_reading_order", "m1_merge_rects", "a4_score_layout", "j6_region_sums", "j1_overlap_pairs", "a6_union_coverage", "w1_bands"]
+NAMES = ["panels_from_gutters", "q8_detect_drawn", "u2_segments_drawn", "j6_box_measures", "q8_detect_pages", "j10_score_templates", "w3_reading_order", "m1_merge_rects", "a4_score_layout", "j6_region_sums", "j1_overlap_pairs", "a6_union_coverage", "w1_bands"]
 
 
 def main() -> None:

@@ -297,11 +297,11 @@ def palette(page: Page, k: int = 4, share: float = 0.04) -> list[dict]:
 
 
 def tiles(page: Page, grid: int = 20, dark: int = 200) -> tuple[list[float], list[float]]:
-    """Shares of dark pixels and of edge pixels in each tile, row by row."""
+    """Shares of dark pixels and of widened edges in each tile, row by row."""
     out = []
     ys, xs = (np.arange(grid + 1) * page.high) // grid, (np.arange(grid + 1) * page.wide) // grid
     n = np.diff(ys)[:, None] * np.diff(xs)
-    for plane in (page.gray < dark, A.gradient(page.gray) > 100):
+    for plane in (page.gray < dark, A.dilated(page.edges, 1, 1)):
         t = np.pad(plane.cumsum(0).cumsum(1), ((1, 0), (1, 0)))[ys][:, xs]
         out.append(((t[1:, 1:] - t[1:, :-1] - t[:-1, 1:] + t[:-1, :-1]) / np.maximum(n, 1)).ravel().tolist())
     return out[0], out[1]

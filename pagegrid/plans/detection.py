@@ -11,8 +11,10 @@ from pagegrid.operators import detection as D
 from pagegrid.operators import edges as E
 from pagegrid.operators import library as L
 from pagegrid.operators import pages as P
+from pagegrid.operators.corrections import CorrectionStore
 from pagegrid.plans.registry import query
 from pagegrid.sources import views as V
+from pagegrid.sources.files import shared_folder
 from pagegrid.sources.views import MAGNIFIED, RASTER_H, RASTER_W
 
 #: d: each page's kind, its number of panels less two, its magnification; dp: its panels in its own pixels.
@@ -102,3 +104,15 @@ def w14_voted_edges_drawn(s, d):
     """Thin edges with hysteresis: a line of one pixel around every panel."""
     look = lambda p: (int(E.voted_edges(p.gray).sum()),)
     return P.with_columns(V.drawn_pages(s, d), look, "n bigint", drop_pixels=True).filter("n > 0").select("page_id", "n")
+
+
+@query("""l as (select * from act where action in ('upsert','revert') qualify row_number() over (partition by page_id order by ts desc, event_id desc) = 1)
+select 'book.pdf' as path, page_id::int page, case when page_id % 3 > 0 then 1 else 0 end::int n, event_id seq from l where action = 'upsert'""", "act")
+def s8_corrections_store(s, d):
+    """Two writers, one for edits and one for deletions, and what the store holds in the end; some saved lists are empty."""
+    acts = V.actions(s, d).filter(F.col("action").isin("upsert", "revert")).select(F.lit("book.pdf").alias("path"), F.col("page_id").cast("int").alias("page"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), "action")
+    one = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("w"), F.lit(20.0).alias("h")))
+    store = CorrectionStore(s, shared_folder(s, "corrections"))
+    store.delete(acts.filter("action = 'revert'").drop("action"))
+    store.save(acts.filter("action = 'upsert'").drop("action").withColumn("panels", F.when(F.col("page") % 3 > 0, one).otherwise(D.none())))
+    return store.load().select("path", "page", F.size("panels").alias("n"), "seq")

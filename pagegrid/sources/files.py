@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +17,23 @@ PANELS = "image_path string, image_size struct<width:int,height:int>, num_panels
 def read_pages(spark: SparkSession, path: str, dpi: int = 150) -> DataFrame:
     """Images with their page number (from `*_page_NNN.*`) and size in points; unreadable ones are dropped."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return page_dims(numbered_pages(raw), dpi)
+
+
+def numbered_pages(images: DataFrame) -> DataFrame:
+    """images (with `origin`) and the page number in their file's name, or null."""
     number = F.regexp_extract("origin", r"_page_(\d+)\.[A-Za-z]+$", 1)
-    pages = raw.withColumn("page_id", F.when(number != "", number.cast("long")))
-    return page_dims(pages, dpi)
+    return images.withColumn("page_id", F.when(number != "", number.cast("long")))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a local master may go without that setting."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="pagegrid-")
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def unreadable_pages(spark: SparkSession, path: str) -> DataFrame:

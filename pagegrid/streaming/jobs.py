@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagegrid.operators import detection, pages
+from pagegrid.operators.corrections import CorrectionStore
 from pagegrid.operators.library import latest_by_page
+from pagegrid.sources.files import numbered_pages
+
+IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
 
 def latest_tasks(actions: DataFrame) -> DataFrame:
@@ -61,3 +66,33 @@ def detect_stream(pages: DataFrame, detect: Callable[[DataFrame], DataFrame], ou
         detect(todo).write.mode("overwrite").parquet(f"{out}/config_hash={config_hash}/run={run}")
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/{config_hash}").trigger(availableNow=True).start()
+
+
+def stream_images(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
+    """Images as they are dropped into a folder, with their page number; unreadable ones are left out.
+
+    A file without a number is known by a hash of where it lies.
+    """
+    raw = spark.readStream.format("image").schema(IMAGE).option("maxFilesPerTrigger", files_at_once).load(folder).select("image.*")
+    return numbered_pages(raw.filter("nChannels > 0")).withColumn("page_id", F.coalesce("page_id", F.xxhash64("origin")))
+
+
+def detect_images(spark: SparkSession, folder: str, out: str, checkpoint: str, **config) -> StreamingQuery:
+    """Detects the panels of every image in a folder once, and of those that come later once; config: detect()'s parameters.
+
+    Results (detect()'s rows) lie under the configuration's hash, see detect_stream.
+    """
+    found = lambda images: detection.detect(pages.from_images(images).drop("factor"), **config)
+    name = hashlib.sha256(repr(sorted(config.items())).encode()).hexdigest()[:16]
+    return detect_stream(stream_images(spark, folder), found, out, checkpoint, name)
+
+
+def save_edits(edits: DataFrame, store: CorrectionStore, checkpoint: str) -> StreamingQuery:
+    """Appends a stream of edits (path, page, panels, at, seq, deleted) to a store; a batch that is run again replaces itself."""
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def batch(df: DataFrame, number: int) -> None:
+        store.save(df.filter("not deleted").drop("deleted"), f"{source}-{number}-saved")
+        store.delete(df.filter("deleted").drop("deleted"), f"{source}-{number}-deleted")
+
+    return edits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
