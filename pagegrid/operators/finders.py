@@ -130,9 +130,9 @@ def chained(lines: list[tuple], gap: float) -> list[tuple]:
 
 def line_cells(page: Page) -> list[dict]:
     """Cells of the grid that interior lines and the page's edges span, 2 pixels inside their lines."""
-    places = []
+    places, every = [], segments(page)
     for axis, size in ((0, page.high), (1, page.wide)):
-        lines = sorted((at, hi - lo) for a, at, lo, hi in page.segments if a == axis)
+        lines = sorted((at, hi - lo) for a, at, lo, hi in every if a == axis)
         groups: list[list] = []
         for at, length in lines:
             if groups and at - groups[-1][-1][0] <= max(1.0, 0.04 * size):

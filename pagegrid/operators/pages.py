@@ -48,12 +48,6 @@ class Page:
     def edges(self) -> np.ndarray:
         return E.voted_edges(self.gray)
 
-    @cached_property
-    def segments(self) -> list[tuple]:
-        from pagegrid.operators import finders
-
-        return finders.segments(self)
-
     def away(self, background: tuple[float, float, float]) -> np.ndarray:
         """Distance of each pixel's colour from a background's."""
         return np.sqrt(((self.lab - np.array(background)) ** 2).sum(-1))

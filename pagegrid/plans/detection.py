@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagegrid.operators import detection as D
 from pagegrid.operators import edges as E
+from pagegrid.operators import finders as N
 from pagegrid.operators import library as L
 from pagegrid.operators import pages as P
 from pagegrid.operators.corrections import CorrectionStore
@@ -69,7 +70,7 @@ g as (select page_id, axis, e - 0.5 as position, min(lo) - 1 as lo, max(hi) + 1
 def u2_segments_drawn(s, d):
     """Voted lines and gradient lines, near ones joined: both ends of every panel, in the middle between ink and paper."""
     found = "segments array<struct<axis:int,position:double,lo:double,hi:double>>"
-    look = lambda p: ([dict(zip(("axis", "position", "lo", "hi"), x, strict=True)) for x in p.segments],)
+    look = lambda p: ([dict(zip(("axis", "position", "lo", "hi"), x, strict=True)) for x in N.segments(p)],)
     seen = P.with_columns(V.drawn_pages(s, d), look, found, drop_pixels=True)
     return seen.select("page_id", F.explode("segments").alias("l")).select("page_id", F.when(F.col("l.axis") == 0, "H").otherwise("V").alias("axis"), "l.position", "l.lo", "l.hi")
 
