@@ -398,3 +398,80 @@ def test_audit_widens_the_beam():
     g = hnsw.Graph(v).build()
     beam, share = embeddings.audit_beam(g, g, 1, np.arange(200), True, 0.95)
     assert beam > 1 and share >= 0.95
+
+
+def test_language_ranks_against_plain_python(spark):
+    rng = random.Random(4)
+    alphabets = {"aa": "abcde fgh", "bb": "cdefg hij", "cc": "éèàça bd"}
+    text = lambda lang, n: "".join(rng.choice(alphabets[lang]) for _ in range(n))
+    rows = [(i, text(lang := rng.choice(list(alphabets)), rng.randint(0, 200)), lang if rng.random() < 0.7 else None) for i in range(90)] + [(90, None, "aa"), (91, "12 3!", "bb"), (92, "Ab" * 30_000, None)]
+    ranks = 40
+
+    def grams(x):
+        codes = langid.letters_of(x) if x is not None else ()
+        return [] if len(codes) <= 2 else [int(g) for g in langid.ranked(*langid.ngrams(codes), ranks)]
+
+    counts = {}
+    for _, x, lang in rows:
+        if x is not None and lang is not None and len(codes := langid.letters_of(x)) > 2:
+            g, n = langid.ngrams(codes)
+            for a, b in zip(g.tolist(), n.tolist(), strict=True):
+                counts.setdefault(lang, {}).setdefault(a, 0)
+                counts[lang][a] += b
+    profiles = {lang: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:ranks])} for lang, c in counts.items()}
+    want = {}
+    for i, x, _ in rows:
+        top = grams(x)
+        cost = sorted((sum(abs(p[g] - k) if g in p else ranks for k, g in enumerate(top)), lang) for lang, p in profiles.items())
+        want[i] = (cost[0][1], round(1 - cost[0][0] / (len(top) * ranks), 9)) if top else ("und", 0.0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.identify(docs.select("doc_id", "text"), docs.select("text", "lang"), ranks=ranks).collect()}
+    assert got == want
+
+
+def test_shards_keep_every_row_and_the_query_its_digests(spark, tmp_path):
+    from pagegrid.llm import queries
+
+    rows = [(i, None if i % 17 == 0 else f"text {i % 40} é" * (i % 9)) for i in range(500)] + [(7, "text 7 é" * 7)] * 30 + [(None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_external_shuffle(spark, str(tmp_path)).collect()
+    size = lambda x: len((x or "").encode()) + 8
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=str) == sorted(((i, size(x), zlib.crc32((x or "").encode())) for i, x in rows), key=str)
+    held = {s: sorted(r.slot for r in got if r.shard == s) for s in range(24)}
+    assert all(slots == list(range(len(slots))) for slots in held.values()) and max(map(len, held.values())) - min(map(len, held.values())) <= 1
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+
+
+def test_targets_of_a_mix_are_filled_like_water(spark):
+    sizes = {"a": 10, "b": 1000, "c": 40, "d": 0, None: 500}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    weight = {s: w for s, w in zip(["a", "b", "c", "d", None], [1, 2, 3, 1, 2], strict=True)}
+    total, target, capped = sum(sizes.values()), {}, set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in capped)
+        free = [s for s in sizes if s not in capped]
+        target = {s: 3.0 * sizes[s] if s in capped else left * weight[s] / sum(weight[f] for f in free) for s in sizes}
+        over = [s for s in free if target[s] > 3 * sizes[s]]
+        if not over:
+            break
+        capped |= set(over)
+    got = mixing.mix_plan(docs).collect()
+    assert all(abs(r.target - target[r.source]) < 1e-6 * total for r in got)
+    assert all(abs(r.taken - target[r.source]) <= 64 + 1 and r.taken <= 3 * r["size"] for r in got)
+
+
+def test_near_copies_are_found_at_every_size(spark):
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for i in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 30, 80, 300]))]
+        near = list(words)
+        near[rng.randrange(len(near) - 1)] = "changed" if len(words) > 30 else near[0]
+        near = near[:-1] if len(words) <= 30 else near
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, near)]
+        if 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1]):
+            pairs.append(2 * i)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 40 and all(got[i] == got[i + 1] == i for i in pairs)
+    assert all(got[2 * i + 1] == 2 * i + 1 for i in range(150) if 2 * i not in pairs)
