@@ -75,18 +75,32 @@ def u2_segments_drawn(s, d):
     return seen.select("page_id", F.explode("segments").alias("l")).select("page_id", F.when(F.col("l.axis") == 0, "H").otherwise("V").alias("axis"), "l.position", "l.lo", "l.hi")
 
 
-@query(f"""{SEGMENTS}, c as (select page_id, axis, trunc(position) p, case axis when 'H' then d.h else d.w end size from g join d using (page_id)),
+CELLS = f"""{SEGMENTS}, c as (select page_id, axis, trunc(position) p, case axis when 'H' then d.h else d.w end size from g join d using (page_id)),
 q as (select page_id, axis, p, size from c where p > 0.03 * size and p < 0.97 * size union all select page_id, axis, unnest([0, size]), size from (select distinct page_id, axis, size from c)),
 t as (select page_id, axis, size, p lo, lead(p) over (partition by page_id, axis order by p) hi from (select distinct * from q)),
-u as (select page_id, axis, size, lo + case when lo > 0 then 2 else 0 end lo, hi - case when hi < size then 2 else 0 end hi from t where hi is not null)
-select a.page_id, b.lo::double x, a.lo::double y, (b.hi - b.lo)::double w, (a.hi - a.lo)::double h from u a join u b on a.page_id = b.page_id and a.axis = 'H' and b.axis = 'V'
-where a.hi - a.lo >= 0.03 * a.size and b.hi - b.lo >= 0.03 * b.size""", "pan")
+u as (select page_id, axis, size, lo + case when lo > 0 then 2 else 0 end lo, hi - case when hi < size then 2 else 0 end hi from t where hi is not null),
+lc as (select a.page_id, b.lo::double x, a.lo::double y, (b.hi - b.lo)::double w, (a.hi - a.lo)::double h from u a join u b on a.page_id = b.page_id and a.axis = 'H' and b.axis = 'V'
+where a.hi - a.lo >= 0.03 * a.size and b.hi - b.lo >= 0.03 * b.size)"""
+
+
+@query(f"{CELLS} select * from lc", "pan")
 def q2_line_cells_drawn(s, d):
     """Cells of the grid that a page's lines span, two pixels inside them."""
     seen = D.with_evidence(V.drawn_pages(s, d), off=("adaptive", "hierarchy", "gutter")).select("page_id", F.explode(F.get("seen", F.lit(0))["lsd"]).alias("b"))
     return seen.select("page_id", "b.x", "b.y", "b.w", "b.h")
 
 
+@query(f"""{CELLS} select page_id, 'lsd' as route, x, y, w, h from lc
+union all select page_id, unnest(['adaptive', 'gutter']), x::double, y::double, w::double, h::double from dp union all select page_id, 'hierarchy', x - 1, y - 1, w + 1, h + 1 from dp
+union all select page_id, 'gutter', 0, 0, w, h - case m when 8 then 13 else 9 end from d where kind = 3""", "pan")
+def u1_all_routes_drawn(s, d):
+    """The boxes of all four routes on every page, before any is chosen; the soft picture's brightest rows look like a gutter."""
+    seen = D.with_evidence(V.drawn_pages(s, d)).select("page_id", "width", "height", F.get("seen", F.lit(0)).alias("seen"))
+    found = D.route_boxes(F.col("seen"), F.col("width"), F.col("height"))
+    routes = P.settled(seen.select("page_id", F.array(*[F.struct(F.lit(r).alias("route"), found[r].alias("boxes")) for r in D.ROUTES]).alias("routes")))
+    return routes.select("page_id", F.explode("routes").alias("r")).select("page_id", "r.route", F.explode("r.boxes").alias("b")).select("page_id", "route", "b.*")
+
+
 @query("""m as (select pan.page_id, panel, avg(v) mean, stddev_pop(v) std, avg((v <= 200)::int) dark from pan join px on px.page_id = pan.page_id and px.x >= pan.x and px.x < pan.x + w and px.y >= pan.y and px.y < pan.y + h group by all)
 select page_id, panel::int panel, round(mean, 6) mean, round(std, 6) std, round(dark, 6) dark from m""", "pan", "px")
 def j6_box_measures(s, d):

@@ -449,7 +449,7 @@ def m2_merge_regions(s, d):
 
 @query()
 def q3_components_route(s, d):
-    """Local threshold, closing, components, box filter and merge: a route from pixels to boxes."""
+    """Fixed threshold, closing, components, side limits and merge, on pixel rows."""
     px = V.pixels(s, d).withColumn("v", F.when(F.col("v") < 225, 1).otherwise(0))
     closed = P.morphology(P.morphology(px, "dilate", 1, 1), "erode", 1, 1)
     boxes = M.grid_components(closed.filter("v = 1")).filter("w >= 5 and h >= 5")
