@@ -191,7 +191,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 100_
     rk is xxhash64(vec_id, embedding). Defined cases: vectors that are null, empty, zero or hold
     null or non-finite components link with nothing; vectors of different lengths never link;
     rows with a null vec_id link with nothing and have a null component_id; rows that share an id
-    are one node of components; other columns are not looked at; an empty table gives no rows.
+    are one node of components; other columns, of whatever name, are not looked at; an empty table gives no rows.
     """
     rows = vectors.select("vec_id", F.xxhash64("vec_id", "embedding").alias("rk"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)

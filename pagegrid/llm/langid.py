@@ -102,6 +102,7 @@ def guesses(batches, profiles: dict[str, list[int]], ranks: int):
 
 
 def held_out(doc_id: str = "doc_id"):
+    """Whether a document is kept from learning; one with a null id is not held out (nor learned from by op9's filter)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
@@ -115,7 +116,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, ranks: int = 30
 
     Defined cases: null texts and texts without letters are `und` with score 0, and so is every
     text if nothing was labelled; input columns named lang_pred or score are replaced; repeated
-    rows each get their row; an empty table gives no rows.
+    rows each get their row; long texts are counted whole; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "score")
     profiles = learn_profiles(docs if labelled is None else labelled, ranks)

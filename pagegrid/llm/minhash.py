@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
 
     rk is xxhash64(doc_id, text). Defined cases: texts that are null or have no words link with
     nothing; rows with a null id have a null component_id and are kept; rows that share an id
-    are one node with the links of all of them; an empty table gives no rows.
+    are one node with the links of all of them; a text of any length is one set, whole; other columns
+    are not looked at; an empty table gives no rows.
     """
     if bins & (bins - 1) or bins % rows:
         raise ValueError("bins must be a power of two and a multiple of rows")
