@@ -439,6 +439,37 @@ def detect(
     return settled(out)
 
 
+def in_height_order(boxes: Column) -> Column:
+    """Rows anchored on the top of their first box, as far as half of that box's height, each from left to right."""
+    items = F.array_sort(F.transform(boxes, lambda b: F.struct(b["y"].alias("y"), b["x"].alias("x"), _box(b).alias("b"))))
+    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0.0).alias("reach"), F.lit(0).alias("row"), F.array().cast(f"array<struct<row:int,across:double,b:{BOX}>>").alias("out"))
+
+    def step(acc, i):
+        same = F.coalesce(F.abs(i["y"] - acc["at"]) < acc["reach"], F.lit(False))
+        row = acc["row"] + F.when(same, 0).otherwise(1)
+        placed = F.struct(row.alias("row"), i["x"].alias("across"), i["b"].alias("b"))
+        at, reach = F.when(same, acc["at"]).otherwise(i["y"]), F.when(same, acc["reach"]).otherwise(0.5 * i["b"]["h"])
+        return F.struct(at.alias("at"), reach.alias("reach"), row.alias("row"), F.concat(acc["out"], F.array(placed)).alias("out"))
+
+    return F.transform(F.array_sort(F.aggregate(items, start, step, lambda acc: acc["out"])), lambda p: p["b"])
+
+
+def detect_bordered(
+    pages: DataFrame, lower: tuple[int, int, int] | None = None, upper: tuple[int, int, int] | None = None, close: int = 7, widen: int = 7,
+    min_area: float = 10_000, aspect: tuple[float, float] = (0.2, 5.0), ink: float = 0.35,
+) -> DataFrame:
+    """Panels inside borders of a colour (a range of hue in half degrees, saturation and value) or, without one, dark borders.
+
+    Boxes that are small, narrow, wholly in the upper 35 % or editorial (full of ink, low and wide) go.
+    Returns the columns of pages without pixels, and panels in reading order.
+    """
+    wide, high = F.col("width"), F.col("height")
+    seen = with_columns(pages, lambda p: (N.bordered(p, lower, upper, close, widen),), "_seen array<struct<x:double,y:double,w:double,h:double,ink:double>>", drop_pixels=True)
+    fine = lambda b: (area(b) >= min_area) & (b["w"] / b["h"]).between(*aspect) & (b["y"] + b["h"] >= 0.35 * high)
+    editorial = lambda b: (b["ink"] > ink) & (b["h"] < 0.25 * high) & (b["w"] > 0.40 * wide)
+    return settled(seen.withColumn("panels", in_height_order(F.filter("_seen", lambda b: fine(b) & ~editorial(b)))).drop("_seen"))
+
+
 def panels(detected: DataFrame) -> DataFrame:
     """(page_id, panel_no, x, y, w, h), one row for each panel of detect()."""
     return detected.select("page_id", F.posexplode("panels").alias("_i", "b")).select("page_id", (F.col("_i") + 1).alias("panel_no"), "b.*")

@@ -270,6 +270,40 @@ def freeform(page: Page, background: tuple[float, float, float], delta: float =
     return out
 
 
+# --- borders of a colour
+
+
+def hsv(page: Page) -> np.ndarray:
+    """Hue in half degrees (0 to 180), saturation and value (0 to 255), height x width x 3, as in functions.colour.with_hsv."""
+    r, g, b = (page.channels.get(c, page.gray).astype(float) for c in "rgb")
+    high = np.maximum(np.maximum(r, g), b)
+    span = high - np.minimum(np.minimum(r, g), b)
+    safe = np.where(span == 0, 1, span)
+    turn = np.where(high == r, (g - b) / safe, np.where(high == g, 2 + (b - r) / safe, 4 + (r - g) / safe)) * 60.0
+    hue = np.where(span == 0, 0.0, turn % 360.0) / 2.0
+    return np.stack([hue, np.where(high == 0, 0.0, span * 255.0 / np.maximum(high, 1)), high], -1)
+
+
+def border_mask(page: Page, lower: tuple[int, int, int] | None = None, upper: tuple[int, int, int] | None = None) -> np.ndarray:
+    """Pixels whose colour lies in a range, or without one (or with a black lower end) what is darker than its surroundings."""
+    if lower is None or upper is None or not any(lower):
+        return A.local_dark(np.rint(E.blurred(E.blurred(page.gray))), 99, 5)
+    colour = hsv(page)
+    return ((colour >= lower) & (colour <= upper)).all(-1)
+
+
+def bordered(page: Page, lower: tuple | None, upper: tuple | None, close: int = 7, widen: int = 7) -> list[dict]:
+    """Boxes of what borders enclose with `ink`, the share of their pixels darker by 10 than the 21 x 21 around them."""
+    mask = A.dilated(A.closed(border_mask(page, lower, upper), close // 2), widen // 2, widen // 2)
+    found = S.Components(mask | S.holes(mask))
+    out = []
+    for x0, y0, x1, y1 in zip(found.x0, found.y0, found.x1, found.y1, strict=True):
+        if (x1 - x0) * (y1 - y0) >= 0.001 * page.wide * page.high:
+            dark = A.local_dark(page.gray[y0:y1, x0:x1], 21, 10)
+            out.append(dict(x=float(x0), y=float(y0), w=float(x1 - x0), h=float(y1 - y0), ink=float(dark.mean())))
+    return out
+
+
 # --- facts of a page
 
 

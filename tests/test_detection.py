@@ -223,6 +223,31 @@ def test_images_of_mixed_sizes(spark, image_pages):
     found.unpersist()
 
 
+def test_borders_of_a_colour_and_dark_ones(spark, tmp_path):
+    def page(colour):
+        out = np.full((500, 400, 3), 255.0)
+        for x0, y0, x1, y1 in ((20, 20, 190, 240), (210, 30, 380, 240), (20, 260, 380, 480)):
+            out[y0:y1, x0:x1] = colour
+            out[y0 + 6 : y1 - 6, x0 + 6 : x1 - 6] = 255
+        disc(out, 100, 120, 40, (200, 30, 30))
+        return out
+
+    import colorsys
+
+    rng = np.random.default_rng(9)
+    some = rng.integers(0, 256, (6, 7, 3))
+    p = P.Page(7, 6, {"gray": some[..., 0], **{c: some[..., k] for k, c in enumerate("rgb")}})
+    want = [[colorsys.rgb_to_hsv(*(v / 255)) for v in row] for row in some]
+    assert np.allclose(N.hsv(p), np.array(want) * [180, 255, 255], atol=1e-6)
+    for name, colour in (("green", (30, 200, 40)), ("black", (0, 0, 0))):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a_page_001.png").write_bytes(png(page(colour)))
+        images = P.from_images(files.read_pages(spark, str(folder)))
+        found = D.detect_bordered(images, *(((45, 80, 80), (80, 255, 255)) if name == "green" else (None, None))).first()
+        assert len(found.panels) == 3 and np.allclose([tuple(b) for b in found.panels], [(20, 20, 170, 220), (210, 30, 170, 210), (20, 260, 360, 220)], atol=8)
+
+
 def test_switches_and_saved_corrections(spark):
     small = np.full((120, 100), 250, np.int16)
     small[6:56, 6:94] = small[64:114, 6:94] = 40
