@@ -222,10 +222,32 @@ def with_new_bands(known: list[tuple[int, int]], new: list[tuple[int, int]], apa
     return sorted(known + [b for b in new if all(abs((b[0] + b[1]) / 2 - (k[0] + k[1]) / 2) >= apart for k in known)])
 
 
+def sub_gutter(cell: np.ndarray, least: int = 3, bright: int = 225) -> tuple[int, int] | None:
+    """(first, last) row of the one gutter that splits a cell into two stacked panels: near white, well inside, with most white in it.
+
+    Cells under 60 pixels high or 30 wide stay whole.
+    """
+    high, wide = cell.shape
+    if high < 60 or wide < 30:
+        return None
+    edge = max(3, wide // 20)
+    inner = cell[:, edge : wide - edge]
+    rows = inner.mean(1)
+    middle, top = np.median(rows), rows.max()
+    if top - middle < 40 or top < bright:
+        return None
+    found = A.islands(np.flatnonzero(rows >= max(middle + 0.65 * (top - middle), bright)), 3, least)
+    inset = int(0.15 * high)
+    white = [((inner[a : b + 1] >= bright).mean(), -a, (a, b)) for a, b in found if a >= inset and b <= high - inset]
+    share, _, band = max(white, default=(0.0, 0, None))
+    return band if share >= 0.55 else None
+
+
 def gutter_grids(page: Page) -> tuple[list[dict], list[dict]]:
-    """(cells of one grid over the page, cells of rows that are each cut by gutters of their own)."""
+    """(cells of one grid over the page, cells of rows that are each cut by gutters of their own, and these once more across)."""
     gray, mask = page.gray, gutter_mask(page)
-    across = with_new_bands(A.bright_bands(gray.mean(1), 0.65, 30, 5, 3), mask_bands(mask, 0))
+    inset = int(0.03 * page.wide)
+    across = with_new_bands(A.bright_bands(gray[:, inset : page.wide - inset].mean(1), 0.65, 30, 5, 3), mask_bands(mask, 0))
     down = with_new_bands(A.bright_bands(gray.mean(0), 0.55, 30, 3, 3, 225), mask_bands(mask, 1))
     wide, high = least_side(page.wide), least_side(page.high)
     rows = A.between(across, page.high)
@@ -236,7 +258,11 @@ def gutter_grids(page: Page) -> tuple[list[dict], list[dict]]:
     for y0, y1 in rows if across else []:
         if y1 - y0 >= 0.12 * page.high:
             own = with_new_bands(A.bright_bands(gray[y0:y1].mean(0), 0.55, 30, 3, 3, 225), mask_bands(mask[y0:y1], 1))
-            nested += [candidate(x0, y0, x1 - x0, y1 - y0) for x0, x1 in A.between(own, page.wide) if x1 - x0 >= wide]
+            for x0, x1 in A.between(own, page.wide):
+                if x1 - x0 >= wide:
+                    split = sub_gutter(gray[y0:y1, x0:x1])
+                    cuts = [(y0, y1)] if split is None else [(y0, y0 + split[0]), (y0 + split[1] + 1, y1)]
+                    nested += [candidate(x0, a, x1 - x0, b - a) for a, b in cuts]
     return flat, nested
 
 

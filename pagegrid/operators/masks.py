@@ -90,19 +90,24 @@ def tile_equalise(pixels: DataFrame, width: int, height: int, tiles: int = 8, cl
     return p.join(table, ["page_id", "ty", "tx", "v"]).select("page_id", "y", "x", F.col("out").alias("v"))
 
 
-def smoothing_weights(window: int, order: int) -> list[float]:
-    """Weights that give the middle of the least-squares polynomial of a window."""
-    t = np.arange(window) - window // 2
-    return np.linalg.pinv(np.vander(t, order + 1, increasing=True))[0].tolist()
+def smoothing_weights(window: int, order: int) -> np.ndarray:
+    """window x window: row r has the weights that give place r of the least-squares polynomial of a window."""
+    powers = np.vander(np.arange(window) - window // 2, order + 1, increasing=True)
+    return powers @ np.linalg.pinv(powers)
 
 
 def smooth_profile(prof: DataFrame, window: int = 51, order: int = 3) -> DataFrame:
-    """Polynomial smoothing of (page_id, idx, v); the half windows at both ends keep their values."""
-    k = window // 2
-    w = Window.partitionBy("page_id").orderBy("idx")
-    terms = [F.lag("v", k - i).over(w) * weight if i <= k else F.lead("v", i - k).over(w) * weight for i, weight in enumerate(smoothing_weights(window, order))]
-    fitted = sum(terms[1:], terms[0])
-    return prof.withColumn("smooth", F.round(F.coalesce(fitted, F.col("v").cast("double")), 6)).select("page_id", "idx", "smooth")
+    """Polynomial smoothing of (page_id, idx, v), idx from 0; the first and last window's polynomials give the ends.
+
+    Profiles shorter than the window keep their values.
+    """
+    weights = F.lit(smoothing_weights(window, order).ravel())
+    pages = prof.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("v").cast("double").alias("v")))).alias("_s"))
+    pages = pages.select("page_id", F.transform("_s", lambda q: q["v"]).alias("_v"), F.size("_s").alias("_n"), F.posexplode("_s").alias("_i", "_q"))
+    start = F.least(F.greatest(F.col("_i") - window // 2, F.lit(0)), F.col("_n") - window)
+    terms = F.zip_with(F.slice("_v", start + 1, window), F.slice(weights, (F.col("_i") - start) * window + 1, window), lambda a, b: a * b)
+    fitted = F.when(F.col("_n") < window, F.col("_q.v")).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
+    return pages.select("page_id", F.col("_q.idx").alias("idx"), F.round(fitted, 6).alias("smooth"))
 
 
 def local_peaks(prof: DataFrame, share: float = 0.85) -> DataFrame:
@@ -134,17 +139,14 @@ def space_peaks(peaks: DataFrame, apart: int) -> DataFrame:
 
 def prominent(peaks: DataFrame, prof: DataFrame, least: float) -> DataFrame:
     """Peaks that rise at least `least` over the higher of the two valleys before higher ground."""
-    samples = prof.select("page_id", F.col("idx").alias("j"), F.col("v").alias("u"))
+    samples = prof.groupBy("page_id").agg(F.collect_list(F.struct(F.col("idx").alias("j"), F.col("v").alias("u"))).alias("_s"))
     near = peaks.join(samples, "page_id")
-    walls = near.groupBy("page_id", "idx", "v").agg(
-        F.max(F.when((F.col("j") < F.col("idx")) & (F.col("u") > F.col("v")), F.col("j"))).alias("left"),
-        F.min(F.when((F.col("j") > F.col("idx")) & (F.col("u") > F.col("v")), F.col("j"))).alias("right"),
-    )
-    inside = walls.join(samples, "page_id")
-    lo = F.min(F.when((F.col("j") <= F.col("idx")) & (F.col("left").isNull() | (F.col("j") > F.col("left"))), F.col("u")))
-    hi = F.min(F.when((F.col("j") >= F.col("idx")) & (F.col("right").isNull() | (F.col("j") < F.col("right"))), F.col("u")))
-    out = inside.groupBy("page_id", "idx", "v").agg((F.col("v") - F.greatest(lo, hi)).alias("prominence"))
-    return out.filter(F.col("prominence") >= least)
+    wall = lambda side: F.transform(F.filter("_s", lambda q: side(q["j"]) & (q["u"] > F.col("v"))), lambda q: q["j"])
+    near = near.withColumn("_l", F.array_max(wall(lambda j: j < F.col("idx")))).withColumn("_r", F.array_min(wall(lambda j: j > F.col("idx"))))
+    valley = lambda side: F.array_min(F.transform(F.filter("_s", lambda q: side(q["j"])), lambda q: q["u"]))
+    lo = valley(lambda j: (j <= F.col("idx")) & (F.col("_l").isNull() | (j > F.col("_l"))))
+    hi = valley(lambda j: (j >= F.col("idx")) & (F.col("_r").isNull() | (j < F.col("_r"))))
+    return near.select("page_id", "idx", "v", (F.col("v") - F.greatest(lo, hi)).alias("prominence")).filter(F.col("prominence") >= least)
 
 
 def validate_bands(bands: DataFrame, pixels: DataFrame, mask: Column, axis: str = "y", thick: int = 2, cover: float = 0.45) -> DataFrame:

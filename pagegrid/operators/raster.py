@@ -50,21 +50,6 @@ def grid_cells(h: DataFrame, v: DataFrame, width: int, height: int, min_side: in
     return rows.join(cols, "page_id").select("page_id", "x", "y", "w", "h")
 
 
-def row_cells(pixels: DataFrame, h: DataFrame, width: int, height: int, share: float = 0.55, min_side: int = 5) -> DataFrame:
-    """Cells where each row between horizontal bands has vertical bands of its own."""
-    rows = spans_between(h, height).filter(F.col("to") - F.col("from") >= F.lit(0.12 * height)).select("page_id", F.col("from").alias("top"), F.col("to").alias("bottom"))
-    inside = pixels.join(rows, "page_id").filter("y >= top and y < bottom")
-    prof = inside.groupBy("page_id", "top", "bottom", F.col("x").alias("idx")).agg(F.avg("v").alias("mean_v"))
-    stats = prof.groupBy("page_id", "top").agg(F.percentile("mean_v", F.lit(0.5)).alias("median"), F.max("mean_v").alias("high"))
-    stats = stats.filter("high - median > 30 and high > 225")
-    bright = prof.join(stats, ["page_id", "top"]).filter(F.col("mean_v") >= F.col("median") + share * (F.col("high") - F.col("median")))
-    key = F.struct("page_id", "top", "bottom")
-    found = bands(bright.select(key.alias("page_id"), "idx"), 3, 3)
-    whole = rows.select(key.alias("page_id")).join(found.select("page_id"), "page_id", "left_anti").select("page_id", F.lit(0).alias("from"), F.lit(width).alias("to"))
-    cells = spans_between(found, width).unionByName(whole).filter(F.col("to") - F.col("from") >= min_side)
-    return cells.select("page_id.page_id", F.col("from").alias("x"), F.col("page_id.top").alias("y"), (F.col("to") - F.col("from")).alias("w"), (F.col("page_id.bottom") - F.col("page_id.top")).alias("h"))
-
-
 def summed_area(pixels: DataFrame, value) -> DataFrame:
     """Cumulative sums over x, then over y: any rectangle's sum is four lookups."""
     along = Window.partitionBy("page_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pagegrid.functions import colour as C
 from pagegrid.functions import geometry as G
+from pagegrid.operators import arrays as A
 from pagegrid.operators import layout as Y
 from pagegrid.operators import library as L
 from pagegrid.operators import masks as M
 from pagegrid.operators import raster as P
 from pagegrid.operators import rects as R
-from pagegrid.plans.registry import BANDS, PROFILE, SCORES, WITH, inter, iou_sql, merge_sql, query, union_sql
+from pagegrid.operators import stencils as N
+from pagegrid.plans.registry import (
+    BANDS,
+    PROFILE,
+    SCORES,
+    WITH,
+    inter,
+    iou_sql,
+    merge_sql,
+    query,
+    union_sql,
+    with_four_boxes,
+)
 from pagegrid.sources import views as V
 from pagegrid.sources.views import PAGE_H, PAGE_W, RASTER_H, RASTER_W
 
@@ -103,7 +118,25 @@ def p5_background_mask(s, d):
 c as (select page_id, v, sum(s) over w s, sum(n) over w n from a window w as (partition by page_id, x order by y rows between 5 preceding and 5 following))
 select page_id, count(*) n_dark from c where v*n <= s - 5*n group by 1""", "px")
 def w9_local_threshold(s, d):
-    return M.local_threshold(V.pixels(s, d), 11).filter("dark").groupBy("page_id").agg(F.count("*").alias("n_dark"))
+    return counted(s, d, lambda g: A.local_dark(g, 11, 5.0))
+
+
+def counted(s, d, mask):
+    """(page_id, n_dark): pixels of each page's mask."""
+    return A.per_page(V.rasters(s, d), lambda g: [(n,)] if (n := int(mask(g).sum())) else [], "page_id long, n_dark long")
+
+
+GAUSS = "(case {d} " + " ".join(f"when {i} then {math.exp(-i * i / (2 * 2.0**2))!r}" for i in range(6)) + " end::double)"
+
+
+@query(f"""c as (select a.page_id, a.y, a.x, any_value(a.v) v, sum({GAUSS.format(d="abs(o)")}*b.v) / sum({GAUSS.format(d="abs(o)")}) m from px a cross join (select unnest(range(-5, 6)) o)
+  join px b on a.page_id = b.page_id and a.y = b.y and b.x = least(47, greatest(0, a.x + o)) group by all),
+g as (select a.page_id, a.y, a.x, any_value(a.v) v, sum({GAUSS.format(d="abs(o)")}*b.m) / sum({GAUSS.format(d="abs(o)")}) m from c a cross join (select unnest(range(-5, 6)) o)
+  join c b on a.page_id = b.page_id and a.x = b.x and b.y = least(63, greatest(0, a.y + o)) group by all)
+select page_id, count(*) n_dark from g where v <= m - 5 group by 1""", "px")
+def w9_gaussian_threshold(s, d):
+    """Means by Gaussian weights with edges repeated; a block of 11 has a spread of 2."""
+    return counted(s, d, lambda g: N.locally_dark(g, 11, 5.0, gaussian=True))
 
 
 @query("""h as (select page_id, (y*8)//64 ty, (x*8)//48 tx, v, count(*) n from px group by all),
@@ -112,13 +145,16 @@ c as (select *, least(n::double, greatest(1.0::double, 2.0::double*total/256)) c
 o as (select *, sum(c) over (partition by page_id, ty, tx order by v) + (v+1)*(total - sum(c) over (partition by page_id, ty, tx))/256 cdf from c)
 select px.page_id, y, x, round(cdf*255/total, 6) v from px join o on o.page_id = px.page_id and ty = (y*8)//64 and tx = (x*8)//48 and o.v = px.v""", "px")
 def w13_tile_equalise(s, d):
-    return M.tile_equalise(V.pixels(s, d), RASTER_W, RASTER_H)
+    plane = N.with_plane(V.rasters(s, d), lambda g: N.equalised(g, blend=False))
+    return N.as_pixels(plane).withColumn("v", F.round("v", 6))
 
 
-FIR = " + ".join(f"{'lag' if i <= 5 else 'lead'}(v, {abs(5 - i)}) over w * {c!r}::double" for i, c in enumerate(M.smoothing_weights(11, 3)))
+HAT = "[" + ", ".join(str(row) for row in M.smoothing_weights(11, 3).tolist()) + "]::double[][]"
 
 
-@query(f"select page_id, idx, round(coalesce({FIR}, v), 6) smooth from prof window w as (partition by page_id order by idx)", "prof")
+@query(f"""l as (select page_id, list(v::double order by idx) l, count(*) n from prof group by 1),
+i as (select page_id, l, idx, greatest(0, least(idx - 5, n - 11)) a from l join prof using (page_id))
+select page_id, idx, round(list_dot_product(({HAT})[idx - a + 1], l[a + 1:a + 11]), 6) smooth from i""", "prof")
 def w11_smooth_profile(s, d):
     return M.smooth_profile(prof(s, d), 11, 3)
 
@@ -180,13 +216,12 @@ def k8_best_sub_band(s, d):
 
 @query(f"{PROFILE}, {BANDS.format(p='pr')} select b.page_id, lo, hi, avg(case when v >= 225 then 1.0::double else 0.0 end) as cover from bpr b join px on px.page_id = b.page_id and y between lo and hi where hi-lo+1 >= 2 group by all having avg(case when v >= 225 then 1.0::double else 0.0 end) >= 0.45", "px")
 def f10_validate_bands(s, d):
-    px = V.pixels(s, d)
-    return M.validate_bands(P.profile_bands(px, "y"), px, F.col("v") >= 225)
+    return N.valid_bands(V.rasters(s, d), lambda g: g >= 225)
 
 
 @query("select page_id, y, x from (select a.page_id, a.y, a.x, sum(b.v*(b.x-a.x)*(2-abs(b.y-a.y))) gx, sum(b.v*(b.y-a.y)*(2-abs(b.x-a.x))) gy, count(*) c from px a join px b on a.page_id=b.page_id and b.x between a.x-1 and a.x+1 and b.y between a.y-1 and a.y+1 group by all) where c = 9 and abs(gx)+abs(gy) > 600", "px")
 def w14_edge_mask(s, d):
-    return P.sobel(V.pixels(s, d)).filter("g > 600").select("page_id", "y", "x")
+    return N.as_pixels(N.with_plane(V.rasters(s, d), A.gradient, kind="bigint")).filter("v > 600").select("page_id", "y", "x")
 
 
 @query("select page_id, bool_and(bright and even) both_all, count(*) filter (bright and even) n_and, count(*) filter (bright or even) n_or from (select page_id, v >= 225 bright, v % 2 = 0 as even from px) group by 1", "px")
@@ -316,11 +351,9 @@ def k7_best_configs(s, d):
 
 @query("select c.page_id, c.rect_id, sum(v)/500.0::double mean_v, sum(case when v < 128 then 1 else 0 end)/500.0::double dark from (select s_suppkey page_id, k rect_id, (s_suppkey*k)%20 x, (s_suppkey+7*k)%30 y from supplier cross join (select unnest(range(1,5)) k)) c join px on px.page_id = c.page_id and px.x between c.x and c.x+19 and px.y between c.y and c.y+24 group by all", "px")
 def a22_panel_ink_report(s, d):
-    px = V.pixels(s, d)
-    k = V.table(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rect_id"))
-    r = k.withColumn("x", (F.col("page_id") * F.col("rect_id")) % 20).withColumn("y", (F.col("page_id") + 7 * F.col("rect_id")) % 30).withColumn("w", F.lit(20)).withColumn("h", F.lit(25))
-    light, dark = P.region_sums(r, px, F.col("v").cast("long")), P.region_sums(r, px, (F.col("v") < 128).cast("long"))
-    return light.select("page_id", "rect_id", (F.col("total") / 500.0).alias("mean_v")).join(dark.select("page_id", "rect_id", (F.col("total") / 500.0).alias("dark")), ["page_id", "rect_id"])
+    found = N.with_totals(with_four_boxes(V.rasters(s, d)), "boxes", {"light": lambda p: p.gray, "dark": lambda p: p.gray < 128})
+    flat = found.select("page_id", F.posexplode("totals").alias("i", "t"))
+    return flat.select("page_id", (F.col("i") + 1).alias("rect_id"), (F.col("t.light") / 500.0).alias("mean_v"), (F.col("t.dark") / 500.0).alias("dark"))
 
 
 CLEAN_SQL = "cl as (select * from r where not (h < 91 and (y < 54.6 or y+h > 855.4))), rf as (select * from cl union all select * from r where page_id not in (select page_id from cl))"
@@ -449,7 +482,7 @@ def m2_merge_regions(s, d):
 
 @query()
 def q3_components_route(s, d):
-    """Fixed threshold, closing, components, side limits and merge, on pixel rows."""
+    """Fixed threshold, closing, components, side limits and merge, on pixel rows; q3_adaptive_route is the whole route."""
     px = V.pixels(s, d).withColumn("v", F.when(F.col("v") < 225, 1).otherwise(0))
     closed = P.morphology(P.morphology(px, "dilate", 1, 1), "erode", 1, 1)
     boxes = M.grid_components(closed.filter("v = 1")).filter("w >= 5 and h >= 5")

@@ -10,6 +10,7 @@ from pagegrid.operators import arrays as A
 from pagegrid.operators import library as L
 from pagegrid.operators import raster as P
 from pagegrid.operators import rects as R
+from pagegrid.operators import stencils as S
 from pagegrid.sources import views as V
 from pagegrid.sources.views import PAGE_H, PAGE_W, RASTER_H, RASTER_W
 
@@ -173,6 +174,12 @@ def a1_profile(s, d):
     return P.profile(V.pixels(s, d), "y")
 
 
+@query("select page_id, x idx, avg(v) mean_v from px where x between 1 and 46 and y between 1 and 62 group by all", "px")
+def a1_interior_profile(s, d):
+    """Column means inside margins of 3 %."""
+    return S.interior_profile(V.rasters(s, d), axis=1)
+
+
 @query("select page_id, median(v) + 0.8*(max(v)-median(v)) threshold from prof group by 1 having max(v)-median(v) >= 30", "prof")
 def a2_profile_threshold(s, d):
     return P.profile_threshold(V.profiles(s, d).withColumnRenamed("v", "mean_v"), 0.8)
@@ -193,29 +200,75 @@ def s5_resize(s, d):
     return V.pixels(s, d).groupBy("page_id", F.floor(F.col("y") * 0.5).alias("y"), F.floor(F.col("x") * 0.5).alias("x")).agg(F.avg("v").alias("v"))
 
 
+def with_four_boxes(pages: DataFrame) -> DataFrame:
+    """pages with four boxes of 20 x 25 pixels at places that follow from the page's id."""
+    box = lambda k: F.struct((F.col("page_id") * k % 20).alias("x"), ((F.col("page_id") + 7 * k) % 30).alias("y"), F.lit(20).alias("w"), F.lit(25).alias("h"))
+    return pages.withColumn("boxes", F.array(*[box(k) for k in range(1, 5)]))
+
+
 @query("select c.page_id, c.rect_id, sum(case when v >= 225 then 1 else 0 end)::bigint total from (select s_suppkey page_id, k rect_id, (s_suppkey*k)%20 x, (s_suppkey+7*k)%30 y from supplier cross join (select unnest(range(1,5)) k)) c join px on px.page_id = c.page_id and px.x between c.x and c.x+19 and px.y between c.y and c.y+24 group by all", "px")
 def j6_region_sums(s, d):
-    px = V.pixels(s, d)
-    k = V.table(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rect_id"))
-    r = k.withColumn("x", (F.col("page_id") * F.col("rect_id")) % 20).withColumn("y", (F.col("page_id") + 7 * F.col("rect_id")) % 30).withColumn("w", F.lit(20)).withColumn("h", F.lit(25))
-    return P.region_sums(r, px, (F.col("v") >= 225).cast("long"))
+    """Bright pixels in four boxes of every page, from the page's summed-area table."""
+    bright = {"total": lambda page: page.gray >= 225}
+    found = S.with_totals(with_four_boxes(V.rasters(s, d)), "boxes", bright)
+    return found.select("page_id", F.posexplode("totals").alias("i", "t")).select("page_id", (F.col("i") + 1).alias("rect_id"), "t.total")
+
+
+def moved(s, d, op: str) -> DataFrame:
+    """Pixels of every page after a step of 5 x 3 pixels, read off the page's row."""
+    return S.as_pixels(S.with_plane(V.rasters(s, d), lambda g: S.extremes(g, op, 2, 1), kind="bigint"))
+
+
+def morphology_sql(*steps: str) -> str:
+    """One running extreme along each axis for every step."""
+    ctes, last = [], "px"
+    for i, f in enumerate(steps):
+        ctes.append(f"m{i} as (select page_id, y, x, {f}(v) over (partition by page_id, y order by x rows between 2 preceding and 2 following) v from {last})")
+        ctes.append(f"n{i} as (select page_id, y, x, {f}(v) over (partition by page_id, x order by y rows between 1 preceding and 1 following) v from m{i})")
+        last = f"n{i}"
+    return ", ".join(ctes) + f" select page_id, y, x, v::bigint v from {last}"
 
 
 @query("select page_id, y, x, max(m) over (partition by page_id, x order by y rows between 1 preceding and 1 following) v from (select page_id, y, x, max(v) over (partition by page_id, y order by x rows between 2 preceding and 2 following) m from px)", "px")
 def w8_dilate(s, d):
-    return P.morphology(V.pixels(s, d), "dilate", 2, 1)
+    return moved(s, d, "dilate")
+
+
+@query(morphology_sql("min"), "px")
+def w8_erode(s, d):
+    return moved(s, d, "erode")
+
+
+@query(morphology_sql("min", "max"), "px")
+def w8_open(s, d):
+    return moved(s, d, "open")
+
+
+@query(morphology_sql("max", "min"), "px")
+def w8_close(s, d):
+    return moved(s, d, "close")
 
 
 @query("""n as (select a.page_id, a.y, a.x, sum(b.v*(b.x-a.x)*(2-abs(b.y-a.y))) gx, sum(b.v*(b.y-a.y)*(2-abs(b.x-a.x))) gy, count(*) c from px a join px b on a.page_id=b.page_id and b.x between a.x-1 and a.x+1 and b.y between a.y-1 and a.y+1 group by all)
 select page_id, y, x, (abs(gx)+abs(gy))::bigint g from n where c = 9""", "px")
 def w7_gradient(s, d):
-    out = P.sobel(V.pixels(s, d))
-    return out.withColumn("g", F.col("g").cast("long"))
+    return inner(S.as_pixels(S.with_plane(V.rasters(s, d), A.gradient, kind="bigint"))).withColumnRenamed("v", "g")
+
+
+def inner(pixels: DataFrame) -> DataFrame:
+    """Pixels of the rasters that have all eight neighbours."""
+    return pixels.filter((F.col("y") > 0) & (F.col("y") < RASTER_H - 1) & (F.col("x") > 0) & (F.col("x") < RASTER_W - 1))
+
+
+@query("""n as (select a.page_id, a.y, a.x, sum(b.v*(b.x-a.x)*(10-7*abs(b.y-a.y))) gx, sum(b.v*(b.y-a.y)*(10-7*abs(b.x-a.x))) gy, count(*) c from px a join px b on a.page_id=b.page_id and b.x between a.x-1 and a.x+1 and b.y between a.y-1 and a.y+1 group by all)
+select page_id, y, x, round(sqrt((gx*gx + gy*gy)::double), 6) g from n where c = 9""", "px")
+def w7_scharr(s, d):
+    return inner(S.as_pixels(S.with_plane(V.rasters(s, d), S.scharr))).select("page_id", "y", "x", F.round("v", 6).alias("g"))
 
 
 @query("select page_id, ty::int ty, tx::int tx, avg(case when v < 200 then 1.0::double else 0.0 end) content from px join (select unnest(range(20)) ty) on y >= (ty*64)//20 and y < ((ty+1)*64)//20 join (select unnest(range(20)) tx) on x >= (tx*48)//20 and x < ((tx+1)*48)//20 group by all", "px")
 def a9_tile_maps(s, d):
-    return P.tile_content(V.pixels(s, d), 20, RASTER_W, RASTER_H)
+    return A.tile_maps(V.rasters(s, d)).drop("edge")
 
 
 @query("select page_id, idx, v - lag(v) over (partition by page_id order by idx) diff from prof qualify abs(diff) > 20", "prof")
@@ -281,16 +334,16 @@ def j14_sweep(s, d):
     return L.sweep(V.rects(s, d), grid, PAGE_W * PAGE_H)
 
 
-@query("""n as (select page_id % 50 doc, page_id, rect_id from r)
+@query("""n as (select page_id // 50 doc, page_id, rect_id from r)
 select doc, page_id, rect_id, lead(page_id) over a next_page, lead(rect_id) over a next_panel, coalesce(lag(rect_id) over b, max(rect_id) over (partition by doc, page_id)) prev_panel
 from n window a as (partition by doc order by page_id, rect_id), b as (partition by doc, page_id order by rect_id)""", "r")
 def w5_panel_navigation(s, d):
-    return L.panel_navigation(V.rects(s, d).select((F.col("page_id") % 50).alias("doc"), "page_id", "rect_id"), "doc", "page_id", "rect_id")
+    return L.panel_navigation(V.rects(s, d).select(F.floor(F.col("page_id") / 50).alias("doc"), "page_id", "rect_id"), "doc", "page_id", "rect_id")
 
 
-@query("select page_id % 50 doc, page_id, coalesce(sum(922.0::double) over (partition by page_id % 50 order by page_id rows between unbounded preceding and 1 preceding), 0) y_offset from (select distinct page_id from r)", "r")
+@query("select page_id // 50 doc, page_id, coalesce(sum(922.0::double) over (partition by page_id // 50 order by page_id rows between unbounded preceding and 1 preceding), 0) y_offset from (select distinct page_id from r)", "r")
 def w6_document_offsets(s, d):
-    p = V.rects(s, d).select("page_id").distinct().withColumn("doc", F.col("page_id") % 50).withColumn("height_pt", F.lit(PAGE_H))
+    p = V.rects(s, d).select("page_id").distinct().withColumn("doc", F.floor(F.col("page_id") / 50)).withColumn("height_pt", F.lit(PAGE_H))
     return L.document_offsets(p).select("doc", "page_id", "y_offset")
 
 
