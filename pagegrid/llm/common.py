@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a missing id where ids are compared: below every real id.
 NO_ID = -(2**63)
+BUCKET_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -61,9 +63,41 @@ def keep(df: DataFrame, name: str, partition_by: list[str] | None = None, codec:
     return out
 
 
+def keep_sorted(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Like keep(), as a table in the shared folder whose buckets by `keys` are sorted by them.
+
+    Tables of equal bucket counts join each other, and rows shuffled to as many partitions, without
+    being shuffled again; with ordered_buckets() they need no sort either.
+    """
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"pagegrid_{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.format("parquet").option("compression", "snappy").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    out = spark.table(table)
+    out._pagegrid_path, out._pagegrid_table = path, table  # type: ignore[attr-defined]
+    return out
+
+
+@contextmanager
+def ordered_buckets(spark: SparkSession):
+    """Plans made inside trust the order of tables that have one file a bucket, as keep_sorted() writes them."""
+    before = spark.conf.get(BUCKET_ORDER, "false")
+    spark.conf.set(BUCKET_ORDER, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(BUCKET_ORDER, before)
+
+
 def drop(*dfs: DataFrame) -> None:
     """Delete what keep() wrote, once nothing lazy depends on it any more."""
     for df in dfs:
+        if table := getattr(df, "_pagegrid_table", None):
+            df.sparkSession.sql(f"drop table if exists {table}")
         if path := getattr(df, "_pagegrid_path", None):
             remove(df.sparkSession, path)
 

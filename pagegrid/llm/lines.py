@@ -3,8 +3,9 @@
 Documents arrive in batches, those with the largest ids first. The hashes of a batch's lines are
 merge-anti-joined with the runs so far: a hash that no run holds is fresh, and as all later ids
 are smaller, the largest id of the batch that has it is its keeper for good. A hash that was met
-before only brings its count. Each batch adds a run of its own, sorted by hash; when a level holds
-`fanout` runs they are merged into one run of the next level, so a hash is rewritten once a level.
+before only brings its count. Each batch adds a run of its own, in buckets sorted by hash; when a level
+holds `fanout` runs they are merged into one run of the next level, so a hash is rewritten once a level.
+Runs are merged where they lie: only the new batch is shuffled.
 """
 
 from __future__ import annotations
@@ -14,34 +15,67 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, NO_ID, ascii_lower, boxed, content_key, drop, keep, skewed_lookup, unboxed
+from .common import (
+    BLANKS,
+    NO_ID,
+    ascii_lower,
+    boxed,
+    content_key,
+    drop,
+    keep,
+    keep_sorted,
+    ordered_buckets,
+    partitions,
+    skewed_lookup,
+    unboxed,
+)
 
 HASH = ["h1", "h2"]
+#: Spark writes no table with more buckets, unless told so.
+MOST_BUCKETS = 100_000
 
 
 class LineRuns:
-    """The runs of one corpus in the shared folder: (h1, h2, docs, keeper), keeper null unless fresh."""
+    """The runs of one corpus in the shared folder: (h1, h2, docs, keeper), keeper null unless fresh.
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
+    A run is a table in buckets by hash, each sorted by it, and all runs have the same buckets. A
+    batch is shuffled to them once and then merged with every run as it lies.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets or min(partitions(spark), MOST_BUCKETS)
         self.levels: list[list[DataFrame]] = []
 
     def _all(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    @staticmethod
+    def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Rows of one hash in two runs add up; one of them at most names the keeper."""
+        b = b.select(*HASH, F.col("docs").alias("_docs"), F.col("keeper").alias("_keeper"))
+        docs = F.coalesce("docs", F.lit(0)) + F.coalesce("_docs", F.lit(0))
+        return a.join(b.hint("merge"), HASH, "full").select(*HASH, docs.alias("docs"), F.coalesce("keeper", "_keeper").alias("keeper"))
+
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        """Rows of one hash in several runs add up; one of them at most names the keeper."""
-        every = reduce(DataFrame.unionByName, runs)
-        return every if len(runs) == 1 else every.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+        return reduce(self._both, runs)
+
+    def _kept(self, run: DataFrame) -> DataFrame:
+        with ordered_buckets(self.spark):
+            return keep_sorted(run, "line-run", HASH, self.buckets)
+
+    def counted(self, batch: DataFrame) -> DataFrame:
+        """The batch's hashes beside the runs so far: those that no run holds keep their keeper."""
+        found = batch.distinct().repartition(self.buckets, *HASH) if self.buckets != partitions(self.spark) else batch.distinct()
+        found = found.groupBy(*HASH).agg(F.count("*").alias("docs"), F.max("id").alias("keeper"))
+        for run in self._all():
+            # the anti-join and its complement in one pass: who finds a partner is not fresh
+            known = run.select(*HASH, F.lit(True).alias("known"))
+            found = found.join(known.hint("merge"), HASH, "left").select(*HASH, "docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
+        return found
 
     def add(self, batch: DataFrame) -> DataFrame:
         """batch: (h1, h2, id), ids below those of all batches before. Returns its run."""
-        found = batch.distinct().groupBy(*HASH).agg(F.count("*").alias("docs"), F.max("id").alias("keeper"))
-        if older := self._all():
-            # the anti-join and its complement in one pass: who finds a partner is not fresh
-            known = self._merged(older).select(*HASH, F.lit(True).alias("known"))
-            found = found.join(known, HASH, "left").select(*HASH, "docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
-        run = keep(found.sortWithinPartitions(*HASH), "line-run")
+        run = self._kept(self.counted(batch))
         self._push(0, run)
         return run
 
@@ -51,7 +85,7 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._push(level + 1, keep(self._merged(old).sortWithinPartitions(*HASH), "line-run"))
+            self._push(level + 1, self._kept(self._merged(old)))
             drop(*old)
 
     def totals(self) -> DataFrame:
@@ -70,7 +104,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), content_key(docs).alias("rk"), pairs.alias("hashes"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 2, batch_rows: int = 50_000_000) -> DataFrame:
     """Drop frequent lines everywhere except in the largest doc_id that holds them.
 
     docs needs doc_id and text. A line's key is the line without blanks at its ends, A-Z
@@ -78,7 +112,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     lose all their lines but those of the largest doc_id. Returns the columns of docs, with text
     replaced by the lines that stay (joined by newline), and n_lines, n_dropped, kept_text (the
     same as text, but never null). The result does not depend on batches, which are cut at about
-    equal shares of the rows.
+    equal shares of the rows: four, or as many as keep them near batch_rows.
 
     Defined cases: a null or empty text is one empty line, and a null text stays null. Rows
     with one doc_id count as one document, and rows with a null doc_id together as one document
@@ -88,6 +122,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    batches = batches or max(4, -(-docs.count() // batch_rows))
     shares = [k / batches for k in range(1, batches)]
     cuts = docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else []
     above = sum((F.when(F.col("id") < c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
@@ -96,7 +131,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     for b in range(len(set(cuts or [])) + 1):
         part = hashed.filter(F.col("batch") == b).select("id", F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
         runs.add(part.select("h.h1", "h.h2", "id"))
-    frequent = keep(runs.totals().filter(F.col("docs") >= min_docs), "line-frequent")
+    with ordered_buckets(spark):
+        frequent = keep(runs.totals().filter(F.col("docs") >= min_docs), "line-frequent")
     runs.remove()
     lines = hashed.select("id", "rk", F.posexplode("hashes").alias("at", "h")).filter("h is not null").select("id", "rk", "at", "h.h1", "h.h2")
     gone = skewed_lookup(lines, frequent, HASH, "docs").filter("id < keeper")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagegrid.llm import bm25, components, embeddings, hnsw, langid, lines, minhash, mixing, packing, sharding, suffix, warc
+from pagegrid.llm import bm25, common, components, embeddings, hnsw, langid, lines, minhash, mixing, packing, sharding, suffix, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string"
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do " * 3000
@@ -94,6 +94,28 @@ def test_fresh_hashes_settle_the_keeper(spark):
     assert got == want and named == len(want) and len(runs.levels) > 1
 
 
+def test_runs_are_merged_where_they_lie(spark):
+    """Only a new batch is shuffled and sorted: no run is, and merging runs needs neither."""
+    frame = spark.range(4000).select((F.col("id") % 700).alias("h1"), (F.col("id") % 700 * 3).alias("h2"), (-F.col("id")).alias("id"))
+    runs = lines.LineRuns(spark)
+    for lo in (0, 1000, 2000):
+        runs.add(frame.filter(F.col("id").between(-lo - 999, -lo)))
+    with common.ordered_buckets(spark):
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        batch, totals = plan(runs.counted(frame.filter("id <= -3000"))), plan(runs.totals())
+    assert sum(map(len, runs.levels)) == 2 and batch.count("SortMergeJoin") == 2 and batch.count("Exchange") == 2 and batch.count("Sort [") == 1
+    assert totals.count("SortMergeJoin") == 1 and "Exchange" not in totals and "Sort [" not in totals
+    assert runs.totals().agg(F.sum("docs")).first()[0] == 3000
+    tables = {t.name for t in spark.catalog.listTables()}
+    runs.remove()
+    assert tables - {t.name for t in spark.catalog.listTables()} == {r._pagegrid_table for level in runs.levels for r in level}
+
+
+def test_batches_follow_the_rows(docs):
+    few, many = (sorted(map(str, lines.dedup_lines(docs, batch_rows=n).select("doc_id", "n_dropped", "kept_text").collect())) for n in (50_000_000, 2))
+    assert few == many
+
+
 def test_sainte_lague_is_highest_quotients(spark):
     rng = random.Random(3)
     for _ in range(4):
