@@ -140,6 +140,12 @@ def component_boxes(rasters: DataFrame, mask: Callable[[np.ndarray], np.ndarray]
     return with_id(boxes.withColumn("fill", F.col("pixels") / (F.col("w") * F.col("h"))))
 
 
+def numbered_components(rasters: DataFrame, mask: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(page_id, component, x, y, w, h, n_pixels) in whole pixels: a mask's 8-connected components, from 1 by their first pixel."""
+    number = lambda gray: [(i, *map(int, c)) for i, c in enumerate(components(mask(gray)), 1)]
+    return per_page(rasters, number, "page_id long, component long, x long, y long, w long, h long, n_pixels long")
+
+
 def resized(rasters: DataFrame, factor: float, most_width: int = 2400) -> DataFrame:
     """Pages at `factor`, never wider than most_width: smaller ones by area averages, larger ones by the nearest pixel."""
 

@@ -36,7 +36,7 @@ class Page:
     @cached_property
     def lab(self) -> np.ndarray:
         """CIE Lab, height x width x 3; pages without colour are gray."""
-        rgb = [self.channels.get(c, self.gray).ravel() for c in "rgb"]
+        rgb = [(self.channels[c] if c in self.channels else self.gray).ravel() for c in "rgb"]
         lab, number = C.distinct_colours(*rgb)
         return lab[number].reshape(self.high, self.wide, 3)
 

@@ -109,9 +109,7 @@ def a10_border_background(s, d):
 
 @query(f'{LAB_SQL}, {BG_SQL} select page_id, count(*) filter (sqrt(pow("L"-"bg_L",2)+pow("A"-"bg_A",2)+pow("B"-"bg_B",2)) < 60) n_background, count(*) n from lab join bg using (page_id) group by 1', "rgb")
 def p5_background_mask(s, d):
-    p = M.to_lab(rgb(s, d))
-    mask = M.background_mask(p, M.border_background(p, RASTER_W, RASTER_H), 60.0)
-    return mask.groupBy("page_id").agg(F.count_if("is_bg").alias("n_background"), F.count("*").alias("n"))
+    return N.background_counts(V.tinted_rasters(s, d), 60.0)
 
 
 @query("""a as (select *, sum(v) over w s, count(*) over w n from px window w as (partition by page_id, y order by x rows between 5 preceding and 5 following)),

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
 PAGE_W, PAGE_H = 720.0, 910.0
@@ -44,19 +49,62 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("v", F.when(white, 250).otherwise(((F.col("page_id") * 31 + x * 17 + y * 29 + x * y * 7) % 180).cast("int")))
 
 
+def _painted(spark: SparkSession, sf_dir: str, paint: Callable[[int], dict[str, np.ndarray]], channels: str, most: int = 1 << 20) -> DataFrame:
+    """A page per supplier, one row each: its width, height and the channels that paint(page_id) gives, rows end to end.
+
+    Ids are dealt out before they grow to pages, and a batch of pages has about `most` pixels.
+    """
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"))
+    ids = ids.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id")
+    names, key = channels.split(), ids.schema["page_id"]
+    schema = StructType([key, *_parse_datatype_string("width int, height int, " + ", ".join(f"{c} array<smallint>" for c in names)).fields])
+
+    def batch(pages: list[int], planes: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        high, wide = zip(*(p[names[0]].shape for p in planes), strict=True)
+        starts = pa.array(np.append(0, np.cumsum(np.multiply(wide, high))), pa.int32())
+        lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate([p[c].ravel() for p in planes]).astype(np.int16))) for c in names]
+        return pa.RecordBatch.from_arrays([pa.array(pages, to_arrow_type(key.dataType)), pa.array(wide, pa.int32()), pa.array(high, pa.int32()), *lists], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        pages, planes, size = [], [], 0
+        for page in (i for b in batches for i in b.column(0).to_pylist()):
+            planes.append(paint(page))
+            pages.append(page)
+            size += planes[-1][names[0]].size
+            if size >= most:
+                yield batch(pages, planes)
+                pages, planes, size = [], [], 0
+        if pages:
+            yield batch(pages, planes)
+
+    return ids.mapInArrow(run, schema)
+
+
+def _tones(page: int) -> np.ndarray:
+    """The raster of pixels() of one page."""
+    y, x = np.mgrid[0:RASTER_H, 0:RASTER_W]
+    k = page % 3
+    white = (x < 2) | (y < 2) | (x > 45) | (y > 61) | ((y > 30) & (y < 34))
+    if k > 0:
+        white |= (y < 31) & (x > 22) & (x < 26)
+    if k == 2:
+        white |= (y > 33) & (x > 14) & (x < 18)
+    return np.where(white, 250, (page * 31 + x * 17 + y * 29 + x * y * 7) % 180)
+
+
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pages as pixels(), one row each: gray holds the rows of the page end to end."""
-    i = F.expr(f"sequence(0, {RASTER_W * RASTER_H - 1})")
-    # ids are dealt out before they grow to pages
-    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id")).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id")
-    white = (
-        "x < 2 or y < 2 or x > 45 or y > 61 or y between 31 and 33 or (page_id % 3 > 0 and y < 31 and x between 23 and 25) "
-        "or (page_id % 3 = 2 and y > 33 and x between 15 and 17)"
-    )
-    dark = "cast((page_id * 31 + x * 17 + y * 29 + x * y * 7) % 180 as int)"
-    at = lambda e: e.replace("x", f"(i % {RASTER_W})").replace("y", f"(i div {RASTER_W})")
-    gray = F.expr(f"transform(ids, i -> cast(if({at(white)}, 250, {at(dark)}) as smallint))")
-    return p.withColumn("ids", i).select("page_id", F.lit(RASTER_W).alias("width"), F.lit(RASTER_H).alias("height"), gray.alias("gray"))
+    return _painted(spark, sf_dir, lambda page: {"gray": _tones(page)}, "gray")
+
+
+def tinted_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of rasters() with channels r, g, b that follow from a pixel's tone and place."""
+
+    def paint(page: int) -> dict[str, np.ndarray]:
+        v, (y, x) = _tones(page), np.mgrid[0:RASTER_H, 0:RASTER_W]
+        return {"r": v, "g": (v * 3 + x * 5) % 256, "b": (v * 7 + y * 3) % 256}
+
+    return _painted(spark, sf_dir, paint, "r g b")
 
 
 # colours of the papers and of three panels; the first paper is plain white
@@ -139,11 +187,14 @@ def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of two sizes (288 x 384 and 384 x 512 pixels): panels of one tone, by page_id % 5 also a soft
     picture without any border (3) and an empty sheet (4).
     """
-    from pagegrid.operators import pages as P
-
-    kind = F.col("page_id") % 5
-    soft = lambda i: 70 + F.floor(F.floor(i / RASTER_W) * 0.75)
-    tone = lambda v, i: F.when(kind == 3, soft(i)).when(kind == 4, 250).when(v < 225, 40).otherwise(v).cast("smallint")
-    base = rasters(spark, sf_dir).withColumn("gray", F.transform("gray", tone))
-    small, large = (P.rescaled(base.filter(F.col("page_id") % 2 == odd), float(MAGNIFIED + 2 * odd)) for odd in (0, 1))
-    return small.unionByName(large)
+
+    def paint(page: int) -> dict[str, np.ndarray]:
+        kind, m = page % 5, MAGNIFIED + 2 * (page % 2)
+        v = _tones(page)
+        if kind == 3:
+            v = np.broadcast_to((70 + np.arange(RASTER_H) * 3 // 4)[:, None], v.shape)
+        else:
+            v = np.where(v < 225, 250 if kind == 4 else 40, 250)
+        return {"gray": v.astype(np.int16).repeat(m, 0).repeat(m, 1)}
+
+    return _painted(spark, sf_dir, paint, "gray")

@@ -10,6 +10,9 @@ from pagegrid.operators import finders as N
 from pagegrid.operators import masks as M
 from pagegrid.operators import pages as P
 from pagegrid.operators import stencils as S
+from pagegrid.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def noise(h, w, seed=0):
@@ -151,3 +154,10 @@ def test_smoothing_fits_both_ends_and_leaves_short_profiles(spark):
     cubic = [(1, i, float(i**3 - 40 * i)) for i in range(30)] + [(2, i, float(i % 3)) for i in range(5)]
     got = {(r.page_id, r.idx): r.smooth for r in M.smooth_profile(spark.createDataFrame(cubic, "page_id long, idx int, v double"), 11, 3).collect()}
     assert len(got) == 35 and all(abs(got[p, i] - v) < 1e-4 for p, i, v in cubic)
+
+
+@pytest.mark.parametrize("name", ["p5_background_mask"])
+def test_pixels_stay_in_their_page(spark, name):
+    """Pages are dealt out before they have pixels, and none of these is shuffled."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Generate explode(" not in plan
