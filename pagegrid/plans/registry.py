@@ -197,7 +197,7 @@ def w1_bands(s, d):
 
 @query("select page_id, floor(y*0.5)::bigint y, floor(x*0.5)::bigint x, avg(v) v from px group by all", "px")
 def s5_resize(s, d):
-    return V.pixels(s, d).groupBy("page_id", F.floor(F.col("y") * 0.5).alias("y"), F.floor(F.col("x") * 0.5).alias("x")).agg(F.avg("v").alias("v"))
+    return S.resized_pixels(V.rasters(s, d), 0.5)
 
 
 def with_four_boxes(pages: DataFrame) -> DataFrame:
