@@ -90,7 +90,8 @@ def p2_to_gray(s, d):
 
 @query(f'{LAB_SQL} select page_id, y, x, "L" l8, "A" a8, "B" b8 from lab', "rgb")
 def p3_to_lab(s, d):
-    return M.to_lab(rgb(s, d)).select("page_id", "y", "x", F.col("L").alias("l8"), F.col("A").alias("a8"), F.col("B").alias("b8"))
+    lab = N.lab_pixels(V.tinted_rasters(s, d))
+    return lab.select("page_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("L").alias("l8"), F.col("A").alias("a8"), F.col("B").alias("b8"))
 
 
 @query("""m as (select *, greatest(r,g,b) hi, (greatest(r,g,b)-least(r,g,b))::double sp from rgb),
