@@ -481,8 +481,6 @@ def m2_merge_regions(s, d):
 
 @query()
 def q3_components_route(s, d):
-    """Fixed threshold, closing, components, side limits and merge, on pixel rows; q3_adaptive_route is the whole route."""
-    px = V.pixels(s, d).withColumn("v", F.when(F.col("v") < 225, 1).otherwise(0))
-    closed = P.morphology(P.morphology(px, "dilate", 1, 1), "erode", 1, 1)
-    boxes = M.grid_components(closed.filter("v = 1")).filter("w >= 5 and h >= 5")
+    """Fixed threshold, closing, components, side limits and merge; q3_adaptive_route is the whole route."""
+    boxes = A.numbered_components(V.rasters(s, d), lambda g: A.closed(g < 225, 1)).filter("w >= 5 and h >= 5")
     return R.merge_rects(boxes.select("page_id", F.col("component").alias("rect_id"), *[F.col(c).cast("double").alias(c) for c in "xywh"]))
