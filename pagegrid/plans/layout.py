@@ -104,7 +104,7 @@ def p4_hsv_mask(s, d):
 
 @query(f'{LAB_SQL}, {BG_SQL} select page_id, "bg_L" bg_l, "bg_A" bg_a, "bg_B" bg_b from bg', "rgb")
 def a10_border_background(s, d):
-    out = M.border_background(M.to_lab(rgb(s, d)), RASTER_W, RASTER_H)
+    out = N.border_background(V.tinted_rasters(s, d))
     return out.select("page_id", F.col("bg_L").alias("bg_l"), F.col("bg_A").alias("bg_a"), F.col("bg_B").alias("bg_b"))
 
 
