@@ -231,7 +231,7 @@ def u3_mask_and_or(s, d):
 
 @query("select page_id, case page_id % 3 when 0 then 2 when 1 then 3 else 4 end::bigint n, count(*) filter (v < 225) n_pixels from px group by 1", "px")
 def g1_grid_components(s, d):
-    found = M.grid_components(V.pixels(s, d).filter("v < 225"))
+    found = A.numbered_components(V.rasters(s, d), lambda g: g < 225)
     return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("n_pixels").alias("n_pixels"))
 
 
