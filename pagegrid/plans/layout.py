@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagegrid.functions import colour as C
@@ -237,8 +238,8 @@ def g1_grid_components(s, d):
 
 @query("select page_id, 1::bigint component, 2::bigint x, 31::bigint y, 44::bigint w, 3::bigint h, count(*) n_pixels from px where page_id % 3 = 0 and v >= 225 and x between 2 and 45 and y between 2 and 61 group by 1", "px")
 def f9_stripe_filter(s, d):
-    inner = V.pixels(s, d).filter("v >= 225 and x between 2 and 45 and y between 2 and 61")
-    return M.stripe_filter(M.grid_components(inner), RASTER_W)
+    inner = lambda g: np.pad(g[2:62, 2:46] >= 225, 2)
+    return M.stripe_filter(A.numbered_components(V.rasters(s, d), inner), RASTER_W)
 
 
 @query("""ct as (select a.page_id, a.rect_id, b.rect_id o, b.w*b.h s from r a join r b on a.page_id = b.page_id and a.rect_id <> b.rect_id and a.x >= b.x and a.y >= b.y and a.x+a.w <= b.x+b.w and a.y+a.h <= b.y+b.h and a.w*a.h < b.w*b.h),

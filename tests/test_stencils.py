@@ -156,7 +156,7 @@ def test_smoothing_fits_both_ends_and_leaves_short_profiles(spark):
     assert len(got) == 35 and all(abs(got[p, i] - v) < 1e-4 for p, i, v in cubic)
 
 
-@pytest.mark.parametrize("name", ["p5_background_mask", "s5_resize", "p3_to_lab", "q3_components_route", "a10_border_background", "g1_grid_components"])
+@pytest.mark.parametrize("name", ["p5_background_mask", "s5_resize", "p3_to_lab", "q3_components_route", "a10_border_background", "g1_grid_components", "f9_stripe_filter"])
 def test_pixels_stay_in_their_page(spark, name):
     """Pages are dealt out before they have pixels, and none of these is shuffled."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
