@@ -85,31 +85,47 @@ def gutter_cells(rasters: DataFrame, row_share: float = 0.65, col_share: float =
 
 def box_sums(values: np.ndarray, k: int) -> np.ndarray:
     """Sum over the (2k+1) x (2k+1) surroundings, cut at the edges."""
-    table = np.pad(values.astype(np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
     h, w = values.shape
-    y0, y1 = np.maximum(np.arange(h) - k, 0), np.minimum(np.arange(h) + k + 1, h)
-    x0, x1 = np.maximum(np.arange(w) - k, 0), np.minimum(np.arange(w) + k + 1, w)
-    return table[y1][:, x1] - table[y0][:, x1] - table[y1][:, x0] + table[y0][:, x0]
+    small = values.size and int(np.abs(values).max()) * values.size < 2**31
+    table = np.zeros((h + 1, w + 1), np.int32 if small else np.int64)
+    np.cumsum(values, 0, table.dtype, table[1:, 1:])
+    np.cumsum(table[1:, 1:], 1, table.dtype, table[1:, 1:])
+    y0, y1 = spans(h, k)
+    rows = np.pad(table[y1] - table[y0], ((0, 0), (k, k)), mode="edge")
+    return rows[:, 2 * k + 1 : 2 * k + 1 + w] - rows[:, :w]
 
 
-def local_dark(gray: np.ndarray, block: int, c: float) -> np.ndarray:
-    """Pixels at most the mean of their block less c."""
-    n = box_sums(np.ones_like(gray), block // 2)
-    return gray.astype(np.int64) * n <= box_sums(gray, block // 2) - c * n
+def spans(size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to exclusive) of the 2k + 1 places around each one, cut at both ends."""
+    return np.maximum(np.arange(size) - k, 0), np.minimum(np.arange(size) + k + 1, size)
 
 
-def _spread(mask: np.ndarray, k: int) -> np.ndarray:
-    """Whether any of the 2k + 1 pixels around holds, along the last axis."""
-    n = mask.shape[-1]
-    count = np.concatenate([np.zeros((*mask.shape[:-1], 1), np.int32), mask.cumsum(-1, dtype=np.int32)], -1)
-    at = np.arange(n)
-    return count[..., np.minimum(at + k + 1, n)] > count[..., np.maximum(at - k, 0)]
+def local_dark(gray: np.ndarray, block: int, c: float) -> np.ndarray:
+    """Pixels at most the mean of their block less c."""
+    (y0, y1), (x0, x1) = (spans(size, block // 2) for size in gray.shape)
+    sums = box_sums(gray, block // 2)
+    n = np.outer(y1 - y0, x1 - x0).astype(sums.dtype)
+    if c == int(c):
+        return (gray + int(c)) * n <= sums
+    return gray.astype(np.int64) * n <= sums - c * n
+
+
+def _spread(mask: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """Whether any of the 2k + 1 pixels around holds, along an axis: spans double until two of them cover all."""
+    span, reach = 2 * k + 1, 1
+    cut = (lambda a, b: (slice(a, b),)) if axis == 0 else (lambda a, b: (slice(None), slice(a, b)))
+    part = np.pad(mask, [(k, k) if i == axis else (0, 0) for i in range(2)])
+    while reach < span:
+        step = min(reach, span - reach)
+        part = part[cut(None, -step)] | part[cut(step, None)]
+        reach += step
+    return part
 
 
 def dilated(mask: np.ndarray, kx: int, ky: int) -> np.ndarray:
     """Running maximum over 2k+1 pixels on each axis."""
-    out = _spread(mask, kx) if kx else mask
-    return _spread(out.T, ky).T if ky else out
+    out = _spread(mask, kx, 1) if kx else mask
+    return _spread(out, ky, 0) if ky else out
 
 
 def eroded(mask: np.ndarray, kx: int, ky: int) -> np.ndarray:
@@ -126,7 +142,7 @@ def opened(mask: np.ndarray, kx: int, ky: int) -> np.ndarray:
 
 def gradient(gray: np.ndarray) -> np.ndarray:
     """|gx| + |gy| of the 3x3 Sobel kernels; 0 on the page's edge."""
-    g = gray.astype(np.int64)
+    g = gray.astype(np.int32)
     out = np.zeros_like(g)
     smooth_y = g[:-2] + 2 * g[1:-1] + g[2:]
     smooth_x = g[:, :-2] + 2 * g[:, 1:-1] + g[:, 2:]
@@ -134,6 +150,20 @@ def gradient(gray: np.ndarray) -> np.ndarray:
     return out
 
 
+def ranked(values: np.ndarray, weight: np.ndarray, share: float) -> float:
+    """np.quantile of rising values that each occur `weight` times."""
+    upto = np.cumsum(weight)
+    at = share * (upto[-1] - 1)
+    low, high = (float(values[np.searchsorted(upto, i, "right")]) for i in (int(at), min(int(at) + 1, upto[-1] - 1)))
+    return low + (high - low) * (at - int(at))
+
+
+def quantile(plane: np.ndarray, share: float) -> float:
+    """np.quantile of a plane of whole numbers from 0, by their counts."""
+    count = np.bincount(plane.ravel())
+    return ranked(np.arange(len(count)), count, share)
+
+
 def component_boxes(rasters: DataFrame, mask: Callable[[np.ndarray], np.ndarray], find: Callable[[np.ndarray], list[tuple]] = components) -> DataFrame:
     """Boxes of a mask's components (or outlines) with their pixels, fill (share of the box) and rect_id."""
     boxes = per_page(rasters, lambda gray: find(mask(gray)), BOX + ", pixels long")

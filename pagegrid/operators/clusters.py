@@ -34,6 +34,10 @@ def lab_of(rgb: np.ndarray) -> np.ndarray:
 
 def distinct_colours(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(Lab of each colour of a page, the pixels' colour numbers)."""
+    if r is g and g is b:
+        count = np.bincount(r)
+        tone = np.flatnonzero(count)
+        return lab_of(np.stack([tone] * 3, axis=1).astype(float)), (np.cumsum(count > 0) - 1)[r]
     packed = (r.astype(np.int64) << 16) | (g.astype(np.int64) << 8) | b
     colours, number = np.unique(packed, return_inverse=True)
     return lab_of(np.stack([colours >> 16, (colours >> 8) & 255, colours & 255], axis=1).astype(float)), number

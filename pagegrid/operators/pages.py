@@ -36,13 +36,26 @@ class Page:
     @cached_property
     def lab(self) -> np.ndarray:
         """CIE Lab, height x width x 3; pages without colour are gray."""
-        rgb = [(self.channels[c] if c in self.channels else self.gray).ravel() for c in "rgb"]
-        lab, number = C.distinct_colours(*rgb)
-        return lab[number].reshape(self.high, self.wide, 3)
+        lab, number = self.tones
+        return lab[number]
+
+    @cached_property
+    def tones(self) -> tuple[np.ndarray, np.ndarray]:
+        """(Lab of each of the page's colours, the pixels' colour numbers, height x width)."""
+        lab, number = C.distinct_colours(*self.rgb)
+        return lab, number.reshape(self.high, self.wide)
+
+    @property
+    def rgb(self) -> list[np.ndarray]:
+        """The three channels, row by row; one array three times where there is no colour."""
+        if "r" not in self.channels:
+            return [self.gray.ravel()] * 3
+        return [self.channels[c].ravel() for c in "rgb"]
 
     @cached_property
     def light(self) -> np.ndarray:
-        return self.lab[..., 0]
+        lab, number = self.tones
+        return lab[:, 0][number]
 
     @cached_property
     def edges(self) -> np.ndarray:
@@ -50,7 +63,13 @@ class Page:
 
     def away(self, background: tuple[float, float, float]) -> np.ndarray:
         """Distance of each pixel's colour from a background's."""
-        return np.sqrt(((self.lab - np.array(background)) ** 2).sum(-1))
+        lab, number = self.tones
+        return np.sqrt(((lab - np.array(background)) ** 2).sum(-1))[number]
+
+    def far(self, background: tuple[float, float, float], delta: float) -> np.ndarray:
+        """Whether each pixel's colour is more than delta away from a background's."""
+        lab, number = self.tones
+        return (np.sqrt(((lab - np.array(background)) ** 2).sum(-1)) > delta)[number]
 
 
 def with_columns(pages: DataFrame, f: Callable[..., tuple], fields: str, uses: list[str] | None = None, drop_pixels: bool = False) -> DataFrame:
@@ -92,6 +111,10 @@ def settled(rows: DataFrame) -> DataFrame:
 def area_mean(plane: np.ndarray, high: int, wide: int) -> np.ndarray:
     """A smaller plane by means over areas: every pixel counts in one of them."""
     h, w = plane.shape
+    if high and wide and h % high == 0 and w % wide == 0 and h * w <= 16 * high * wide:
+        fy, fx = h // high, w // wide
+        total = sum(plane[i::fy, j::fx].astype(np.int64) for i in range(fy) for j in range(fx))
+        return (total / (fy * fx)).round().astype(np.int16)
     ys, xs = (np.arange(high) * h + high - 1) // high, (np.arange(wide) * w + wide - 1) // wide
     total = np.add.reduceat(np.add.reduceat(plane.astype(np.int64), ys, 0), xs, 1)
     return (total / (np.diff(np.append(ys, h))[:, None] * np.diff(np.append(xs, w)))).round().astype(np.int16)
@@ -157,14 +180,29 @@ def from_images(images: DataFrame, most_width: int = 2400) -> DataFrame:
 
 
 class Sums:
-    """Summed-area tables of a page: sums of value, square, dark and colourful pixels over any box at once."""
+    """A page's sums: those of value, square, dark and colourful pixels over any box at once."""
 
     def __init__(self, page: Page, background: tuple[float, float, float], delta: float, dark: int):
-        gray = page.gray.astype(np.int64)
-        planes = [gray, gray * gray, (gray <= dark).astype(np.int64), (page.away(background) > delta).astype(np.int64)]
-        self.tables = [np.pad(p.cumsum(0).cumsum(1), ((1, 0), (1, 0))) for p in planes]
+        self.gray, self.dark, self.far = page.gray, dark, page.far(background, delta)
         self.wide, self.high = page.wide, page.high
 
+    @cached_property
+    def tables(self) -> list[np.ndarray]:
+        gray = self.gray.astype(np.int64)
+        planes = [gray, gray * gray, gray <= self.dark, self.far]
+        return [np.pad(p.cumsum(0, dtype=np.int64).cumsum(1), ((1, 0), (1, 0))) for p in planes]
+
+    def totals(self, x: np.ndarray, y: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> list[np.ndarray]:
+        """Sums of value, square, dark and far pixels of each box; boxes that hold little in all are counted without tables."""
+        if ((x1 - x) * (y1 - y)).sum() > 3 * self.wide * self.high:
+            return [t[y1, x1] - t[y, x1] - t[y1, x] + t[y, x] for t in self.tables]
+        out = []
+        for a, b, c, d in zip(x, y, x1, y1, strict=True):
+            count = np.bincount(self.gray[b:d, a:c].ravel())
+            value = np.arange(len(count))
+            out.append((count @ value, count @ (value * value), count[: self.dark + 1].sum(), np.count_nonzero(self.far[b:d, a:c])))
+        return list(np.array(out).T)
+
     def of(self, boxes: list[dict]) -> list[dict]:
         """mean, std, dark and non_bg of each box, cut to whole pixels inside the page."""
         if not boxes:
@@ -173,7 +211,7 @@ class Sums:
         x, y = np.clip(x, 0, self.wide - 1), np.clip(y, 0, self.high - 1)
         x1, y1 = x + np.clip(w, 1, self.wide - x), y + np.clip(h, 1, self.high - y)
         n = (x1 - x) * (y1 - y)
-        mean, square, dark, far = ((t[y1, x1] - t[y, x1] - t[y1, x] + t[y, x]) / n for t in self.tables)
+        mean, square, dark, far = (t / n for t in self.totals(x, y, x1, y1))
         std = np.sqrt(np.maximum(square - mean * mean, 0))
         return [dict(zip(("mean", "std", "dark", "non_bg"), map(float, v), strict=True)) for v in zip(mean, std, dark, far, strict=True)]
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagegrid.operators import arrays as A
+from pagegrid.operators import edges as E
 from pagegrid.operators import finders as N
 from pagegrid.operators import masks as M
 from pagegrid.operators import pages as P
@@ -161,3 +163,24 @@ def test_pixels_stay_in_their_page(spark, name):
     """Pages are dealt out before they have pixels, and none of these is shuffled."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and "Generate explode(" not in plan
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.92, 1.0])
+def test_quantiles_by_counts(share):
+    g = noise(13, 17)
+    assert A.quantile(g, share) == pytest.approx(np.quantile(g, share))
+
+
+def test_edges_in_whole_numbers_are_those_of_the_blurred_page():
+    g = noise(40, 50) // 64 * 64
+    thin = E.ridge(*E.slopes(E.blurred(g)))
+    want = np.zeros(g.shape, bool)
+    for low, high in E.LIMITS:
+        want |= E.grown(thin, low, high)
+    assert (E.voted_edges(g) == want).all() and want.any()
+
+
+def test_outlines_that_begin_at_the_pages_edge():
+    mask = np.zeros((12, 12), bool)
+    mask[::2, 0] = mask[3:9, 3:9] = True
+    assert [b["x"] for b in N.nested_outlines(mask, 5.0)] == [3.0]
