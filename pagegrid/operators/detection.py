@@ -332,10 +332,10 @@ def splash_fate(now: Column, before: Column, non_bg: Column, style: Column, gutt
 # --- the whole
 
 
-def with_evidence(pages: DataFrame, scales: tuple[float, ...] = (1.0,), off: tuple[str, ...] = (), least: int = 100) -> DataFrame:
+def with_evidence(pages: DataFrame, scales: tuple[float, ...] = (1.0,), off: tuple[str, ...] = (), least: int = 100, facts: bool = True) -> DataFrame:
     """pages with `seen`, what the routes see at each scale (scale, EVIDENCE), and the page's FACTS, in one pass.
 
-    Routes named in `off` aren't run. Other scales than 1 are left out where a side gets under `least` pixels.
+    Without facts, they are left out, and so are the pixels, which no later step will ask for. Routes named in `off` aren't run. Other scales than 1 are left out where a side gets under `least` pixels.
     """
 
     def look(page: Page) -> tuple:
@@ -350,10 +350,10 @@ def with_evidence(pages: DataFrame, scales: tuple[float, ...] = (1.0,), off: tup
             one["hierarchy"] = [] if "hierarchy" in off else N.hierarchy(p)
             one["gutter_flat"], one["gutter_rows"] = ([], []) if "gutter" in off else N.gutter_grids(p)
             seen.append(one)
-        return seen, N.gutter_runs(page), N.tint(page), N.palette(page), *N.tiles(page)
+        return (seen, N.gutter_runs(page), N.tint(page), N.palette(page), *N.tiles(page)) if facts else (seen,)
 
     as_struct = EVIDENCE.replace(" array<struct", ":array<struct").replace(", ", ",")
-    return with_columns(pages, look, f"seen array<struct<scale:double,{as_struct}>>, {FACTS}")
+    return with_columns(pages, look, f"seen array<struct<scale:double,{as_struct}>>" + (f", {FACTS}" if facts else ""), drop_pixels=not facts)
 
 
 def decide(pages: DataFrame, mode: str = "auto", model=None, min_agree: int = 2) -> DataFrame:

@@ -86,7 +86,7 @@ where a.hi - a.lo >= 0.03 * a.size and b.hi - b.lo >= 0.03 * b.size)"""
 @query(f"{CELLS} select * from lc", "pan")
 def q2_line_cells_drawn(s, d):
     """Cells of the grid that a page's lines span, two pixels inside them."""
-    seen = D.with_evidence(V.drawn_pages(s, d), off=("adaptive", "hierarchy", "gutter")).select("page_id", F.explode(F.get("seen", F.lit(0))["lsd"]).alias("b"))
+    seen = D.with_evidence(V.drawn_pages(s, d), off=("adaptive", "hierarchy", "gutter"), facts=False).select("page_id", F.explode(F.get("seen", F.lit(0))["lsd"]).alias("b"))
     return seen.select("page_id", "b.x", "b.y", "b.w", "b.h")
 
 
@@ -95,7 +95,7 @@ union all select page_id, unnest(['adaptive', 'gutter']), x::double, y::double,
 union all select page_id, 'gutter', 0, 0, w, h - case m when 8 then 13 else 9 end from d where kind = 3""", "pan")
 def u1_all_routes_drawn(s, d):
     """The boxes of all four routes on every page, before any is chosen; the soft picture's brightest rows look like a gutter."""
-    seen = D.with_evidence(V.drawn_pages(s, d)).select("page_id", "width", "height", F.get("seen", F.lit(0)).alias("seen"))
+    seen = D.with_evidence(V.drawn_pages(s, d), facts=False).select("page_id", "width", "height", F.get("seen", F.lit(0)).alias("seen"))
     found = D.route_boxes(F.col("seen"), F.col("width"), F.col("height"))
     routes = P.settled(seen.select("page_id", F.array(*[F.struct(F.lit(r).alias("route"), found[r].alias("boxes")) for r in D.ROUTES]).alias("routes")))
     return routes.select("page_id", F.explode("routes").alias("r")).select("page_id", "r.route", F.explode("r.boxes").alias("b")).select("page_id", "route", "b.*")
