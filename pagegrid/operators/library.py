@@ -71,9 +71,14 @@ def chain_islands(rows: DataFrame, keys: list[str], position: str, gap: float) -
 
 
 def sweep(rects: DataFrame, grid: DataFrame, page_area: float) -> DataFrame:
-    """Rectangles kept per page and configuration; grid holds one row per configuration."""
+    """Rectangles kept per page and configuration; grid holds one row per configuration.
+
+    A page's sizes meet once and are compared with every configuration there, so only rectangles are shuffled.
+    """
     if len(grid.take(4097)) > 4096:
         raise ValueError("a sweep has at most 4096 configurations")
     size = F.col("w") * F.col("h") / page_area
-    fits = (size >= F.col("min_pct")) & (size <= F.col("max_pct"))
-    return rects.join(F.broadcast(grid), fits).groupBy("config_id", "page_id").agg(F.count("*").alias("n"))
+    by_page = rects.select("page_id", size.alias("_size")).groupBy("page_id").agg(F.collect_list("_size").alias("_sizes"))
+    held = F.filter("_sizes", lambda v: (v >= F.col("min_pct")) & (v <= F.col("max_pct")))
+    counts = by_page.join(F.broadcast(grid)).select("config_id", "page_id", F.size(held).cast("long").alias("n"))
+    return counts.filter("n > 0")
