@@ -20,6 +20,11 @@ from pagegrid.operators.rects import BOX, ROUTES, merge_rects, remove_header_foo
 BOX_TYPE = "x:double,y:double,w:double,h:double"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _page():
     return Window.partitionBy("page_id")
 
@@ -62,11 +67,11 @@ def consensus(rects: DataFrame, scales: int = 3, min_agree: int = 2, least: floa
     def step(acc, s):
         later = lambda b: F.struct(b["scale_id"], b["rect_id"]) > F.struct(s["scale_id"], s["rect_id"])
         group = F.filter("items", lambda b: (b["rect_id"] == s["rect_id"]) | (later(b) & ~F.array_contains(acc["used"], b["rect_id"]) & (iou(s, b) >= least)))
-        seen = F.size(F.array_distinct(F.transform(group, lambda b: b["scale_id"])))
-        mean = lambda c: F.aggregate(group, F.lit(0.0), lambda a, b: a + b[c]) / F.size(group)
-        box = F.struct((seen / scales).cast("double").alias("confidence"), *[mean(c).alias(c) for c in BOX])
-        more = F.struct(F.concat(acc["used"], F.transform(group, lambda b: b["rect_id"])).alias("used"), F.concat(acc["out"], F.array(box)).alias("out"))
-        return F.when(~F.array_contains(acc["used"], s["rect_id"]) & (seen >= min_agree), more).otherwise(acc)
+        seen = lambda g: F.size(F.array_distinct(F.transform(g, lambda b: b["scale_id"])))
+        mean = lambda g, c: F.aggregate(g, F.lit(0.0), lambda a, b: a + b[c]) / F.size(g)
+        box = lambda g: F.struct((seen(g) / scales).cast("double").alias("confidence"), *[mean(g, c).alias(c) for c in BOX])
+        more = lambda g: F.struct(F.concat(acc["used"], F.transform(g, lambda b: b["rect_id"])).alias("used"), F.concat(acc["out"], F.array(box(g))).alias("out"))
+        return F.when(F.array_contains(acc["used"], s["rect_id"]), acc).otherwise(let(group, lambda g: F.when(seen(g) >= min_agree, more(g)).otherwise(acc)))
 
     typed = rects.withColumn("rect_id", F.col("rect_id").cast("int")).withColumn("scale_id", F.col("scale_id").cast("int"))
     done = _arrays(typed, "scale_id").select("page_id", F.aggregate("items", start, step, lambda acc: acc["out"]).alias("out"))
@@ -81,10 +86,10 @@ def merge_regions(rects: DataFrame, most: float = 0.20) -> DataFrame:
 
     def step(acc, s):
         group = F.filter("items", lambda b: (b["rect_id"] > s["rect_id"]) & ~F.array_contains(acc["used"], b["rect_id"]) & (iou(s, b) > most))
-        whole = F.aggregate(group, _box(s), lambda a, b: union_box(a, b))
-        grown = F.struct(s["rect_id"].alias("rect_id"), *[whole[c].alias(c) for c in BOX])
-        more = F.struct(F.concat(acc["used"], F.transform(group, lambda b: b["rect_id"])).alias("used"), F.concat(acc["out"], F.array(grown)).alias("out"))
-        return F.when(F.array_contains(acc["used"], s["rect_id"]), acc).otherwise(more)
+        whole = lambda g: F.aggregate(g, _box(s), lambda a, b: union_box(a, b))
+        grown = lambda g: let(whole(g), lambda u: F.struct(s["rect_id"].alias("rect_id"), *[u[c].alias(c) for c in BOX]))
+        more = lambda g: F.struct(F.concat(acc["used"], F.transform(g, lambda b: b["rect_id"])).alias("used"), F.concat(acc["out"], F.array(grown(g))).alias("out"))
+        return F.when(F.array_contains(acc["used"], s["rect_id"]), acc).otherwise(let(group, more))
 
     done = _arrays(rects.withColumn("rect_id", F.col("rect_id").cast("int"))).select("page_id", F.explode(F.aggregate("items", start, step, lambda acc: acc["out"])).alias("m"))
     return done.select("page_id", "m.*")

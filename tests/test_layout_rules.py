@@ -147,3 +147,11 @@ def test_correction_keys_of_long_page_numbers(spark):
     frame = spark.createDataFrame([(p,) for p in pages], "page long")
     got = {r.page: r.key for r in frame.select("page", L.correction_key(F.lit("/lib/a.pdf"), F.col("page")).alias("key")).collect()}
     assert {p: k and k.split("_page")[1] for p, k in got.items()} == {p: None if p is None else f"{p:04d}" for p in pages}
+
+
+def test_a_group_is_formed_once_and_a_sweep_groups_pages_only(spark):
+    from pagegrid.plans.catalog import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan("m2_merge_regions").count("filter(items") == 1 and plan("j5_consensus").count("filter(items") == 1
+    assert "Aggregate [config_id" not in plan("j14_sweep")
