@@ -208,7 +208,12 @@ def tile_maps(rasters: DataFrame, grid: int = 20, dark: int = 200, edge: int = 1
         h, w = gray.shape
         steep = gradient(gray) > edge
         ys, xs = (np.arange(grid + 1) * h) // grid, (np.arange(grid + 1) * w) // grid
-        share = lambda m: float(m.mean()) if m.size else 0.0
-        return [(i, j, share(gray[(cut := (slice(ys[i], ys[i + 1]), slice(xs[j], xs[j + 1])))] < dark), share(steep[cut])) for i in range(grid) for j in range(grid)]
+        n = np.maximum(np.outer(np.diff(ys), np.diff(xs)), 1)
+
+        def shares(mask: np.ndarray) -> list[float]:
+            table = np.pad(np.pad(mask.cumsum(1), ((0, 0), (1, 0)))[:, xs].cumsum(0), ((1, 0), (0, 0)))[ys]
+            return (np.diff(np.diff(table, axis=0), axis=1) / n).ravel().tolist()
+
+        return [(*divmod(k, grid), c, e) for k, (c, e) in enumerate(zip(shares(gray < dark), shares(steep), strict=True))]
 
     return per_page(rasters, tiles, "page_id long, ty int, tx int, content double, edge double")
