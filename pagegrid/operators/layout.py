@@ -5,6 +5,7 @@ Rules that depend on the visiting order fold one small array for each page.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from pagegrid.functions.geometry import area, intersection_area, iou, segment_angle, union_box
 from pagegrid.operators.library import chain_islands
-from pagegrid.operators.rects import BOX, ROUTES, merge_rects, remove_header_footer, score_layout, union_coverage
+from pagegrid.operators.rects import BOX, ROUTES, covered_area, has_width, merge_rects, page_boxes, remove_header_footer, score_layout
 
 BOX_TYPE = "x:double,y:double,w:double,h:double"
 
@@ -209,11 +210,12 @@ def peak_lines(indexes: DataFrame, thick: int = 3, top: int = 4096) -> DataFrame
 
 
 def page_features(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:
-    """Counts, shares of small and margin boxes, coverage, spread of aspects."""
+    """Counts, shares of small and margin boxes, coverage, spread of aspects; pages without any box that has a width have none."""
     small = (F.col("w") * F.col("h") < 0.01 * page_w * page_h).cast("double")
     edge = (((F.col("y") < 0.06 * page_h) | (F.col("y") + F.col("h") > 0.94 * page_h)) & (F.col("h") < 0.12 * page_h)).cast("double")
-    base = rects.groupBy("page_id").agg(F.count("*").alias("rect_count"), F.avg(small).alias("small_ratio"), F.avg(edge).alias("margin_ratio"), F.var_pop(F.col("w") / F.col("h")).alias("aspect_variance"))
-    return base.join(union_coverage(rects, page_w, page_h), "page_id")
+    known = rects.filter("page_id is not null").groupBy("page_id")
+    base = known.agg(F.count("*").alias("rect_count"), F.avg(small).alias("small_ratio"), F.avg(edge).alias("margin_ratio"), F.var_pop(F.col("w") / F.col("h")).alias("aspect_variance"), page_boxes().alias("_boxes"), has_width().alias("_wide"))
+    return base.filter("_wide").withColumn("coverage", covered_area("_boxes") / (page_w * page_h)).drop("_boxes", "_wide")
 
 
 def gutter_count(prof: DataFrame, gap: int = 3) -> DataFrame:
@@ -243,19 +245,26 @@ STYLE_FEATURES = ["rect_count", "small_ratio", "margin_ratio", "gutter_count", "
 
 def fit_style_model(labelled: DataFrame, features: list[str] | None = None) -> PipelineModel:
     """A random forest on pages with features and a known `style`; nulls count as 0. Styles follow from
-    limits on features, which trees find and a linear model doesn't.
+    limits on features, which trees find and a linear model doesn't. The stages read the pages several times,
+    so styles and features lie on the executors' disks until the model is there.
 
     Save it with model.write().save(path) and read it with PipelineModel.load(path).
     """
     names = features or STYLE_FEATURES
-    indexer = StringIndexer(inputCol="style", outputCol="_label", stringOrderType="alphabetAsc").fit(labelled)
-    stages = [
-        SQLTransformer(statement="select *, " + ", ".join(f"coalesce(cast({c} as double), 0.0D) as _x_{c}" for c in names) + " from __THIS__"),
-        VectorAssembler(inputCols=[f"_x_{c}" for c in names], outputCol="_features"),
-        RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_class", probabilityCol="_share", rawPredictionCol="_raw", numTrees=40, maxDepth=8, seed=1),
-        IndexToString(inputCol="_class", outputCol="_style", labels=indexer.labels),
-    ]
-    return Pipeline(stages=stages).fit(indexer.transform(labelled))
+    spark = labelled.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = labelled.select("style", *names).repartition(tasks).persist(StorageLevel.DISK_ONLY)
+    try:
+        indexer = StringIndexer(inputCol="style", outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
+        stages = [
+            SQLTransformer(statement="select *, " + ", ".join(f"coalesce(cast({c} as double), 0.0D) as _x_{c}" for c in names) + " from __THIS__"),
+            VectorAssembler(inputCols=[f"_x_{c}" for c in names], outputCol="_features"),
+            RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_class", probabilityCol="_share", rawPredictionCol="_raw", numTrees=40, maxDepth=8, seed=1),
+            IndexToString(inputCol="_class", outputCol="_style", labels=indexer.labels),
+        ]
+        return Pipeline(stages=stages).fit(indexer.transform(rows))
+    finally:
+        rows.unpersist()
 
 
 def classify_style(f: DataFrame, model: PipelineModel | None = None) -> DataFrame:

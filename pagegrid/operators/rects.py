@@ -5,8 +5,11 @@ Frames have page_id, rect_id (unique in its page), x, y, w, h and, where named,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from pagegrid.functions.geometry import area, iou, intersection_area, overlap_of_smaller, rect, union_box
@@ -120,19 +123,52 @@ def reading_order(rects: DataFrame, row_gap: float = 20.0, rtl: bool = False) ->
     return flat.withColumn("panel_no", F.row_number().over(Window.partitionBy("page_id").orderBy("row", across, "rect_id")))
 
 
-def union_coverage(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:
-    """Share of the page under at least one rectangle, by elementary strips between distinct x edges.
+def covered_areas(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, sizes: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Area under at least one box of each page, by elementary strips between its x edges; sizes: the boxes of each page, which lie end to end.
 
-    In each strip the rectangles' y intervals merge by a running maximum of their ends.
+    In each strip the boxes' y intervals merge by a running maximum of their ends. Pages with equally many boxes
+    go together, at most `most` boxes at a time. Unknown values are NaN, and such boxes cover nothing.
     """
-    edges = rects.select("page_id", F.col("x").alias("e")).union(rects.select("page_id", F.col("x") + F.col("w"))).distinct()
-    strips = edges.withColumn("e2", F.lead("e").over(Window.partitionBy("page_id").orderBy("e"))).filter("e2 is not null")
-    inside = strips.join(rects, "page_id").filter("x <= e and x + w >= e2")
-    w = Window.partitionBy("page_id", "e").orderBy("y", "rect_id").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.col("y") + F.col("h")).over(w)
-    new = F.greatest(F.lit(0.0), F.col("y") + F.col("h") - F.greatest(F.col("y"), F.coalesce(reach, F.col("y"))))
-    cells = inside.withColumn("new", new * (F.col("e2") - F.col("e")))
-    return cells.groupBy("page_id").agg((F.sum("new") / (page_w * page_h)).alias("coverage"))
+    out, first = np.zeros(len(sizes)), np.cumsum(sizes) - sizes
+    for n in np.unique(sizes[sizes > 0]):
+        pages = np.flatnonzero(sizes == n)
+        step = max(1, most // n)
+        for part in (pages[i : i + step] for i in range(0, len(pages), step)):
+            at = first[part][:, None] + np.arange(n)
+            at = np.take_along_axis(at, np.argsort(y[at], axis=1), 1)
+            left, right, top, end = x[at], x[at] + w[at], y[at], y[at] + h[at]
+            edges = np.sort(np.concatenate([left, right], axis=1), axis=1)
+            for e, e2 in zip(edges.T[:-1], edges.T[1:], strict=True):
+                inside = (left <= e[:, None]) & (right >= e2[:, None])
+                reach = np.fmax.accumulate(np.where(inside, end, -np.inf), axis=1)
+                before = np.concatenate([np.full((len(part), 1), -np.inf), reach[:, :-1]], axis=1)
+                high = np.where(inside, np.fmax(0.0, end - np.fmax(top, before)), 0.0).sum(1)
+                out[part] += np.where(high > 0, high * (e2 - e), 0.0)
+    return out
+
+
+def page_boxes() -> Column:
+    """The boxes of a group of rows, as covered_area() takes them."""
+    return F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in BOX]))
+
+
+def has_width() -> Column:
+    """Whether any row of a group has a width: pages without one have no strips and no coverage."""
+    return F.max(F.col("x") + F.col("w") > F.col("x"))
+
+
+@F.arrow_udf(DoubleType())
+def covered_area(boxes: pa.Array) -> pa.Array:
+    """Area under at least one of a page's boxes."""
+    flat = boxes.flatten()
+    x, y, w, h = (np.asarray(flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in BOX)
+    return pa.array(covered_areas(x, y, w, h, np.asarray(boxes.value_lengths())))
+
+
+def union_coverage(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:
+    """Share of the page under at least one rectangle. The boxes of a page meet once, in its row."""
+    pages = rects.filter("page_id is not null").groupBy("page_id").agg(page_boxes().alias("boxes"), has_width().alias("wide")).filter("wide")
+    return pages.select("page_id", (covered_area("boxes") / (page_w * page_h)).alias("coverage"))
 
 
 def scored_layouts(rects: DataFrame, page_w: float, page_h: float) -> DataFrame:

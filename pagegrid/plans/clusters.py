@@ -14,6 +14,7 @@ from pagegrid.operators import masks as M
 from pagegrid.plans.layout import LAB_SQL, features
 from pagegrid.plans.registry import WITH, query
 from pagegrid.sources import views as V
+from pagegrid.sources.files import stored
 
 WITH["crgb"] = V.COLOURS_SQL
 CLUSTERS_SQL = LAB_SQL.replace("from rgb", "from crgb") + """,
@@ -68,7 +69,10 @@ def a13_cluster_background_mask(s, d):
 
 @query()
 def x2_style_model(s, d):
-    """A model of the rules' own styles, learned from four fifths of the pages and applied to all of them."""
-    f = features(s, d)
+    """A model of the rules' own styles, learned from four fifths of the pages and applied to all of them.
+
+    Features are worked out once and stored: learning and applying read them.
+    """
+    f = stored(features(s, d), "features")
     model = Y.fit_style_model(Y.style_scores(f.filter("page_id % 5 <> 0")))
     return Y.classify_style(f, model).select("page_id", "style", F.round("confidence", 4).alias("confidence"))

@@ -36,6 +36,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to a shared folder: for results that are read several times."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def unreadable_pages(spark: SparkSession, path: str) -> DataFrame:
     """`origin` of the images that read_pages drops."""
     return spark.read.format("image").load(path).select("image.origin", "image.nChannels").filter("nChannels < 0").select("origin")

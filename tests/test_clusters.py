@@ -1,6 +1,7 @@
 """Colour clusters, background masks, the style model, and results of streams under several configurations."""
 
 import json
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pagegrid.operators import clusters as K
 from pagegrid.operators import layout as Y
 from pagegrid.operators import masks as M
+from pagegrid.plans.catalog import QUERIES
 from pagegrid.sources import files
 from pagegrid.streaming import jobs
 
@@ -88,6 +90,31 @@ def test_style_model_on_held_out_pages(spark, styled, tmp_path):
     assert sum(want[r.page_id] == r.style for r in got) >= 0.85 * len(want)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_learning_works_pages_out_once(spark, tmp_path):
+    def features(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        for batch in batches:
+            yield batch.assign(style=["classic" if i % 2 else "modern" for i in batch.id], f=batch.id % 7)
+
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = held()
+    labelled = spark.range(80, numPartitions=2).mapInPandas(features, "id long, style string, f long")
+    model = Y.fit_style_model(labelled, ["f"])
+    assert len(list(tmp_path.iterdir())) == 2  # a file for each time that a partition is worked out
+    assert held() == before
+    assert Y.classify_style(spark.range(7).withColumnRenamed("id", "f"), model).count() == 7
+
+
+def test_style_query_reads_stored_features(spark):
+    got = QUERIES["x2_style_model"](spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in plan_of(got) and "Window" not in plan_of(got)
+    assert got.count() == QUERIES["a5_page_features"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_without_a_model_the_rules_decide(styled):
     got = {r.page_id: r.style for r in Y.classify_style(styled).collect()}
     assert got == {r.page_id: r.style for r in styled.collect()}

@@ -4,12 +4,14 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagegrid.operators import layout as Y
 from pagegrid.operators import library as L
 from pagegrid.operators import masks as M
+from pagegrid.operators import rects as R
 from pagegrid.plans.catalog import QUERIES
 from pagegrid.sources import files, views
 from pagegrid.streaming import jobs
@@ -155,3 +157,28 @@ def test_a_group_is_formed_once_and_a_sweep_groups_pages_only(spark):
     plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert plan("m2_merge_regions").count("filter(items") == 1 and plan("j5_consensus").count("filter(items") == 1
     assert "Aggregate [config_id" not in plan("j14_sweep")
+
+
+def test_coverage_meets_a_pages_boxes_once(spark):
+    rng = random.Random(4)
+    pages = {p: [(rng.randrange(12), rng.randrange(12), rng.randrange(6), rng.randrange(6)) for _ in range(rng.choice((1, 2, 2, 5, 30)))] for p in range(60)}
+    pages[60] = [(3, 3, 0, 5), (4, 4, 0, 2)]  # no box has a width
+    rows = [(p, i, *map(float, b)) for p, bs in pages.items() for i, b in enumerate(bs)]
+    rows += [(0, 99, None, 1.0, 5.0, 5.0), (1, 99, 1.0, None, 20.0, 20.0), (2, 99, 1.0, 1.0, None, 5.0), (3, 99, 1.0, 1.0, 20.0, None), (None, 0, 1.0, 1.0, 5.0, 5.0)]
+    r = spark.createDataFrame(rows, "page_id long, rect_id int, x double, y double, w double, h double")
+    want = {p: len({(x, y) for a, b, w, h in bs for x in range(a, a + w) for y in range(b, b + h)}) / 400 for p, bs in pages.items() if any(w for _, _, w, _ in bs) or p in (1, 3)}
+    high = r.filter("h > 0")  # aspects are w / h
+    got, full = R.union_coverage(r, 20.0, 20.0), Y.page_features(high, 20.0, 20.0)
+    for df in (got, full):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    assert {x.page_id: round(x.coverage, 9) for x in got.collect()} == {p: round(c, 9) for p, c in want.items()}
+    assert {x.page_id: x.coverage for x in full.collect()} == {x.page_id: x.coverage for x in R.union_coverage(high, 20.0, 20.0).collect()}
+
+
+def test_coverage_in_small_steps():
+    rng = np.random.default_rng(6)
+    sizes = np.array([3, 0, 3, 2, 3, 7])
+    x, y, w, h = (rng.integers(0, 9, sizes.sum()).astype(float) for _ in range(4))
+    assert np.array_equal(R.covered_areas(x, y, w, h, sizes), R.covered_areas(x, y, w, h, sizes, most=1))
+    assert len(R.covered_areas(x[:0], y[:0], w[:0], h[:0], sizes[:0])) == 0
