@@ -4,9 +4,11 @@ import base64
 import hashlib
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,6 +317,47 @@ def test_bm25_against_brute_force(spark):
         assert [(d, s) for _, d, s in sorted(got.get(q, []))] == pytest.approx(want) if not want else [d for _, d, _ in sorted(got[q])] == [d for d, _ in want]
 
 
+def test_bm25_unpacks_one_segment_at_a_time(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(30)]) for _ in range(rng.randrange(1, 300))) for _ in range(400)]
+    monkeypatch.setattr(bm25, "SEGMENT_DOCS", 50)
+    monkeypatch.setattr(bm25, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    parts = list(bm25.index_segments([pa.record_batch([pa.array(range(400), pa.int64()), pa.array(texts)], names=["doc_id", "text"])], "text"))
+    terms = np.unique(bm25.terms_of(*bm25.bytes_of(pa.array(texts)), {})[0])
+    asks = [(q, rng.sample(terms.tolist(), 12)) for q in range(40)]
+    held = [p.append_column("kind", pa.array([0])).append_column("idf", pa.array([None], pa.binary())).append_column("qrow", pa.array([None], pa.int64())) for p in parts]
+    bits = lambda x, t: np.array(x, t).tobytes()
+    columns = {"kind": [1] * 40, "qrow": [q for q, _ in asks], "terms": [bits(t, np.int64) for _, t in asks], "idf": [bits(np.arange(1, 13) / 7, float) for _ in asks]}
+    asking = [pa.record_batch([pa.array(x) for x in columns.values()], names=list(columns)).slice(a, 20) for a in (0, 20)]
+    alive, most, unpack = weakref.WeakSet(), [0], bm25.Segment.__init__
+
+    def counted(self, *a, **b):
+        unpack(self, *a, **b)
+        alive.add(self)
+        most[0] = max(most[0], len(alive))
+
+    monkeypatch.setattr(bm25.Segment, "__init__", counted)
+    got = {}
+    for out in bm25.search_shard(iter(held + asking), k=5, k1=1.2, b=0.75, mean=150.0):
+        for r in out.to_pylist():
+            got.setdefault(r["qrow"], []).append((r["score"], r["doc_id"]))
+    assert len(parts) == 8 and most[0] <= 2  # the next one is unpacked before the last one goes
+    key = {w: int(bm25.terms_of(*bm25.bytes_of(pa.array([w])), {})[0][0]) for w in {w for t in texts for w in t.split()}}
+    count = [{key[w]: t.split().count(w) for w in set(t.split())} for t in texts]
+    for q, t in asks:
+        norm = [1.2 * (0.25 + 0.75 * sum(c.values()) / 150.0) for c in count]
+        every = [(round(sum(i / 7 * c[x] * 2.2 / (c[x] + n) for i, x in enumerate(t, 1) if x in c), 6), d) for d, (c, n) in enumerate(zip(count, norm, strict=True))]
+        want = sorted((x for x in every if x[0] > 0), key=lambda x: (-x[0], x[1]))[:5]
+        assert [d for _, d in got[q]] == [d for _, d in want] and [s for s, _ in got[q]] == pytest.approx([s for s, _ in want], abs=2e-6)
+
+
+def test_bm25_deals_segments_evenly():
+    sizes = [12, 1] * 8  # a full segment and a rest from each partition
+    shards = bm25.dealt(sizes, 4)
+    assert [sum(n for n, s in zip(sizes, shards, strict=True) if s == k) for k in range(4)] == [26] * 4
+    assert bm25.dealt([], 3) == []
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 16))
