@@ -17,8 +17,8 @@ from .hnsw import Graph
 SLACK = 1e-4
 
 
-def build_shard(key, table: pa.Table, m: int) -> pa.Table:
-    d = key[0].as_py()
+def build_shard(table: pa.Table, m: int) -> pa.Table:
+    d = table.column("dim")[0].as_py()
     order = np.argsort(np.asarray(table.column("cid").combine_chunks()), kind="stable")
     table = table.take(pa.array(order))
     flat = table.column("embedding").combine_chunks().flatten()
@@ -26,15 +26,42 @@ def build_shard(key, table: pa.Table, m: int) -> pa.Table:
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
     blob, sizes = Graph(unit, m).build().dump()
     cid, rows = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("cid", "rows"))
-    return pa.table({"dim": pa.array([d], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "cids": [cid.tobytes()], "rows": [rows.tobytes()], "vectors": [unit.tobytes()], "graph": [blob], "sizes": pa.array([sizes], pa.list_(pa.int32()))})
+    return pa.table({"dim": pa.array([d], pa.int32()), "shard": table.column("shard").slice(0, 1), "cids": [cid.tobytes()], "rows": [rows.tobytes()], "vectors": [unit.tobytes()], "graph": [blob], "sizes": pa.array([sizes], pa.list_(pa.int32()))})
+
+
+def build_shards(batches, m: int):
+    """Rows in the order of (dim, shard): a graph for each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        dim, shard = batch.column("dim").to_numpy(), batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero((dim[1:] != dim[:-1]) | (shard[1:] != shard[:-1])) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and a < b and any(held[0].column(c)[0] != batch.column(c)[int(a)] for c in ("dim", "shard")):
+                yield from build_shard(pa.Table.from_batches(held), m).to_batches()
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from build_shard(pa.Table.from_batches(held), m).to_batches()
 
 
-def audit_beam(query: Graph, other: Graph, beam: int, pick: np.ndarray, own: bool, recall: float, closest: int | None = None) -> tuple[int, float]:
+def planted(vectors: np.ndarray, at: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each vector at[i] another one, in a random direction, whose cosine with it is `cosine`."""
+    v = vectors[at].astype(np.float64)
+    away = rng.normal(size=v.shape)
+    away -= np.einsum("kd,kd->k", away, v)[:, None] * v
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    return (cosine * v + np.sqrt(1 - cosine**2) * away).astype(np.float32)
+
+
+def audit_beam(query: Graph, other: Graph, beam: int, pick: np.ndarray, own: bool, recall: float, closest: int | None = None, least: float | None = None) -> tuple[int, float]:
     """Widen the beam until searches find enough of the true nearest others, known by brute force.
 
-    All picked rows are audited, or the `closest` of them whose nearest other is most similar: links
-    come first among those, and where there are few, what is nearest to being one. So the audit
-    always has evidence, of the kind that the search is for. Returns beam and recall.
+    All picked rows are audited, or the `closest` of them whose nearest other is most similar. With
+    `least`, only those with a link, of that similarity or more; where there are fewer than `closest`,
+    as many vectors as are missing are planted at just that similarity to rows of the other side and
+    searched for. So the audit always has evidence, of what the search is for: beams that find
+    nearest others far below a link would be many times as wide. Returns beam and recall.
     """
     n = len(other.v)
     if not len(pick) or n < 2:
@@ -48,14 +75,29 @@ def audit_beam(query: Graph, other: Graph, beam: int, pick: np.ndarray, own: boo
     if closest is not None:
         first = np.argsort(-best, kind="stable")[:closest]
         pick, best = pick[first], best[first]
+    extra, target = np.zeros((0, other.v.shape[1]), np.float32), np.zeros(0, np.int64)
+    if least is not None:
+        linked, wanted = best >= least, closest or len(pick)
+        rng = np.random.default_rng([n, len(query.v), len(pick)])
+        pick, best = pick[linked], best[linked]
+        if other.v.shape[1] > 1:
+            target = rng.permutation(n)[: wanted - len(pick)]
+            extra = planted(other.v, target, least, rng)
     while True:
-        start = pick[:, None] if own else other.entry(0, query.v[pick])[:, None]
-        ids, got = other.search(0, query.v[pick], start, min(beam, n))
-        if own:
-            got = np.where(ids == pick[:, None], -np.inf, got)
-        found = float((got.max(1) >= best - 1e-6).mean())
-        if found >= recall or beam >= n:
-            return beam, found
+        found = np.zeros(0, bool)
+        if len(pick):
+            start = pick[:, None] if own else other.entry(0, query.v[pick])[:, None]
+            ids, got = other.search(0, query.v[pick], start, min(beam, n))
+            if own:
+                got = np.where(ids == pick[:, None], -np.inf, got)
+            found = got.max(1) >= best - 1e-6
+        if len(target):
+            ids, got = other.search(0, extra, other.entry(0, extra)[:, None], min(beam, n))
+            # a beam full of links is compared with all rows anyway
+            found = np.append(found, (ids == target[:, None]).any(1) | (got >= least - SLACK).all(1))
+        share = float(found.mean()) if len(found) else 1.0
+        if share >= recall or beam >= n:
+            return beam, share
         beam *= 2
 
 
@@ -90,7 +132,8 @@ def link_shards(table: pa.Table, m: int, least: float, beam: int, audit: int, re
     """Links between two shards (or inside one), from both sides.
 
     Of a seeded sample of 16 x audit rows of each side, the `audit` with the nearest others are
-    audited (audit_beam), and the beam is widened until both sides pass. Rows whose beam is filled by links belong to large groups of near copies: they are
+    audited where these are links, and planted ones besides (audit_beam), and the beam is widened
+    until both sides pass. Rows whose beam is filled by links belong to large groups of near copies: they are
     compared with all rows of the other side in blocks, and only counts and sets are kept, so
     memory doesn't grow with a group's pairs. All other rows have fewer links than the beam is wide.
 
@@ -112,7 +155,7 @@ def link_shards(table: pa.Table, m: int, least: float, beam: int, audit: int, re
     found = 1.0
     for query, other, rows in ((g_a, g_b, n_a), (g_b, g_a, n_b))[: 1 if own else 2]:
         pick = np.random.default_rng([n_a, n_b, rows]).permutation(rows)[: 16 * audit]
-        beam, share = audit_beam(query, other, beam, pick, own, recall, audit)
+        beam, share = audit_beam(query, other, beam, pick, own, recall, audit, least)
         found = min(found, share)
 
     a, b, full_a = g_b.within(g_a.v, near, beam, np.arange(n_a) if own else None)
@@ -136,16 +179,25 @@ def link_shards(table: pa.Table, m: int, least: float, beam: int, audit: int, re
     sets.join_pairs(a, b + shift)
 
     # the full rows of one side against the whole other side; then those of the other against what is left
-    turns = ((full_a, u_a, w_a, 0, u_b, w_b, shift, np.ones(n_b, bool)), (full_b, u_b, w_b, shift, u_a, w_a, 0, ~full_a))
-    for full, mine, w_mine, at_mine, other, w_other, at_other, open_ in turns[: 1 if own else 2]:
+    turns = ((full_a, u_a, g_a.v, w_a, 0, u_b, g_b.v, w_b, shift, np.ones(n_b, bool)), (full_b, u_b, g_b.v, w_b, shift, u_a, g_a.v, w_a, 0, ~full_a))
+    for full, mine, mine_v, w_mine, at_mine, other, other_v, w_other, at_other, open_ in turns[: 1 if own else 2]:
         rest = np.flatnonzero(open_)
+        rest_v, w_rest, w_float = other_v[rest], w_other[rest].astype(np.float64), w_mine.astype(np.float64)
         for block in np.array_split(np.flatnonzero(full), max(1, int(full.sum()) * len(rest) // (4 << 20))):
-            link = mine[block] @ other[rest].T >= least
+            sims = mine_v[block] @ rest_v.T
+            link = sims >= least + SLACK
+            # what single precision can't tell
+            i, j = np.nonzero((sims >= near) & ~link)
+            for k in range(0, len(i), 65536):
+                x, y = i[k : k + 65536], j[k : k + 65536]
+                link[x, y] = np.einsum("kd,kd->k", mine[block[x]], other[rest[y]]) >= least
             if own:
                 link[np.arange(len(block)), block] = False
-            links[at_mine + block] += link @ w_other[rest]
+            # sums of rows are whole numbers far below 2^53
+            hits = link.astype(np.float64)
+            links[at_mine + block] += (hits @ w_rest).astype(np.int64)
             # inside one shard a pair of full rows is seen from both, any other pair only from its full row
-            back = w_mine[block] @ link
+            back = (w_float[block] @ hits).astype(np.int64)
             links[at_other + rest] += np.where(full[rest], 0, back) if own else back
             for i, row in zip(block, link, strict=True):
                 sets.join(np.append(at_other + rest[row], at_mine + i))
@@ -181,8 +233,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 100_
     a class. Classes are dealt to shards by a seeded hash, `shards` of them or as many as keep a
     shard near shard_rows; each shard gets a graph, written to the shared folder; and each pair of
     shards is one task, in which both sides query the other. Beams widen until the recall of true
-    nearest others, for those `audit` of a sample's rows that have the nearest ones on each side,
-    reaches `recall`; the least recall found is returned. See link_shards.
+    nearest others, for up to `audit` of a sample's rows that have links on each side, and of
+    planted ones where these are fewer, reaches `recall`; the least recall found is returned. See link_shards.
 
     Work: every vector queries every shard, so tasks grow with the square of the number of
     shards and a query with the logarithm of shard_rows. A row in a large group of near copies
@@ -203,7 +255,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, shard_rows: int = 100_
     classes = keep(grouped.withColumn("cid", F.monotonically_increasing_id()), "vec-classes")
     parts = max(shards, -(-classes.count() // shard_rows))
     sharded = classes.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64(F.lit(1), *key), F.lit(parts)).cast("int"))
-    graphs = keep(sharded.select("dim", "shard", "cid", "rows", "embedding").groupBy("dim", "shard").applyInArrow(lambda k, t: build_shard(k, t, m), "dim int, shard int, cids binary, rows binary, vectors binary, graph binary, sizes array<int>"), "vec-graphs")
+    # one task for each shard
+    built = sharded.select("dim", "shard", "cid", "rows", "embedding").repartitionById(parts, F.col("shard")).sortWithinPartitions("dim", "shard")
+    graphs = keep(built.mapInArrow(partial(build_shards, m=m), "dim int, shard int, cids binary, rows binary, vectors binary, graph binary, sizes array<int>"), "vec-graphs")
     # one task for each pair of shards
     paired = graphs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("a", F.least("shard", "other")).withColumn("b", F.greatest("shard", "other"))
     paired = paired.withColumn("pair", (F.col("b") * (F.col("b") + 1) / 2 + F.col("a")).cast("int")).drop("other", "a", "b")

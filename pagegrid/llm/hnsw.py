@@ -23,13 +23,25 @@ def pick_diverse(sims: np.ndarray, between: np.ndarray, most: int) -> np.ndarray
     return taken | (spare & (np.cumsum(spare, axis=1) <= room))
 
 
+def dots(v: np.ndarray, at: np.ndarray, q: np.ndarray, row: np.ndarray, block: int = 1024) -> np.ndarray:
+    """v[at[i]] times q[row[i]], in blocks whose vectors stay in the cache."""
+    out = np.empty(len(at), v.dtype)
+    left, right = np.empty((2, block, v.shape[1]), v.dtype)
+    for a in range(0, len(at), block):
+        k = len(at[a : a + block])
+        np.take(v, at[a : a + k], axis=0, out=left[:k], mode="clip")
+        np.take(q, row[a : a + k], axis=0, out=right[:k], mode="clip")
+        np.einsum("kd,kd->k", left[:k], right[:k], out=out[a : a + k])
+    return out
+
+
 class Graph:
     def __init__(self, vectors: np.ndarray, m: int = 12, seed: int = 1):
         self.v = np.ascontiguousarray(vectors, np.float32)
         n = len(vectors)
         rng = np.random.default_rng(seed)
         level = np.floor(-np.log(1.0 - rng.random(n)) / np.log(m)).astype(int) if n else np.zeros(0, int)
-        self.m = m
+        self.m, self.seen = m, np.zeros(0, bool)
         self.members: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
         for layer in range((level.max() if n else 0) + 1):
@@ -58,7 +70,8 @@ class Graph:
         """Beam search from start (rows x s); ids and similarities, best first, -1 and -inf where none."""
         b, n = len(q), len(self.v)
         links = self.links[layer]
-        seen = np.zeros((b, n + 1), bool)
+        if len(self.seen) < b * n:
+            self.seen = np.zeros(b * n, bool)
         rows = np.arange(b)
         ids = np.full((b, beam), -1, np.int64)
         sims = np.full((b, beam), -np.inf, np.float32)
@@ -66,8 +79,9 @@ class Graph:
         ids[:, :s] = start[:, :s]
         first = self.v[np.maximum(ids[:, :s], 0)]
         sims[:, :s] = np.where(ids[:, :s] >= 0, np.einsum("bkd,bd->bk", first, q), -np.inf)
-        np.put_along_axis(seen, np.where(ids[:, :s] >= 0, ids[:, :s], n), True, 1)
         open_ = ids >= 0
+        marked = [(rows[:, None] * n + ids)[open_]]
+        self.seen[marked[0]] = True
         e = min(expand, beam)
         while len(rows):
             cand = np.where(open_[rows], sims[rows], -np.inf)
@@ -78,28 +92,34 @@ class Graph:
             if not len(rows):
                 break
             open_[rows[:, None], pick] &= ~good
-            at = np.where(good, ids[rows[:, None], pick], -1)
-            nb = np.where((at >= 0)[:, :, None], links[np.maximum(at, 0)], -1).reshape(len(rows), -1)
-            slot = np.where(nb >= 0, nb, n)
-            fresh = ~seen[rows[:, None], slot] & (nb >= 0)
-            # one id may come from several of the expanded nodes
-            order = np.argsort(slot, axis=1, kind="stable")
-            slot_o = np.take_along_axis(slot, order, 1)
-            dup = np.zeros_like(fresh)
-            np.put_along_axis(dup, order[:, 1:], slot_o[:, 1:] == slot_o[:, :-1], 1)
-            fresh &= ~dup
-            seen[rows[:, None], np.where(fresh, slot, n)] = True
-            # pack the fresh ones to the left, so that only their vectors are read
-            width = max(1, int(fresh.sum(1).max()))
-            left = np.argsort(~fresh, axis=1, kind="stable")[:, :width]
-            nb, fresh = np.take_along_axis(nb, left, 1), np.take_along_axis(fresh, left, 1)
-            got = np.einsum("bkd,bd->bk", self.v[np.maximum(nb, 0)], q[rows])
-            got = np.where(fresh, got, -np.inf).astype(np.float32)
-            all_s = np.concatenate([sims[rows], got], 1)
-            all_i = np.concatenate([ids[rows], nb], 1)
-            all_o = np.concatenate([open_[rows], fresh], 1)
-            best = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam] if all_s.shape[1] > beam else np.broadcast_to(np.arange(beam), (len(rows), beam))
-            sims[rows], ids[rows], open_[rows] = (np.take_along_axis(x, best, 1) for x in (all_s, all_i, all_o))
+            at = ids[rows[:, None], pick]
+            nb = np.where(good[:, :, None], links[np.where(good, at, 0)], -1).reshape(len(rows), -1)
+            # the places in `seen` of what is met for the first time; one id may come from several of the expanded nodes
+            key = (rows[:, None] * n + nb)[nb >= 0]
+            key = np.sort(key[~self.seen[key]])
+            key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+            self.seen[key] = True
+            marked.append(key)
+            row = key // n
+            node = key - row * n
+            got = dots(self.v, node, q, row)
+            # only those that are better than a beam's last go on, packed to the left
+            better = got > sims.min(1)[row]
+            row, node, got = row[better], node[better], got[better]
+            if not len(row):
+                continue
+            count = np.bincount(row, minlength=b)
+            new, count = np.flatnonzero(count), count[count > 0]
+            where = np.repeat(np.arange(len(new)), count)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            width = beam + int(count.max())
+            all_i, all_s, all_o = np.full((len(new), width), -1, np.int64), np.full((len(new), width), -np.inf, np.float32), np.zeros((len(new), width), bool)
+            all_i[:, :beam], all_s[:, :beam], all_o[:, :beam] = ids[new], sims[new], open_[new]
+            all_i[where, beam + place], all_s[where, beam + place], all_o[where, beam + place] = node, got, True
+            best = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
+            sims[new], ids[new], open_[new] = (np.take_along_axis(x, best, 1) for x in (all_s, all_i, all_o))
+        for key in marked:
+            self.seen[key] = False
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.where(np.isfinite(np.take_along_axis(sims, order, 1)), np.take_along_axis(ids, order, 1), -1), np.take_along_axis(sims, order, 1)
 
@@ -136,11 +156,13 @@ class Graph:
         place = np.arange(len(dst)) - np.repeat(start, count)
         fit = place < most
         back[np.repeat(np.arange(len(at)), count)[fit], place[fit]] = src[fit]
-        ids = np.concatenate([links[at].astype(np.int64), back], 1)
+        # nodes with about as many newcomers go together: most have one or two
+        by = np.argsort(count, kind="stable")
         for a in range(0, len(at), 256):
-            i = ids[a : a + 256]
-            s = np.einsum("bkd,bd->bk", self.v[np.maximum(i, 0)], self.v[at[a : a + 256]])
-            self._choose(layer, at[a : a + 256], i, np.where(i >= 0, s, -np.inf).astype(np.float32), links.shape[1])
+            some = by[a : a + 256]
+            i = np.concatenate([links[at[some]].astype(np.int64), back[some, : min(most, int(count[some[-1]]))]], 1)
+            s = np.einsum("bkd,bd->bk", self.v[np.maximum(i, 0)], self.v[at[some]])
+            self._choose(layer, at[some], i, np.where(i >= 0, s, -np.inf).astype(np.float32), links.shape[1])
 
     def _choose(self, layer: int, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> None:
         order = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * most + 16]
@@ -168,7 +190,7 @@ class Graph:
     @classmethod
     def load(cls, vectors: np.ndarray, blob: bytes, sizes: list[int], m: int) -> Graph:
         g = cls.__new__(cls)
-        g.v, g.m, g.members, g.links = np.ascontiguousarray(vectors, np.float32), m, [], []
+        g.v, g.m, g.seen, g.members, g.links = np.ascontiguousarray(vectors, np.float32), m, np.zeros(0, bool), [], []
         at = 0
         for layer, k in enumerate(sizes):
             nodes = np.frombuffer(blob, np.int32, k, at)

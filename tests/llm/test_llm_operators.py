@@ -439,6 +439,36 @@ def test_suffix_hot_anchors_come_apart(spark, monkeypatch, frequent):
         assert got[i] == (int(hit.sum()), int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum()))
 
 
+def test_few_links_do_not_widen_the_beam(monkeypatch):
+    """Where nearest others are mostly far below a link, beams are for links, and links just at the limit are found."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.normal(size=(4000, 96))), unit(rng.normal(size=(4000, 96)))
+    away = rng.normal(size=(20, 96))
+    away = unit(away - np.einsum("kd,kd->k", away, a[:20])[:, None] * a[:20])
+    b[:20] = 0.9001 * a[:20] + np.sqrt(1 - 0.9001**2) * away
+    sides = []
+    for k, v in enumerate((a, b)):
+        blob, sizes = hnsw.Graph(v, 12).build().dump()
+        ids = np.arange(4000) + 10_000 * k
+        sides.append({"dim": 96, "shard": k, "cids": ids.tobytes(), "rows": np.ones(4000, np.int64).tobytes(), "vectors": v.tobytes(), "graph": blob, "sizes": sizes})
+    beams, audit = [], embeddings.audit_beam
+    monkeypatch.setattr(embeddings, "audit_beam", lambda *x: beams.append(audit(*x)) or beams[-1])
+    out = embeddings.link_shards(pa.Table.from_pylist(sides), 12, 0.9, 48, 256, 0.98).to_pylist()
+    assert max(beam for beam, _ in beams) <= 96 and out[-1]["recall"] >= 0.98
+    found = {r["cid"]: (r["links"], r["root"]) for r in out[:-1]}
+    want = {i + k: (1, i) for i in range(20) for k in (0, 10_000)}
+    assert len(found.items() & want.items()) >= 0.98 * len(want) and found.keys() <= want.keys()
+
+
+def test_shards_of_one_task_get_a_graph_each():
+    rng = np.random.default_rng(9)
+    rows = [{"dim": d, "shard": s, "cid": i, "rows": 1, "embedding": rng.normal(size=d).tolist()} for i, (d, s) in enumerate([(4, 1)] * 5 + [(4, 7)] * 3 + [(8, 1)] * 4)]
+    table = pa.Table.from_pylist(rows, pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("cid", pa.int64()), ("rows", pa.int64()), ("embedding", pa.list_(pa.float64()))]))
+    got = [r for x in embeddings.build_shards(table.to_batches(max_chunksize=2), 12) for r in x.to_pylist()]
+    assert [(r["dim"], r["shard"], np.frombuffer(r["cids"], np.int64).tolist()) for r in got] == [(4, 1, [0, 1, 2, 3, 4]), (4, 7, [5, 6, 7]), (8, 1, [8, 9, 10, 11])]
+
+
 def test_large_groups_of_near_vectors_are_counted_exactly(spark):
     # groups wider than the beam, in several shards, beside loose rows
     rng = np.random.default_rng(8)
