@@ -114,7 +114,9 @@ def _spread(mask: np.ndarray, k: int, axis: int) -> np.ndarray:
     """Whether any of the 2k + 1 pixels around holds, along an axis: spans double until two of them cover all."""
     span, reach = 2 * k + 1, 1
     cut = (lambda a, b: (slice(a, b),)) if axis == 0 else (lambda a, b: (slice(None), slice(a, b)))
-    part = np.pad(mask, [(k, k) if i == axis else (0, 0) for i in range(2)])
+    high, wide = mask.shape
+    part = np.zeros((high + 2 * k * (axis == 0), wide + 2 * k * (axis == 1)), bool)
+    part[cut(k, k + mask.shape[axis])] = mask
     while reach < span:
         step = min(reach, span - reach)
         part = part[cut(None, -step)] | part[cut(step, None)]
@@ -142,7 +144,8 @@ def opened(mask: np.ndarray, kx: int, ky: int) -> np.ndarray:
 
 def gradient(gray: np.ndarray) -> np.ndarray:
     """|gx| + |gy| of the 3x3 Sobel kernels; 0 on the page's edge."""
-    g = gray.astype(np.int32)
+    # sums of eight tones at most
+    g = gray.astype(np.int16 if gray.size and 0 <= gray.min() and gray.max() < 4096 else np.int32)
     out = np.zeros_like(g)
     smooth_y = g[:-2] + 2 * g[1:-1] + g[2:]
     smooth_x = g[:, :-2] + 2 * g[:, 1:-1] + g[:, 2:]

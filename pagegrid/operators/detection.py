@@ -53,8 +53,9 @@ def merged(boxes: Column, least: float) -> Column:
     """One greedy pass: a box joins the first merged one with IoU >= least, which grows."""
 
     def step(acc, b):
-        at = F.array_position(F.transform(acc, lambda m: iou(m, b) >= least), F.lit(True))
-        return F.when(at > 0, F.transform(acc, lambda m, i: F.when(i == at - 1, union_box(m, b)).otherwise(m))).otherwise(F.concat(acc, F.array(b)))
+        first = F.array_position(F.transform(acc, lambda m: iou(m, b) >= least), F.lit(True))
+        grown = lambda at: F.transform(acc, lambda m, i: F.when(i == at - 1, union_box(m, b)).otherwise(m))
+        return let(first, lambda at: F.when(at > 0, grown(at)).otherwise(F.concat(acc, F.array(b))))
 
     return F.aggregate(plain(boxes), none(), step)
 
@@ -126,7 +127,7 @@ def layout_score(boxes: Column, page: Column) -> Column:
 
 def _layout_score(boxes: Column, sizes: Column, page: Column) -> Column:
     n = F.size(boxes)
-    much = lambda a, b: F.when(iou(a, b) > 0.15, iou(a, b)).otherwise(0.0)
+    much = lambda a, b: let(iou(a, b), lambda i: F.when(i > 0.15, i).otherwise(0.0))
     overlap = _total(F.transform(boxes, lambda a, i: _total(F.transform(F.slice(boxes, i + 2, F.size(boxes)), lambda b: much(a, b)))))
     # fixed values: how good a number of panels is
     count = F.when(n.between(3, 8), 1.0).when(n.between(2, 12), 0.7).when(n == 1, 0.3).otherwise(0.4)
@@ -332,10 +333,11 @@ def splash_fate(now: Column, before: Column, non_bg: Column, style: Column, gutt
 # --- the whole
 
 
-def with_evidence(pages: DataFrame, scales: tuple[float, ...] = (1.0,), off: tuple[str, ...] = (), least: int = 100, facts: bool = True) -> DataFrame:
+def with_evidence(pages: DataFrame, scales: tuple[float, ...] = (1.0,), off: tuple[str, ...] = (), least: int = 100, facts: bool = True, pack: bool = False) -> DataFrame:
     """pages with `seen`, what the routes see at each scale (scale, EVIDENCE), and the page's FACTS, in one pass.
 
     Without facts, they are left out, and so are the pixels, which no later step will ask for. Routes named in `off` aren't run. Other scales than 1 are left out where a side gets under `least` pixels.
+    pack: pixels go on as bytes (with_columns).
     """
 
     def look(page: Page) -> tuple:
@@ -353,7 +355,7 @@ def with_evidence(pages: DataFrame, scales: tuple[float, ...] = (1.0,), off: tup
         return (seen, N.gutter_runs(page), N.tint(page), N.palette(page), *N.tiles(page)) if facts else (seen,)
 
     as_struct = EVIDENCE.replace(" array<struct", ":array<struct").replace(", ", ",")
-    return with_columns(pages, look, f"seen array<struct<scale:double,{as_struct}>>" + (f", {FACTS}" if facts else ""), drop_pixels=not facts)
+    return with_columns(pages, look, f"seen array<struct<scale:double,{as_struct}>>" + (f", {FACTS}" if facts else ""), drop_pixels=not facts, pack=pack)
 
 
 def decide(pages: DataFrame, mode: str = "auto", model=None, min_agree: int = 2) -> DataFrame:
@@ -412,7 +414,7 @@ def detect(
     also if there are none, whatever was found. row_gap is a share of the page's height.
     """
     wide, high, size = F.col("width"), F.col("height"), F.col("width") * F.col("height")
-    p = decide(with_evidence(pages, scales, off), mode, model)
+    p = decide(with_evidence(pages, scales, off, pack=True), mode, model)
     p = with_freeform(p, delta=delta) if freeform and "freeform" not in off else p.withColumn("freeform_tried", F.lit(False))
     p = p.withColumn("panels", F.col("picked.boxes"))
     p = with_template(p, "panels") if templates else p.withColumn("template", F.lit(None).cast("string"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
 from pagegrid.operators import clusters as C
 from pagegrid.operators import edges as E
@@ -72,16 +72,25 @@ class Page:
         return (np.sqrt(((lab - np.array(background)) ** 2).sum(-1)) > delta)[number]
 
 
-def with_columns(pages: DataFrame, f: Callable[..., tuple], fields: str, uses: list[str] | None = None, drop_pixels: bool = False) -> DataFrame:
+def as_bytes(column: pa.ListArray) -> pa.Array:
+    """Each list of pixels as the bytes of its 16-bit numbers."""
+    ends = np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(2 * ends), pa.py_buffer(np.ascontiguousarray(column.flatten(), np.int16))])
+
+
+def with_columns(pages: DataFrame, f: Callable[..., tuple], fields: str, uses: list[str] | None = None, drop_pixels: bool = False, pack: bool = False) -> DataFrame:
     """pages and the columns `fields`, a tuple that f(page, *values of the columns in uses) returns for each page.
 
-    A page is worked on alone, so tasks hold one Arrow batch of pages; spark.sql.execution.arrow.
+    With pack, the pixels come out as binary columns, which later steps take as well: Spark copies them
+    whole where it goes through an array pixel by pixel. A page is worked on alone, so tasks hold one Arrow batch of pages; spark.sql.execution.arrow.
     maxBytesPerBatch bounds that batch.
     """
     added = _parse_datatype_string(fields)
     here = [c for c in PIXELS if c in pages.columns]
     gone = here if drop_pixels else []
-    schema = StructType([*[x for x in pages.schema.fields if x.name not in gone], *added.fields])
+    packed = [c for c in here if isinstance(pages.schema[c].dataType, BinaryType)]
+    packing = [c for c in here if pack and c not in packed and c not in gone]
+    schema = StructType([*[StructField(x.name, BinaryType()) if x.name in packing else x for x in pages.schema.fields if x.name not in gone], *added.fields])
     types = [to_arrow_type(x.dataType) for x in added.fields]
     names, uses = [x.name for x in schema.fields], uses or []
 
@@ -91,9 +100,9 @@ def with_columns(pages: DataFrame, f: Callable[..., tuple], fields: str, uses: l
             values = [batch.column(c).to_pylist() for c in uses]
             out = []
             for i in range(batch.num_rows):
-                page = Page(wide[i], high[i], {c: np.asarray(batch.column(c)[i].values) for c in here})
+                page = Page(wide[i], high[i], {c: np.frombuffer(batch.column(c)[i].as_buffer(), np.int16) if c in packed else np.asarray(batch.column(c)[i].values) for c in here})
                 out.append(f(page, *[v[i] for v in values]))
-            kept = [batch.column(c) for c in batch.schema.names if c not in gone]
+            kept = [as_bytes(batch.column(c)) if c in packing else batch.column(c) for c in batch.schema.names if c not in gone]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array([row[k] for row in out], type=t) for k, t in enumerate(types)]], names=names)
 
     return pages.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,43 @@ def test_rules_over_boxes(spark):
     assert as_tuples(one.absorbed) == [(0, 0, 100, 100), (5, 0, 100, 100), (300, 0, 40, 40)]
     assert one.covered == (105 * 100 + 1600) / 20000
     assert as_tuples(one.order)[0] == (300, 0, 40, 40)
+
+
+def test_clear_edges_are_grown_once(monkeypatch):
+    """Pairs of limits that part the same pixels are looked at once."""
+    gray = np.full((60, 80), 250, np.int16)
+    gray[10:50, 20:60] = 40
+    soft = np.random.default_rng(3).integers(90, 140, (60, 80)).astype(np.int16)
+    calls, grown = [], E.grown
+    every = [grown(E.steep_ridge(*E.slopes(np.rint(16 * E.blurred(g)).astype(np.int32)), 480), 16 * low, 16 * high) for g in (gray, soft) for low, high in E.LIMITS]
+    monkeypatch.setattr(E, "grown", lambda *x: calls.append(x) or grown(*x))
+    assert (E.voted_edges(gray) == every[0] | every[1] | every[2]).all() and len(calls) == 1
+    assert (E.voted_edges(soft) == every[3] | every[4] | every[5]).all() and len(calls) > 2
+
+
+def test_hulls_look_at_few_points():
+    """Of a box's rows only the corners are left to sort; of any points the same corners as by all of them."""
+    box = np.array([(x, y) for y in range(500) for x in (3, 90)])
+    assert len(S.outermost(box)) == 4 and S.hull(box).tolist() == [[3, 0], [90, 0], [90, 499], [3, 499]]
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        points = rng.integers(0, 12, (rng.integers(1, 40), 2))
+        corners = {tuple(p) for p in S.hull(points).tolist()}
+        distinct = {tuple(p) for p in points.tolist()}
+        for p in distinct:  # a corner: all others lie within less than half a turn as seen from it
+            angle = sorted(np.arctan2(y - p[1], x - p[0]) for x, y in distinct - {p})
+            gaps = np.diff([*angle, angle[0] + 2 * np.pi]) if angle else [2 * np.pi]
+            assert (p in corners) == (max(gaps) > np.pi + 1e-9) or len(distinct) < 3
+
+
+def test_pixels_go_on_as_bytes(spark):
+    """Between the steps of detect() pixels are bytes, whatever part of a batch a page is in; the pixels are the same."""
+    rng = np.random.default_rng(6)
+    planes = [rng.integers(0, 256, (h, w)).astype(np.int16) for h, w in ((3, 4), (2, 5), (1, 1))]
+    lists = pa.array([p.ravel() for p in planes])
+    assert [np.frombuffer(x.as_buffer(), np.int16).tolist() for x in P.as_bytes(lists.slice(1))] == [p.ravel().tolist() for p in planes[1:]]
+    pages = spark.createDataFrame([(i, p.shape[1], p.shape[0], p.ravel().tolist()) for i, p in enumerate(planes)], "page_id long, width int, height int, gray array<smallint>")
+    once = P.with_columns(pages, lambda p: (int(p.gray.sum()),), "a bigint", pack=True)
+    again = P.with_columns(once, lambda p: (int((p.gray * 3).sum()),), "b bigint", drop_pixels=True)
+    assert dict(once.dtypes)["gray"] == "binary" and "gray" not in again.columns
+    assert sorted((r.page_id, r.a, r.b) for r in again.collect()) == [(i, int(p.sum()), 3 * int(p.sum())) for i, p in enumerate(planes)]
